@@ -46,3 +46,181 @@ def multi_turn_sql(k: int) -> str:
 ORACLES["examples_multi_turn"] = multi_turn_sql(8)
 ORACLES["examples_context_3"] = multi_turn_sql(3)
 ORACLES["examples_unbounded_context"] = multi_turn_sql(0)
+
+
+# ---- shared SQL pieces ------------------------------------------------------------------------
+from chatsift.config import (  # noqa: E402
+    TRANSLATION_INSTRUCTION,
+    TRANSLATION_SYSTEM_PROMPT,
+)
+from chatsift.plans.derive import (  # noqa: E402
+    DOC_DIRT_SQL,
+    FOLD_FROM,
+    FOLD_TO,
+    ROLE_DIRT_SQL,
+    TEXT_DIRT_SQL,
+)
+
+PAIR_SOURCE = "conversations:pairs"
+TRANSLATION_SOURCE = "documents:translation"
+PROMPT_ROLES = ("system", "user", "assistant")
+SAMPLE_N = 300
+
+
+def last_user(p: str) -> str:
+    return f"list_filter({p}, lambda m: m.role = 'user')[-1].content"
+
+
+def first_content(c: str) -> str:
+    return f"{c}[1].content"
+
+
+def example_valid(p: str, c: str) -> str:
+    return (f"(len({p}) > 0 AND len({c}) > 0 AND {q.valid_len(last_user(p))} "
+            f"AND {q.valid_len(first_content(c))})")
+
+
+def signature(p: str = "prompt", c: str = "completion") -> str:
+    return f"(lower(coalesce({last_user(p)}, '')) || '||' || lower(coalesce({first_content(c)}, '')))"
+
+
+def cleaned_example_cte(raw_prompt: str, raw_completion: str, keys: str, source: str, frm: str) -> str:
+    return (f"SELECT {keys}, {q.clean_list(raw_prompt, PROMPT_ROLES)} AS prompt, "
+            f"{q.clean_list(raw_completion, ('assistant',))} AS completion, {source} AS source FROM {frm}")
+
+
+def pairs_sql() -> str:
+    raw_p = f"[{q.msg(q.lit('system'), q.lit(DEFAULT_SYSTEM_PROMPT))}, {q.msg(q.lit('user'), 'input')}]"
+    raw_c = f"[{q.msg(q.lit('assistant'), 'output')}]"
+    return f"""
+    SELECT * FROM (
+      {cleaned_example_cte(raw_p, raw_c, 'conv_id, turn', q.lit(PAIR_SOURCE), f'''(
+        SELECT u.conv_id, u.turn, u.text AS input, a.text AS output
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE {q.clean_role('u.role')} = 'user' AND {q.clean_role('a.role')} = 'assistant')''')}
+    ) WHERE {example_valid('prompt', 'completion')}"""
+
+
+def chat_sql(k: int = 8) -> str:
+    frame = f"ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING" if k > 0 else "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+    SELECT conv_id, turn, list_concat({q.system_list(DEFAULT_SYSTEM_PROMPT)}, ctx) AS prompt,
+           [{q.msg('role', 'content')}] AS completion, {q.lit(CHAT_SOURCE)} AS source
+    FROM (
+      SELECT *,
+        coalesce(list({q.msg('role', 'content')}) OVER (PARTITION BY conv_id ORDER BY turn {frame}), []) AS ctx,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role,
+        lag(content) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_content
+      FROM ({retained_turns_sql()})
+    )
+    WHERE role = 'assistant' AND prev_role = 'user' AND {q.valid_len('prev_content')} AND {q.valid_len('content')}"""
+
+
+def translation_sql() -> str:
+    user = f"{q.lit(TRANSLATION_INSTRUCTION)} || chr(10) || text"
+    target = f"translate(text, {q.lit(FOLD_FROM)}, {q.lit(FOLD_TO)})"
+    raw_p = f"[{q.msg(q.lit('system'), q.lit(TRANSLATION_SYSTEM_PROMPT))}, {q.msg(q.lit('user'), user)}]"
+    raw_c = f"[{q.msg(q.lit('assistant'), target)}]"
+    return f"""
+    SELECT * FROM (
+      {cleaned_example_cte(raw_p, raw_c, 'doc_id', q.lit(TRANSLATION_SOURCE), '(SELECT * FROM documents WHERE text IS NOT NULL)')}
+    ) WHERE {example_valid('prompt', 'completion')}"""
+
+
+def union_sql() -> str:
+    return f"""
+    SELECT 'c:' || conv_id || ':' || turn AS row_ref, prompt, completion, source, 0 AS r, conv_id AS pos, turn AS sub
+      FROM ({pairs_sql()})
+    UNION ALL
+    SELECT 'c:' || conv_id || ':' || turn, prompt, completion, source, 1, conv_id, turn FROM ({chat_sql(8)})
+    UNION ALL
+    SELECT 'd:' || doc_id, prompt, completion, source, 2, doc_id, 0 FROM ({translation_sql()})"""
+
+
+def deduped_sql() -> str:
+    return f"""
+    SELECT * EXCLUDE (rn) FROM (
+      SELECT *, row_number() OVER (PARTITION BY sig ORDER BY r, pos, sub) AS rn
+      FROM (SELECT *, {signature()} AS sig FROM ({union_sql()}))
+    ) WHERE rn = 1"""
+
+
+def split_sql(frm: str, row_key: str) -> str:
+    """Label rows of ``frm`` train/validation: the first v rows in md5(seed|key) order."""
+    return f"""
+    SELECT *, CASE WHEN rn <= v THEN 'validation' ELSE 'train' END AS split FROM (
+      SELECT *,
+        row_number() OVER (ORDER BY md5('42|' || CAST({row_key} AS VARCHAR)), CAST({row_key} AS VARCHAR)) AS rn,
+        count(*) OVER () AS n_all,
+        least(greatest(1, CAST(floor(count(*) OVER () * 0.02::DOUBLE) AS BIGINT)),
+              greatest(1, count(*) OVER () // 10)) AS v
+      FROM ({frm})
+    )"""
+
+
+ORACLES["examples_single_turn"] = f"""
+SELECT {_example_select('CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn', 'prompt', 'completion', 'source')}
+FROM ({pairs_sql()})"""
+
+ORACLES["role_and_message_cleaning"] = f"""
+WITH d AS (SELECT conv_id, turn, {ROLE_DIRT_SQL} AS role, {TEXT_DIRT_SQL} AS text FROM conversations),
+c AS (
+  SELECT *, coalesce(list({q.msg('role', 'text')}) OVER (PARTITION BY conv_id ORDER BY turn
+           ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), []) AS ctx
+  FROM d
+),
+e AS ({cleaned_example_cte(f"list_concat([{q.msg(q.lit('system'), q.lit(DEFAULT_SYSTEM_PROMPT))}], ctx)",
+                           f"[{q.msg('role', 'text')}]", 'conv_id, turn', q.lit('conversations:dirty'), 'c')})
+SELECT {_example_select('CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn', 'prompt', 'completion', 'source')}
+FROM e WHERE {example_valid('prompt', 'completion')}"""
+
+ORACLES["normalize_text"] = f"""
+SELECT doc_id, lang, text_norm, CAST(length(text_norm) AS BIGINT) AS n_chars_norm
+FROM (SELECT doc_id, lang, {q.normalize(DOC_DIRT_SQL)} AS text_norm FROM documents)"""
+
+ORACLES["last_user_first_reply"] = f"""
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn,
+       lower({last_user('prompt')}) AS last_user, lower({first_content('completion')}) AS first_reply,
+       {signature()} AS signature
+FROM ({chat_sql(8)})"""
+
+ORACLES["length_gate_by_lang"] = f"""
+SELECT lang, count(*) AS n_docs,
+       count(*) FILTER (WHERE n BETWEEN 2 AND 1200) AS n_valid,
+       count(*) FILTER (WHERE n < 2) AS n_short,
+       count(*) FILTER (WHERE n > 1200) AS n_long
+FROM (SELECT lang, length({q.normalize('text')}) AS n FROM documents)
+GROUP BY lang"""
+
+ORACLES["instruction_template"] = f"""
+SELECT {_example_select('CAST(doc_id AS BIGINT) AS doc_id', 'prompt', 'completion', 'source')}
+FROM ({translation_sql()})"""
+
+ORACLES["dedup_keep_first_documents"] = f"""
+SELECT doc_id, lang, source, n_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY sig ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id, lang, source, n_chars, lower({q.normalize('text')}) AS sig FROM documents)
+) WHERE rn = 1"""
+
+ORACLES["dedup_across_sources"] = f"""
+SELECT {_example_select('row_ref', 'prompt', 'completion', 'source')}
+FROM ({deduped_sql()})"""
+
+ORACLES["source_counts"] = f"""
+WITH b AS (SELECT source, count(*) AS n_before FROM ({union_sql()}) GROUP BY source),
+a AS (SELECT source, count(*) AS n_after FROM ({deduped_sql()}) GROUP BY source)
+SELECT b.source, b.n_before, CAST(coalesce(a.n_after, 0) AS BIGINT) AS n_after
+FROM b LEFT JOIN a ON a.source = b.source"""
+
+ORACLES["sample_exact_n"] = f"""
+SELECT doc_id, lang FROM (
+  SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) AS rn
+  FROM documents
+) WHERE rn <= {SAMPLE_N}"""
+
+ORACLES["split_assignment"] = f"""
+SELECT doc_id, split FROM ({split_sql(ORACLES['dedup_keep_first_documents'], 'doc_id')})"""
+
+ORACLES["split_sizes"] = f"""
+SELECT split, count(*) AS n_rows FROM ({split_sql(f'SELECT sig, source FROM ({deduped_sql()})', 'sig')})
+GROUP BY split"""

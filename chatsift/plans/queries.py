@@ -48,3 +48,176 @@ def examples_context_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("examples_unbounded_context")
 def examples_unbounded_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multi_turn(spark, sf_dir, 0)
+
+
+# ---- shared conversation/document sources ---------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from chatsift.config import (  # noqa: E402
+    DEFAULT_SEED,
+    DEFAULT_VALIDATION_RATIO,
+    TRANSLATION_INSTRUCTION,
+    TRANSLATION_SYSTEM_PROMPT,
+    SkewConfig,
+)
+from chatsift.functions.messages import (  # noqa: E402
+    example_signature,
+    first_content,
+    last_user_content,
+    message,
+    with_example,
+)
+from chatsift.functions.text import is_valid_length, normalize_text  # noqa: E402
+from chatsift.operators.context import trailing_context  # noqa: E402
+from chatsift.operators.dedup import keep_first, ordered, priority_union  # noqa: E402
+from chatsift.operators.sampling import exact_split, sample_exact  # noqa: E402
+from chatsift.operators.skew import hot_keys  # noqa: E402
+from chatsift.plans.derive import adjacent_pairs, dirty_documents, dirty_turns, translation_pairs  # noqa: E402
+from chatsift.sources.tables import instruction_examples, pair_examples  # noqa: E402
+
+PAIR_SOURCE = "conversations:pairs"
+TRANSLATION_SOURCE = "documents:translation"
+SAMPLE_N = 300
+
+
+def pair_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = adjacent_pairs(read_table(spark, sf_dir, "conversations"))
+    return pair_examples(pairs, "input", "output", system_prompt=DEFAULT_SYSTEM_PROMPT, source=PAIR_SOURCE,
+                         keep=("conv_id", "turn"))
+
+
+def chat_source(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversation_examples(turns, system_prompt=DEFAULT_SYSTEM_PROMPT, source=CHAT_SOURCE, k=k)
+
+
+def translation_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = translation_pairs(read_table(spark, sf_dir, "documents"))
+    return instruction_examples(pairs, "src_text", "target_text", instruction=TRANSLATION_INSTRUCTION,
+                                system_prompt=TRANSLATION_SYSTEM_PROMPT, source=TRANSLATION_SOURCE,
+                                keep=("doc_id",))
+
+
+def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priority union: pairs, then multi-turn chat, then translation pairs. ``row_ref`` names the
+    originating row."""
+    cols = ["row_ref", "prompt", "completion", "source", "_order"]
+    pairs = ordered(pair_source(spark, sf_dir), 0, pos="conv_id", sub="turn").withColumn(
+        "row_ref", F.format_string("c:%d:%d", "conv_id", "turn"))
+    chat = ordered(chat_source(spark, sf_dir), 1, pos="conv_id", sub="turn").withColumn(
+        "row_ref", F.format_string("c:%d:%d", "conv_id", "turn"))
+    trans = ordered(translation_source(spark, sf_dir), 2, pos="doc_id").withColumn(
+        "row_ref", F.format_string("d:%d", "doc_id"))
+    return priority_union([pairs.select(*cols), chat.select(*cols), trans.select(*cols)])
+
+
+def deduped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    union = union_sources(spark, sf_dir)
+    return keep_first(union.withColumn("signature", example_signature()), F.col("signature"))
+
+
+@register("examples_single_turn")
+def examples_single_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return example_view(pair_source(spark, sf_dir), ("conv_id", "turn"))
+
+
+@register("role_and_message_cleaning")
+def role_and_message_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty roles and texts; prompt = system + the 3 previous raw turns, completion = the current
+    raw turn; clean both arrays and validate (role whitelist, empty content, user present, length)."""
+    turns = read_table(spark, sf_dir, "conversations")
+    dirty = dirty_turns(turns)
+    skew = SkewConfig()
+    with_ctx = trailing_context(
+        dirty, keys=["conv_id"], seq="turn", item=message(F.col("role"), F.col("text")), k=3,
+        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), span=skew.block_span,
+    )
+    prompt = F.concat(F.array(message(F.lit("system"), F.lit(DEFAULT_SYSTEM_PROMPT))), F.col("ctx"))
+    completion = F.array(message(F.col("role"), F.col("text")))
+    ex = with_example(with_ctx, prompt, completion, "conversations:dirty", keep=("conv_id", "turn"))
+    return example_view(ex, ("conv_id", "turn"))
+
+
+@register("normalize_text")
+def normalize_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dirty_documents(read_table(spark, sf_dir, "documents"))
+    staged = docs.select("doc_id", "lang", normalize_text(F.col("text")).alias("text_norm"))
+    return staged.select("doc_id", "lang", "text_norm", F.length("text_norm").cast("long").alias("n_chars_norm"))
+
+
+@register("last_user_first_reply")
+def last_user_first_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = chat_source(spark, sf_dir)
+    return ex.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.lower(last_user_content("prompt")).alias("last_user"),
+        F.lower(first_content("completion")).alias("first_reply"),
+        example_signature().alias("signature"),
+    )
+
+
+@register("length_gate_by_lang")
+def length_gate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    n = F.length(normalize_text(F.col("text")))
+    staged = docs.select("lang", n.alias("n"))
+    return staged.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.count(F.when(is_valid_length_n("n"), 1)).alias("n_valid"),
+        F.count(F.when(F.col("n") < 2, 1)).alias("n_short"),
+        F.count(F.when(F.col("n") > 1200, 1)).alias("n_long"),
+    )
+
+
+def is_valid_length_n(c: str):
+    return F.col(c).between(2, 1200)
+
+
+@register("instruction_template")
+def instruction_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return example_view(translation_source(spark, sf_dir), ("doc_id",))
+
+
+@register("dedup_keep_first_documents")
+def dedup_keep_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sig = F.lower(normalize_text(F.col("text")))
+    staged = docs.select("doc_id", "lang", "source", "n_chars", sig.alias("sig"))
+    return keep_first(staged, F.col("sig"), F.col("doc_id")).drop("sig")
+
+
+@register("dedup_across_sources")
+def dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduped_sources(spark, sf_dir)
+    return example_view(kept, ("row_ref",))
+
+
+@register("source_counts")
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    union = union_sources(spark, sf_dir)
+    before = union.groupBy("source").agg(F.count(F.lit(1)).alias("n_before"))
+    kept = keep_first(union.withColumn("signature", example_signature()), F.col("signature"))
+    after = kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_after"))
+    return before.join(after, "source", "left").select(
+        "source", "n_before", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
+
+
+@register("sample_exact_n")
+def sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return sample_exact(docs, SAMPLE_N, DEFAULT_SEED, "doc_id")
+
+
+@register("split_assignment")
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_keep_first_documents(spark, sf_dir).select("doc_id").checkpoint()
+    labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "doc_id")
+    return labelled
+
+
+@register("split_sizes")
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = deduped_sources(spark, sf_dir).select("signature", "source").checkpoint()
+    labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "signature")
+    return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
