@@ -45,15 +45,18 @@ def trailing_context(
     out: str = "ctx",
 ) -> DataFrame:
     """Add ``out``: array of the last ``k`` items strictly before each row within its key, counting
-    only rows where ``is_item`` holds and only rows after the latest reset (a reset row clears the
-    history for the rows after it). ``k == 0`` means the whole history (output grows
+    only rows where ``is_item`` holds and only rows after the latest reset (a reset row is not an
+    item, clears the history and itself gets an empty context). ``k == 0`` means the whole history (output grows
     quadratically with the key's length by definition)."""
     if k < 0:
         raise ValueError("k must be >= 0")
     hot = hot or HotKeys()
-    d = df.withColumn("_isit", F.coalesce(is_item, F.lit(False)) if is_item is not None else F.lit(True))
+    d = df.withColumn("_rs", F.coalesce(is_reset, F.lit(False)) if is_reset is not None else F.lit(False))
+    # a reset row is never an item; it sees the (cleared) empty history
+    d = d.withColumn(
+        "_isit", (F.coalesce(is_item, F.lit(False)) if is_item is not None else F.lit(True)) & ~F.col("_rs")
+    )
     d = d.withColumn("_it", F.when(F.col("_isit"), item))
-    d = d.withColumn("_rs", F.coalesce(is_reset, F.lit(False)) if is_reset is not None else F.lit(False))
     has_resets = is_reset is not None
 
     if k == 0:
@@ -84,38 +87,30 @@ def trailing_context(
 
     item_type = d.schema["_it"].dataType.simpleString()
     with_after = d.withColumn("_cafter", F.collect_list("_it").over(w_o.rangeBetween(-(2 * k - 1), 0)))
-    summary = (
-        with_after.groupBy(*part)
-        .agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
-        .where((F.size("_tail") > 0) | F.col("_hr"))
+    summary = with_after.groupBy(*part).agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
+    # Context after each significant block (one with items or a reset): fold the last k significant
+    # blocks up to it, starting at the latest reset among them. k significant blocks hold >= k items.
+    significant = summary.where((F.size("_tail") > 0) | F.col("_hr"))
+    w_sig = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-(k - 1), 0)
+    recent = F.collect_list(F.struct("_hr", "_tail")).over(w_sig)
+    cut = F.aggregate(
+        "_recent",
+        F.struct(F.lit(0).alias("i"), F.lit(0).alias("r")),
+        lambda acc, e: F.struct((acc["i"] + 1).alias("i"), F.when(e["_hr"], acc["i"] + 1).otherwise(acc["r"]).alias("r")),
+    )["r"]
+    after = significant.select(*part, recent.alias("_recent")).select(
+        *part,
+        last_n(
+            F.flatten(F.transform(F.slice("_recent", F.greatest(cut, F.lit(1)), F.size("_recent")), lambda e: e["_tail"])),
+            k,
+        ).alias("_after"),
     )
-    w_b = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-k, -1)
-    prior = F.collect_list(F.struct("_hr", "_tail")).over(w_b)
+    # every block's halo is the context after the latest significant block before it
+    w_prev = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     halo = (
-        summary.select(*part, prior.alias("_prior"))
-        .select(
-            *part,
-            F.aggregate(
-                "_prior",
-                F.struct(F.lit(0).alias("i"), F.lit(0).alias("r")),
-                lambda acc, e: F.struct(
-                    (acc["i"] + 1).alias("i"), F.when(e["_hr"], acc["i"] + 1).otherwise(acc["r"]).alias("r")
-                ),
-            )["r"].alias("_cut"),
-            "_prior",
-        )
-        .select(
-            *part,
-            last_n(
-                F.flatten(
-                    F.transform(
-                        F.slice("_prior", F.greatest(F.col("_cut"), F.lit(1)), F.size("_prior")),
-                        lambda e: e["_tail"],
-                    )
-                ),
-                k,
-            ).alias("_halo"),
-        )
+        summary.select(*part)
+        .join(after, on=part, how="left")
+        .select(*part, F.last("_after", ignorenulls=True).over(w_prev).alias("_halo"))
     )
     joined = d.join(halo, on=part, how="left")
     ctx = F.when(
