@@ -11,9 +11,9 @@ ORDER = "_order"
 
 
 def ordered(df: DataFrame, rank: int, file_name: Column | str | None = None, pos: Column | str | None = None,
-            sub: Column | str | None = None) -> DataFrame:
-    """Attach the global order key ``(source_rank, file_name, row_pos, sub_pos)`` that decides which
-    copy survives deduplication (earlier sources, then file name, then position win)."""
+            sub: Column | str | None = None, block: Column | str | None = None) -> DataFrame:
+    """Attach the global order key ``(source_rank, file_name, block, row_pos, sub_pos)`` that decides
+    which copy survives deduplication (earlier sources, then file name, then position win)."""
 
     def c(x, default):
         if x is None:
@@ -23,6 +23,7 @@ def ordered(df: DataFrame, rank: int, file_name: Column | str | None = None, pos
     key = F.struct(
         F.lit(rank).cast("int").alias("source_rank"),
         c(file_name, F.lit("")).cast("string").alias("file_name"),
+        c(block, F.lit(0)).cast("long").alias("block"),
         c(pos, F.lit(0)).cast("long").alias("row_pos"),
         c(sub, F.lit(0)).cast("long").alias("sub_pos"),
     )

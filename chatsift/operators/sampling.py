@@ -111,3 +111,12 @@ def exact_split(df: DataFrame, seed: int, ratio: float, row_key: Column | str,
     t = first_n_threshold(df, key, rk, v)
     labelled = df.withColumn(split_col, F.when(t.predicate(key, rk), F.lit("validation")).otherwise(F.lit("train")))
     return labelled, n, v
+
+
+def sample_exact_groups(df: DataFrame, n: int, seed: int, group_key: str) -> DataFrame:
+    """Keep all rows of ``n`` seeded-randomly chosen groups (e.g. conversations stored one row per
+    turn): the threshold is found over the distinct keys, then applied as a row filter."""
+    keys = df.select(group_key).distinct()
+    key = order_key(seed, F.col(group_key))
+    t = first_n_threshold(keys, key, F.col(group_key), n)
+    return df.where(t.predicate(key, F.col(group_key)))

@@ -68,3 +68,82 @@ def dirty_documents(documents: DataFrame) -> DataFrame:
 
 def dirty_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.expr(ROLE_DIRT_SQL).alias("role"), F.expr(TEXT_DIRT_SQL).alias("text"))
+
+
+def jsonl_lines(turns: DataFrame, system_prompt: str) -> DataFrame:
+    """One JSON line per conversation turn, cycling through every record shape plus blank, other,
+    non-object and broken lines: ``line_id, value``."""
+    t = F.col("text")
+    m = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    convo = F.array(m("user", F.concat(F.lit("q "), t)), m("assistant", F.concat(F.lit("a "), t)),
+                    m("user", F.concat(F.lit("q2 "), t)), m("assistant", F.concat(F.lit("a2 "), t)))
+    prompt = F.array(m("system", F.lit(system_prompt)), m("user", t))
+    completion = F.array(m("assistant", t))
+    keep_nulls = {"ignoreNullFields": "false"}
+    s = (F.col("conv_id") + F.col("turn")) % 8
+    value = (
+        F.when((s == 0) & (F.col("conv_id") % 2 == 0),
+               F.to_json(F.struct(prompt.alias("prompt"), completion.alias("completion"),
+                                  F.lit("x").alias("input"), F.lit("y").alias("output"))))
+        .when(s == 0, F.to_json(F.struct(prompt.alias("prompt"), completion.alias("completion"))))
+        .when(s == 1, F.to_json(F.struct(t.alias("input"), F.concat(F.lit("re: "), t).alias("output"))))
+        .when(s == 2, F.to_json(F.struct(t.alias("user"), F.concat(F.lit("ok "), t).alias("assistant"))))
+        .when(s == 3, F.to_json(F.struct(convo.alias("messages"))))
+        .when(s == 4, F.to_json(F.struct(F.lit(None).cast("string").alias("input"),
+                                         F.lit(None).cast("string").alias("output"), convo.alias("messages")),
+                                keep_nulls))
+        .when(s == 5, F.lit('{"other": 1}'))
+        .when(s == 6, F.lit("   "))
+        .when(F.col("turn") % 2 == 0, F.lit("[1, 2]"))
+        .otherwise(F.concat(F.lit('{"input": '), t))
+    )
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), value.alias("value"))
+
+
+def jsonl_lines_sql(system_prompt: str) -> str:
+    """The same lines in DuckDB SQL."""
+    from chatsift.plans.sqltext import lit
+
+    def m(role, content):
+        return f"json_object('role', '{role}', 'content', {content})"
+
+    convo = (f"json_array({m('user', chr(39) + 'q ' + chr(39) + ' || text')}, {m('assistant', chr(39) + 'a ' + chr(39) + ' || text')}, "
+             f"{m('user', chr(39) + 'q2 ' + chr(39) + ' || text')}, {m('assistant', chr(39) + 'a2 ' + chr(39) + ' || text')})")
+    prompt = f"json_array({m('system', lit(system_prompt))}, {m('user', 'text')})"
+    completion = f"json_array({m('assistant', 'text')})"
+    s = "((conv_id + turn) % 8)"
+    return f"""SELECT conv_id * 1000 + turn AS line_id, CAST(CASE
+      WHEN {s} = 0 AND conv_id % 2 = 0 THEN CAST(json_object('prompt', {prompt}, 'completion', {completion}, 'input', 'x', 'output', 'y') AS VARCHAR)
+      WHEN {s} = 0 THEN CAST(json_object('prompt', {prompt}, 'completion', {completion}) AS VARCHAR)
+      WHEN {s} = 1 THEN CAST(json_object('input', text, 'output', 're: ' || text) AS VARCHAR)
+      WHEN {s} = 2 THEN CAST(json_object('user', text, 'assistant', 'ok ' || text) AS VARCHAR)
+      WHEN {s} = 3 THEN CAST(json_object('messages', {convo}) AS VARCHAR)
+      WHEN {s} = 4 THEN CAST(json_object('input', NULL, 'output', NULL, 'messages', {convo}) AS VARCHAR)
+      WHEN {s} = 5 THEN '{{"other": 1}}'
+      WHEN {s} = 6 THEN '   '
+      WHEN turn % 2 = 0 THEN '[1, 2]'
+      ELSE '{{"input": ' || text END AS VARCHAR) AS value
+    FROM conversations"""
+
+
+def csv_pairs(turns: DataFrame) -> DataFrame:
+    """Adjacent pairs with CSV hazards injected: quotes, embedded newlines, missing-value tokens."""
+    p = adjacent_pairs(turns)
+    sel = (F.col("conv_id") + F.col("turn")) % 6
+    inp = (F.when(sel == 0, F.lit("NA"))
+           .when(sel == 1, F.concat(F.col("input"), F.lit(' he said "hi", ok')))
+           .otherwise(F.col("input")))
+    out = (F.when(sel == 2, F.lit("null"))
+           .when(sel == 3, F.concat(F.lit("line one\nline two, "), F.col("output")))
+           .when(sel == 4, F.lit(""))
+           .otherwise(F.col("output")))
+    return p.select("conv_id", "turn", inp.alias("input"), out.alias("output"))
+
+
+CSV_PAIRS_SQL = """SELECT conv_id, turn,
+  CASE WHEN (conv_id + turn) % 6 = 0 THEN 'NA'
+       WHEN (conv_id + turn) % 6 = 1 THEN input || ' he said "hi", ok' ELSE input END AS input,
+  CASE WHEN (conv_id + turn) % 6 = 2 THEN 'null'
+       WHEN (conv_id + turn) % 6 = 3 THEN 'line one' || chr(10) || 'line two, ' || output
+       WHEN (conv_id + turn) % 6 = 4 THEN '' ELSE output END AS output
+FROM ({pairs})"""

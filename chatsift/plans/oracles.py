@@ -11,8 +11,9 @@ CHAT_SOURCE = "conversations:chat"
 
 
 def _example_select(keys: str, prompt: str, completion: str, source: str) -> str:
+    lead = f"{keys}, " if keys else ""
     return (
-        f"{keys}, {q.render(prompt)} AS prompt_text, {q.render(completion)} AS completion_text, "
+        f"{lead}{q.render(prompt)} AS prompt_text, {q.render(completion)} AS completion_text, "
         f"CAST(len({prompt}) AS BIGINT) AS n_prompt, CAST(len({completion}) AS BIGINT) AS n_completion, "
         f"{source} AS source"
     )
@@ -224,3 +225,116 @@ SELECT doc_id, split FROM ({split_sql(ORACLES['dedup_keep_first_documents'], 'do
 ORACLES["split_sizes"] = f"""
 SELECT split, count(*) AS n_rows FROM ({split_sql(f'SELECT sig, source FROM ({deduped_sql()})', 'sig')})
 GROUP BY split"""
+
+
+# ---- files ------------------------------------------------------------------------------------
+from chatsift.plans.derive import CSV_PAIRS_SQL, jsonl_lines_sql  # noqa: E402
+
+
+def jsonl_shape_sql() -> str:
+    obj = "CASE WHEN json_valid(value) THEN value ELSE '[]' END"
+    keys = f"json_keys(CASE WHEN json_type({obj}) = 'OBJECT' THEN {obj} ELSE '{{}}' END)"
+    return f"""
+    SELECT line_id, value, CASE
+      WHEN {q.strip('value')} = '' THEN 'blank'
+      WHEN NOT json_valid(value) OR json_type(value) <> 'OBJECT' THEN 'invalid'
+      WHEN list_contains(k, 'prompt') AND list_contains(k, 'completion') THEN 'prompt_completion'
+      WHEN list_contains(k, 'input') AND list_contains(k, 'output') THEN 'input_output'
+      WHEN list_contains(k, 'user') AND list_contains(k, 'assistant') THEN 'user_assistant'
+      WHEN list_contains(k, 'messages') THEN 'messages'
+      ELSE 'other' END AS shape
+    FROM (SELECT *, {keys} AS k FROM ({jsonl_lines_sql(DEFAULT_SYSTEM_PROMPT)}))"""
+
+
+def jsonl_examples_sql(lines_sql: str) -> str:
+    """Examples from shaped lines (line_id, value, shape) -> line_id, shape, sub, prompt, completion."""
+    msgs_t = "'{\"messages\":[{\"role\":\"VARCHAR\",\"content\":\"VARCHAR\"}]}'"
+    pc_t = ("'{\"prompt\":[{\"role\":\"VARCHAR\",\"content\":\"VARCHAR\"}],"
+            "\"completion\":[{\"role\":\"VARCHAR\",\"content\":\"VARCHAR\"}]}'")
+    sysm = q.msg(q.lit("system"), q.lit(DEFAULT_SYSTEM_PROMPT))
+
+    def pair(u, a):
+        return (f"{q.clean_list(f'[{sysm}, {q.msg(q.lit(chr(117) + chr(115) + chr(101) + chr(114)), u)}]', PROMPT_ROLES)}",
+                f"{q.clean_list(f'[{q.msg(q.lit(chr(97) + chr(115) + chr(115) + chr(105) + chr(115) + chr(116) + chr(97) + chr(110) + chr(116)), a)}]', ('assistant',))}")
+
+    io_p, io_c = pair("json_extract_string(value, '$.input')", "json_extract_string(value, '$.output')")
+    ua_p, ua_c = pair("json_extract_string(value, '$.user')", "json_extract_string(value, '$.assistant')")
+    r = q.clean_list(f"json_transform(value, {msgs_t}).messages", ("user", "assistant"))
+    return f"""
+    WITH s AS ({lines_sql}),
+    pc AS (
+      SELECT line_id, shape, 0 AS sub,
+        {q.clean_list(f'json_transform(value, {pc_t}).prompt', PROMPT_ROLES)} AS prompt,
+        {q.clean_list(f'json_transform(value, {pc_t}).completion', ('assistant',))} AS completion
+      FROM s WHERE shape = 'prompt_completion'
+      UNION ALL
+      SELECT line_id, shape, 0, {io_p}, {io_c} FROM s WHERE shape = 'input_output'
+      UNION ALL
+      SELECT line_id, shape, 0, {ua_p}, {ua_c} FROM s WHERE shape = 'user_assistant'
+    ),
+    rm AS (SELECT line_id, shape, {r} AS r FROM s WHERE shape = 'messages'),
+    pos AS (
+      SELECT line_id, shape, r, unnest(p) AS i, generate_subscripts(p, 1) - 1 AS sub
+      FROM (SELECT *, list_filter(range(2, len(r) + 1), lambda i: r[i].role = 'assistant' AND r[i - 1].role = 'user') AS p FROM rm)
+    ),
+    ms AS (
+      SELECT line_id, shape, sub,
+        list_concat({q.system_list(DEFAULT_SYSTEM_PROMPT)}, list_slice(r, greatest(i - 8, 1), i - 1)) AS prompt,
+        [r[i]] AS completion
+      FROM pos
+    )
+    SELECT * FROM (SELECT * FROM pc UNION ALL SELECT * FROM ms) WHERE {example_valid('prompt', 'completion')}"""
+
+
+ORACLES["jsonl_shape_dispatch"] = f"""
+SELECT CAST(line_id AS BIGINT) AS line_id, shape, CAST(-1 AS BIGINT) AS sub, CAST(NULL AS VARCHAR) AS prompt_text,
+       CAST(NULL AS VARCHAR) AS completion_text FROM ({jsonl_shape_sql()})
+UNION ALL
+SELECT CAST(line_id AS BIGINT), shape, CAST(sub AS BIGINT), {q.render('prompt')}, {q.render('completion')}
+FROM ({jsonl_examples_sql(jsonl_shape_sql())})"""
+
+
+def csv_examples_sql(pairs_sql: str, source: str) -> str:
+    na = ", ".join(q.lit(t) for t in NA_TOKENS)
+    raw_p = f"[{q.msg(q.lit('system'), q.lit(DEFAULT_SYSTEM_PROMPT))}, {q.msg(q.lit('user'), 'input')}]"
+    raw_c = f"[{q.msg(q.lit('assistant'), 'output')}]"
+    frm = f"""(SELECT CASE WHEN input IN ({na}) THEN NULL ELSE input END AS input,
+                     CASE WHEN output IN ({na}) THEN NULL ELSE output END AS output, grp FROM ({pairs_sql}))"""
+    return f"""SELECT * FROM ({cleaned_example_cte(raw_p, raw_c, 'grp', source, frm)})
+    WHERE {example_valid('prompt', 'completion')}"""
+
+
+from chatsift.config import NA_TOKENS  # noqa: E402
+
+_CSV_PAIRS = CSV_PAIRS_SQL.format(pairs=f"""
+  SELECT u.conv_id, u.turn, u.text AS input, a.text AS output
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE {q.clean_role('u.role')} = 'user' AND {q.clean_role('a.role')} = 'assistant'""")
+
+ORACLES["csv_pairs_round_trip"] = f"""
+SELECT {_example_select('', 'prompt', 'completion', 'source')}
+FROM ({csv_examples_sql(f"SELECT *, '' AS grp FROM ({_CSV_PAIRS})", q.lit('csv:pairs'))})"""
+
+ORACLES["custom_directory_scan"] = f"""
+WITH csv AS ({csv_examples_sql(f'''SELECT *, CASE conv_id % 3 WHEN 0 THEN 'a_pairs' ELSE 'c_variant' END AS grp
+                                   FROM ({_CSV_PAIRS}) WHERE conv_id % 3 <> 1''', 'grp')}),
+js AS ({jsonl_examples_sql(jsonl_shape_sql())})
+SELECT {_example_select('', 'prompt', 'completion', 'source')} FROM csv
+UNION ALL
+SELECT {_example_select('', 'prompt', 'completion', q.lit('e_lines'))} FROM js"""
+
+ORACLES["jsonl_round_trip"] = f"""
+SELECT {_example_select('split', 'prompt', 'completion', 'source')}
+FROM ({split_sql(deduped_sql(), 'sig')})"""
+
+ORACLES["build_report"] = f"""
+WITH d AS (SELECT * FROM ({split_sql(deduped_sql(), 'sig')})),
+b AS (SELECT source, count(*) AS n FROM ({union_sql()}) GROUP BY source),
+a AS (SELECT source, count(*) AS n FROM d GROUP BY source)
+SELECT
+  (SELECT count(*) FROM d WHERE split = 'train') AS train_rows,
+  (SELECT count(*) FROM d WHERE split = 'validation') AS validation_rows,
+  (SELECT count(*) FROM d) AS total_rows_after_dedup,
+  (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM b) AS counts_before,
+  (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM a) AS counts_after,
+  CAST(3 AS BIGINT) AS n_notes"""

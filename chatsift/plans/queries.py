@@ -221,3 +221,127 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = deduped_sources(spark, sf_dir).select("signature", "source").checkpoint()
     labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "signature")
     return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ---- files: JSONL shapes, CSV, custom folder, JSONL splits, report ----------------------------
+from chatsift.config import BuildConfig  # noqa: E402
+from chatsift.plans.build import Sources, build_dataset  # noqa: E402
+from chatsift.plans.derive import csv_pairs, jsonl_lines  # noqa: E402
+from chatsift.session import scratch_path  # noqa: E402
+from chatsift.sinks.jsonl import read_splits  # noqa: E402
+from chatsift.sources import files  # noqa: E402
+from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv  # noqa: E402
+
+JSONL_SOURCE = "jsonl"
+CSV_SOURCE = "csv:pairs"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl_lines(read_table(spark, sf_dir, "conversations"), DEFAULT_SYSTEM_PROMPT)
+
+
+@register("jsonl_shape_dispatch")
+def jsonl_shape_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape label of every line (``sub = -1``) plus every example the lines yield."""
+    from chatsift.functions.json_shapes import shape_label
+
+    lines = _lines(spark, sf_dir)
+    labels = lines.select(
+        F.col("line_id").cast("long").alias("line_id"), shape_label("value").alias("shape"),
+        F.lit(-1).cast("long").alias("sub"), F.lit(None).cast("string").alias("prompt_text"),
+        F.lit(None).cast("string").alias("completion_text"))
+    ex = jsonl_examples(lines, system_prompt=DEFAULT_SYSTEM_PROMPT, k=8, source=JSONL_SOURCE)
+    view = example_view(ex.withColumn("sub", F.col("sub").cast("long")), ("line_id", "shape", "sub"))
+    return labels.unionByName(view.select("line_id", "shape", "sub", "prompt_text", "completion_text"))
+
+
+def _write_pairs_csv(df: DataFrame, path: str, header=("input", "output")) -> None:
+    (df.select(F.col("input").alias(header[0]), F.col("output").alias(header[1]))
+     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("encoding", "UTF-8").csv(path))
+
+
+@register("csv_pairs_round_trip")
+def csv_pairs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with quotes, newlines and missing-value tokens -> CSV files -> header-checked scan
+    -> examples."""
+    path = scratch_path(spark, "csv-pairs")
+    _write_pairs_csv(csv_pairs(read_table(spark, sf_dir, "conversations")), path)
+    parts = files.list_files(spark, path, "*.csv")
+    raw = read_pair_csv(spark, parts)
+    ex = pair_examples(raw, "input", "output", system_prompt=DEFAULT_SYSTEM_PROMPT, source=CSV_SOURCE)
+    return example_view(ex)
+
+
+def _write_custom_folder(spark: SparkSession, sf_dir: str) -> tuple[str, set[str]]:
+    """A folder of CSV and JSONL files written by Spark from the driver tables: good headers, a
+    reordered header (skipped), a case/space variant header (accepted), an ignored local file, JSONL
+    lines of every shape and a non-data file. Part files are renamed to stable names."""
+    turns = read_table(spark, sf_dir, "conversations")
+    pairs = csv_pairs(turns)
+    folder = scratch_path(spark, "custom")
+    files.mkdirs(spark, folder)
+    groups = {
+        "a_pairs": (pairs.where(F.col("conv_id") % 3 == 0), ("input", "output")),
+        "b_reordered": (pairs.where(F.col("conv_id") % 3 == 1), ("output", "input")),
+        "c_variant": (pairs.where(F.col("conv_id") % 3 == 2), ("Input", "Output ")),
+        "z_local": (pairs, ("input", "output")),
+    }
+    ignored = set()
+    for name, (df, header) in groups.items():
+        tmp = f"{folder}/_tmp_{name}"
+        _write_pairs_csv(df, tmp, header)
+        for i, part in enumerate(files.list_files(spark, tmp, "part-*")):
+            target = f"{name}-{i:05d}.csv"
+            files.rename(spark, part, f"{folder}/{target}")
+            if name == "z_local":
+                ignored.add(target)
+    tmp = f"{folder}/_tmp_lines"
+    _lines(spark, sf_dir).select("value").write.mode("overwrite").option("compression", "none").text(tmp)
+    for i, part in enumerate(files.list_files(spark, tmp, "part-*")):
+        files.rename(spark, part, f"{folder}/e_lines-{i:05d}.jsonl")
+    return folder, ignored
+
+
+@register("custom_directory_scan")
+def custom_directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, ignored = _write_custom_folder(spark, sf_dir)
+    ex, _ = load_custom_dir(spark, folder, system_prompt=DEFAULT_SYSTEM_PROMPT, k=8, ignored=ignored)
+    group = F.regexp_extract(F.col("source"), r"^custom:([a-z_]+)-\d+\.(csv|jsonl)$", 1)
+    return example_view(ex.withColumn("source", group))
+
+
+def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
+    turns = read_table(spark, sf_dir, "conversations")
+    pairs = adjacent_pairs(turns).withColumn("pair_key", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    docs = read_table(spark, sf_dir, "documents")
+    trans = translation_pairs(docs).select("doc_id", F.col("src_text").alias("hi"), F.col("target_text").alias("hi_rom"))
+    return Sources(
+        pairs=(pairs, "pair_key"), chat_turns=(turns, "conv_id"), translation=(trans, "doc_id"),
+        tags={"pairs": PAIR_SOURCE, "turn_pairs": "conversations:turn_pairs", "chat": CHAT_SOURCE,
+              "translation": TRANSLATION_SOURCE},
+    )
+
+
+@register("jsonl_round_trip")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full build -> train/validation JSONL -> read back both splits."""
+    out = scratch_path(spark, "build")
+    build_dataset(spark, BuildConfig(output_dir=out), _build_sources(spark, sf_dir))
+    back = read_splits(spark, {"train": f"{out}/train.jsonl", "validation": f"{out}/validation.jsonl"})
+    return example_view(back, ("split",))
+
+
+@register("build_report")
+def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    res = build_dataset(spark, BuildConfig(), _build_sources(spark, sf_dir), write=False)
+
+    def flat(m):
+        return F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+
+    return res.report.select(
+        "train_rows", "validation_rows", "total_rows_after_dedup",
+        flat("source_counts_before_dedup").alias("counts_before"),
+        flat("source_counts_after_dedup").alias("counts_after"),
+        F.size("notes").cast("long").alias("n_notes"),
+    )
