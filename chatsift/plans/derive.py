@@ -147,3 +147,71 @@ CSV_PAIRS_SQL = """SELECT conv_id, turn,
        WHEN (conv_id + turn) % 6 = 3 THEN 'line one' || chr(10) || 'line two, ' || output
        WHEN (conv_id + turn) % 6 = 4 THEN '' ELSE output END AS output
 FROM ({pairs})"""
+
+
+# ---- chat requests derived from conversations (+ parameters from events) --------------------
+# fixed values: deterministic request dirt, identical in Spark SQL and DuckDB
+REQUEST_MESSAGE_SQL = (
+    "CASE (conv_id + turn) % 9 WHEN 0 THEN '' WHEN 1 THEN '/start' "
+    "WHEN 2 THEN text || '  ' || chr(9) || ' ' WHEN 3 THEN repeat(text || ' ', 30) ELSE text END"
+)
+HISTORY_ROLE_SQL = "CASE WHEN conv_id % 5 = 0 THEN upper(role) ELSE role END"
+SYSTEM_PROMPT_SQL = (
+    "CASE conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' "
+    "ELSE '  Custom   prompt' || chr(9) || CAST(conv_id AS STRING) || ' ' END"
+)
+MAX_NEW_TOKENS_SQL = "CASE WHEN event_type = 'view' THEN NULL ELSE CAST(floor(value * 1.2) AS INT) END"
+TEMPERATURE_SQL = "CASE WHEN event_type = 'click' THEN NULL ELSE value / 100.0 END"
+TOP_P_SQL = "CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST(event_id % 12 AS DOUBLE) / 10.0 END"
+REPLY_SQL = (
+    "CASE WHEN (conv_id + turn) % 11 = 0 THEN repeat(text || ' ', 25) "
+    "ELSE '  ' || text || chr(13) || chr(10) END"
+)
+REQUEST_HISTORY_TURNS = 12
+
+
+def chat_requests(turns: DataFrame, events: DataFrame, *, skew=None) -> DataFrame:
+    """One request per user turn: ``request_id = conv_id*100 + turn``, the raw previous turns (up to
+    12) as history, parameters from the event with the same id (left join on a unique key)."""
+    from chatsift.config import SkewConfig
+    from chatsift.functions.messages import message
+    from chatsift.operators.context import trailing_context
+    from chatsift.operators.skew import hot_keys
+
+    skew = skew or SkewConfig()
+    hist = trailing_context(
+        turns.select("conv_id", "turn", "role", "text", F.expr(HISTORY_ROLE_SQL).alias("_hrole")),
+        keys=["conv_id"], seq="turn", item=message(F.col("_hrole"), F.col("text")), k=REQUEST_HISTORY_TURNS,
+        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), span=skew.block_span, out="history",
+    )
+    users = hist.where(clean_role(F.col("role")) == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        F.expr(REQUEST_MESSAGE_SQL).alias("message"),
+        "history",
+        F.expr(SYSTEM_PROMPT_SQL).alias("system_prompt"),
+    )
+    params = events.select(
+        F.col("event_id").alias("request_id"),
+        F.expr(MAX_NEW_TOKENS_SQL).alias("max_new_tokens"),
+        F.expr(TEMPERATURE_SQL).cast("double").alias("temperature"),
+        F.expr(TOP_P_SQL).cast("double").alias("top_p"),
+    )
+    return users.join(params, on="request_id", how="left")
+
+
+def chat_replies(turns: DataFrame) -> DataFrame:
+    """The assistant turn after each user turn is the reply to that turn's request."""
+    return turns.where(clean_role(F.col("role")) == "assistant").select(
+        (F.col("conv_id") * 100 + F.col("turn") - 1).alias("request_id"), F.expr(REPLY_SQL).alias("response")
+    )
+
+
+def event_requests(events: DataFrame) -> DataFrame:
+    """Requests built from events alone (for parameter defaulting)."""
+    return events.select(
+        F.col("event_id").alias("request_id"),
+        F.expr(MAX_NEW_TOKENS_SQL).alias("max_new_tokens"),
+        F.expr(TEMPERATURE_SQL).cast("double").alias("temperature"),
+        F.expr(TOP_P_SQL).cast("double").alias("top_p"),
+        F.expr(SYSTEM_PROMPT_SQL.replace("conv_id", "user_id")).alias("system_prompt"),
+    )

@@ -338,3 +338,111 @@ SELECT
   (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM b) AS counts_before,
   (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM a) AS counts_after,
   CAST(3 AS BIGINT) AS n_notes"""
+
+
+# ---- chat requests ----------------------------------------------------------------------------
+from chatsift.config import ChatConfig  # noqa: E402
+from chatsift.plans.derive import (  # noqa: E402
+    HISTORY_ROLE_SQL,
+    MAX_NEW_TOKENS_SQL,
+    REPLY_SQL,
+    REQUEST_HISTORY_TURNS,
+    REQUEST_MESSAGE_SQL,
+    SYSTEM_PROMPT_SQL,
+    TEMPERATURE_SQL,
+    TOP_P_SQL,
+)
+
+_CHAT = ChatConfig()
+
+
+def requests_sql() -> str:
+    return f"""
+    SELECT r.*, p.max_new_tokens, p.temperature, p.top_p FROM (
+      SELECT conv_id * 100 + turn AS request_id, {REQUEST_MESSAGE_SQL} AS message, history,
+             {SYSTEM_PROMPT_SQL} AS system_prompt
+      FROM (
+        SELECT *, coalesce(list({q.msg('hrole', 'text')}) OVER (PARTITION BY conv_id ORDER BY turn
+               ROWS BETWEEN {REQUEST_HISTORY_TURNS} PRECEDING AND 1 PRECEDING), []) AS history
+        FROM (SELECT *, {HISTORY_ROLE_SQL} AS hrole FROM conversations)
+      ) WHERE {q.clean_role('role')} = 'user'
+    ) r LEFT JOIN (
+      SELECT event_id AS request_id, {MAX_NEW_TOKENS_SQL} AS max_new_tokens,
+             CAST({TEMPERATURE_SQL} AS DOUBLE) AS temperature, CAST({TOP_P_SQL} AS DOUBLE) AS top_p
+      FROM events
+    ) p USING (request_id)"""
+
+
+def violations_sql() -> str:
+    bad_role = "len(list_filter(coalesce(history, []), lambda m: NOT coalesce(m.role IN ('user', 'assistant'), false)))"
+    bad_len = "len(list_filter(coalesce(history, []), lambda m: NOT coalesce(length(m.content) BETWEEN 1 AND 4000, false)))"
+    return f"""concat_ws(',',
+      CASE WHEN NOT coalesce(length(message) BETWEEN 1 AND 4000, false) THEN 'message_length' END,
+      CASE WHEN {bad_role} > 0 THEN 'history_role' END,
+      CASE WHEN {bad_len} > 0 THEN 'history_content_length' END,
+      CASE WHEN NOT (max_new_tokens IS NULL OR max_new_tokens BETWEEN 32 AND 512) THEN 'max_new_tokens_range' END,
+      CASE WHEN NOT (temperature IS NULL OR temperature BETWEEN 0.0 AND 1.5) THEN 'temperature_range' END,
+      CASE WHEN NOT (top_p IS NULL OR top_p BETWEEN 0.1 AND 1.0) THEN 'top_p_range' END)"""
+
+
+def clip_sql(e: str, turns: int) -> str:
+    c = q.clean_list(e, ("user", "assistant"))
+    return f"list_slice({c}, greatest(len({c}) - {2 * turns} + 1, 1), len({c}))"
+
+
+def defaults_cols() -> str:
+    return f"""coalesce(nullif(max_new_tokens, 0), {_CHAT.max_new_tokens}) AS max_new_tokens_eff,
+      coalesce(temperature, {_CHAT.temperature}::DOUBLE) AS temperature_eff,
+      coalesce(top_p, {_CHAT.top_p}::DOUBLE) AS top_p_eff,
+      {q.normalize(f"coalesce(nullif(system_prompt, ''), {q.lit(_CHAT.system_prompt)})")} AS system_prompt_eff,
+      {q.lit(_CHAT.model_reference)} AS model"""
+
+
+def assembled_sql() -> str:
+    return f"""
+    SELECT *, list_concat([{q.msg(q.lit('system'), 'system_prompt_eff')}], {clip_sql('history', _CHAT.max_history_turns)},
+                          [{q.msg(q.lit('user'), q.normalize('message'))}]) AS messages
+    FROM (SELECT *, {defaults_cols()} FROM ({requests_sql()}) WHERE {violations_sql()} = '')"""
+
+
+ORACLES["request_validation"] = f"""
+SELECT request_id, {violations_sql()} = '' AS is_valid, {violations_sql()} AS violations,
+       coalesce(message IS NOT NULL AND message <> '' AND NOT starts_with(message, '/'), false) AS processed
+FROM ({requests_sql()})"""
+
+ORACLES["request_defaults"] = f"""
+SELECT request_id, max_new_tokens_eff, temperature_eff, top_p_eff, system_prompt_eff, model FROM (
+  SELECT event_id AS request_id, {MAX_NEW_TOKENS_SQL} AS max_new_tokens,
+         CAST({TEMPERATURE_SQL} AS DOUBLE) AS temperature, CAST({TOP_P_SQL} AS DOUBLE) AS top_p,
+         {SYSTEM_PROMPT_SQL.replace('conv_id', 'user_id')} AS system_prompt
+  FROM events
+), LATERAL (SELECT {defaults_cols()})"""
+
+ORACLES["request_assembly"] = f"""
+SELECT request_id, CAST(len(messages) AS BIGINT) AS n_messages, {q.render('messages')} AS messages_text
+FROM ({assembled_sql()})"""
+
+ORACLES["render_prompt"] = f"""
+SELECT request_id,
+  array_to_string(list_transform(messages, lambda m: {q.lit(_CHAT.turn_prefix)} || m.role || {q.lit(_CHAT.role_suffix)}
+    || m.content || {q.lit(_CHAT.turn_suffix)}), '') || {q.lit(_CHAT.generation_marker)} AS prompt
+FROM ({assembled_sql()})"""
+
+ORACLES["apply_replies"] = f"""
+WITH v AS (SELECT * FROM ({requests_sql()}) WHERE {violations_sql()} = ''),
+rp AS (SELECT conv_id * 100 + turn - 1 AS request_id, {REPLY_SQL} AS response FROM conversations
+       WHERE {q.clean_role('role')} = 'assistant'),
+u AS (
+  SELECT v.*, rp.response, {q.normalize('rp.response')} AS response_clean,
+    {clip_sql(f"list_concat(coalesce(v.history, []), [{q.msg(q.lit('user'), q.normalize('v.message'))}, {q.msg(q.lit('assistant'), q.normalize('rp.response'))}])", _CHAT.max_history_turns)} AS upd
+  FROM v LEFT JOIN rp USING (request_id)
+),
+s AS (
+  SELECT *, CASE WHEN response IS NULL THEN 'failed'
+                 WHEN len(list_filter(upd, lambda m: length(m.content) > 4000)) > 0 THEN 'rejected'
+                 ELSE 'ok' END AS status FROM u
+)
+SELECT request_id, status, response_clean,
+  {q.render("CASE WHEN status = 'ok' THEN upd ELSE coalesce(history, []) END")} AS history_text,
+  CAST(len(CASE WHEN status = 'ok' THEN upd ELSE coalesce(history, []) END) AS BIGINT) AS n_history
+FROM s"""

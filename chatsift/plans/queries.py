@@ -345,3 +345,52 @@ def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat("source_counts_after_dedup").alias("counts_after"),
         F.size("notes").cast("long").alias("n_notes"),
     )
+
+
+# ---- chat requests ----------------------------------------------------------------------------
+from chatsift.config import ChatConfig  # noqa: E402
+from chatsift.functions.messages import render_messages  # noqa: E402
+from chatsift.operators import requests as rq  # noqa: E402
+from chatsift.plans.derive import chat_replies, chat_requests, event_requests  # noqa: E402
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_requests(read_table(spark, sf_dir, "conversations"), read_table(spark, sf_dir, "events"))
+
+
+def _valid_assembled(spark: SparkSession, sf_dir: str, cfg: ChatConfig = ChatConfig()) -> DataFrame:
+    valid = rq.validate_requests(_requests(spark, sf_dir)).where("is_valid")
+    return rq.assemble_messages(rq.with_defaults(valid, cfg), cfg)
+
+
+@register("request_validation")
+def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = rq.validate_requests(_requests(spark, sf_dir))
+    return v.select("request_id", "is_valid", F.array_join("violations", ",").alias("violations"),
+                    rq.is_text_message("message").alias("processed"))
+
+
+@register("request_defaults")
+def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = rq.with_defaults(event_requests(read_table(spark, sf_dir, "events")))
+    return d.select("request_id", "max_new_tokens_eff", "temperature_eff", "top_p_eff", "system_prompt_eff", "model")
+
+
+@register("request_assembly")
+def request_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _valid_assembled(spark, sf_dir)
+    return a.select("request_id", F.size("messages").cast("long").alias("n_messages"),
+                    render_messages("messages").alias("messages_text"))
+
+
+@register("render_prompt")
+def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rq.render_prompts(_valid_assembled(spark, sf_dir)).select("request_id", "prompt")
+
+
+@register("apply_replies")
+def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = rq.validate_requests(_requests(spark, sf_dir)).where("is_valid")
+    out = rq.apply_replies(valid, chat_replies(read_table(spark, sf_dir, "conversations")))
+    return out.select("request_id", "status", "response_clean", render_messages("new_history").alias("history_text"),
+                      F.size("new_history").cast("long").alias("n_history"))
