@@ -215,3 +215,23 @@ def event_requests(events: DataFrame) -> DataFrame:
         F.expr(TOP_P_SQL).cast("double").alias("top_p"),
         F.expr(SYSTEM_PROMPT_SQL.replace("conv_id", "user_id")).alias("system_prompt"),
     )
+
+
+# ---- chat events derived from the events table -----------------------------------------------
+def chat_events(events: DataFrame) -> DataFrame:
+    """``user_id`` is the chat, ``signup`` a reset; every other event is a user message
+    (``event_type props``) whose call fails for ``error`` events and otherwise gets the reply
+    ``ack <event_id>``. Message seq = 2*event_id, its outcome 2*event_id+1."""
+    msg = F.concat(F.col("event_type"), F.lit(" "), F.col("props"))
+    seq = F.col("event_id") * 2
+    ev = lambda s, kind, text, reply_to: F.struct(
+        s.alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), reply_to.cast("long").alias("reply_to"))
+    null = F.lit(None)
+    arr = (
+        F.when(F.col("event_type") == "signup", F.array(ev(seq, "reset", null, null)))
+        .when(F.col("event_type") == "error", F.array(ev(seq, "message", msg, null), ev(seq + 1, "error", null, seq)))
+        .otherwise(F.array(ev(seq, "message", msg, null),
+                           ev(seq + 1, "reply", F.concat(F.lit("ack "), F.col("event_id").cast("string")), seq)))
+    )
+    return events.select(F.col("user_id").alias("chat_id"), F.explode(arr).alias("e")).select(
+        "e.seq", "chat_id", "e.kind", "e.text", "e.reply_to")

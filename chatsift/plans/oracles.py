@@ -446,3 +446,32 @@ SELECT request_id, status, response_clean,
   {q.render("CASE WHEN status = 'ok' THEN upd ELSE coalesce(history, []) END")} AS history_text,
   CAST(len(CASE WHEN status = 'ok' THEN upd ELSE coalesce(history, []) END) AS BIGINT) AS n_history
 FROM s"""
+
+
+# ---- chat sessions ----------------------------------------------------------------------------
+def session_sql() -> str:
+    msg = q.normalize("event_type || ' ' || props")
+    reply = q.normalize("'ack ' || CAST(event_id AS VARCHAR)")
+    turns = 2 * _CHAT.max_history_turns
+    return f"""
+    WITH e AS (
+      SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS epoch,
+             {msg} AS mtext, {reply} AS rtext
+      FROM events
+    ),
+    c AS (
+      SELECT *, list_filter(coalesce(list(CASE WHEN event_type NOT IN ('signup', 'error')
+                  THEN [{q.msg(q.lit('user'), 'mtext')}, {q.msg(q.lit('assistant'), 'rtext')}] END)
+               OVER (PARTITION BY user_id, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []),
+               lambda x: x IS NOT NULL) AS prior
+      FROM e WHERE event_type <> 'signup'
+    ),
+    h AS (SELECT *, list_slice(flatten(prior), greatest(len(flatten(prior)) - {turns} + 1, 1), len(flatten(prior))) AS hist FROM c)
+    SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id AS BIGINT) AS user_id, mtext AS message,
+           CAST(len(hist) AS BIGINT) AS n_history, {q.render('hist')} AS history_text
+    FROM h"""
+
+
+ORACLES["session_context_batch"] = session_sql()
+ORACLES["session_context_stream"] = session_sql()

@@ -394,3 +394,31 @@ def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rq.apply_replies(valid, chat_replies(read_table(spark, sf_dir, "conversations")))
     return out.select("request_id", "status", "response_clean", render_messages("new_history").alias("history_text"),
                       F.size("new_history").cast("long").alias("n_history"))
+
+
+# ---- chat sessions ----------------------------------------------------------------------------
+from chatsift.plans.derive import chat_events  # noqa: E402
+from chatsift.streaming import sessions as ss  # noqa: E402
+
+
+def _session_view(df: DataFrame) -> DataFrame:
+    return df.select(
+        (F.col("seq") / 2).cast("long").alias("event_id"), F.col("chat_id").alias("user_id"), "message",
+        F.size("history").cast("long").alias("n_history"), render_messages("history").alias("history_text"))
+
+
+@register("session_context_batch")
+def session_context_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_view(ss.session_requests_batch(chat_events(read_table(spark, sf_dir, "events"))))
+
+
+@register("session_context_stream")
+def session_context_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests from the stateful stream: events are written as a file source, processed
+    with ``availableNow`` into a parquet sink, and the sink is read back."""
+    src = scratch_path(spark, "chat-events")
+    chat_events(read_table(spark, sf_dir, "events")).write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(ss.EVENT_SCHEMA).parquet(src)
+    out = scratch_path(spark, "session-out")
+    ss.run_available(stream, out, scratch_path(spark, "session-ckpt"))
+    return _session_view(spark.read.parquet(out))
