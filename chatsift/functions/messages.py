@@ -82,17 +82,18 @@ def with_example(df, prompt: Column, completion: Column, source: Column | str,
                  min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, keep: tuple[str, ...] = ()):
     """Build examples from raw prompt/completion arrays: clean both, drop rows that fail validation.
 
-    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. Cleaning is projected once
-    in its own ``select`` so the normalisation is not recomputed per reference.
+    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. The cleaned candidate is
+    built once, filtered inside a one-element array and unpacked with ``inline``: a plain
+    ``where`` on top of the cleaning projection would be pushed below it by the optimizer and
+    re-evaluate the whole cleaning inside the filter condition.
     """
     src = F.lit(source) if isinstance(source, str) else source
-    staged = df.select(
-        *keep,
+    candidate = F.struct(
         clean_messages(prompt, ROLES_PROMPT).alias("prompt"),
         clean_messages(completion, ("assistant",)).alias("completion"),
-        src.alias("source"),
     )
-    return staged.where(example_is_valid("prompt", "completion", min_chars, max_chars))
+    valid = F.filter(F.array(candidate), lambda e: example_is_valid(e["prompt"], e["completion"], min_chars, max_chars))
+    return df.select(*keep, F.inline(valid), src.alias("source"))
 
 
 def example_signature(prompt: Column | str = "prompt", completion: Column | str = "completion") -> Column:

@@ -139,10 +139,13 @@ def conversation_examples(
     plus the last ``k`` retained turns (``k == 0``: all of them). Rejected examples still count as
     history. Output: ``key, seq, prompt, completion, source``.
     """
-    staged = turns.select(
-        key, seq, clean_role(F.col(role)).alias("role"), normalize_text(F.col(text)).alias("content")
+    # cleaned once and filtered inside an array (a plain where would be pushed below the
+    # projection and normalise every text twice)
+    cleaned = F.filter(
+        F.array(message(clean_role(F.col(role)), normalize_text(F.col(text)))),
+        lambda m: m["role"].isin("user", "assistant") & (m["content"] != F.lit("")),
     )
-    retained = staged.where(F.col("role").isin("user", "assistant") & (F.col("content") != F.lit("")))
+    retained = turns.select(key, seq, F.inline(cleaned))
     hot = hot_keys(turns.select(key), [key], skew) if k > 0 else HotKeys()
     with_ctx = trailing_context(
         retained, keys=[key], seq=seq, item=message(F.col("role"), F.col("content")), k=k, hot=hot,

@@ -35,18 +35,22 @@ def priority_union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def keep_first(df: DataFrame, signature: Column, order: Column | str = ORDER) -> DataFrame:
+def keep_first(df: DataFrame, signature: Column | str, order: Column | str = ORDER) -> DataFrame:
     """One row per signature: the row with the smallest order key, whole.
 
     Expressed as ``min_by`` in a grouped aggregate, so every map task first reduces its rows per
     signature (partial aggregation) and only one candidate per signature and task is shuffled;
     a signature shared by a large part of the data therefore never lands in one task. Grouping is
-    by the full signature string, so a hash collision can never merge two different rows.
+    by the full signature string, so a hash collision can never merge two different rows. When
+    ``signature`` names a column it is carried only as the grouping key, not again in the payload.
     """
     cols = df.columns
     order_c = F.col(order) if isinstance(order, str) else order
-    return (
-        df.groupBy(signature.alias("_sig"))
-        .agg(F.min_by(F.struct(*cols), order_c).alias("_row"))
-        .select(*[F.col("_row")[c].alias(c) for c in cols])
-    )
+    if isinstance(signature, str):
+        payload = [c for c in cols if c != signature]
+        grouped = df.groupBy(F.col(signature).alias("_sig"))
+    else:
+        payload = cols
+        grouped = df.groupBy(signature.alias("_sig"))
+    kept = grouped.agg(F.min_by(F.struct(*payload), order_c).alias("_row"))
+    return kept.select(*[F.col("_sig").alias(c) if c not in payload else F.col("_row")[c].alias(c) for c in cols])

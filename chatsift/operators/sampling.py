@@ -8,6 +8,7 @@ small enough to rank exactly. The result is a threshold, and the sample/split is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,7 @@ class Threshold:
     everything: bool = False
     nothing: bool = False
     total: int = 0
+    n: int = 0
 
     def predicate(self, key: Column, row_key: Column) -> Column:
         if self.everything:
@@ -42,25 +44,30 @@ class Threshold:
         return (key < F.lit(self.key)) | ((key == F.lit(self.key)) & (rk <= F.lit(self.tie)))
 
 
-def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int) -> Threshold:
-    """Threshold of the first ``n`` rows of ``df`` in ``(key, row_key)`` order (keys are hex md5)."""
-    if n <= 0:
+def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int | Callable[[int], int]) -> Threshold:
+    """Threshold of the first ``n`` rows of ``df`` in ``(key, row_key)`` order (keys are hex md5).
+
+    ``n`` may be a function of the row count, which then comes from the first bucket level (no
+    separate count job)."""
+    if isinstance(n, int) and n <= 0:
         return Threshold(nothing=True)
     base = df.select(key.alias("_k"), row_key.cast("string").alias("_rk"))
     prefix = ""
-    remaining = n
     total = None
-    level = 0
     while True:
         plen = len(prefix) + PREFIX_STEP
         scope = base.where(F.col("_k").startswith(prefix)) if prefix else base
         counts = scope.groupBy(F.substring("_k", 1, plen).alias("b")).count().collect()
         counts.sort(key=lambda r: r["b"])
-        level_total = sum(r["count"] for r in counts)
         if total is None:
-            total = level_total
+            total = sum(r["count"] for r in counts)
+            if callable(n):
+                n = n(total)
+            if n <= 0:
+                return Threshold(nothing=True, total=total, n=0)
             if n >= total:
-                return Threshold(everything=True, total=total)
+                return Threshold(everything=True, total=total, n=total)
+            remaining = n
         running = 0
         for r in counts:
             if running + r["count"] >= remaining:
@@ -69,7 +76,6 @@ def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int) -> Th
             running += r["count"]
         remaining -= running
         prefix = bucket
-        level += 1
         if bucket_rows <= EXACT_LIMIT or plen >= 32:
             edge = (
                 base.where(F.col("_k").startswith(prefix))
@@ -78,7 +84,7 @@ def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int) -> Th
                 .collect()
             )
             last = edge[-1]
-            return Threshold(key=last["_k"], tie=last["_rk"], total=total)
+            return Threshold(key=last["_k"], tie=last["_rk"], total=total, n=n)
 
 
 def validation_size(n: int, ratio: float) -> int:
@@ -103,14 +109,12 @@ def sample_exact(df: DataFrame, n: int, seed: int, row_key: Column | str) -> Dat
 def exact_split(df: DataFrame, seed: int, ratio: float, row_key: Column | str,
                 split_col: str = "split") -> tuple[DataFrame, int, int]:
     """Label each row ``validation`` (the first v rows in seeded order) or ``train``.
-    Returns (labelled frame, n, v). ``row_key`` must be unique per row."""
+    Returns (labelled frame, n, v). ``row_key`` must be unique per row; fewer than 2 rows raise."""
     rk = F.col(row_key) if isinstance(row_key, str) else row_key
     key = order_key(seed, rk)
-    n = df.count()
-    v = validation_size(n, ratio)
-    t = first_n_threshold(df, key, rk, v)
+    t = first_n_threshold(df, key, rk, lambda total: validation_size(total, ratio))
     labelled = df.withColumn(split_col, F.when(t.predicate(key, rk), F.lit("validation")).otherwise(F.lit("train")))
-    return labelled, n, v
+    return labelled, t.total, t.n
 
 
 def sample_exact_groups(df: DataFrame, n: int, seed: int, group_key: str) -> DataFrame:

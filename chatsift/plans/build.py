@@ -4,8 +4,9 @@ seeded exact split -> JSONL splits + report.
 Shuffles of the full data: the per-conversation exchange of the multi-turn generator, the
 signature aggregation of the dedup (partially aggregated map-side) and, when the output is
 shuffled, one hash repartition before writing. Counts and thresholds are small aggregate jobs.
-The deduplicated set is checkpointed to the shared checkpoint folder, so the split passes and
-the writers re-read it instead of recomputing the lineage after a lost executor.
+The source union and the deduplicated set are written as tables in the shared checkpoint folder:
+each is computed once, the counts, split passes and writers re-read them, and a lost executor
+re-reads a table instead of recomputing the lineage.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from chatsift.functions.messages import EXAMPLE, example_signature
 from chatsift.operators.context import array_examples, conversation_examples
 from chatsift.operators.dedup import ORDER, keep_first, ordered
 from chatsift.operators.sampling import exact_split, order_key, sample_exact, sample_exact_groups
-from chatsift.session import ensure_checkpoint_dir
+from chatsift.session import ensure_checkpoint_dir, materialize
 from chatsift.sinks.jsonl import write_jsonl
 from chatsift.sinks.report import counts_by_source, report_frame, write_report
 from chatsift.sources import files
@@ -152,9 +153,10 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
 def build_dataset(spark: SparkSession, cfg: BuildConfig, src: Sources, *, write: bool = True) -> BuildResult:
     ensure_checkpoint_dir(spark)
     union, files_report = build_examples(spark, cfg, src)
-    union = union.withColumn("signature", example_signature())
+    # both the per-source counts and the dedup read the union: write it once
+    union = materialize(union.withColumn("signature", example_signature()), "build-union")
     counts_before = counts_by_source(union)
-    deduped = keep_first(union, F.col("signature")).checkpoint()
+    deduped = materialize(keep_first(union, "signature"), "build-deduped")
     labelled, n, v = exact_split(deduped, cfg.seed, cfg.validation_ratio, "signature")
     counts_after = counts_by_source(deduped)
     train = labelled.where(F.col("split") == "train")

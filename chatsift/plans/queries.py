@@ -73,6 +73,7 @@ from chatsift.operators.dedup import keep_first, ordered, priority_union  # noqa
 from chatsift.operators.sampling import exact_split, sample_exact  # noqa: E402
 from chatsift.operators.skew import hot_keys  # noqa: E402
 from chatsift.plans.derive import adjacent_pairs, dirty_documents, dirty_turns, translation_pairs  # noqa: E402
+from chatsift.session import materialize  # noqa: E402
 from chatsift.sources.tables import instruction_examples, pair_examples  # noqa: E402
 
 PAIR_SOURCE = "conversations:pairs"
@@ -113,7 +114,7 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     union = union_sources(spark, sf_dir)
-    return keep_first(union.withColumn("signature", example_signature()), F.col("signature"))
+    return keep_first(union.withColumn("signature", example_signature()), "signature")
 
 
 @register("examples_single_turn")
@@ -184,7 +185,7 @@ def dedup_keep_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sig = F.lower(normalize_text(F.col("text")))
     staged = docs.select("doc_id", "lang", "source", "n_chars", sig.alias("sig"))
-    return keep_first(staged, F.col("sig"), F.col("doc_id")).drop("sig")
+    return keep_first(staged, "sig", F.col("doc_id")).drop("sig")
 
 
 @register("dedup_across_sources")
@@ -195,9 +196,9 @@ def dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("source_counts")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    union = union_sources(spark, sf_dir)
+    union = materialize(union_sources(spark, sf_dir), "source-union")
     before = union.groupBy("source").agg(F.count(F.lit(1)).alias("n_before"))
-    kept = keep_first(union.withColumn("signature", example_signature()), F.col("signature"))
+    kept = keep_first(union.withColumn("signature", example_signature()), "signature")
     after = kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_after"))
     return before.join(after, "source", "left").select(
         "source", "n_before", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
@@ -211,14 +212,14 @@ def sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("split_assignment")
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_keep_first_documents(spark, sf_dir).select("doc_id").checkpoint()
+    kept = materialize(dedup_keep_first_documents(spark, sf_dir).select("doc_id"), "split-docs")
     labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "doc_id")
     return labelled
 
 
 @register("split_sizes")
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = deduped_sources(spark, sf_dir).select("signature", "source").checkpoint()
+    kept = materialize(deduped_sources(spark, sf_dir).select("signature", "source"), "split-examples")
     labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "signature")
     return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 

@@ -54,3 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/chatsift-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` (a lost executor re-reads the table instead of
+    recomputing the plan), but computes the plan once: a reliable ``checkpoint()`` of an uncached
+    plan runs it a second time to write the checkpoint files.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -128,7 +128,7 @@ def test_keep_first_by_source_order(spark):
             (3, [m("user", "a")], [m("assistant", "b||c")], "y", 3)]
     df = spark.createDataFrame(rows, f"id int, prompt {MSG}, completion {MSG}, source string, rank int")
     df = ordered(df, 0, pos="rank").withColumn("signature", example_signature())
-    kept = sorted(r.source for r in keep_first(df, F.col("signature")).collect())
+    kept = sorted(r.source for r in keep_first(df, "signature").collect())
     assert kept == ["early", "x"]
 
 
