@@ -13,6 +13,12 @@ from chatsift.config import MAX_CHARS, MIN_CHARS, SIGNATURE_SEPARATOR
 # ---- fixed values ---------------------------------------------------------------------
 # The 29 characters Python's str.strip() removes, as a Java regex character class.
 PY_WHITESPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The same 29 characters as a plain string (for btrim).
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # Characters rewritten before line splitting: zero-width space and curly quotes.
 TRANSLATE_FROM = "\u200b\u2018\u2019\u201c\u201d"
 TRANSLATE_TO = " ''\"\""
@@ -21,7 +27,7 @@ TRANSLATE_TO = " ''\"\""
 _STRIP_RE = rf"\A{PY_WHITESPACE_CLASS}+|{PY_WHITESPACE_CLASS}+\z"
 # Python whitespace without LF (for the inside of a line)
 _WS_NO_LF = r"[\t\x0b-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_LINE_BREAK_RUN = rf"{_WS_NO_LF}*\n{PY_WHITESPACE_CLASS}*"
+_LINE_BREAK_RUN = rf"{_WS_NO_LF}*+\n{PY_WHITESPACE_CLASS}*+"
 
 
 def _col(c: Column | str) -> Column:
@@ -29,8 +35,9 @@ def _col(c: Column | str) -> Column:
 
 
 def py_strip(c: Column | str) -> Column:
-    """Strip exactly the characters Python's ``str.strip()`` strips (Spark ``trim`` only strips U+0020)."""
-    return F.regexp_replace(_col(c), _STRIP_RE, "")
+    """Strip exactly the characters Python's ``str.strip()`` strips (plain ``trim`` only strips
+    U+0020). ``btrim`` with the explicit character set only touches the two ends of the string."""
+    return F.btrim(_col(c), F.lit(PY_WHITESPACE_CHARS))
 
 
 def normalize_text(c: Column | str) -> Column:
