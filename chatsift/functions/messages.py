@@ -63,37 +63,53 @@ def first_content(arr: Column | str) -> Column:
     return F.try_element_at(_col(arr), F.lit(1))["content"]
 
 
-def example_is_valid(prompt: Column | str, completion: Column | str,
-                     min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
-    """Checks on cleaned arrays: both non-empty, a user message exists, and the last user message and
-    the first completion pass the length gate. Never null."""
+def prompt_is_valid(prompt: Column | str, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
+    """Prompt half of the checks on a cleaned array: non-empty, has a user message, and the last
+    user message passes the length gate. Never null."""
     last_user = last_user_content(prompt)
     return F.coalesce(
-        (F.size(_col(prompt)) > 0)
-        & (F.size(_col(completion)) > 0)
-        & last_user.isNotNull()
-        & is_valid_length(last_user, min_chars, max_chars)
-        & is_valid_length(first_content(completion), min_chars, max_chars),
+        (F.size(_col(prompt)) > 0) & last_user.isNotNull() & is_valid_length(last_user, min_chars, max_chars),
+        F.lit(False),
+    )
+
+
+def completion_is_valid(completion: Column | str, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
+    """Completion half: non-empty and the first message passes the length gate. Never null."""
+    return F.coalesce(
+        (F.size(_col(completion)) > 0) & is_valid_length(first_content(completion), min_chars, max_chars),
         F.lit(False),
     )
 
 
+def example_is_valid(prompt: Column | str, completion: Column | str,
+                     min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
+    """Checks on cleaned arrays: both non-empty, a user message exists, and the last user message and
+    the first completion pass the length gate. Never null."""
+    return prompt_is_valid(prompt, min_chars, max_chars) & completion_is_valid(completion, min_chars, max_chars)
+
+
 def with_example(df, prompt: Column, completion: Column, source: Column | str,
                  min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, keep: tuple[str, ...] = ()):
     """Build examples from raw prompt/completion arrays: clean both, drop rows that fail validation.
 
-    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. The cleaned candidate is
-    built once, filtered inside a one-element array and unpacked with ``inline``: a plain
-    ``where`` on top of the cleaning projection would be pushed below it by the optimizer and
-    re-evaluate the whole cleaning inside the filter condition.
+    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. The candidate is carried
+    in a one-element array through two filter stages and unpacked with ``inline``: the prompt is
+    cleaned and checked first, and the completion is cleaned only for rows whose prompt passed.
+    (A plain ``where`` on top of a cleaning projection would be pushed below it by the optimizer
+    and re-evaluate the cleaning inside the filter condition.)
     """
     src = F.lit(source) if isinstance(source, str) else source
-    candidate = F.struct(
-        clean_messages(prompt, ROLES_PROMPT).alias("prompt"),
-        clean_messages(completion, ("assistant",)).alias("completion"),
+    raw = F.array(F.struct(prompt.alias("p"), completion.alias("c")))
+    stage1 = F.filter(
+        F.transform(raw, lambda e: F.struct(clean_messages(e["p"], ROLES_PROMPT).alias("prompt"), e["c"].alias("c"))),
+        lambda e: prompt_is_valid(e["prompt"], min_chars, max_chars),
+    )
+    stage2 = F.filter(
+        F.transform(stage1, lambda e: F.struct(e["prompt"].alias("prompt"),
+                                               clean_messages(e["c"], ("assistant",)).alias("completion"))),
+        lambda e: completion_is_valid(e["completion"], min_chars, max_chars),
     )
-    valid = F.filter(F.array(candidate), lambda e: example_is_valid(e["prompt"], e["completion"], min_chars, max_chars))
-    return df.select(*keep, F.inline(valid), src.alias("source"))
+    return df.select(*keep, F.inline(stage2), src.alias("source"))
 
 
 def example_signature(prompt: Column | str = "prompt", completion: Column | str = "completion") -> Column:
