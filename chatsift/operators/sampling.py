@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX_STEP = 4  # hex digits per level: 65,536 buckets
@@ -47,43 +47,55 @@ class Threshold:
 def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int | Callable[[int], int]) -> Threshold:
     """Threshold of the first ``n`` rows of ``df`` in ``(key, row_key)`` order (keys are hex md5).
 
-    ``n`` may be a function of the row count, which then comes from the first bucket level (no
-    separate count job)."""
+    Per level: a grouped count by key prefix (partial aggregation; at most 65,536 groups), then a
+    running sum over those groups (one small partition) to find the bucket holding the n-th row;
+    only that bucket's row reaches the driver. ``n`` may be a function of the row count, which
+    then comes from the first level (no separate count job)."""
     if isinstance(n, int) and n <= 0:
         return Threshold(nothing=True)
     base = df.select(key.alias("_k"), row_key.cast("string").alias("_rk"))
     prefix = ""
     total = None
+    remaining = n
     while True:
         plen = len(prefix) + PREFIX_STEP
         scope = base.where(F.col("_k").startswith(prefix)) if prefix else base
-        counts = scope.groupBy(F.substring("_k", 1, plen).alias("b")).count().collect()
-        counts.sort(key=lambda r: r["b"])
-        if total is None:
-            total = sum(r["count"] for r in counts)
-            if callable(n):
+        counts = scope.groupBy(F.substring("_k", 1, plen).alias("b")).count()
+        running = counts.select(
+            "b", "count",
+            F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
+        )
+        if total is None and callable(n):
+            # the size depends on the row count: total first (the small bucket table is cached)
+            running = running.cache()
+            try:
+                total = running.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
                 n = n(total)
-            if n <= 0:
-                return Threshold(nothing=True, total=total, n=0)
-            if n >= total:
-                return Threshold(everything=True, total=total, n=total)
-            remaining = n
-        running = 0
-        for r in counts:
-            if running + r["count"] >= remaining:
-                bucket, bucket_rows = r["b"], r["count"]
-                break
-            running += r["count"]
-        remaining -= running
+                if n <= 0:
+                    return Threshold(nothing=True, total=total, n=0)
+                if n >= total:
+                    return Threshold(everything=True, total=total, n=total)
+                remaining = n
+                edge = running.where(F.col("cum") >= remaining).orderBy("b").first()
+            finally:
+                running.unpersist()
+        else:
+            edge = running.where(F.col("cum") >= remaining).orderBy("b").first()
+            if edge is None:  # fewer than n rows in total: all of them
+                return Threshold(everything=True, n=n)
+        if total is None:
+            total = -1  # not needed for a fixed n
+        bucket, bucket_rows = edge["b"], edge["count"]
+        remaining -= edge["cum"] - bucket_rows
         prefix = bucket
         if bucket_rows <= EXACT_LIMIT or plen >= 32:
-            edge = (
+            rows = (
                 base.where(F.col("_k").startswith(prefix))
                 .orderBy("_k", "_rk")
                 .limit(remaining)
                 .collect()
             )
-            last = edge[-1]
+            last = rows[-1]
             return Threshold(key=last["_k"], tie=last["_rk"], total=total, n=n)
 
 

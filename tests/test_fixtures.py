@@ -223,3 +223,12 @@ def test_stream_state_across_micro_batches(spark, tmp_path):
     b3 = [(6, 5, "message", "fresh", None)]
     got = _stream_run(spark, tmp_path, [b1, b2, b3])
     assert got == {(5, 1): [], (5, 3): ["hello", "hi!"], (5, 6): []}
+
+
+def test_stream_start_from_now(spark):
+    import datetime as dt
+
+    rows = [(1, 1, "message", "old", None, dt.datetime(2024, 1, 1)), (2, 1, "message", "new", None, dt.datetime(2024, 6, 1))]
+    df = spark.createDataFrame(rows, ss.EVENT_SCHEMA + ", ts timestamp")
+    kept = ss.drop_backlog(df, "ts", dt.datetime(2024, 3, 1)).collect()
+    assert [r.text for r in kept] == ["new"]
