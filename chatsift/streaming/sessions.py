@@ -91,6 +91,13 @@ def prepare_events(events: DataFrame) -> DataFrame:
 
 def session_requests(events: DataFrame, max_turns: int = CHAT_MAX_HISTORY_TURNS) -> DataFrame:
     """Streaming (or batch) events -> one request row per message: ``seq, chat_id, message, history``."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    # ship the processor by value: the driver-side runner and the executor workers then need no
+    # installed copy of this package
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     prepared = prepare_events(events)
