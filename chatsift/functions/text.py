@@ -36,6 +36,16 @@ def py_strip(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(PY_WHITESPACE_CHARS))
 
 
+def _lines_stripped(s: Column) -> Column:
+    """Split on LF, strip every line (Python whitespace), drop empty lines, join by LF."""
+    lines = F.transform(F.split(s, "\n", -1), lambda line: F.btrim(line, F.lit(_WS_NO_LF_CHARS)))
+    return F.array_join(F.filter(lines, lambda line: line != F.lit("")), "\n")
+
+
+def _collapse_spaces(s: Column) -> Column:
+    return F.regexp_replace(s, " {2,}", " ")
+
+
 def normalize_text(c: Column | str) -> Column:
     """Canonical message text.
 
@@ -44,17 +54,27 @@ def normalize_text(c: Column | str) -> Column:
     by LF. (The original's "3+ newlines -> 2" step can never fire once empty lines are gone, and
     its final strip is a no-op after per-line stripping.)
 
-    Built for speed on long texts: character mapping with byte-level ``replace``, one regex
-    pass for space runs, then Java's single-character split, ``btrim`` per line (touches only the
-    line ends), a filter and a join.
+    Evaluation is chosen per row by cheap byte-level ``contains`` checks, so clean text pays for
+    no regex and no split: texts with CR, tab, U+200B or curly quotes take the full path; other
+    multi-line texts only collapse double spaces (if any) and strip lines; single-line texts only
+    collapse double spaces (if any) and strip the ends. Each branch holds its work once; only the
+    cheap input expression repeats.
     """
     s = F.coalesce(_col(c).cast("string"), F.lit(""))
-    s = F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    needs_mapping = s.contains("\r") | s.contains("\t")
+    for ch in TRANSLATE_FROM:
+        needs_mapping = needs_mapping | s.contains(ch)
+    mapped = F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     for src, dst in zip(TRANSLATE_FROM, TRANSLATE_TO):
-        s = F.replace(s, F.lit(src), F.lit(dst))
-    s = F.regexp_replace(F.replace(s, F.lit("\t"), F.lit(" ")), " {2,}", " ")
-    lines = F.transform(F.split(s, "\n", -1), lambda line: F.btrim(line, F.lit(_WS_NO_LF_CHARS)))
-    return F.array_join(F.filter(lines, lambda line: line != F.lit("")), "\n")
+        mapped = F.replace(mapped, F.lit(src), F.lit(dst))
+    mapped = F.replace(mapped, F.lit("\t"), F.lit(" "))
+    has_double_space = s.contains("  ")
+    return (
+        F.when(needs_mapping, _lines_stripped(_collapse_spaces(mapped)))
+        .when(s.contains("\n"), _lines_stripped(F.when(has_double_space, _collapse_spaces(s)).otherwise(s)))
+        .when(has_double_space, F.btrim(_collapse_spaces(s), F.lit(_WS_NO_LF_CHARS)))
+        .otherwise(F.btrim(s, F.lit(_WS_NO_LF_CHARS)))
+    )
 
 
 def clean_role(c: Column | str) -> Column:
