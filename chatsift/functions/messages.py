@@ -89,19 +89,28 @@ def example_is_valid(prompt: Column | str, completion: Column | str,
 
 
 def with_example(df, prompt: Column, completion: Column, source: Column | str,
-                 min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, keep: tuple[str, ...] = ()):
+                 min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, keep: tuple[str, ...] = (),
+                 system_prompt: str | None = None):
     """Build examples from raw prompt/completion arrays: clean both, drop rows that fail validation.
 
-    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. The candidate is carried
+    Returns ``keep`` columns plus ``prompt``, ``completion``, ``source``. ``system_prompt`` (a
+    constant) is normalised once and prepended to the cleaned prompt, which equals cleaning
+    ``[system] + prompt`` row by row. The candidate is carried
     in a one-element array through two filter stages and unpacked with ``inline``: the prompt is
     cleaned and checked first, and the completion is cleaned only for rows whose prompt passed.
     (A plain ``where`` on top of a cleaning projection would be pushed below it by the optimizer
     and re-evaluate the cleaning inside the filter condition.)
     """
     src = F.lit(source) if isinstance(source, str) else source
+    prefix = constant_system(df.sparkSession, system_prompt) if system_prompt is not None else None
     raw = F.array(F.struct(prompt.alias("p"), completion.alias("c")))
+
+    def cleaned_prompt(p):
+        c = clean_messages(p, ROLES_PROMPT)
+        return F.concat(prefix, c) if prefix is not None else c
+
     stage1 = F.filter(
-        F.transform(raw, lambda e: F.struct(clean_messages(e["p"], ROLES_PROMPT).alias("prompt"), e["c"].alias("c"))),
+        F.transform(raw, lambda e: F.struct(cleaned_prompt(e["p"]).alias("prompt"), e["c"].alias("c"))),
         lambda e: prompt_is_valid(e["prompt"], min_chars, max_chars),
     )
     stage2 = F.filter(
@@ -112,6 +121,16 @@ def with_example(df, prompt: Column, completion: Column, source: Column | str,
     return df.select(*keep, F.inline(stage2), src.alias("source"))
 
 
+def constant_system(spark, system_prompt: str) -> Column:
+    """``[system]`` with the prompt normalised once on the driver, or ``[]`` when it is empty."""
+    from chatsift.functions.text import normalized_literal
+
+    content = normalized_literal(spark, system_prompt)
+    if not content:
+        return empty_messages()
+    return F.array(message(F.lit("system"), F.lit(content)))
+
+
 def example_signature(prompt: Column | str = "prompt", completion: Column | str = "completion") -> Column:
     return dedupe_signature(last_user_content(prompt), first_content(completion))
 

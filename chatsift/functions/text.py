@@ -99,3 +99,14 @@ def dedupe_signature(last_user: Column | str, first_completion: Column | str) ->
         F.lit(SIGNATURE_SEPARATOR),
         F.lower(F.coalesce(_col(first_completion), F.lit(""))),
     )
+
+
+_LITERAL_CACHE: dict[str, str] = {}
+
+
+def normalized_literal(spark, text: str) -> str:
+    """``normalize_text`` of a constant, evaluated once with Spark (the same function as for
+    columns) and cached, so constant prompts are not re-normalised for every row."""
+    if text not in _LITERAL_CACHE:
+        _LITERAL_CACHE[text] = spark.range(1).select(normalize_text(F.lit(text))).first()[0]
+    return _LITERAL_CACHE[text]

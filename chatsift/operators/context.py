@@ -162,14 +162,19 @@ def conversation_examples(
     return with_ctx.where(F.coalesce(ok, F.lit(False))).select(
         key,
         seq,
-        F.concat(system_messages(system_prompt), F.col("ctx")).alias("prompt"),
+        F.concat(system_messages(system_prompt, turns.sparkSession), F.col("ctx")).alias("prompt"),
         F.array(message(F.col("role"), F.col("content"))).alias("completion"),
         src.alias("source"),
     )
 
 
-def system_messages(system_prompt: str | Column) -> Column:
-    """``[system]`` with the normalised prompt, or ``[]`` when it normalises to empty."""
+def system_messages(system_prompt: str | Column, spark=None) -> Column:
+    """``[system]`` with the normalised prompt, or ``[]`` when it normalises to empty. A constant
+    prompt is normalised once (needs ``spark``); a column is normalised per row."""
+    if isinstance(system_prompt, str) and spark is not None:
+        from chatsift.functions.messages import constant_system
+
+        return constant_system(spark, system_prompt)
     sp = F.lit(system_prompt) if isinstance(system_prompt, str) else system_prompt
     return F.filter(F.array(message(F.lit("system"), normalize_text(sp))), lambda m: m["content"] != F.lit(""))
 
@@ -218,7 +223,7 @@ def array_examples(
     return exploded.where(ok).select(
         *keep,
         "reply_pos",
-        F.concat(system_messages(system_prompt), ctx).alias("prompt"),
+        F.concat(system_messages(system_prompt, df.sparkSession), ctx).alias("prompt"),
         F.array(reply).alias("completion"),
         "source",
     )

@@ -41,16 +41,15 @@ def keep_first(df: DataFrame, signature: Column | str, order: Column | str = ORD
     Expressed as ``min_by`` in a grouped aggregate, so every map task first reduces its rows per
     signature (partial aggregation) and only one candidate per signature and task is shuffled;
     a signature shared by a large part of the data therefore never lands in one task. Grouping is
-    by the full signature string, so a hash collision can never merge two different rows. When
+    by (64-bit hash, full signature string), so a hash collision can never merge two rows. When
     ``signature`` names a column it is carried only as the grouping key, not again in the payload.
     """
     cols = df.columns
     order_c = F.col(order) if isinstance(order, str) else order
-    if isinstance(signature, str):
-        payload = [c for c in cols if c != signature]
-        grouped = df.groupBy(F.col(signature).alias("_sig"))
-    else:
-        payload = cols
-        grouped = df.groupBy(signature.alias("_sig"))
+    sig = F.col(signature) if isinstance(signature, str) else signature
+    payload = [c for c in cols if c != signature] if isinstance(signature, str) else cols
+    # the 8-byte hash leads the grouping key so the sort-based aggregation mostly compares hashes;
+    # the full signature stays in the key, so equal hashes of different signatures never merge
+    grouped = df.groupBy(F.xxhash64(sig).alias("_h"), sig.alias("_sig"))
     kept = grouped.agg(F.min_by(F.struct(*payload), order_c).alias("_row"))
     return kept.select(*[F.col("_sig").alias(c) if c not in payload else F.col("_row")[c].alias(c) for c in cols])

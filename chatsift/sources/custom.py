@@ -99,12 +99,11 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
     io = parse_shape("value", "input_output")
     ua = parse_shape("value", "user_assistant")
     ms = parse_shape("value", "messages")
-    sys_msgs = system_messages(system_prompt)
+    sys_msgs = system_messages(system_prompt, lines.sparkSession)
 
     def pair(user: Column, assistant: Column) -> Column:
         return F.struct(
-            clean_messages(F.concat(F.array(message(F.lit("system"), F.lit(system_prompt))),
-                                    F.array(message(F.lit("user"), user)))).alias("prompt"),
+            F.concat(sys_msgs, clean_messages(F.array(message(F.lit("user"), user)))).alias("prompt"),
             clean_messages(F.array(message(F.lit("assistant"), assistant)), ("assistant",)).alias("completion"),
         )
 

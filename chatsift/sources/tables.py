@@ -20,9 +20,9 @@ def pair_examples(df: DataFrame, user: Column | str, assistant: Column | str, *,
                   source: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Pair rows -> examples: prompt ``[system, user]``, completion ``[assistant]``, then clean and
     validate. Used for input/output pairs, turn pairs and the JSONL pair shapes."""
-    prompt = F.array(message(F.lit("system"), F.lit(system_prompt)), message(F.lit("user"), _c(user).cast("string")))
+    prompt = F.array(message(F.lit("user"), _c(user).cast("string")))
     completion = F.array(message(F.lit("assistant"), _c(assistant).cast("string")))
-    return with_example(df, prompt, completion, source, keep=keep)
+    return with_example(df, prompt, completion, source, keep=keep, system_prompt=system_prompt)
 
 
 def instruction_examples(df: DataFrame, text: Column | str, target: Column | str, *, instruction: str,
