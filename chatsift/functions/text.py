@@ -22,6 +22,9 @@ TRANSLATE_FROM = "\u200b\u2018\u2019\u201c\u201d"
 TRANSLATE_TO = " ''\"\""
 # ----------------------------------------------------------------------------------------
 
+# UTF-8 lead bytes shared by every character of TRANSLATE_FROM
+_MAPPED_PREFIX = bytes([0xE2, 0x80])
+assert all(ch.encode("utf-8").startswith(_MAPPED_PREFIX) for ch in TRANSLATE_FROM)
 # Python whitespace without LF: what stripping a single line removes
 _WS_NO_LF_CHARS = PY_WHITESPACE_CHARS.replace("\n", "")
 
@@ -54,16 +57,19 @@ def normalize_text(c: Column | str) -> Column:
     by LF. (The original's "3+ newlines -> 2" step can never fire once empty lines are gone, and
     its final strip is a no-op after per-line stripping.)
 
-    Evaluation is chosen per row by cheap byte-level ``contains`` checks, so clean text pays for
+    Evaluation is chosen per row by cheap byte-level checks, so clean text pays for
     no regex and no split: texts with CR, tab, U+200B or curly quotes take the full path; other
     multi-line texts only collapse double spaces (if any) and strip lines; single-line texts only
     collapse double spaces (if any) and strip the ends. Each branch holds its work once; only the
     cheap input expression repeats.
     """
     s = F.coalesce(_col(c).cast("string"), F.lit(""))
-    needs_mapping = s.contains("\r") | s.contains("\t")
-    for ch in TRANSLATE_FROM:
-        needs_mapping = needs_mapping | s.contains(ch)
+    # U+200B and the four curly quotes all start with the UTF-8 bytes E2 80 (block U+2000-U+203F):
+    # one byte search finds any of them; other characters of that block only send the row down
+    # the exact full path.
+    needs_mapping = (
+        s.contains("\r") | s.contains("\t") | F.contains(s.cast("binary"), F.lit(_MAPPED_PREFIX))
+    )
     mapped = F.replace(F.replace(s, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     for src, dst in zip(TRANSLATE_FROM, TRANSLATE_TO):
         mapped = F.replace(mapped, F.lit(src), F.lit(dst))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.functions.messages import message, with_example
+from chatsift.functions.messages import message
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,29 @@ def _c(c: Column | str) -> Column:
 
 def pair_examples(df: DataFrame, user: Column | str, assistant: Column | str, *, system_prompt: str,
                   source: Column | str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pair rows -> examples: prompt ``[system, user]``, completion ``[assistant]``, then clean and
-    validate. Used for input/output pairs, turn pairs and the JSONL pair shapes."""
-    prompt = F.array(message(F.lit("user"), _c(user).cast("string")))
-    completion = F.array(message(F.lit("assistant"), _c(assistant).cast("string")))
-    return with_example(df, prompt, completion, source, keep=keep, system_prompt=system_prompt)
+    """Pair rows -> examples: prompt ``[system, user]``, completion ``[assistant]``, cleaned and
+    validated. Used for input/output pairs, turn pairs, translation pairs and CSV files.
+
+    Same result as cleaning the two arrays generically, computed directly: the roles are
+    constants, so the user text is valid iff it normalises to 2..1200 characters (which also
+    makes it non-empty and present), likewise the reply, and the constant system message is
+    normalised once per plan. The two texts are normalised once each, inside a one-element array
+    that is filtered and unpacked with ``inline`` (a ``where`` would be pushed below the projection
+    and normalise again).
+    """
+    from chatsift.functions.messages import constant_system
+    from chatsift.functions.text import is_valid_length, normalize_text
+
+    src = F.lit(source) if isinstance(source, str) else source
+    texts = F.array(F.struct(normalize_text(_c(user)).alias("u"), normalize_text(_c(assistant)).alias("a")))
+    valid = F.filter(texts, lambda e: is_valid_length(e["u"]) & is_valid_length(e["a"]))
+    staged = df.select(*keep, F.inline(valid), src.alias("source"))
+    return staged.select(
+        *keep,
+        F.concat(constant_system(df.sparkSession, system_prompt), F.array(message(F.lit("user"), F.col("u")))).alias("prompt"),
+        F.array(message(F.lit("assistant"), F.col("a"))).alias("completion"),
+        "source",
+    )
 
 
 def instruction_examples(df: DataFrame, text: Column | str, target: Column | str, *, instruction: str,
