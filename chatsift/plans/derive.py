@@ -107,8 +107,8 @@ def jsonl_lines_sql(system_prompt: str) -> str:
     def m(role, content):
         return f"json_object('role', '{role}', 'content', {content})"
 
-    convo = (f"json_array({m('user', chr(39) + 'q ' + chr(39) + ' || text')}, {m('assistant', chr(39) + 'a ' + chr(39) + ' || text')}, "
-             f"{m('user', chr(39) + 'q2 ' + chr(39) + ' || text')}, {m('assistant', chr(39) + 'a2 ' + chr(39) + ' || text')})")
+    convo = (f"json_array({m('user', lit('q ') + ' || text')}, {m('assistant', lit('a ') + ' || text')}, "
+             f"{m('user', lit('q2 ') + ' || text')}, {m('assistant', lit('a2 ') + ' || text')})")
     prompt = f"json_array({m('system', lit(system_prompt))}, {m('user', 'text')})"
     completion = f"json_array({m('assistant', 'text')})"
     s = "((conv_id + turn) % 8)"

@@ -2,8 +2,31 @@
 
 from __future__ import annotations
 
-from chatsift.config import DEFAULT_SYSTEM_PROMPT
+from chatsift.config import (
+    DEFAULT_SYSTEM_PROMPT,
+    NA_TOKENS,
+    TRANSLATION_INSTRUCTION,
+    TRANSLATION_SYSTEM_PROMPT,
+    ChatConfig,
+)
 from chatsift.plans import sqltext as q
+from chatsift.plans.derive import (
+    CSV_PAIRS_SQL,
+    DOC_DIRT_SQL,
+    FOLD_FROM,
+    FOLD_TO,
+    HISTORY_ROLE_SQL,
+    MAX_NEW_TOKENS_SQL,
+    REPLY_SQL,
+    REQUEST_HISTORY_TURNS,
+    REQUEST_MESSAGE_SQL,
+    ROLE_DIRT_SQL,
+    SYSTEM_PROMPT_SQL,
+    TEMPERATURE_SQL,
+    TEXT_DIRT_SQL,
+    TOP_P_SQL,
+    jsonl_lines_sql,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -50,17 +73,6 @@ ORACLES["examples_unbounded_context"] = multi_turn_sql(0)
 
 
 # ---- shared SQL pieces ------------------------------------------------------------------------
-from chatsift.config import (  # noqa: E402
-    TRANSLATION_INSTRUCTION,
-    TRANSLATION_SYSTEM_PROMPT,
-)
-from chatsift.plans.derive import (  # noqa: E402
-    DOC_DIRT_SQL,
-    FOLD_FROM,
-    FOLD_TO,
-    ROLE_DIRT_SQL,
-    TEXT_DIRT_SQL,
-)
 
 PAIR_SOURCE = "conversations:pairs"
 TRANSLATION_SOURCE = "documents:translation"
@@ -228,7 +240,6 @@ GROUP BY split"""
 
 
 # ---- files ------------------------------------------------------------------------------------
-from chatsift.plans.derive import CSV_PAIRS_SQL, jsonl_lines_sql  # noqa: E402
 
 
 def jsonl_shape_sql() -> str:
@@ -254,8 +265,9 @@ def jsonl_examples_sql(lines_sql: str) -> str:
     sysm = q.msg(q.lit("system"), q.lit(DEFAULT_SYSTEM_PROMPT))
 
     def pair(u, a):
-        return (f"{q.clean_list(f'[{sysm}, {q.msg(q.lit(chr(117) + chr(115) + chr(101) + chr(114)), u)}]', PROMPT_ROLES)}",
-                f"{q.clean_list(f'[{q.msg(q.lit(chr(97) + chr(115) + chr(115) + chr(105) + chr(115) + chr(116) + chr(97) + chr(110) + chr(116)), a)}]', ('assistant',))}")
+        prompt = f"[{sysm}, {q.msg(q.lit('user'), u)}]"
+        completion = f"[{q.msg(q.lit('assistant'), a)}]"
+        return q.clean_list(prompt, PROMPT_ROLES), q.clean_list(completion, ("assistant",))
 
     io_p, io_c = pair("json_extract_string(value, '$.input')", "json_extract_string(value, '$.output')")
     ua_p, ua_c = pair("json_extract_string(value, '$.user')", "json_extract_string(value, '$.assistant')")
@@ -304,8 +316,6 @@ def csv_examples_sql(pairs_sql: str, source: str) -> str:
     WHERE {example_valid('prompt', 'completion')}"""
 
 
-from chatsift.config import NA_TOKENS  # noqa: E402
-
 _CSV_PAIRS = CSV_PAIRS_SQL.format(pairs=f"""
   SELECT u.conv_id, u.turn, u.text AS input, a.text AS output
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -341,17 +351,6 @@ SELECT
 
 
 # ---- chat requests ----------------------------------------------------------------------------
-from chatsift.config import ChatConfig  # noqa: E402
-from chatsift.plans.derive import (  # noqa: E402
-    HISTORY_ROLE_SQL,
-    MAX_NEW_TOKENS_SQL,
-    REPLY_SQL,
-    REQUEST_HISTORY_TURNS,
-    REQUEST_MESSAGE_SQL,
-    SYSTEM_PROMPT_SQL,
-    TEMPERATURE_SQL,
-    TOP_P_SQL,
-)
 
 _CHAT = ChatConfig()
 

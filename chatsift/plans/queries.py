@@ -10,11 +10,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chatsift.config import DEFAULT_SYSTEM_PROMPT
-from chatsift.operators.context import conversation_examples
+from chatsift.config import (
+    DEFAULT_SEED,
+    DEFAULT_SYSTEM_PROMPT,
+    DEFAULT_VALIDATION_RATIO,
+    TRANSLATION_INSTRUCTION,
+    TRANSLATION_SYSTEM_PROMPT,
+    BuildConfig,
+    ChatConfig,
+    SkewConfig,
+)
+from chatsift.functions.messages import (
+    example_signature,
+    first_content,
+    last_user_content,
+    message,
+    render_messages,
+    with_example,
+)
+from chatsift.functions.text import normalize_text
+from chatsift.operators import requests as rq
+from chatsift.operators.context import conversation_examples, trailing_context
+from chatsift.operators.dedup import keep_first, ordered, priority_union
+from chatsift.operators.sampling import exact_split, sample_exact
+from chatsift.operators.skew import hot_keys
+from chatsift.plans.build import Sources, build_dataset
+from chatsift.plans.derive import (
+    adjacent_pairs,
+    chat_events,
+    chat_replies,
+    chat_requests,
+    csv_pairs,
+    dirty_documents,
+    dirty_turns,
+    event_requests,
+    jsonl_lines,
+    translation_pairs,
+)
 from chatsift.plans.present import example_view
-from chatsift.sources.tables import read_table
+from chatsift.session import materialize, scratch_path
+from chatsift.sinks.jsonl import read_splits
+from chatsift.sources import files
+from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv
+from chatsift.sources.tables import instruction_examples, pair_examples, read_table
+from chatsift.streaming import sessions as ss
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,30 +92,7 @@ def examples_unbounded_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- shared conversation/document sources ---------------------------------------------------
-from pyspark.sql import functions as F  # noqa: E402
 
-from chatsift.config import (  # noqa: E402
-    DEFAULT_SEED,
-    DEFAULT_VALIDATION_RATIO,
-    TRANSLATION_INSTRUCTION,
-    TRANSLATION_SYSTEM_PROMPT,
-    SkewConfig,
-)
-from chatsift.functions.messages import (  # noqa: E402
-    example_signature,
-    first_content,
-    last_user_content,
-    message,
-    with_example,
-)
-from chatsift.functions.text import is_valid_length, normalize_text  # noqa: E402
-from chatsift.operators.context import trailing_context  # noqa: E402
-from chatsift.operators.dedup import keep_first, ordered, priority_union  # noqa: E402
-from chatsift.operators.sampling import exact_split, sample_exact  # noqa: E402
-from chatsift.operators.skew import hot_keys  # noqa: E402
-from chatsift.plans.derive import adjacent_pairs, dirty_documents, dirty_turns, translation_pairs  # noqa: E402
-from chatsift.session import materialize  # noqa: E402
-from chatsift.sources.tables import instruction_examples, pair_examples  # noqa: E402
 
 PAIR_SOURCE = "conversations:pairs"
 TRANSLATION_SOURCE = "documents:translation"
@@ -225,13 +243,6 @@ def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- files: JSONL shapes, CSV, custom folder, JSONL splits, report ----------------------------
-from chatsift.config import BuildConfig  # noqa: E402
-from chatsift.plans.build import Sources, build_dataset  # noqa: E402
-from chatsift.plans.derive import csv_pairs, jsonl_lines  # noqa: E402
-from chatsift.session import scratch_path  # noqa: E402
-from chatsift.sinks.jsonl import read_splits  # noqa: E402
-from chatsift.sources import files  # noqa: E402
-from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv  # noqa: E402
 
 JSONL_SOURCE = "jsonl"
 CSV_SOURCE = "csv:pairs"
@@ -349,10 +360,6 @@ def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- chat requests ----------------------------------------------------------------------------
-from chatsift.config import ChatConfig  # noqa: E402
-from chatsift.functions.messages import render_messages  # noqa: E402
-from chatsift.operators import requests as rq  # noqa: E402
-from chatsift.plans.derive import chat_replies, chat_requests, event_requests  # noqa: E402
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,8 +405,6 @@ def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- chat sessions ----------------------------------------------------------------------------
-from chatsift.plans.derive import chat_events  # noqa: E402
-from chatsift.streaming import sessions as ss  # noqa: E402
 
 
 def _session_view(df: DataFrame) -> DataFrame:
