@@ -30,14 +30,15 @@ SCHEMAS = {
 }
 
 
-def _c(c: Column | str) -> Column:
+def _col_or_name(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def shape_label(value: Column | str) -> Column:
-    v = _c(value)
+    """Shape of a line after stripping Python whitespace (as the original strips each line)."""
+    v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
     keys = F.json_object_keys(v)  # null for bad JSON and for non-object values
-    expr = F.when(py_strip(F.coalesce(v, F.lit(""))) == F.lit(""), F.lit("blank")).when(keys.isNull(), F.lit("invalid"))
+    expr = F.when(v == F.lit(""), F.lit("blank")).when(keys.isNull(), F.lit("invalid"))
     for label, names in SHAPE_KEYS:
         cond = F.lit(True)
         for n in names:
@@ -49,4 +50,4 @@ def shape_label(value: Column | str) -> Column:
 def parse_shape(value: Column | str, shape: str) -> Column:
     """Parse a line of a known shape into its struct (fields missing or of another type become
     null; scalar JSON values read as strings keep their JSON spelling)."""
-    return F.from_json(_c(value), SCHEMAS[shape])
+    return F.from_json(py_strip(_col_or_name(value)), SCHEMAS[shape])

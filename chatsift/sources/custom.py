@@ -22,7 +22,7 @@ from chatsift.functions.messages import (
     example_is_valid,
     message,
 )
-from chatsift.functions.text import clean_role, is_valid_length, normalize_text
+from chatsift.functions.text import clean_role, is_valid_length, normalize_text, py_strip
 from chatsift.operators.context import system_messages
 from chatsift.operators.dedup import ORDER, ordered
 from chatsift.sources import files
@@ -89,6 +89,9 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
     ``mode='failfast'`` an invalid line fails the job like the original tool.
     """
     src = F.lit(source) if isinstance(source, str) else source
+    # strip once here; the shape functions strip too (a no-op on stripped text), so a line wrapped
+    # in, e.g., U+3000 parses as it does after Python's strip()
+    lines = lines.withColumn("value", py_strip(F.col("value")))
     shape = shape_label("value")
     if mode == "failfast":
         shape = F.when(shape == "invalid", F.raise_error(F.concat(F.lit("invalid JSON line in "), F.col("file_name")))).otherwise(shape)

@@ -59,16 +59,19 @@ LINES = [
     "bad{",
     "   ",
     json.dumps([1, 2]),
+    "\u3000" + json.dumps({"user": "wrapped", "assistant": "in ideographic spaces"}) + "\x1c",
 ]
 
 
 def test_shape_dispatch_labels(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(LINES)], "line_id long, value string")
     labels = [r.s for r in df.orderBy("line_id").select(shape_label("value").alias("s")).collect()]
-    assert labels == ["input_output", "prompt_completion", "messages", "other", "invalid", "blank", "invalid"]
+    assert labels == ["input_output", "prompt_completion", "messages", "other", "invalid", "blank", "invalid",
+                      "user_assistant"]
     ex = jsonl_examples(df, system_prompt="sys", k=8, source="t")
     got = sorted((r.line_id, r.shape, r.completion[0].content) for r in ex.collect())
-    assert got == [(1, "prompt_completion", "c1"), (2, "messages", "there")]
+    assert got == [(1, "prompt_completion", "c1"), (2, "messages", "there"),
+                   (7, "user_assistant", "in ideographic spaces")]
 
 
 def test_failfast_raises_on_bad_json(spark):
@@ -100,6 +103,7 @@ def test_custom_folder(spark, tmp_path):
         ("custom:b.csv", "bom row", "accepted"),
         ("custom:e.jsonl", "p1", "c1"),
         ("custom:e.jsonl", "hello", "there"),
+        ("custom:e.jsonl", "wrapped", "in ideographic spaces"),
     }
     assert rep["csv_skipped_header"] == ["c.csv", "d.csv"] and rep["csv_ignored"] == ["local.csv"]
     missing, _ = load_custom_dir(spark, str(tmp_path / "nope"), system_prompt="s", k=8)
