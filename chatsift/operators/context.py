@@ -59,13 +59,6 @@ def trailing_context(
     d = d.withColumn("_it", F.when(F.col("_isit"), item))
     has_resets = is_reset is not None
 
-    if k == 0:
-        w_run = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        d = d.withColumn("_ep", F.sum(F.col("_rs").cast("long")).over(w_run) if has_resets else F.lit(0))
-        w_all = Window.partitionBy(*keys, "_ep").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-        d = d.withColumn(out, F.collect_list("_it").over(w_all))
-        return d.drop(*[c for c in _TMP if c in d.columns])
-
     blocked = hot.any
     if blocked:
         d = with_blocks(d, keys, seq, hot, span)
@@ -73,38 +66,52 @@ def trailing_context(
 
     w_run = Window.partitionBy(*part).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_ep", F.sum(F.col("_rs").cast("long")).over(w_run) if has_resets else F.lit(0).cast("long"))
-    d = d.withColumn("_nb", F.sum(F.col("_isit").cast("long")).over(w_run) - F.col("_isit").cast("long"))
-    # Ordering value such that a RANGE frame selects exactly the last k items: items sit on even
-    # values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a gap wider than the frame.
-    d = d.withColumn(
-        "_o",
-        F.col("_ep") * F.lit(2 * k + 2) + F.col("_nb") * 2 + F.when(F.col("_isit"), 2).otherwise(1),
-    )
-    w_o = Window.partitionBy(*part).orderBy("_o")
-    d = d.withColumn("_cin", F.collect_list("_it").over(w_o.rangeBetween(-2 * k, -1)))
+    if k > 0:
+        d = d.withColumn("_nb", F.sum(F.col("_isit").cast("long")).over(w_run) - F.col("_isit").cast("long"))
+        # Ordering value such that a RANGE frame selects exactly the last k items: items sit on even
+        # values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a gap wider than the frame.
+        d = d.withColumn(
+            "_o",
+            F.col("_ep") * F.lit(2 * k + 2) + F.col("_nb") * 2 + F.when(F.col("_isit"), 2).otherwise(1),
+        )
+        w_o = Window.partitionBy(*part).orderBy("_o")
+        d = d.withColumn("_cin", F.collect_list("_it").over(w_o.rangeBetween(-2 * k, -1)))
+    else:
+        # whole history since the last reset (quadratic output by definition)
+        w_ep = Window.partitionBy(*part, "_ep").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        d = d.withColumn("_cin", F.collect_list("_it").over(w_ep))
     if not blocked:
         return d.withColumnRenamed("_cin", out).drop(*[c for c in _TMP if c in d.columns])
 
     item_type = d.schema["_it"].dataType.simpleString()
-    with_after = d.withColumn("_cafter", F.collect_list("_it").over(w_o.rangeBetween(-(2 * k - 1), 0)))
-    summary = with_after.groupBy(*part).agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
-    # Context after each significant block (one with items or a reset): fold the last k significant
-    # blocks up to it, starting at the latest reset among them. k significant blocks hold >= k items.
+    if k > 0:
+        with_after = d.withColumn("_cafter", F.collect_list("_it").over(w_o.rangeBetween(-(2 * k - 1), 0)))
+        summary = with_after.groupBy(*part).agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
+    else:
+        # all items of the block's last epoch, in order (a block holds at most `span` rows)
+        entries = F.collect_list(F.when(F.col("_isit"), F.struct(F.col("_ep").alias("e"), F.col(seq).alias("s"),
+                                                                   F.col("_it").alias("it"))))
+        summary = d.groupBy(*part).agg(F.max("_ep").alias("_last_ep"), entries.alias("_all"),
+                                       F.max("_rs").alias("_hr"))
+        summary = summary.select(
+            *part, "_hr",
+            F.transform(F.filter(F.array_sort("_all"), lambda x: x["e"] == F.col("_last_ep")),
+                        lambda x: x["it"]).alias("_tail"),
+        )
+    # Context after each significant block (one with items or a reset): fold the significant blocks
+    # up to it (the last k of them when k > 0; they hold >= k items), starting at the latest reset.
     significant = summary.where((F.size("_tail") > 0) | F.col("_hr"))
-    w_sig = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(-(k - 1), 0)
+    first = -(k - 1) if k > 0 else Window.unboundedPreceding
+    w_sig = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(first, 0)
     recent = F.collect_list(F.struct("_hr", "_tail")).over(w_sig)
     cut = F.aggregate(
         "_recent",
         F.struct(F.lit(0).alias("i"), F.lit(0).alias("r")),
         lambda acc, e: F.struct((acc["i"] + 1).alias("i"), F.when(e["_hr"], acc["i"] + 1).otherwise(acc["r"]).alias("r")),
     )["r"]
+    folded = F.flatten(F.transform(F.slice("_recent", F.greatest(cut, F.lit(1)), F.size("_recent")), lambda e: e["_tail"]))
     after = significant.select(*part, recent.alias("_recent")).select(
-        *part,
-        last_n(
-            F.flatten(F.transform(F.slice("_recent", F.greatest(cut, F.lit(1)), F.size("_recent")), lambda e: e["_tail"])),
-            k,
-        ).alias("_after"),
-    )
+        *part, (last_n(folded, k) if k > 0 else folded).alias("_after"))
     # every block's halo is the context after the latest significant block before it
     w_prev = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     halo = (
@@ -113,10 +120,8 @@ def trailing_context(
         .select(*part, F.last("_after", ignorenulls=True).over(w_prev).alias("_halo"))
     )
     joined = d.join(halo, on=part, how="left")
-    ctx = F.when(
-        F.col("_ep") == 0,
-        last_n(F.concat(F.coalesce(F.col("_halo"), F.array().cast(f"array<{item_type}>")), F.col("_cin")), k),
-    ).otherwise(F.col("_cin"))
+    with_halo = F.concat(F.coalesce(F.col("_halo"), F.array().cast(f"array<{item_type}>")), F.col("_cin"))
+    ctx = F.when(F.col("_ep") == 0, last_n(with_halo, k) if k > 0 else with_halo).otherwise(F.col("_cin"))
     return joined.withColumn(out, ctx).drop(BLOCK, *[c for c in _TMP if c in joined.columns])
 
 
@@ -146,7 +151,7 @@ def conversation_examples(
         lambda m: m["role"].isin("user", "assistant") & (m["content"] != F.lit("")),
     )
     retained = turns.select(key, seq, F.inline(cleaned))
-    hot = hot_keys(turns.select(key), [key], skew) if k > 0 else HotKeys()
+    hot = hot_keys(turns.select(key), [key], skew)
     with_ctx = trailing_context(
         retained, keys=[key], seq=seq, item=message(F.col("role"), F.col("content")), k=k, hot=hot,
         span=skew.block_span,

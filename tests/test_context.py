@@ -42,7 +42,7 @@ def test_fixture_cases(spark, skew):
     assert run(spark, "USA", skew=skew) == [(["U0"], 2)]
     assert run(spark, "UAA", texts=["user a", " ", "asst b"], skew=skew) == [(["U0"], 2)]
     assert run(spark, "UAUA", k=1, skew=skew) == [(["U0"], 1), (["U2"], 3)]
-    assert run(spark, "UAUA", k=0) == [(["U0"], 1), (["U0", "A1", "U2"], 3)]
+    assert run(spark, "UAUA", k=0, skew=skew) == [(["U0"], 1), (["U0", "A1", "U2"], 3)]
     long_reply = ["u0", "x" * 1201, "u2", "a3"]
     assert run(spark, "UAUA", texts=long_reply, skew=skew) == [(["U0", "A1", "U2"], 3)]
 
@@ -77,7 +77,8 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("k,span,hot", [(3, 4, "all"), (1, 3, "all"), (4, 5, "some"), (2, 100, "none"), (0, 5, "none")])
+@pytest.mark.parametrize("k,span,hot", [(3, 4, "all"), (1, 3, "all"), (4, 5, "some"), (2, 100, "none"), (0, 5, "none"),
+                                        (0, 4, "all"), (0, 7, "some")])
 def test_trailing_context_blocked_matches_brute_force(spark, k, span, hot):
     rng = random.Random(k * 100 + span)
     rows = []
