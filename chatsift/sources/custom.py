@@ -46,12 +46,20 @@ def _positions(df: DataFrame) -> DataFrame:
     )
 
 
-def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header: bool = True) -> DataFrame:
+def _pair_csv_reader(spark: SparkSession, mode: str):
+    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode=mode,
+                              columnNameOfCorruptRecord="_corrupt")
+
+
+def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header: bool = True,
+                  on_malformed: str = "quarantine") -> DataFrame:
     """Read RFC-4180 CSV files with header ``input,output`` (BOM, case and edge spaces tolerated).
 
     Returns ``input, output, file_name, block, pos``; pandas' missing-value tokens become null.
     Raises ``SchemaError`` naming the file if a header does not match (a Git-LFS pointer, a
-    reordered header ...) instead of mapping columns by position silently.
+    reordered header ...) instead of mapping columns by position silently. Rows with a wrong
+    number of fields are left out (``quarantine``, see ``malformed_pair_rows``) or fail the job
+    (``failfast``); a short row would have lost its output and been dropped anyway.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if check_header:
@@ -59,11 +67,13 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
             line = files.first_line(spark, p)
             if not header_ok(line):
                 raise SchemaError(f"{p}: expected header 'input,output', found {line[:80]!r}")
-    df = (
-        spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE")
-        .schema("input string, output string")
-        .csv(paths)
-    )
+    if on_malformed == "failfast":
+        df = _pair_csv_reader(spark, "FAILFAST").schema("input string, output string").csv(paths)
+    elif on_malformed == "quarantine":
+        df = (_pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string")
+              .csv(paths).where(F.col("_corrupt").isNull()))
+    else:
+        raise ValueError(f"unknown on_malformed {on_malformed!r}")
     df = _positions(df)
     na = list(NA_TOKENS)
     return df.select(
@@ -73,6 +83,16 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
     )
 
 
+def malformed_pair_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The quarantined rows of pair CSV files (wrong number of fields):
+    ``file_name, pos, input, record`` (Spark refuses queries on the corrupt-record column alone,
+    so the parsed first field comes along)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    df = _pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string").csv(paths)
+    return _positions(df).where(F.col("_corrupt").isNotNull()).select(
+        "file_name", "pos", "input", F.col("_corrupt").alias("record"))
+
+
 def read_jsonl(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """One row per line: ``value, file_name, block, pos``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -211,6 +231,6 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
 
 
 __all__ = [
-    "SchemaError", "read_pair_csv", "read_jsonl", "jsonl_examples", "load_custom_dir", "header_ok",
+    "SchemaError", "read_pair_csv", "malformed_pair_rows", "read_jsonl", "jsonl_examples", "load_custom_dir", "header_ok",
     "is_valid_length",
 ]

@@ -236,3 +236,16 @@ def test_stream_start_from_now(spark):
     df = spark.createDataFrame(rows, ss.EVENT_SCHEMA + ", ts timestamp")
     kept = ss.drop_backlog(df, "ts", dt.datetime(2024, 3, 1)).collect()
     assert [r.text for r in kept] == ["new"]
+
+
+def test_csv_field_count_quarantine(spark, tmp_path):
+    from chatsift.sources.custom import malformed_pair_rows
+
+    p = tmp_path / "q.csv"
+    _write(p, 'input,output\nhello there,fine\nc,d,extra\nshort\n"x y","z w"\n')
+    good = {(r.input, r.output) for r in read_pair_csv(spark, str(p)).collect()}
+    assert good == {("hello there", "fine"), ("x y", "z w")}
+    bad = [r.record for r in malformed_pair_rows(spark, str(p)).collect()]
+    assert sorted(bad) == ["c,d,extra", "short"]
+    with pytest.raises(Exception):
+        read_pair_csv(spark, str(p), on_malformed="failfast").collect()
