@@ -78,7 +78,7 @@ class BuildConfig:
     system_prompt: str = DEFAULT_SYSTEM_PROMPT
     translation_system_prompt: str = TRANSLATION_SYSTEM_PROMPT
     translation_instruction: str = TRANSLATION_INSTRUCTION
-    json_mode: str = "quarantine"  # or "failfast"
+    json_mode: str = "quarantine"  # or "failfast": bad JSON lines / CSV rows with a wrong field count
     shuffle_output: bool = True
     skew: SkewConfig = field(default_factory=SkewConfig)
 

@@ -89,7 +89,8 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
     local = cfg.local_pair_file
     if local and cfg.cap_pairs > 0 and files.exists(spark, local):
         name = posixpath.basename(local)
-        raw = read_pair_csv(spark, local).withColumn("_rk", F.format_string("%d:%d", "block", "pos"))
+        raw = read_pair_csv(spark, local, on_malformed=cfg.json_mode).withColumn(
+            "_rk", F.format_string("%d:%d", "block", "pos"))
         raw = sample_exact(raw, cfg.cap_pairs, seed, "_rk")
         ex = pair_examples(raw, "input", "output", system_prompt=cfg.system_prompt, source=f"local:{name}",
                            keep=("block", "pos"))

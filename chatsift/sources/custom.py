@@ -209,7 +209,7 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
         else:
             report["csv_skipped_header"].append(name)
     if csv_paths:
-        raw = read_pair_csv(spark, csv_paths, check_header=False)
+        raw = read_pair_csv(spark, csv_paths, check_header=False, on_malformed=mode)
         ex = pair_examples(raw, "input", "output", system_prompt=system_prompt,
                            source=F.concat(F.lit("custom:"), F.col("file_name")),
                            keep=("file_name", "block", "pos"))
