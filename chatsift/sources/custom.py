@@ -58,8 +58,8 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
     Returns ``input, output, file_name, block, pos``; pandas' missing-value tokens become null.
     Raises ``SchemaError`` naming the file if a header does not match (a Git-LFS pointer, a
     reordered header ...) instead of mapping columns by position silently. Rows with a wrong
-    number of fields are left out (``quarantine``, see ``malformed_pair_rows``) or fail the job
-    (``failfast``); a short row would have lost its output and been dropped anyway.
+    number of fields get no texts (``quarantine``; listed by ``malformed_pair_rows``) or fail the
+    job (``failfast``); a short row would have lost its output and been dropped anyway.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if check_header:
@@ -69,16 +69,19 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
                 raise SchemaError(f"{p}: expected header 'input,output', found {line[:80]!r}")
     if on_malformed == "failfast":
         df = _pair_csv_reader(spark, "FAILFAST").schema("input string, output string").csv(paths)
+        ok = F.lit(True)
     elif on_malformed == "quarantine":
-        df = (_pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string")
-              .csv(paths).where(F.col("_corrupt").isNull()))
+        df = _pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string").csv(paths)
+        ok = F.col("_corrupt").isNull()
     else:
         raise ValueError(f"unknown on_malformed {on_malformed!r}")
     df = _positions(df)
     na = list(NA_TOKENS)
+    # a malformed row keeps its place (it is a raw row for seeded caps) but has no texts, so it
+    # never becomes an example
     return df.select(
-        F.when(~F.col("input").isin(*na), F.col("input")).alias("input"),
-        F.when(~F.col("output").isin(*na), F.col("output")).alias("output"),
+        F.when(ok & ~F.col("input").isin(*na), F.col("input")).alias("input"),
+        F.when(ok & ~F.col("output").isin(*na), F.col("output")).alias("output"),
         "file_name", "block", "pos",
     )
 
