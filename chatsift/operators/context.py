@@ -6,10 +6,11 @@ generation (items = retained messages) and of chat-session history (items = exch
 resets = reset commands).
 
 Plan shape: one hash exchange on the key (plus block for heavy hitters); the running counts and
-the bounded RANGE frame are computed by two Window operators on that same partitioning. For hot
-keys each block also needs the items that precede it (the halo): a per-block summary (last ``k``
-items after the last reset) is aggregated on the same partitioning, a small window over the
-summaries of each key folds them, and the result is joined back on (key, block).
+the bounded RANGE frame (or, for the whole history, an unbounded frame per reset epoch) are
+computed by Window operators on that same partitioning. For hot keys each block also needs the
+items that precede it (the halo): a per-block summary (its last ``k`` items, or all of them, after
+its last reset) is aggregated on the same partitioning, a small window over the summaries of each
+key folds them, and the result is joined back on (key, block).
 """
 
 from __future__ import annotations
@@ -18,14 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatsift.config import SkewConfig
-from chatsift.functions.messages import (
-    empty_messages,
-    is_valid_length,
-    last_n,
-    message,
-    normalize_text,
-)
-from chatsift.functions.text import clean_role
+from chatsift.functions.messages import empty_messages, last_n, message
+from chatsift.functions.text import clean_role, is_valid_length, normalize_text
 from chatsift.operators.skew import BLOCK, HotKeys, hot_keys, with_blocks
 
 _TMP = ("_isit", "_it", "_rs", "_ep", "_nb", "_o", "_cin", "_cafter", "_halo")
@@ -46,8 +41,9 @@ def trailing_context(
 ) -> DataFrame:
     """Add ``out``: array of the last ``k`` items strictly before each row within its key, counting
     only rows where ``is_item`` holds and only rows after the latest reset (a reset row is not an
-    item, clears the history and itself gets an empty context). ``k == 0`` means the whole history (output grows
-    quadratically with the key's length by definition)."""
+    item, clears the history and itself gets an empty context). ``k == 0`` means the whole
+    history (output grows quadratically with the key's length by definition). ``seq`` must be
+    unique within a key; keys in ``hot`` are split into blocks of ``span`` sequence units."""
     if k < 0:
         raise ValueError("k must be >= 0")
     hot = hot or HotKeys()
