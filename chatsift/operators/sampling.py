@@ -2,8 +2,10 @@
 
 Row order is ``md5(seed || '|' || row_key)`` (hex), tie-broken by ``row_key``. The first ``n``
 rows in that order are found by bucketing on hex prefixes: one grouped count per level (at most
-65,536 rows reach the driver), descending into the bucket that holds the n-th row until it is
-small enough to rank exactly. The result is a threshold, and the sample/split is a plain filter.
+65,536 buckets, summed in order inside Spark; one row per level reaches the driver), descending
+into the bucket that holds the n-th row until it holds at most 50,000 rows, which are ranked
+exactly. The result is a threshold, and the sample/split is a plain filter (no global sort, no
+row numbering, no shuffle of the data itself).
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int | Call
             if edge is None:  # fewer than n rows in total: all of them
                 return Threshold(everything=True, n=n)
         if total is None:
-            total = -1  # not needed for a fixed n
+            total = -1  # unknown and not needed for a fixed n
         bucket, bucket_rows = edge["b"], edge["count"]
         remaining -= edge["cum"] - bucket_rows
         prefix = bucket
