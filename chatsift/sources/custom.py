@@ -128,10 +128,12 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
     sys_msgs = system_messages(system_prompt, lines.sparkSession)
 
     def pair(user: Column, assistant: Column) -> Column:
-        return F.struct(
-            F.concat(sys_msgs, clean_messages(F.array(message(F.lit("user"), user)))).alias("prompt"),
-            clean_messages(F.array(message(F.lit("assistant"), assistant)), ("assistant",)).alias("completion"),
-        )
+        # roles are constants: clean by normalising the two texts and dropping empty messages
+        def one(role: str, text: Column) -> Column:
+            return F.filter(F.array(message(F.lit(role), normalize_text(text))), lambda m: m["content"] != F.lit(""))
+
+        return F.struct(F.concat(sys_msgs, one("user", user)).alias("prompt"),
+                        one("assistant", assistant).alias("completion"))
 
     # cleaned messages of the conversation shape, computed once per line
     staged = staged.withColumn(
