@@ -74,3 +74,16 @@ def test_normalize_is_idempotent(spark):
     df = spark.createDataFrame(rows, "t string").select(normalize_text("t").alias("n"))
     twice = df.select("n", normalize_text("n").alias("nn"))
     assert twice.where(F.col("n") != F.col("nn")).count() == 0
+
+
+def test_normalized_output_invariants(spark):
+    rng = random.Random(11)
+    alphabet = ["a", "b", " ", "  ", "\t", "\r", "\r\n", "\n", "\n\n", "​", "‘", "”", "\xa0",
+                "　", "\x0b", " ", "ü"]
+    rows = [("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))),) for _ in range(2000)]
+    out = [r.n for r in spark.createDataFrame(rows, "t string").select(normalize_text("t").alias("n")).collect()]
+    for n in out:
+        assert not any(ch in n for ch in "\r\t​‘’“”")
+        assert "  " not in n
+        for line in n.split("\n") if n else []:
+            assert line and line == line.strip()
