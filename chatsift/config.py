@@ -56,11 +56,15 @@ class SkewConfig:
     A key with more than ``hot_key_rows`` rows is split into blocks of ``block_span`` sequence
     units; each block gets the trailing context of the blocks before it from a small summary.
     At most ``max_hot_keys`` keys are fetched to the driver; beyond that every key is blocked.
+    Keys are counted on a seeded ``probe_fraction`` sample (raised automatically so a hot key
+    expects at least 200 sampled rows); blocking is correct for any key, so the probe only has
+    to find the big ones.
     """
 
     hot_key_rows: int = 1_000_000
     block_span: int = 250_000
     max_hot_keys: int = 10_000
+    probe_fraction: float = 0.01
 
 
 @dataclass(frozen=True)

@@ -3,7 +3,8 @@
 A window partitioned by a key puts the whole key in one task. When one conversation or chat
 holds a large share of all rows that task dominates the job, and AQE cannot split window
 partitions. ``hot_keys`` finds the keys above a row threshold with one partially-aggregated
-count (only the key columns are read); the result sent to the driver is capped, so it is
+count over a seeded sample of the key columns (blocking a key is always correct, so the probe
+need not be exact, only find the big keys); the result sent to the driver is capped, so it is
 bounded by construction. ``with_blocks`` then gives rows of hot keys a block number derived
 from their sequence column, so a hot key spreads over many window partitions.
 """
@@ -34,7 +35,11 @@ class HotKeys:
 
 
 def hot_keys(probe: DataFrame, keys: list[str], skew: SkewConfig) -> HotKeys:
-    counts = probe.groupBy(*keys).count().where(F.col("count") > F.lit(skew.hot_key_rows)).select(*keys)
+    fraction = min(1.0, max(skew.probe_fraction, 200.0 / max(skew.hot_key_rows, 1)))
+    sampled = probe.select(*keys) if fraction >= 1.0 else probe.select(*keys).sample(fraction=fraction, seed=17)
+    # a key at the threshold expects hot_key_rows * fraction sampled rows; flag from half of that
+    cut = skew.hot_key_rows if fraction >= 1.0 else skew.hot_key_rows * fraction / 2
+    counts = sampled.groupBy(*keys).count().where(F.col("count") > F.lit(cut)).select(*keys)
     found = counts.limit(skew.max_hot_keys + 1).collect()
     if len(found) > skew.max_hot_keys:
         return HotKeys(all_keys=True)
