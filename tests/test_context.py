@@ -106,3 +106,18 @@ def test_blocked_equals_plain_on_driver_data(spark):
     a = sorted(map(tuple, plain.select("conv_id", "turn", F.to_json("prompt")).collect()))
     b = sorted(map(tuple, blocked.select("conv_id", "turn", F.to_json("prompt")).collect()))
     assert a == b and len(a) > 100
+
+
+def test_hot_conversation_found_by_sampled_probe_and_blocked(spark):
+    from chatsift.operators.skew import hot_keys
+
+    rows = [(0, t, "user" if t % 2 == 0 else "assistant", f"hot message {t}") for t in range(3000)]
+    rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"c{c} t{t}") for c in range(1, 40) for t in range(6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    skew = SkewConfig(hot_key_rows=1000, block_span=256, probe_fraction=0.5)
+    assert hot_keys(turns.select("conv_id"), ["conv_id"], skew).rows == ((0,),)
+    plain = conversation_examples(turns, system_prompt=SP, source="t", k=8)
+    blocked = conversation_examples(turns, system_prompt=SP, source="t", k=8, skew=skew)
+    a = sorted(map(tuple, plain.select("conv_id", "turn", F.to_json("prompt")).collect()))
+    b = sorted(map(tuple, blocked.select("conv_id", "turn", F.to_json("prompt")).collect()))
+    assert a == b and len(a) == 1500 + 39 * 3
