@@ -326,8 +326,8 @@ SELECT {_example_select('', 'prompt', 'completion', 'source')}
 FROM ({csv_examples_sql(f"SELECT *, '' AS grp FROM ({_CSV_PAIRS})", q.lit('csv:pairs'))})"""
 
 ORACLES["custom_directory_scan"] = f"""
-WITH csv AS ({csv_examples_sql(f'''SELECT *, CASE conv_id % 3 WHEN 0 THEN 'a_pairs' ELSE 'c_variant' END AS grp
-                                   FROM ({_CSV_PAIRS}) WHERE conv_id % 3 <> 1''', 'grp')}),
+WITH csv AS ({csv_examples_sql(f'''SELECT *, CASE conv_id % 2 WHEN 0 THEN 'a_pairs' ELSE 'c_variant' END AS grp
+                                   FROM ({_CSV_PAIRS})''', 'grp')}),
 js AS ({jsonl_examples_sql(jsonl_shape_sql())})
 SELECT {_example_select('', 'prompt', 'completion', 'source')} FROM csv
 UNION ALL
