@@ -22,7 +22,7 @@ from chatsift.functions.messages import (
     example_is_valid,
     message,
 )
-from chatsift.functions.text import clean_role, is_valid_length, normalize_text, py_strip
+from chatsift.functions.text import clean_role, normalize_text, py_strip
 from chatsift.operators.context import system_messages
 from chatsift.operators.dedup import ORDER, ordered
 from chatsift.sources import files
@@ -236,6 +236,6 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
 
 
 __all__ = [
-    "SchemaError", "read_pair_csv", "malformed_pair_rows", "read_jsonl", "jsonl_examples", "load_custom_dir", "header_ok",
-    "is_valid_length",
+    "SchemaError", "header_ok", "jsonl_examples", "load_custom_dir", "malformed_pair_rows", "read_jsonl",
+    "read_pair_csv",
 ]
