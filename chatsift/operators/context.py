@@ -60,18 +60,27 @@ def trailing_context(
         d = with_blocks(d, keys, seq, hot, span)
     part = [*keys, BLOCK] if blocked else list(keys)
 
+    # every row an item and no resets (conversation turns): the last k items are simply the
+    # previous k rows, one ROWS frame on the sequence order; otherwise running counts place rows on
+    # a scale where a RANGE frame selects exactly the last k items
+    simple = is_item is None and is_reset is None
     w_run = Window.partitionBy(*part).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_ep", F.sum(F.col("_rs").cast("long")).over(w_run) if has_resets else F.lit(0).cast("long"))
-    if k > 0:
+    if k > 0 and simple:
+        w_seq = Window.partitionBy(*part).orderBy(seq)
+        frame_before, frame_through = w_seq.rowsBetween(-k, -1), w_seq.rowsBetween(-(k - 1), 0)
+        d = d.withColumn("_cin", F.collect_list("_it").over(frame_before))
+    elif k > 0:
         d = d.withColumn("_nb", F.sum(F.col("_isit").cast("long")).over(w_run) - F.col("_isit").cast("long"))
-        # Ordering value such that a RANGE frame selects exactly the last k items: items sit on even
-        # values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a gap wider than the frame.
+        # items sit on even values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a
+        # gap wider than the frame
         d = d.withColumn(
             "_o",
             F.col("_ep") * F.lit(2 * k + 2) + F.col("_nb") * 2 + F.when(F.col("_isit"), 2).otherwise(1),
         )
         w_o = Window.partitionBy(*part).orderBy("_o")
-        d = d.withColumn("_cin", F.collect_list("_it").over(w_o.rangeBetween(-2 * k, -1)))
+        frame_before, frame_through = w_o.rangeBetween(-2 * k, -1), w_o.rangeBetween(-(2 * k - 1), 0)
+        d = d.withColumn("_cin", F.collect_list("_it").over(frame_before))
     else:
         # whole history since the last reset (quadratic output by definition)
         w_ep = Window.partitionBy(*part, "_ep").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +90,7 @@ def trailing_context(
 
     item_type = d.schema["_it"].dataType.simpleString()
     if k > 0:
-        with_after = d.withColumn("_cafter", F.collect_list("_it").over(w_o.rangeBetween(-(2 * k - 1), 0)))
+        with_after = d.withColumn("_cafter", F.collect_list("_it").over(frame_through))
         summary = with_after.groupBy(*part).agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
     else:
         # all items of the block's last epoch, in order (a block holds at most `span` rows)
