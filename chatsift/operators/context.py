@@ -65,13 +65,15 @@ def trailing_context(
     # a scale where a RANGE frame selects exactly the last k items
     simple = is_item is None and is_reset is None
     w_run = Window.partitionBy(*part).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_ep", F.sum(F.col("_rs").cast("long")).over(w_run) if has_resets else F.lit(0).cast("long"))
+    running = {"_ep": F.sum(F.col("_rs").cast("long")).over(w_run) if has_resets else F.lit(0).cast("long")}
+    if k > 0 and not simple:
+        running["_nb"] = F.sum(F.col("_isit").cast("long")).over(w_run) - F.col("_isit").cast("long")
+    d = d.withColumns(running)  # one projection, so both running sums share one Window operator
     if k > 0 and simple:
         w_seq = Window.partitionBy(*part).orderBy(seq)
         frame_before, frame_through = w_seq.rowsBetween(-k, -1), w_seq.rowsBetween(-(k - 1), 0)
         d = d.withColumn("_cin", F.collect_list("_it").over(frame_before))
     elif k > 0:
-        d = d.withColumn("_nb", F.sum(F.col("_isit").cast("long")).over(w_run) - F.col("_isit").cast("long"))
         # items sit on even values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a
         # gap wider than the frame
         d = d.withColumn(
