@@ -3,7 +3,7 @@ gate does): same row count, same column names, same order-insensitive value hash
 
 import pytest
 
-from conftest import SF01
+from conftest import SF001, SF01
 from oracle_harness import compare, duck
 
 import __spark_entry__ as entry_mod
@@ -33,3 +33,14 @@ def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
     assert df.columns == ["conv_id", "turn", "prompt_text", "completion_text", "n_prompt", "n_completion", "source"]
+
+
+@pytest.fixture(scope="module")
+def con_small():
+    return duck(SF001)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_matches_oracle_smallest_scale(spark, con_small, name):
+    res = compare(QUERIES[name](spark, SF001), con_small, ORACLES[name])
+    assert res["cols_match"] and res["rows"][0] == res["rows"][1] and res["hash_match"], res
