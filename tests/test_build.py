@@ -66,3 +66,29 @@ def test_too_small_dataset_raises(spark):
     one = _turns(spark, 1).where(F.col("turn") < 2)
     with pytest.raises(ValueError):
         build_dataset(spark, BuildConfig(), Sources(chat_turns=(one, "conv_id")), write=False)
+
+
+def test_chat_arrays_and_turn_rows_build_the_same(spark):
+    from conftest import SF01
+
+    turns = spark.read.parquet(f"{SF01}/conversations.parquet")
+    arrays = (turns.groupBy("conv_id")
+              .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+              .select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"),
+                                                                      x["text"].alias("content"))).alias("messages")))
+    a = build_dataset(spark, BuildConfig(), Sources(chat_turns=(turns, "conv_id")), write=False)
+    b = build_dataset(spark, BuildConfig(), Sources(chat_arrays=(arrays, "conv_id")), write=False)
+    key = lambda res: sorted(r.signature for r in res.examples.select("signature").collect())
+    assert res_sizes(a) == res_sizes(b) and key(a) == key(b) and a.total == 140
+
+
+def res_sizes(res):
+    return (res.total, res.validation_rows)
+
+
+def test_turn_pairs_source(spark):
+    rows = [(i, f"question number {i}", f"answer number {i}") for i in range(30)] + [(99, "x", "too short question")]
+    tp = spark.createDataFrame(rows, "id long, user_message string, assistant_message string")
+    res = build_dataset(spark, BuildConfig(cap_turn_pairs=20), Sources(turn_pairs=(tp, "id")), write=False)
+    before = {r.source: r.n for r in res.counts_before.collect()}
+    assert before["turn_pairs"] <= 20 and res.total == before["turn_pairs"]
