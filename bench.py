@@ -57,7 +57,7 @@ def build_throughput(spark, sf_dir: str, target_pairs: int) -> dict:
 
     from pyspark.sql import functions as F
 
-    from chatsift.config import BuildConfig
+    from chatsift.config import NO_CAP, BuildConfig
     from chatsift.plans.build import Sources, build_dataset
     from chatsift.plans.derive import adjacent_pairs
     from chatsift.session import scratch_path
@@ -74,7 +74,7 @@ def build_throughput(spark, sf_dir: str, target_pairs: int) -> dict:
         F.concat("output", F.lit(" #"), F.col("rep").cast("string")).alias("output"),
     )
     n_in = base * reps
-    cfg = BuildConfig(output_dir=scratch_path(spark, "bench-build"), cap_pairs=10**12)
+    cfg = BuildConfig(output_dir=scratch_path(spark, "bench-build"), cap_pairs=NO_CAP)
     t0 = time.perf_counter()
     res = build_dataset(spark, cfg, Sources(pairs=(replicated, "pair_key")))
     secs = time.perf_counter() - t0

@@ -20,6 +20,7 @@ CAP_PAIRS = 300_000
 CAP_TURN_PAIRS = 80_000
 CAP_CHAT = 10_000
 CAP_TRANSLATION = 20_000
+NO_CAP = 10**12  # a cap this large means "all rows" (the original's own "unlimited" value)
 MAX_CONTEXT_MESSAGES = 8
 CHAT_MAX_HISTORY_TURNS = 6
 DEFAULT_MAX_NEW_TOKENS = 180

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.config import BuildConfig
+from chatsift.config import NO_CAP, BuildConfig
 from chatsift.functions.messages import EXAMPLE, example_signature
 from chatsift.operators.context import array_examples, conversation_examples
 from chatsift.operators.dedup import ORDER, keep_first, ordered
@@ -72,6 +72,8 @@ class BuildResult:
 def _capped(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame | None:
     if cap <= 0:
         return None
+    if cap >= NO_CAP:
+        return df
     return sample_exact(df, cap, seed, key)
 
 
@@ -91,7 +93,7 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
         name = posixpath.basename(local)
         raw = read_pair_csv(spark, local, on_malformed=cfg.json_mode).withColumn(
             "_rk", F.format_string("%d:%d", "block", "pos"))
-        raw = sample_exact(raw, cfg.cap_pairs, seed, "_rk")
+        raw = _capped(raw, cfg.cap_pairs, seed, "_rk")
         ex = pair_examples(raw, "input", "output", system_prompt=cfg.system_prompt, source=f"local:{name}",
                            keep=("block", "pos"))
         frames.append(ordered(ex, 0, F.lit(name), pos="pos", block="block"))
@@ -114,7 +116,13 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
 
     if src.chat_turns is not None:
         df, key = src.chat_turns
-        raw = sample_exact_groups(df, cfg.cap_chat, seed, key) if cfg.cap_chat > 0 else None
+        # the cap counts conversations, not turns
+        if cfg.cap_chat <= 0:
+            raw = None
+        elif cfg.cap_chat >= NO_CAP:
+            raw = df
+        else:
+            raw = sample_exact_groups(df, cfg.cap_chat, seed, key)
         if raw is not None:
             ex = conversation_examples(raw, system_prompt=cfg.system_prompt, source=src.tags[CHAT],
                                        k=cfg.max_context_messages, key=key, skew=cfg.skew)
