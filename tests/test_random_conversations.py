@@ -58,7 +58,8 @@ def test_random_conversations_match_python(spark, k, skew):
         (r.conv_id, r.turn): [(m.role, m.content) for m in r.prompt] + [("=>", r.completion[0].content)]
         for r in ex.collect()
     }
-    assert got == expected(convs, k)
+    want = expected(convs, k)
+    assert got == want and len(want) > 20
 
 
 def expected_sessions(events, max_turns=6):
@@ -111,7 +112,8 @@ def test_random_sessions_batch_twin_matches_python(spark, skew):
     df = spark.createDataFrame(events, ss.EVENT_SCHEMA)
     got = {(r.chat_id, r.seq): [(h.role, h.content) for h in r.history]
            for r in ss.session_requests_batch(df, skew=skew).collect()}
-    assert got == expected_sessions(events)
+    want = expected_sessions(events)
+    assert got == want and sum(1 for h in want.values() if h) > 50
 
 
 def test_random_sessions_stream_matches_python(spark, tmp_path):
@@ -124,3 +126,87 @@ def test_random_sessions_stream_matches_python(spark, tmp_path):
     ss.run_available(spark.readStream.schema(ss.EVENT_SCHEMA).parquet(src), out, ck)
     got = {(r.chat_id, r.seq): [(h.role, h.content) for h in r.history] for r in spark.read.parquet(out).collect()}
     assert got == expected_sessions(events)
+
+
+def _valid(text):
+    return 2 <= len(text) <= 1200
+
+
+def _make_example(prompt, completion):
+    if not prompt or not completion:
+        return None
+    def clean(msgs, allowed):
+        out = []
+        for m in msgs:
+            r = str(m.get("role", "")).strip().lower() if m.get("role") is not None else ""
+            c = py_normalize(m.get("content", ""))
+            if r in allowed and c:
+                out.append((r, c))
+        return out
+    cp = clean(prompt, ("system", "user", "assistant"))
+    cc = clean(completion, ("assistant",))
+    users = [c for r, c in cp if r == "user"]
+    if not cp or not cc or not users or not _valid(users[-1]) or not _valid(cc[0][1]):
+        return None
+    return cp, cc
+
+
+def expected_jsonl(items, k):
+    out = set()
+    for line_id, item in items:
+        if "prompt" in item and "completion" in item:
+            cands = [_make_example(item["prompt"], item["completion"])]
+        elif "input" in item and "output" in item:
+            cands = [_make_example([{"role": "system", "content": SP}, {"role": "user", "content": item["input"]}],
+                                   [{"role": "assistant", "content": item["output"]}])]
+        elif "user" in item and "assistant" in item:
+            cands = [_make_example([{"role": "system", "content": SP}, {"role": "user", "content": item["user"]}],
+                                   [{"role": "assistant", "content": item["assistant"]}])]
+        elif "messages" in item:
+            history, cands = [], []
+            for m in item["messages"] or []:
+                r = str(m.get("role", "")).strip().lower() if m.get("role") is not None else ""
+                c = py_normalize(m.get("content", ""))
+                if r not in ("user", "assistant") or not c:
+                    continue
+                if r == "assistant" and history and history[-1][0] == "user":
+                    ctx = history[-k:] if k > 0 else list(history)
+                    ok = _valid(ctx[-1][1]) and _valid(c)
+                    cands.append(([("system", SP)] + ctx, [("assistant", c)]) if ok else None)
+                history.append((r, c))
+        else:
+            cands = []
+        for sub, ex in enumerate(cands):
+            if ex is not None:
+                out.add((line_id, sub, tuple(ex[0]), tuple(ex[1])))
+    return out
+
+
+def random_item(rng):
+    def msgs():
+        return [{"role": rng.choice(ROLES), "content": random_text(rng)} for _ in range(rng.randint(0, 7))]
+    def text():
+        return rng.choice([random_text(rng), None, "fine", "answer text"])
+    item = {}
+    for key in rng.sample(["prompt", "completion", "input", "output", "user", "assistant", "messages", "other"],
+                          rng.randint(1, 4)):
+        if key in ("prompt", "completion", "messages"):
+            item[key] = msgs() if rng.random() < 0.9 else None
+        else:
+            item[key] = text()
+    return item
+
+
+def test_random_jsonl_lines_match_python(spark):
+    import json
+
+    from chatsift.sources.custom import jsonl_examples
+
+    rng = random.Random(23)
+    items = [(i, random_item(rng)) for i in range(400)]
+    df = spark.createDataFrame([(i, json.dumps(it)) for i, it in items], "line_id long, value string")
+    ex = jsonl_examples(df, system_prompt=SP, k=3, source="t")
+    got = {(r.line_id, r.sub, tuple((m.role, m.content) for m in r.prompt), tuple((m.role, m.content) for m in r.completion))
+           for r in ex.collect()}
+    want = expected_jsonl(items, 3)
+    assert got == want and len(want) > 50
