@@ -210,3 +210,46 @@ def test_random_jsonl_lines_match_python(spark):
            for r in ex.collect()}
     want = expected_jsonl(items, 3)
     assert got == want and len(want) > 50
+
+
+def test_random_requests_match_python(spark):
+    from chatsift.config import ChatConfig
+    from chatsift.operators import requests as rq
+
+    cfg = ChatConfig()
+    rng = random.Random(31)
+
+    def text():
+        return rng.choice(["", "a", "hi there", "  pad  ", "x" * 4000, "x" * 4001, None, "line\r\nnext"])
+
+    rows = []
+    for i in range(400):
+        hist = [{"role": rng.choice(["user", "assistant", "User", "system", None]), "content": text()}
+                for _ in range(rng.randint(0, 16))] if rng.random() < 0.9 else None
+        rows.append((i, text(), hist, rng.choice([None, "", "  custom\tprompt  ", "short"]),
+                     rng.choice([None, 0, 31, 32, 180, 512, 513]), rng.choice([None, 0.0, 0.85, 1.5, 1.6, -0.1]),
+                     rng.choice([None, 0.05, 0.1, 0.5, 1.0, 1.01])))
+    schema = ("request_id long, message string, history array<struct<role:string,content:string>>, "
+              "system_prompt string, max_new_tokens int, temperature double, top_p double")
+    df = spark.createDataFrame(rows, schema)
+    out = rq.assemble_messages(rq.with_defaults(rq.validate_requests(df), cfg), cfg)
+    got = {r.request_id: (r.is_valid, [(m.role, m.content) for m in r.messages] if r.is_valid else None,
+                          r.max_new_tokens_eff, r.temperature_eff, r.top_p_eff) for r in out.collect()}
+
+    def in_range(v, lo, hi):
+        return v is None or lo <= v <= hi
+
+    for rid, msg, hist, sp, mnt, temp, top in rows:
+        ok = (msg is not None and 1 <= len(msg) <= 4000
+              and all(h["role"] in ("user", "assistant") for h in hist or [])
+              and all(h["content"] is not None and 1 <= len(h["content"]) <= 4000 for h in hist or [])
+              and in_range(mnt, 32, 512) and in_range(temp, 0.0, 1.5) and in_range(top, 0.1, 1.0))
+        msgs = None
+        if ok:
+            cleaned = [(h["role"].strip().lower(), py_normalize(h["content"])) for h in hist or []]
+            cleaned = [m for m in cleaned if m[0] in ("user", "assistant") and m[1]][-2 * cfg.max_history_turns:]
+            msgs = [("system", py_normalize(sp or cfg.system_prompt))] + cleaned + [("user", py_normalize(msg))]
+        want = (ok, msgs, mnt or cfg.max_new_tokens, temp if temp is not None else cfg.temperature,
+                top if top is not None else cfg.top_p)
+        assert got[rid] == want, (rid, got[rid], want)
+    assert sum(1 for v in got.values() if v[0]) > 10
