@@ -242,7 +242,9 @@ GROUP BY split"""
 # ---- files ------------------------------------------------------------------------------------
 
 
-def jsonl_shape_sql() -> str:
+def jsonl_shape_sql(lines_sql: str | None = None) -> str:
+    """Shape label per line of ``lines_sql`` (``line_id, value``; default: the derived lines)."""
+    lines_sql = lines_sql or jsonl_lines_sql(DEFAULT_SYSTEM_PROMPT)
     obj = "CASE WHEN json_valid(value) THEN value ELSE '[]' END"
     keys = f"json_keys(CASE WHEN json_type({obj}) = 'OBJECT' THEN {obj} ELSE '{{}}' END)"
     return f"""
@@ -254,7 +256,7 @@ def jsonl_shape_sql() -> str:
       WHEN list_contains(k, 'user') AND list_contains(k, 'assistant') THEN 'user_assistant'
       WHEN list_contains(k, 'messages') THEN 'messages'
       ELSE 'other' END AS shape
-    FROM (SELECT *, {keys} AS k FROM ({jsonl_lines_sql(DEFAULT_SYSTEM_PROMPT)}))"""
+    FROM (SELECT *, {keys} AS k FROM ({lines_sql}))"""
 
 
 def jsonl_examples_sql(lines_sql: str) -> str:

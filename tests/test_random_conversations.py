@@ -1,5 +1,6 @@
-"""Randomised differential test: conversation turn rows -> examples, Spark versus a plain-Python
-restatement of the rules (dirty roles, empty and over-long texts, system turns anywhere)."""
+"""Randomised differential tests on dirty fixtures (odd roles, empty and over-long texts, system
+turns anywhere, random JSON objects, random chat event sequences, boundary-value requests):
+Spark against the DuckDB oracle SQL, or against a small state-machine / rule restatement."""
 
 import random
 
@@ -14,24 +15,6 @@ SP = "the system prompt"
 ROLES = ["user", "assistant", "user", "assistant", "system", "tool", " User ", "ASSISTANT\t", "", None]
 
 
-def expected(convs, k):
-    out = {}
-    for conv_id, turns in convs.items():
-        history = []
-        for turn, role, text in turns:
-            r = str(role).strip().lower() if role is not None else ""
-            c = py_normalize(text)
-            if r not in ("user", "assistant") or not c:
-                continue
-            if r == "assistant" and history and history[-1][0] == "user":
-                ctx = history[-k:] if k > 0 else list(history)
-                last_user = ctx[-1][1]
-                if 2 <= len(last_user) <= 1200 and 2 <= len(c) <= 1200:
-                    out[(conv_id, turn)] = [("system", SP)] + ctx + [("=>", c)]
-            history.append((r, c))
-    return out
-
-
 def random_text(rng):
     kind = rng.random()
     if kind < 0.1:
@@ -42,24 +25,34 @@ def random_text(rng):
     return rng.choice([" ", "  ", "\t", "\n"]).join(words)
 
 
+def _duck_with(name, pdf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register(name, pdf)
+    return con
+
+
 @pytest.mark.parametrize("k,skew", [(3, SkewConfig()), (0, SkewConfig()), (3, SkewConfig(hot_key_rows=5, block_span=4)),
                                     (8, SkewConfig(hot_key_rows=5, block_span=3))])
-def test_random_conversations_match_python(spark, k, skew):
+def test_random_conversations_match_sql_oracle(spark, k, skew):
+    """Random conversations: the Spark generator against the DuckDB oracle SQL on the same rows."""
+    import pandas as pd
+
+    from chatsift.config import DEFAULT_SYSTEM_PROMPT
+    from chatsift.plans.oracles import multi_turn_sql
+    from chatsift.plans.present import example_view
+    from oracle_harness import compare
+
     rng = random.Random(100 + k)
-    convs = {}
     rows = []
     for conv_id in range(60):
-        turns = [(t, rng.choice(ROLES), random_text(rng)) for t in range(rng.randint(0, 25))]
-        convs[conv_id] = turns
-        rows += [(conv_id, t, r, x) for t, r, x in turns]
+        rows += [(conv_id, t, rng.choice(ROLES), random_text(rng)) for t in range(rng.randint(0, 25))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    ex = conversation_examples(df, system_prompt=SP, source="t", k=k, skew=skew)
-    got = {
-        (r.conv_id, r.turn): [(m.role, m.content) for m in r.prompt] + [("=>", r.completion[0].content)]
-        for r in ex.collect()
-    }
-    want = expected(convs, k)
-    assert got == want and len(want) > 20
+    ex = conversation_examples(df, system_prompt=DEFAULT_SYSTEM_PROMPT, source="conversations:chat", k=k, skew=skew)
+    con = _duck_with("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    res = compare(example_view(ex, ("conv_id", "turn")), con, multi_turn_sql(k))
+    assert res["cols_match"] and res["hash_match"] and res["rows"][0] == res["rows"][1] > 20, res
 
 
 def expected_sessions(events, max_turns=6):
@@ -128,60 +121,6 @@ def test_random_sessions_stream_matches_python(spark, tmp_path):
     assert got == expected_sessions(events)
 
 
-def _valid(text):
-    return 2 <= len(text) <= 1200
-
-
-def _make_example(prompt, completion):
-    if not prompt or not completion:
-        return None
-    def clean(msgs, allowed):
-        out = []
-        for m in msgs:
-            r = str(m.get("role", "")).strip().lower() if m.get("role") is not None else ""
-            c = py_normalize(m.get("content", ""))
-            if r in allowed and c:
-                out.append((r, c))
-        return out
-    cp = clean(prompt, ("system", "user", "assistant"))
-    cc = clean(completion, ("assistant",))
-    users = [c for r, c in cp if r == "user"]
-    if not cp or not cc or not users or not _valid(users[-1]) or not _valid(cc[0][1]):
-        return None
-    return cp, cc
-
-
-def expected_jsonl(items, k):
-    out = set()
-    for line_id, item in items:
-        if "prompt" in item and "completion" in item:
-            cands = [_make_example(item["prompt"], item["completion"])]
-        elif "input" in item and "output" in item:
-            cands = [_make_example([{"role": "system", "content": SP}, {"role": "user", "content": item["input"]}],
-                                   [{"role": "assistant", "content": item["output"]}])]
-        elif "user" in item and "assistant" in item:
-            cands = [_make_example([{"role": "system", "content": SP}, {"role": "user", "content": item["user"]}],
-                                   [{"role": "assistant", "content": item["assistant"]}])]
-        elif "messages" in item:
-            history, cands = [], []
-            for m in item["messages"] or []:
-                r = str(m.get("role", "")).strip().lower() if m.get("role") is not None else ""
-                c = py_normalize(m.get("content", ""))
-                if r not in ("user", "assistant") or not c:
-                    continue
-                if r == "assistant" and history and history[-1][0] == "user":
-                    ctx = history[-k:] if k > 0 else list(history)
-                    ok = _valid(ctx[-1][1]) and _valid(c)
-                    cands.append(([("system", SP)] + ctx, [("assistant", c)]) if ok else None)
-                history.append((r, c))
-        else:
-            cands = []
-        for sub, ex in enumerate(cands):
-            if ex is not None:
-                out.add((line_id, sub, tuple(ex[0]), tuple(ex[1])))
-    return out
-
-
 def random_item(rng):
     def msgs():
         return [{"role": rng.choice(ROLES), "content": random_text(rng)} for _ in range(rng.randint(0, 7))]
@@ -197,19 +136,33 @@ def random_item(rng):
     return item
 
 
-def test_random_jsonl_lines_match_python(spark):
+def test_random_jsonl_lines_match_sql_oracle(spark):
+    """Random JSON objects: shape dispatch and examples against the DuckDB oracle SQL."""
     import json
 
+    import pandas as pd
+
+    from chatsift.config import DEFAULT_SYSTEM_PROMPT
+    from chatsift.plans import sqltext as q
+    from chatsift.plans.oracles import jsonl_examples_sql, jsonl_shape_sql
     from chatsift.sources.custom import jsonl_examples
+    from oracle_harness import compare
 
     rng = random.Random(23)
-    items = [(i, random_item(rng)) for i in range(400)]
-    df = spark.createDataFrame([(i, json.dumps(it)) for i, it in items], "line_id long, value string")
-    ex = jsonl_examples(df, system_prompt=SP, k=3, source="t")
-    got = {(r.line_id, r.sub, tuple((m.role, m.content) for m in r.prompt), tuple((m.role, m.content) for m in r.completion))
-           for r in ex.collect()}
-    want = expected_jsonl(items, 3)
-    assert got == want and len(want) > 50
+    lines = [(i, json.dumps(random_item(rng))) for i in range(400)]
+    df = spark.createDataFrame(lines, "line_id long, value string")
+    ex = jsonl_examples(df, system_prompt=DEFAULT_SYSTEM_PROMPT, k=8, source="t")
+    view = ex.select(F.col("line_id"), F.col("sub").cast("long").alias("sub"), "shape",
+                     F.expr("array_join(transform(prompt, m -> concat(m.role, chr(31), m.content)), chr(30))")
+                     .alias("prompt_text"),
+                     F.expr("array_join(transform(completion, m -> concat(m.role, chr(31), m.content)), chr(30))")
+                     .alias("completion_text"))
+    con = _duck_with("rlines", pd.DataFrame(lines, columns=["line_id", "value"]))
+    sql = f"""SELECT CAST(line_id AS BIGINT) AS line_id, CAST(sub AS BIGINT) AS sub, shape,
+                     {q.render('prompt')} AS prompt_text, {q.render('completion')} AS completion_text
+              FROM ({jsonl_examples_sql(jsonl_shape_sql('SELECT line_id, value FROM rlines'))})"""
+    res = compare(view, con, sql)
+    assert res["cols_match"] and res["hash_match"] and res["rows"][0] == res["rows"][1] > 50, res
 
 
 def test_random_requests_match_python(spark):
