@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatsift.config import SkewConfig
-from chatsift.functions.messages import message
 from chatsift.operators.context import array_examples, conversation_examples, trailing_context
 from chatsift.operators.skew import HotKeys
 

@@ -1,7 +1,6 @@
 """Golden cases from FIXTURES.md sections 2.2, 2.4, 2.5 and 2.6."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F

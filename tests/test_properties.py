@@ -2,7 +2,7 @@
 form of the conversation generator equals the turn-row form, and sample/split are consistent."""
 
 import pytest
-from pyspark.sql import Window
+
 from pyspark.sql import functions as F
 
 from conftest import SF01
