@@ -46,13 +46,13 @@ def _positions(df: DataFrame) -> DataFrame:
     )
 
 
-def _pair_csv_reader(spark: SparkSession, mode: str):
-    return spark.read.options(header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode=mode,
+def _pair_csv_reader(spark: SparkSession, mode: str, multi_line: bool = True):
+    return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8", mode=mode,
                               columnNameOfCorruptRecord="_corrupt")
 
 
 def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header: bool = True,
-                  on_malformed: str = "quarantine") -> DataFrame:
+                  on_malformed: str = "quarantine", multi_line: bool = True) -> DataFrame:
     """Read RFC-4180 CSV files with header ``input,output`` (BOM, case and edge spaces tolerated).
 
     Returns ``input, output, file_name, block, pos``; pandas' missing-value tokens become null.
@@ -60,6 +60,9 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
     reordered header ...) instead of mapping columns by position silently. Rows with a wrong
     number of fields get no texts (``quarantine``; listed by ``malformed_pair_rows``) or fail the
     job (``failfast``); a short row would have lost its output and been dropped anyway.
+
+    ``multi_line=True`` (exact for quoted newlines) reads each file in one task; a caller who knows
+    no field contains a newline can pass ``False`` so large files split across tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if check_header:
@@ -68,10 +71,11 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
             if not header_ok(line):
                 raise SchemaError(f"{p}: expected header 'input,output', found {line[:80]!r}")
     if on_malformed == "failfast":
-        df = _pair_csv_reader(spark, "FAILFAST").schema("input string, output string").csv(paths)
+        df = _pair_csv_reader(spark, "FAILFAST", multi_line).schema("input string, output string").csv(paths)
         ok = F.lit(True)
     elif on_malformed == "quarantine":
-        df = _pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string").csv(paths)
+        df = (_pair_csv_reader(spark, "PERMISSIVE", multi_line)
+              .schema("input string, output string, _corrupt string").csv(paths))
         ok = F.col("_corrupt").isNull()
     else:
         raise ValueError(f"unknown on_malformed {on_malformed!r}")

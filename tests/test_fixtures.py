@@ -248,3 +248,11 @@ def test_csv_field_count_quarantine(spark, tmp_path):
     assert sorted(bad) == ["c,d,extra", "short"]
     with pytest.raises(Exception):
         read_pair_csv(spark, str(p), on_malformed="failfast").collect()
+
+
+def test_single_line_csv_mode_reads_the_same_rows(spark, tmp_path):
+    p = tmp_path / "big.csv"
+    _write(p, "input,output\n" + "".join(f'"q {i}, ok","a {i}"\n' for i in range(500)))
+    a = sorted(map(tuple, read_pair_csv(spark, str(p)).select("input", "output").collect()))
+    b = sorted(map(tuple, read_pair_csv(spark, str(p), multi_line=False).select("input", "output").collect()))
+    assert a == b and len(a) == 500
