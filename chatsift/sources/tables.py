@@ -12,6 +12,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def load_source(spark: SparkSession, ref: str, fmt: str | None = None, schema: str | None = None) -> DataFrame:
+    """A named dataset for the build: a catalog table (``db.table``) or a path/glob of Parquet,
+    JSON lines or CSV (with header) files; the format comes from ``fmt`` or the file extension.
+    Give ``schema`` for JSON/CSV to avoid an inference pass over the data."""
+    if fmt is None and "/" not in ref and "." in ref and not ref.endswith((".parquet", ".json", ".jsonl", ".csv")):
+        return spark.table(ref)
+    kind = fmt or ("json" if ref.endswith((".json", ".jsonl")) else "csv" if ref.endswith(".csv") else "parquet")
+    reader = spark.read.schema(schema) if schema else spark.read
+    if kind == "csv":
+        return reader.options(header=True, multiLine=True, quote='"', escape='"').csv(ref)
+    if kind == "json":
+        return reader.json(ref)
+    return reader.parquet(ref)
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

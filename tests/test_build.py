@@ -92,3 +92,15 @@ def test_turn_pairs_source(spark):
     res = build_dataset(spark, BuildConfig(cap_turn_pairs=20), Sources(turn_pairs=(tp, "id")), write=False)
     before = {r.source: r.n for r in res.counts_before.collect()}
     assert before["turn_pairs"] <= 20 and res.total == before["turn_pairs"]
+
+
+def test_load_source_formats(spark, tmp_path):
+    from conftest import SF01
+
+    from chatsift.sources.tables import load_source
+
+    assert load_source(spark, f"{SF01}/conversations.parquet").count() > 0
+    _write(tmp_path / "p.jsonl", '{"input": "a question", "output": "an answer"}\n')
+    assert load_source(spark, str(tmp_path / "p.jsonl"), schema="input string, output string").count() == 1
+    _write(tmp_path / "p.csv", "input,output\nq,a\n")
+    assert load_source(spark, str(tmp_path / "p.csv")).columns == ["input", "output"]
