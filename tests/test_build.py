@@ -104,3 +104,17 @@ def test_load_source_formats(spark, tmp_path):
     assert load_source(spark, str(tmp_path / "p.jsonl"), schema="input string, output string").count() == 1
     _write(tmp_path / "p.csv", "input,output\nq,a\n")
     assert load_source(spark, str(tmp_path / "p.csv")).columns == ["input", "output"]
+
+
+def test_jsonl_line_format(spark, tmp_path):
+    import glob
+
+    from chatsift.sinks.jsonl import write_jsonl
+    from chatsift.sources.tables import pair_examples
+
+    df = spark.createDataFrame([(1, "héllo there", "ça va bien")], "id long, input string, output string")
+    ex = pair_examples(df, "input", "output", system_prompt="sys", source="s")
+    write_jsonl(ex, str(tmp_path / "out"))
+    line = [ln for f in glob.glob(str(tmp_path / "out" / "part-*")) for ln in open(f, encoding="utf-8")][0].strip()
+    assert line == ('{"prompt":[{"role":"system","content":"sys"},{"role":"user","content":"héllo there"}],'
+                    '"completion":[{"role":"assistant","content":"ça va bien"}],"source":"s"}')
