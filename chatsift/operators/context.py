@@ -8,9 +8,10 @@ resets = reset commands).
 Plan shape: one hash exchange on the key (plus block for heavy hitters); the running counts and
 the bounded RANGE frame (or, for the whole history, an unbounded frame per reset epoch) are
 computed by Window operators on that same partitioning. For hot keys each block also needs the
-items that precede it (the halo): a per-block summary (its last ``k`` items, or all of them, after
-its last reset) is aggregated on the same partitioning, a small window over the summaries of each
-key folds them, and the result is joined back on (key, block).
+items that precede it (the halo). Then the windowed rows are written once; a per-block summary
+(its last ``k`` items, or all of them, after its last reset, taken from the block's last row) is
+folded by a small window over the summaries of each key, and only the head of each block (rows
+whose in-block context is not yet full) is joined with it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from chatsift.functions.messages import empty_messages, last_n, message
 from chatsift.functions.text import clean_role, is_valid_length, normalize_text
 from chatsift.operators.skew import BLOCK, HotKeys, hot_keys, with_blocks
 
-_TMP = ("_isit", "_it", "_rs", "_ep", "_nb", "_o", "_cin", "_cafter", "_halo")
+_TMP = ("_isit", "_it", "_rs", "_ep", "_nb", "_o", "_cin", "_halo")
 
 
 def trailing_context(
@@ -71,7 +72,7 @@ def trailing_context(
     d = d.withColumns(running)  # one projection, so both running sums share one Window operator
     if k > 0 and simple:
         w_seq = Window.partitionBy(*part).orderBy(seq)
-        frame_before, frame_through = w_seq.rowsBetween(-k, -1), w_seq.rowsBetween(-(k - 1), 0)
+        frame_before = w_seq.rowsBetween(-k, -1)
         d = d.withColumn("_cin", F.collect_list("_it").over(frame_before))
     elif k > 0:
         # items sit on even values 2*(n+1), other rows on odd values 2*n+1, and each reset adds a
@@ -81,7 +82,7 @@ def trailing_context(
             F.col("_ep") * F.lit(2 * k + 2) + F.col("_nb") * 2 + F.when(F.col("_isit"), 2).otherwise(1),
         )
         w_o = Window.partitionBy(*part).orderBy("_o")
-        frame_before, frame_through = w_o.rangeBetween(-2 * k, -1), w_o.rangeBetween(-(2 * k - 1), 0)
+        frame_before = w_o.rangeBetween(-2 * k, -1)
         d = d.withColumn("_cin", F.collect_list("_it").over(frame_before))
     else:
         # whole history since the last reset (quadratic output by definition)
@@ -91,20 +92,20 @@ def trailing_context(
         return d.withColumnRenamed("_cin", out).drop(*[c for c in _TMP if c in d.columns])
 
     item_type = d.schema["_it"].dataType.simpleString()
-    if k > 0:
-        with_after = d.withColumn("_cafter", F.collect_list("_it").over(frame_through))
-        summary = with_after.groupBy(*part).agg(F.max_by("_cafter", seq).alias("_tail"), F.max("_rs").alias("_hr"))
-    else:
-        # all items of the block's last epoch, in order (a block holds at most `span` rows)
-        entries = F.collect_list(F.when(F.col("_isit"), F.struct(F.col("_ep").alias("e"), F.col(seq).alias("s"),
-                                                                   F.col("_it").alias("it"))))
-        summary = d.groupBy(*part).agg(F.max("_ep").alias("_last_ep"), entries.alias("_all"),
-                                       F.max("_rs").alias("_hr"))
-        summary = summary.select(
-            *part, "_hr",
-            F.transform(F.filter(F.array_sort("_all"), lambda x: x["e"] == F.col("_last_ep")),
-                        lambda x: x["it"]).alias("_tail"),
-        )
+    empty = F.array().cast(f"array<{item_type}>")
+    # Hot keys exist, so the data is large: write the windowed rows once; the block summaries and
+    # the output both read that table instead of repeating the scan and the big shuffle.
+    from chatsift.session import materialize
+
+    d = materialize(d, "context-blocks")
+    # A block's tail (its last k items after its last reset, or all of them when k == 0) follows
+    # from its last row: that row's context plus its own item, or nothing if it is a reset.
+    last = d.groupBy(*part).agg(
+        F.max_by(F.struct("_cin", "_it", "_isit", "_rs"), seq).alias("_last"), F.max("_rs").alias("_hr"))
+    own = F.when(F.col("_last._isit"), F.array(F.col("_last._it"))).otherwise(empty)
+    through_last = F.concat(F.col("_last._cin"), own)
+    tail = F.when(F.col("_last._rs"), empty).otherwise(last_n(through_last, k) if k > 0 else through_last)
+    summary = last.select(*part, "_hr", tail.alias("_tail"))
     # Context after each significant block (one with items or a reset): fold the significant blocks
     # up to it (the last k of them when k > 0; they hold >= k items), starting at the latest reset.
     significant = summary.where((F.size("_tail") > 0) | F.col("_hr"))
@@ -126,10 +127,16 @@ def trailing_context(
         .join(after, on=part, how="left")
         .select(*part, F.last("_after", ignorenulls=True).over(w_prev).alias("_halo"))
     )
-    joined = d.join(halo, on=part, how="left")
-    with_halo = F.concat(F.coalesce(F.col("_halo"), F.array().cast(f"array<{item_type}>")), F.col("_cin"))
-    ctx = F.when(F.col("_ep") == 0, last_n(with_halo, k) if k > 0 else with_halo).otherwise(F.col("_cin"))
-    return joined.withColumn(out, ctx).drop(BLOCK, *[c for c in _TMP if c in joined.columns])
+    # Only rows whose in-block context is not yet full (epoch 0, before the block's k-th item; all of
+    # epoch 0 when k == 0) need the halo: that block head is joined, the rest pass unchanged, so the
+    # big table is not shuffled again.
+    needs_halo = (F.col("_ep") == 0) & ((F.size("_cin") < k) if k > 0 else F.lit(True))
+    head = d.where(needs_halo).join(halo, on=part, how="left")
+    with_halo = F.concat(F.coalesce(F.col("_halo"), empty), F.col("_cin"))
+    head = head.withColumn(out, last_n(with_halo, k) if k > 0 else with_halo)
+    rest = d.where(~needs_halo).withColumn(out, F.col("_cin"))
+    temps = [BLOCK, *[c for c in _TMP if c in head.columns]]
+    return head.drop(*temps).unionByName(rest.drop(*[c for c in temps if c in rest.columns]))
 
 
 def conversation_examples(
