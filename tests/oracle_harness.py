@@ -52,3 +52,35 @@ def compare(spark_df, con, sql):
         "hash_match": s_hash == d_hash,
         "first_diff": next(((a, b) for a, b in zip(s_lines, d_lines) if a != b), None),
     }
+
+
+def main(argv: list[str]) -> int:
+    """``python tests/oracle_harness.py SF_DIR [QUERY ...]``: run registered queries against their
+    oracles and print one line per query; exit status 1 if any differs."""
+    import os
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sys.path.insert(0, root)
+    import __spark_entry__ as entry_mod
+    from chatsift.session import local_session
+
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    queries, oracles = entry_mod.queries(), entry_mod.oracle_sql()
+    names = argv[1:] or sorted(queries)
+    spark = local_session(8)
+    con = duck(sf_dir)
+    failed = 0
+    for name in names:
+        res = compare(queries[name](spark, sf_dir), con, oracles[name])
+        ok = res["cols_match"] and res["hash_match"] and res["rows"][0] == res["rows"][1]
+        failed += not ok
+        print(f"{'OK  ' if ok else 'DIFF'} {name} rows={res['rows']}", flush=True)
+    spark.stop()
+    return 1 if failed else 0
+
+
+if __name__ == "__main__":
+    import sys
+
+    raise SystemExit(main(sys.argv[1:]))
