@@ -3,7 +3,9 @@ seeded exact split -> JSONL splits + report.
 
 Shuffles of the full data: the per-conversation exchange of the multi-turn generator, the
 signature aggregation of the dedup (partially aggregated map-side) and, when the output is
-shuffled, one hash repartition before writing. Counts and thresholds are small aggregate jobs.
+shuffled, one hash repartition before writing. Counts and thresholds are small aggregate jobs;
+per-source caps (the original's row limits, applied to raw rows before validation; conversations
+are counted as conversations) are seeded exact samples, skipped for the "unlimited" cap value.
 The source union and the deduplicated set are written as tables in the shared checkpoint folder:
 each is computed once, the counts, split passes and writers re-read them, and a lost executor
 re-reads a table instead of recomputing the lineage.
