@@ -8,8 +8,8 @@ from oracle_harness import compare, duck
 
 import __spark_entry__ as entry_mod
 
-QUERIES = entry_mod.queries()
-ORACLES = entry_mod.oracle_sql()
+from chatsift.plans.oracles import ORACLES
+from chatsift.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +19,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLES) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
