@@ -2,6 +2,50 @@
 
 _WORDS = r"""regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_BLOCKS = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
+           "head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul")
+
+
+def _warc() -> str:
+    uuid = lambda x: (f"'<urn:uuid:' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-' || substr({x}, 13, 4) || '-' "
+                      f"|| substr({x}, 17, 4) || '-' || substr({x}, 21, 12) || '>'")
+    text = r"regexp_replace(payload, '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'gis')"
+    text = rf"regexp_replace({text}, '[ \t\r\n\f]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '</?(?:{_BLOCKS})\b[^>]*>', chr(10), 'gi')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for ref, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"),
+                      ("&apos;", "chr(39)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{ref}', {char})"
+    text = rf"regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, ' +', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    lang = r"""nullif(lower(regexp_extract(payload, '(?i)<html\b[^>]*\blang=["'']?([a-z]+)', 1)), '')"""
+    return f"""
+WITH src AS (SELECT page_id, url, coalesce(html, '') AS payload,
+  md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS m FROM pages),
+p AS (SELECT page_id, url, payload, {uuid('m')} AS refers_to, 'sha256:' || sha256(payload) AS payload_digest,
+  {text} AS text FROM src),
+b AS (
+  SELECT page_id, url, refers_to, payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+    'sourcePayloadDigest: ' || payload_digest || chr(13) || chr(10) || 'sourceContentLength: ' || strlen(payload) || chr(13) || chr(10)
+    || 'sourceContentType: text/html; charset=utf-8' || chr(13) || chr(10)
+    || coalesce('language: ' || {lang} || chr(13) || chr(10), '')
+    || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref')) || chr(13) || chr(10)
+    || 'textLength: ' || strlen(text) || chr(13) || chr(10) AS block FROM p
+  UNION ALL
+  SELECT page_id, url, refers_to, payload_digest, 'conversion', 'text/plain; charset=utf-8', text FROM p),
+r AS (SELECT *, md5(warc_type || '|' || refers_to) AS m, strlen(block) AS content_length,
+  'sha256:' || sha256(block) AS block_digest, '2024-01-01T00:00:00Z' AS date FROM b),
+i AS (SELECT *, {uuid('m')} AS record_id FROM r)
+SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, date, content_type,
+  CAST(content_length AS BIGINT) AS content_length, block_digest, payload_digest, block,
+  concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id,
+    'WARC-Refers-To: ' || refers_to, 'WARC-Refers-To-Target-URI: ' || url, 'WARC-Refers-To-Date: ' || date,
+    'WARC-Target-URI: ' || url, 'WARC-Date: ' || date, 'WARC-Block-Digest: ' || block_digest,
+    'WARC-Source-Payload-Digest: ' || payload_digest, 'Content-Type: ' || content_type,
+    'Content-Length: ' || content_length) || chr(13) || chr(10) || chr(13) || chr(10) || block AS record
+FROM i"""
+
+
 ORACLES = {
     "op1_decontamination": f"""
 WITH iw AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
@@ -22,4 +66,30 @@ SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op2_mixing": """
+WITH RECURSIVE k AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s,
+    md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+w AS (SELECT s, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS w FROM k GROUP BY s),
+t AS (SELECT s, w, sum(w) OVER () AS total, count(*) OVER () AS n, greatest(1000, 10 * count(*) OVER ()) AS p FROM w),
+b AS (SELECT *, 1 + w * (p - n) // total AS low, (w * (p - n)) % total AS rest FROM t),
+sh AS (SELECT s, CAST(p AS BIGINT) AS p, CAST(low + CASE WHEN row_number() OVER (ORDER BY rest DESC, s)
+  <= p - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS a FROM b),
+al AS (SELECT list(a ORDER BY s) AS a, list(s ORDER BY s) AS names, max(p) AS p FROM sh),
+edf(t, c, pick) AS (
+  SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN a], CAST(NULL AS BIGINT) FROM al
+  UNION ALL
+  SELECT t + 1, [CASE WHEN i = best THEN c[i] + 1 ELSE c[i] END FOR i IN generate_series(1, len(c))], best FROM (
+    SELECT t, c, list_min([CASE WHEN (c[i] * p) // a[i] <= t THEN ((c[i] + 1) * p + a[i] - 1) // a[i] * 1000000 + i
+      ELSE 9000000000000000000 END FOR i IN generate_series(1, len(c))]) % 1000000 AS best
+    FROM edf, al WHERE t < p)),
+slots AS (SELECT names[pick] AS s, t - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+  FROM edf, al WHERE pick IS NOT NULL),
+r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY key) - 1 AS nth FROM k),
+bl AS (SELECT doc_id, source, r.s, nth // 64 AS block, nth % 64 AS rank, a, p FROM r JOIN sh ON r.s = sh.s)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(rank AS BIGINT) AS rank,
+  CAST((block // a) * p + at AS BIGINT) AS slot, CAST((block * p) // a AS BIGINT) AS release,
+  CAST(((block + 1) * p + a - 1) // a AS BIGINT) AS deadline
+FROM bl JOIN slots ON bl.s = slots.s AND bl.block % bl.a = slots.turn""",
+    "op6_warc": _warc(),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm import decontamination, simhash
+from chatsift.llm import decontamination, embedding_dedup, hmm_lm, html_diff, language_id, mixing, pii_crf, simhash, suffix_dedup, warc
 from chatsift.llm.common import table
 
 
@@ -16,12 +16,62 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in (
+        "block", "rank", "slot", "release", "deadline")])
+
+
+def op3_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_crf.find_spans(docs, pii_crf.fit(pii_crf.labelled_runs(docs)))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), ("page_id",))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.page_languages(table(spark, sf_dir, "pages"))
+    return found.withColumn("rejected", language_id.rejected())
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.main_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
+    "op3_hmm_scoring": op3_hmm_scoring,
+    "op4_pii": op4_pii,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
+    "op9_language_id": op9_language_id,
+    "op10_html_text": op10_html_text,
 }
