@@ -25,20 +25,24 @@ from pyspark.sql import functions as F
 
 from chatsift.llm.common import ascii_lower, stage
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of a text whose A-Z are still upper case
+# one character per entry, not ranges: such a class is a single table lookup per character
+SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+_ENUM = "".join(f"\\x{ord(c):02x}" for c in SEPARATORS)
+WORD, GAP = f"[^{_ENUM}]+", f"[{_ENUM}]+"  # of a text whose A-Z are still upper case
 WINDOW = 10
 TERM_BLOCK = 200_000
 
 
 def raw_words(text):
-    """Words of a text, A-Z as they are. Null and empty texts have none."""
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words of a text, A-Z as they are, with an empty last entry after a closing separator. Null has
+    none; splitting is about twice as fast as extracting matches."""
+    return F.coalesce(F.split(F.ltrim(text, F.lit(SEPARATORS)), GAP), F.array().cast("array<string>"))
 
 
 def phrase_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, phrase array): all runs of ``window`` words; a shorter item is one run."""
     words = items.select(F.col(id_col).alias("item_id"),
-                         F.transform(raw_words(F.col(text_col)), ascii_lower).alias("w")).where(F.size("w") > 0)
+                         F.transform(F.filter(raw_words(F.col(text_col).cast("string")), lambda w: w != ""), ascii_lower).alias("w")).where(F.size("w") > 0)
     at = words.select("item_id", "w", F.explode(
         F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))).alias("s"))
     return at.select("item_id", F.slice("w", F.col("s") + 1, F.least(F.size("w"), F.lit(window))).alias("phrase"))
