@@ -177,12 +177,13 @@ def identify(rows: DataFrame, keep: list[str], text: str, declared, suffix, host
         domain = (F.col("domain_n")[i] - own(i) + prior_weight * overall[i]) / (domain_total - mine + prior_weight)
         prior = (F.col("host_n")[i] - own(i) + prior_weight * domain) / (host_total - mine + prior_weight)
         parts.append(F.col("ll")[i] + likely + F.log(prior))
-    post = out.withColumn("lp", F.array(*parts)).withColumn("top", F.array_max("lp"))
-    best = (F.array_position("lp", F.col("top")) - 1).cast("int")
+    # the best term and its language are found together: terms computed twice may differ in the last bit
+    scored_langs = F.array(*[F.struct(x.alias("lp"), F.lit(-i).alias("at")) for i, x in enumerate(parts)])
+    post = out.withColumn("lps", scored_langs).withColumn("top", F.array_max("lps"))
     return post.select(
-        "kept.*", names[best].alias("lang"),
-        (1.0 / F.aggregate("lp", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("probability"),
-        names[F.col("vote")].alias("text_lang"), "declared", "n_bytes")
+        "kept.*", F.get(names, -F.col("top.at")).alias("lang"),
+        (1.0 / F.aggregate("lps", F.lit(0.0), lambda a, x: a + F.exp(x["lp"] - F.col("top.lp")))).alias("probability"),
+        F.get(names, F.col("vote")).alias("text_lang"), "declared", "n_bytes")
 
 
 def page_languages(pages: DataFrame) -> DataFrame:
