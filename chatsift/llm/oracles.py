@@ -29,7 +29,7 @@ b AS (
     'sourcePayloadDigest: ' || payload_digest || chr(13) || chr(10) || 'sourceContentLength: ' || strlen(payload) || chr(13) || chr(10)
     || 'sourceContentType: text/html; charset=utf-8' || chr(13) || chr(10)
     || coalesce('language: ' || {lang} || chr(13) || chr(10), '')
-    || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref')) || chr(13) || chr(10)
+    || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\\b[^>]*\\bhref')) || chr(13) || chr(10)
     || 'textLength: ' || strlen(text) || chr(13) || chr(10) AS block FROM p
   UNION ALL
   SELECT page_id, url, refers_to, payload_digest, 'conversion', 'text/plain; charset=utf-8', text FROM p),
@@ -83,12 +83,12 @@ edf(t, c, pick) AS (
     SELECT t, c, list_min([CASE WHEN (c[i] * p) // a[i] <= t THEN ((c[i] + 1) * p + a[i] - 1) // a[i] * 1000000 + i
       ELSE 9000000000000000000 END FOR i IN generate_series(1, len(c))]) % 1000000 AS best
     FROM edf, al WHERE t < p)),
-slots AS (SELECT names[pick] AS s, t - 1 AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+slots AS (SELECT names[pick] AS s, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
   FROM edf, al WHERE pick IS NOT NULL),
 r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY key) - 1 AS nth FROM k),
 bl AS (SELECT doc_id, source, r.s, nth // 64 AS block, nth % 64 AS rank, a, p FROM r JOIN sh ON r.s = sh.s)
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(rank AS BIGINT) AS rank,
-  CAST((block // a) * p + at AS BIGINT) AS slot, CAST((block * p) // a AS BIGINT) AS release,
+  CAST((block // a) * p + place AS BIGINT) AS slot, CAST((block * p) // a AS BIGINT) AS release,
   CAST(((block + 1) * p + a - 1) // a AS BIGINT) AS deadline
 FROM bl JOIN slots ON bl.s = slots.s AND bl.block % bl.a = slots.turn""",
     "op6_warc": _warc(),
