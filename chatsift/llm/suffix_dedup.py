@@ -44,7 +44,7 @@ GRAM = 128
 CHUNK = 1 << 20
 GROUP_LIMIT = 200
 PIECES = (32, 4, 1)
-BROADCAST_DOCS = 300_000  # lists of at most so many documents are broadcast, joined by a shuffle beyond
+BROADCAST_ITEMS = 500_000  # lists of at most so many items in all are broadcast, joined by a shuffle beyond
 
 _RNG = np.random.default_rng(42)
 _BYTE = _RNG.integers(0, 2**64, size=256, dtype=np.uint64)
@@ -259,7 +259,7 @@ def _repeats(length: int):
     return run
 
 
-def _settle(found: DataFrame, length: int, name: str, level: int):
+def _settle(found: DataFrame, length: int, name: str):
     """From stretches (h, c1, c2, n, ...): intervals of those that occur twice, and the members of
     groups in which single stretches remain, one row per different stretch."""
     keys = ["h", "c1", "c2"]
@@ -273,9 +273,10 @@ def _settle(found: DataFrame, length: int, name: str, level: int):
     return twice, rest
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with one list per text; the lists are broadcast while they are few."""
-    few = lists.count() <= BROADCAST_DOCS
+def _with_lists(docs: DataFrame, lists: DataFrame, items: str, how: str) -> DataFrame:
+    """``docs`` joined with one list per text; the lists are broadcast while all of them together are
+    small (items of at most 48 bytes)."""
+    few = (lists.agg(F.sum(F.size(items))).first()[0] or 0) <= BROADCAST_ITEMS
     return docs.join(F.broadcast(lists) if few else lists, ["d", "x"], how)
 
 
@@ -286,10 +287,11 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
     found = stage(docs.mapInArrow(
         _anchors(length, gram), "d long, x long, a long, lo long, hi long, h long, c1 long, c2 long").withColumn(
         "n", F.lit(1).cast("long")), "stretches")
-    out, rest = _settle(found, length, "stretch", 0)
+    twice, rest = _settle(found, length, "stretch")
+    out = stage(twice, "intervals")
     wanted = stage(rest.groupBy("d", "x").agg(F.collect_list(F.struct(
         "h", "a", "lo", "hi", "n", "size")).alias("parts")), "wanted")
-    cut = _with_lists(docs, wanted, "inner").select("d", "x", "text", "parts").mapInArrow(
+    cut = _with_lists(docs, wanted, "parts", "inner").select("d", "x", "text", "parts").mapInArrow(
         _cut(length), "d long, x long, h long, a long, lo long, hi long, n long, bytes binary")
     members = stage(cut.withColumn("from", F.col("lo")).join(
         rest.groupBy("h").agg(F.first("size").alias("size")), "h"), "members")
@@ -297,7 +299,7 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
         small = members.where(F.col("size") <= GROUP_LIMIT)
         spans = small.select("h", "a", "lo", "hi", "n", "from", "d", "x", "bytes").repartition("h").sortWithinPartitions(
             "h").mapInArrow(_repeats(length), "d long, x long, begin long, end long")
-        out = out.unionByName(spans)
+        out = out.unionByName(stage(spans, "intervals"))
         large = members.where(F.col("size") > GROUP_LIMIT)
         if size is None or large.isEmpty():
             break
@@ -305,9 +307,9 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM)
             f"substring(bytes, cast(lo - `from` + 1 as int), cast(hi - lo + {length} as int))").alias("bytes")).mapInArrow(
             _finer(length, size), "d long, x long, a long, n long, bytes binary, `from` long, lo long, hi long, "
             "h long, c1 long, c2 long"), "finer")
-        twice, members = _settle(finer, length, "finer", size)
+        twice, members = _settle(finer, length, "finer")
         members = stage(members, "members")
-        out = out.unionByName(twice)
+        out = out.unionByName(stage(twice, "intervals"))
     return out
 
 
@@ -345,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumns({
             # a text is known by its id and a digest: rows equal in both have equal results
             "d": F.xxhash64("doc_id"), "x": F.xxhash64("text")})
-    spans = stage(repeated_intervals(rows.select("d", "x", "text"), length, gram), "intervals")
+    spans = repeated_intervals(rows.select("d", "x", "text"), length, gram)
     lists = stage(spans.groupBy("d", "x").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "interval-lists")
-    return _with_lists(rows, lists, "left").select("doc_id", "text", "spans").mapInArrow(
+    return _with_lists(rows, lists, "spans", "left").select("doc_id", "text", "spans").mapInArrow(
         _remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

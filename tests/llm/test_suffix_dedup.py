@@ -72,7 +72,7 @@ def test_buffers_cut_long_texts(spark, monkeypatch):
 
 
 def test_shuffled_lists_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_DOCS", -1)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ITEMS", -1)
     check(spark, corpus(4), 40, 8)
 
 
