@@ -16,7 +16,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chatsift.session import local_session  # noqa: E402
+from chatsift.session import local_session, release_scratch  # noqa: E402
 
 HEADLINE = [
     "examples_multi_turn",
@@ -46,6 +46,15 @@ HEADLINE = [
     "session_context_batch",
     "session_context_stream",
     "last_user_first_reply",
+    "rejected_rows",
+    "custom_directory_rejects",
+    "six_source_counts",
+    "examples_turn_pairs",
+    "capped_build",
+    "split_summary",
+    "history_clip",
+    "model_choice",
+    "session_from_now",
 ]
 
 
@@ -57,7 +66,7 @@ def build_throughput(spark, sf_dir: str, target_pairs: int) -> dict:
 
     from pyspark.sql import functions as F
 
-    from chatsift.config import NO_CAP, BuildConfig
+    from chatsift.config import BuildConfig
     from chatsift.plans.build import Sources, build_dataset
     from chatsift.plans.derive import adjacent_pairs
     from chatsift.session import scratch_path
@@ -69,12 +78,12 @@ def build_throughput(spark, sf_dir: str, target_pairs: int) -> dict:
     replicated = pairs.select(
         "conv_id", "turn", "input", "output", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     ).select(
-        (F.col("rep").cast("long") * 1_000_000_000 + F.col("conv_id") * 1_000 + F.col("turn")).alias("pair_key"),
+        F.concat_ws(":", "rep", "conv_id", "turn").alias("pair_key"),
         F.concat("input", F.lit(" #"), F.col("rep").cast("string")).alias("input"),
         F.concat("output", F.lit(" #"), F.col("rep").cast("string")).alias("output"),
     )
     n_in = base * reps
-    cfg = BuildConfig(output_dir=scratch_path(spark, "bench-build"), cap_pairs=NO_CAP)
+    cfg = BuildConfig(output_dir=scratch_path(spark, "bench-build"))
     t0 = time.perf_counter()
     res = build_dataset(spark, cfg, Sources(pairs=(replicated, "pair_key")))
     secs = time.perf_counter() - t0
@@ -101,6 +110,7 @@ def main() -> None:
             secs = round(time.perf_counter() - t0, 3)
             (cold if label == "cold" else times)[name] = secs
         rows[name] = df.count()
+        release_scratch(spark)
     build = None
     target = int(os.environ.get("BENCH_BUILD_PAIRS", "1000000"))
     if target > 0:

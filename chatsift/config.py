@@ -16,6 +16,7 @@ MAX_CHARS = 1200
 SIGNATURE_SEPARATOR = "||"
 DEFAULT_SEED = 42
 DEFAULT_VALIDATION_RATIO = 0.02
+# caps of the original's default build; pass them explicitly to get that build
 CAP_PAIRS = 300_000
 CAP_TURN_PAIRS = 80_000
 CAP_CHAT = 10_000
@@ -54,8 +55,9 @@ TRANSLATION_INSTRUCTION = "Rewrite this sentence in the target script:"
 class SkewConfig:
     """Heavy-hitter handling for per-key sequence operators.
 
-    A key with more than ``hot_key_rows`` rows is split into blocks of ``block_span`` sequence
-    units; each block gets the trailing context of the blocks before it from a small summary.
+    A key with more than ``hot_key_rows`` rows is split into blocks of about ``block_rows`` rows
+    (by sequence, scaled to the key's density); each block gets the trailing context of the blocks
+    before it from a small summary.
     At most ``max_hot_keys`` keys are fetched to the driver; beyond that every key is blocked.
     Keys are counted on a seeded ``probe_fraction`` sample (raised automatically so a hot key
     expects at least 200 sampled rows); blocking is correct for any key, so the probe only has
@@ -63,7 +65,7 @@ class SkewConfig:
     """
 
     hot_key_rows: int = 1_000_000
-    block_span: int = 250_000
+    block_rows: int = 250_000
     max_hot_keys: int = 10_000
     probe_fraction: float = 0.01
 
@@ -73,12 +75,14 @@ class BuildConfig:
     output_dir: str | None = None
     seed: int = DEFAULT_SEED
     validation_ratio: float = DEFAULT_VALIDATION_RATIO
-    cap_pairs: int = CAP_PAIRS
-    cap_turn_pairs: int = CAP_TURN_PAIRS
-    cap_chat: int = CAP_CHAT
-    cap_translation: int = CAP_TRANSLATION
+    cap_pairs: int = NO_CAP  # a cap is an explicit choice: by default every row is used
+    cap_turn_pairs: int = NO_CAP
+    cap_chat: int = NO_CAP
+    cap_translation: int = NO_CAP
     max_context_messages: int = MAX_CONTEXT_MESSAGES
     custom_dir: str | None = None
+    multi_line: bool = True  # False: CSV fields hold no line ends, so large files split across tasks
+    notes: tuple[str, ...] = ()
     local_pair_file: str | None = None
     system_prompt: str = DEFAULT_SYSTEM_PROMPT
     translation_system_prompt: str = TRANSLATION_SYSTEM_PROMPT

@@ -23,21 +23,35 @@ SHAPE_KEYS = (
 # -----------------------------------------------------------------------------------------------
 
 SCHEMAS = {
-    "prompt_completion": f"struct<prompt: {MESSAGES.simpleString()}, completion: {MESSAGES.simpleString()}>",
+    "prompt_completion": "struct<prompt: array<string>, completion: array<string>>",
     "input_output": "struct<input: string, output: string>",
     "user_assistant": "struct<user: string, assistant: string>",
-    "messages": f"struct<messages: {MESSAGES.simpleString()}>",
+    "messages": "struct<messages: array<string>>",
 }
+_STRICT = {"allowSingleQuotes": "false"}
 
 
 def _col_or_name(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strict_object(value: Column | str) -> Column:
+    """Top-level fields of a line that holds exactly one JSON object, else null.
+
+    The parser stops after the first value, so the line is parsed twice, as the only element of an
+    array and as the only field of an object: text that ends the one early leaves the other open.
+    Accepts what Python's ``json`` accepts (NaN and infinities included), and neither trailing text,
+    a second value, nor single quotes."""
+    v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
+    element = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<map<string,string>>", _STRICT)
+    field = F.from_json(F.concat(F.lit('{"x":'), v, F.lit("}")), "struct<x: map<string,string>>", _STRICT)
+    return F.when((F.size(element) == 1) & field["x"].isNotNull(), F.get(element, F.lit(0)))
+
+
 def shape_label(value: Column | str) -> Column:
     """Shape of a line after stripping Python whitespace (as the original strips each line)."""
     v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
-    keys = F.json_object_keys(v)  # null for bad JSON and for non-object values
+    keys = F.map_keys(strict_object(value))  # null for bad JSON and for non-object values
     expr = F.when(v == F.lit(""), F.lit("blank")).when(keys.isNull(), F.lit("invalid"))
     for label, names in SHAPE_KEYS:
         cond = F.lit(True)
@@ -47,7 +61,38 @@ def shape_label(value: Column | str) -> Column:
     return expr.otherwise(F.lit("other"))
 
 
+def _fields(value: Column | str, shape: str) -> Column:
+    return F.from_json(py_strip(_col_or_name(value)), SCHEMAS[shape], _STRICT)
+
+
+def _messages(elements: Column) -> Column:
+    """Each element of a message array on its own, so one bad element does not lose the others."""
+    kind = MESSAGES.elementType.simpleString()
+    return F.transform(elements, lambda e: F.from_json(e, kind, _STRICT))
+
+
 def parse_shape(value: Column | str, shape: str) -> Column:
     """Parse a line of a known shape into its struct (fields missing or of another type become
     null; scalar JSON values read as strings keep their JSON spelling)."""
-    return F.from_json(py_strip(_col_or_name(value)), SCHEMAS[shape])
+    fields = _fields(value, shape)
+    if shape == "prompt_completion":
+        return F.struct(_messages(fields["prompt"]).alias("prompt"), _messages(fields["completion"]).alias("completion"))
+    if shape == "messages":
+        return F.struct(_messages(fields["messages"]).alias("messages"))
+    return fields
+
+
+def reject_reason(value: Column | str, shape: Column) -> Column:
+    """Why a line, or part of it, yields nothing: ``invalid_json`` (no single JSON object),
+    ``unknown_shape``, ``bad_message`` (an element of its message arrays is not an object); else null."""
+
+    def bad(elements: Column) -> Column:
+        return F.exists(elements, lambda e: F.from_json(e, "map<string,string>", _STRICT).isNull())
+
+    pc = _fields(value, "prompt_completion")
+    broken = (
+        F.when(shape == "messages", bad(_fields(value, "messages")["messages"]))
+        .when(shape == "prompt_completion",
+              F.coalesce(bad(pc["prompt"]), F.lit(False)) | F.coalesce(bad(pc["completion"]), F.lit(False))))
+    return (F.when(shape == "invalid", F.lit("invalid_json")).when(shape == "other", F.lit("unknown_shape"))
+            .when(broken, F.lit("bad_message")))

@@ -37,14 +37,14 @@ def trailing_context(
     is_item: Column | None = None,
     is_reset: Column | None = None,
     hot: HotKeys | None = None,
-    span: int = SkewConfig().block_span,
+    block_rows: int = SkewConfig().block_rows,
     out: str = "ctx",
 ) -> DataFrame:
     """Add ``out``: array of the last ``k`` items strictly before each row within its key, counting
     only rows where ``is_item`` holds and only rows after the latest reset (a reset row is not an
     item, clears the history and itself gets an empty context). ``k == 0`` means the whole
     history (output grows quadratically with the key's length by definition). ``seq`` must be
-    unique within a key; keys in ``hot`` are split into blocks of ``span`` sequence units."""
+    unique within a key; keys in ``hot`` are split into blocks of about ``block_rows`` rows."""
     if k < 0:
         raise ValueError("k must be >= 0")
     hot = hot or HotKeys()
@@ -58,8 +58,9 @@ def trailing_context(
 
     blocked = hot.any
     if blocked:
-        d = with_blocks(d, keys, seq, hot, span)
-    part = [*keys, BLOCK] if blocked else list(keys)
+        # one struct names the key from here on: it is never null, so null keys join like any other
+        d = with_blocks(d, keys, seq, hot, block_rows).withColumn("_key", F.struct(*keys))
+    part = ["_key", BLOCK] if blocked else list(keys)
 
     # every row an item and no resets (conversation turns): the last k items are simply the
     # previous k rows, one ROWS frame on the sequence order; otherwise running counts place rows on
@@ -110,7 +111,7 @@ def trailing_context(
     # up to it (the last k of them when k > 0; they hold >= k items), starting at the latest reset.
     significant = summary.where((F.size("_tail") > 0) | F.col("_hr"))
     first = -(k - 1) if k > 0 else Window.unboundedPreceding
-    w_sig = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(first, 0)
+    w_sig = Window.partitionBy("_key").orderBy(BLOCK).rowsBetween(first, 0)
     recent = F.collect_list(F.struct("_hr", "_tail")).over(w_sig)
     cut = F.aggregate(
         "_recent",
@@ -121,7 +122,7 @@ def trailing_context(
     after = significant.select(*part, recent.alias("_recent")).select(
         *part, (last_n(folded, k) if k > 0 else folded).alias("_after"))
     # every block's halo is the context after the latest significant block before it
-    w_prev = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    w_prev = Window.partitionBy("_key").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     halo = (
         summary.select(*part)
         .join(after, on=part, how="left")
@@ -135,7 +136,7 @@ def trailing_context(
     with_halo = F.concat(F.coalesce(F.col("_halo"), empty), F.col("_cin"))
     head = head.withColumn(out, last_n(with_halo, k) if k > 0 else with_halo)
     rest = d.where(~needs_halo).withColumn(out, F.col("_cin"))
-    temps = [BLOCK, *[c for c in _TMP if c in head.columns]]
+    temps = [BLOCK, "_key", *[c for c in _TMP if c in head.columns]]
     return head.drop(*temps).unionByName(rest.drop(*[c for c in temps if c in rest.columns]))
 
 
@@ -168,7 +169,7 @@ def conversation_examples(
     hot = hot_keys(turns.select(key), [key], skew)
     with_ctx = trailing_context(
         retained, keys=[key], seq=seq, item=message(F.col("role"), F.col("content")), k=k, hot=hot,
-        span=skew.block_span,
+        block_rows=skew.block_rows,
     )
     prev = F.try_element_at(F.col("ctx"), F.lit(-1))
     ok = (

@@ -6,25 +6,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from chatsift.session import materialize
 
 ORDER = "_order"
 
 
 def ordered(df: DataFrame, rank: int, file_name: Column | str | None = None, pos: Column | str | None = None,
             sub: Column | str | None = None, block: Column | str | None = None) -> DataFrame:
-    """Attach the global order key ``(source_rank, file_name, block, row_pos, sub_pos)`` that decides
-    which copy survives deduplication (earlier sources, then file name, then position win)."""
+    """Attach the global order key ``(source_rank, file_name, block, row_pos, row_key, sub_pos)`` that
+    decides which copy survives deduplication (earlier sources, then file name, then position win).
+    Integer positions order by number, keys of any other type as text."""
 
     def c(x, default):
         if x is None:
             return default
         return F.col(x) if isinstance(x, str) else x
 
+    place = c(pos, F.lit(0))
+    numeric = isinstance(df.select(place).schema[0].dataType, IntegralType)
+
     key = F.struct(
         F.lit(rank).cast("int").alias("source_rank"),
         c(file_name, F.lit("")).cast("string").alias("file_name"),
         c(block, F.lit(0)).cast("long").alias("block"),
-        c(pos, F.lit(0)).cast("long").alias("row_pos"),
+        (place if numeric else F.lit(0)).cast("long").alias("row_pos"),
+        (F.lit("") if numeric else F.coalesce(place.cast("string"), F.lit(""))).alias("row_key"),
         c(sub, F.lit(0)).cast("long").alias("sub_pos"),
     )
     return df.withColumn(ORDER, key)
@@ -35,21 +43,26 @@ def priority_union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def keep_first(df: DataFrame, signature: Column | str, order: Column | str = ORDER) -> DataFrame:
-    """One row per signature: the row with the smallest order key, whole.
+def keep_first(df: DataFrame, signature: Column | str, order: Column | str = ORDER, *, staged: bool = False,
+               payload: list[str] | None = None) -> DataFrame:
+    """One row per signature: the row with the smallest order key, whole. ``order`` must tell the
+    rows of a signature apart.
 
-    Expressed as ``min_by`` in a grouped aggregate, so every map task first reduces its rows per
-    signature (partial aggregation) and only one candidate per signature and task is shuffled;
-    a signature shared by a large part of the data therefore never lands in one task. Grouping is
-    by (64-bit hash, full signature string), so a hash collision can never merge two rows. When
-    ``signature`` names a column it is carried only as the grouping key, not again in the payload.
+    The winner is found on fixed-width keys alone: a 128-bit hash of the signature plus its length,
+    and the order key, reduced per map task before the shuffle (a hash aggregation for a numeric
+    order), so a signature shared by a large part of the data never lands in one task and no text is
+    sorted or shuffled for it. Whole rows are then fetched by hash and order key, a unique key, so
+    that join spreads evenly too (AQE broadcasts the winners while they are small). Both passes read
+    one written table; ``staged`` says that ``df`` already is one. ``payload`` names the columns wanted
+    (default: all).
     """
-    cols = df.columns
+    cols = payload or df.columns
     order_c = F.col(order) if isinstance(order, str) else order
-    sig = F.col(signature) if isinstance(signature, str) else signature
-    payload = [c for c in cols if c != signature] if isinstance(signature, str) else cols
-    # the 8-byte hash leads the grouping key so the sort-based aggregation mostly compares hashes;
-    # the full signature stays in the key, so equal hashes of different signatures never merge
-    grouped = df.groupBy(F.xxhash64(sig).alias("_h"), sig.alias("_sig"))
-    kept = grouped.agg(F.min_by(F.struct(*payload), order_c).alias("_row"))
-    return kept.select(*[F.col("_sig").alias(c) if c not in payload else F.col("_row")[c].alias(c) for c in cols])
+    sig = F.coalesce(F.col(signature) if isinstance(signature, str) else signature, F.lit(""))
+    keyed = df.withColumns({"_h1": F.xxhash64(sig), "_h2": F.xxhash64(F.lit("keep-first"), sig), "_n": F.length(sig),
+                            "_first": order_c})
+    if not staged:
+        keyed = materialize(keyed.select(*dict.fromkeys([*cols, "_h1", "_h2", "_n", "_first"])), "keep-first")
+    keys = ["_h1", "_h2", "_n"]
+    winners = keyed.groupBy(*keys).agg(F.min("_first").alias("_first"))
+    return keyed.join(winners, [*keys, "_first"], "left_semi").select(*cols)

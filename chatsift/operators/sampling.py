@@ -1,11 +1,12 @@
 """Seeded exact-size sampling and the exact train/validation split, without a global sort.
 
-Row order is ``md5(seed || '|' || row_key)`` (hex), tie-broken by ``row_key``. The first ``n``
-rows in that order are found by bucketing on hex prefixes: one grouped count per level (at most
-65,536 buckets, summed in order inside Spark; one row per level reaches the driver), descending
-into the bucket that holds the n-th row until it holds at most 50,000 rows, which are ranked
-exactly. The result is a threshold, and the sample/split is a plain filter (no global sort, no
-row numbering, no shuffle of the data itself).
+Row order is ``md5(seed || '|' || row_key)`` (hex). The end of the first ``n`` rows in that order is
+found by bucketing on hex prefixes: one grouped count per level (at most 65,536 buckets, summed in
+order inside Spark; one row per level reaches the driver), descending into the bucket that holds the
+n-th row until a bucket ends there, which for N rows takes about log(N) / log(65,536) levels. The
+result is a threshold, and the sample/split is a plain filter (no global sort, no row numbering, no
+shuffle of the data itself). Row keys must be unique and not null; a null key, or equal keys that
+straddle the threshold, raise ``RowKeyError``, so a sample never has another size than asked for.
 """
 
 from __future__ import annotations
@@ -16,8 +17,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatsift.session import materialize
+
 PREFIX_STEP = 4  # hex digits per level: 65,536 buckets
-EXACT_LIMIT = 50_000  # rows ranked exactly on the driver at the last level
+KEY_DIGITS = 32
+PAST = "~"  # sorts after every hex digit
+
+
+class RowKeyError(ValueError):
+    """Row keys that do not identify rows."""
 
 
 def order_key(seed: int, row_key: Column | str) -> Column:
@@ -27,97 +35,72 @@ def order_key(seed: int, row_key: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class Threshold:
-    """Rows with ``(key, row_key) <= (key, tie)`` are the first ``n``; ``everything`` / ``nothing``
-    cover ``n >= total`` and ``n <= 0``."""
+    """Rows whose order key is below ``key`` are the first ``n``; ``everything`` / ``nothing`` cover
+    ``n >= total`` and ``n <= 0``."""
 
     key: str | None = None
-    tie: str | None = None
     everything: bool = False
     nothing: bool = False
     total: int = 0
     n: int = 0
 
-    def predicate(self, key: Column, row_key: Column) -> Column:
-        if self.everything:
-            return F.lit(True)
-        if self.nothing:
-            return F.lit(False)
-        rk = row_key.cast("string")
-        return (key < F.lit(self.key)) | ((key == F.lit(self.key)) & (rk <= F.lit(self.tie)))
+    def predicate(self, key: Column) -> Column:
+        if self.everything or self.nothing:
+            return F.lit(self.everything)
+        return key < F.lit(self.key)
 
 
-def first_n_threshold(df: DataFrame, key: Column, row_key: Column, n: int | Callable[[int], int]) -> Threshold:
-    """Threshold of the first ``n`` rows of ``df`` in ``(key, row_key)`` order (keys are hex md5).
+def first_n_threshold(df: DataFrame, key: Column, n: int | Callable[[int], int]) -> Threshold:
+    """Threshold of the first ``n`` rows of ``df`` in ``key`` order (keys are hex md5).
 
     Per level: a grouped count by key prefix (partial aggregation; at most 65,536 groups), then a
-    running sum over those groups (one small partition) to find the bucket holding the n-th row;
-    only that bucket's row reaches the driver. ``n`` may be a function of the row count, which
-    then comes from the first level (no separate count job)."""
+    running sum over those groups to find the bucket holding the n-th row; only that bucket's row
+    reaches the driver. ``n`` may be a function of the row count, which comes from the first level."""
     if isinstance(n, int) and n <= 0:
         return Threshold(nothing=True)
-    base = df.select(key.alias("_k"), row_key.cast("string").alias("_rk"))
-    prefix = ""
-    total = None
-    remaining = n
+    base = df.select(key.alias("_k"))
+    prefix, total, remaining = "", 0, 0
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
         plen = len(prefix) + PREFIX_STEP
         scope = base.where(F.col("_k").startswith(prefix)) if prefix else base
-        counts = scope.groupBy(F.substring("_k", 1, plen).alias("b")).count()
-        running = counts.select(
-            "b", "count",
-            F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("cum"),
-        )
-        if total is None and callable(n):
-            # the size depends on the row count: total first (the small bucket table is cached)
+        # the last row's running sum is the total: both come from one small table of buckets
+        running = scope.groupBy(F.substring("_k", 1, plen).alias("b")).count().withColumn("cum", F.sum("count").over(upto))
+        if not prefix:
             running = running.cache()
             try:
-                total = running.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-                n = n(total)
-                if n <= 0:
-                    return Threshold(nothing=True, total=total, n=0)
-                if n >= total:
-                    return Threshold(everything=True, total=total, n=total)
-                remaining = n
+                head = running.agg(F.max("cum").alias("total"), F.max(F.col("b").isNull()).alias("null_key")).first()
+                if head["null_key"]:
+                    raise RowKeyError("a row key is null")
+                total = head["total"] or 0
+                remaining = n = n(total) if callable(n) else n
+                if n <= 0 or n >= total:
+                    return Threshold(everything=n > 0, nothing=n <= 0, total=total, n=max(0, min(n, total)))
                 edge = running.where(F.col("cum") >= remaining).orderBy("b").first()
             finally:
                 running.unpersist()
         else:
             edge = running.where(F.col("cum") >= remaining).orderBy("b").first()
-            if edge is None:  # fewer than n rows in total: all of them
-                return Threshold(everything=True, n=n)
-        if total is None:
-            total = -1  # unknown and not needed for a fixed n
-        bucket, bucket_rows = edge["b"], edge["count"]
-        remaining -= edge["cum"] - bucket_rows
-        prefix = bucket
-        if bucket_rows <= EXACT_LIMIT or plen >= 32:
-            rows = (
-                base.where(F.col("_k").startswith(prefix))
-                .orderBy("_k", "_rk")
-                .limit(remaining)
-                .collect()
-            )
-            last = rows[-1]
-            return Threshold(key=last["_k"], tie=last["_rk"], total=total, n=n)
+        prefix = edge["b"]
+        if edge["cum"] == remaining:
+            return Threshold(key=prefix + PAST, total=total, n=n)
+        if plen >= KEY_DIGITS:
+            raise RowKeyError(f"{edge['count']} rows share one row key")
+        remaining -= edge["cum"] - edge["count"]
 
 
 def validation_size(n: int, ratio: float) -> int:
-    """``max(1, int(n*ratio))`` capped at ``max(1, n // 10)`` and below ``n``."""
+    """The share ``ratio`` of ``n`` rows, at most a tenth and at least one; fewer than 2 rows raise."""
     if n < 2:
         raise ValueError(f"dataset too small to split: {n} rows (need at least 2)")
-    v = max(1, int(n * ratio))
-    v = min(v, max(1, n // 10))
-    if v >= n:
-        v = n - 1
-    return v
+    return max(1, min(int(n * ratio), n // 10))
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, row_key: Column | str) -> DataFrame:
     """Seeded exact-``n`` sample (``n <= 0``: empty; ``n >=`` rows: everything)."""
     rk = F.col(row_key) if isinstance(row_key, str) else row_key
     key = order_key(seed, rk)
-    t = first_n_threshold(df, key, rk, n)
-    return df.where(t.predicate(key, rk))
+    return df.where(first_n_threshold(df, key, n).predicate(key))
 
 
 def exact_split(df: DataFrame, seed: int, ratio: float, row_key: Column | str,
@@ -126,15 +109,14 @@ def exact_split(df: DataFrame, seed: int, ratio: float, row_key: Column | str,
     Returns (labelled frame, n, v). ``row_key`` must be unique per row; fewer than 2 rows raise."""
     rk = F.col(row_key) if isinstance(row_key, str) else row_key
     key = order_key(seed, rk)
-    t = first_n_threshold(df, key, rk, lambda total: validation_size(total, ratio))
-    labelled = df.withColumn(split_col, F.when(t.predicate(key, rk), F.lit("validation")).otherwise(F.lit("train")))
+    t = first_n_threshold(df, key, lambda total: validation_size(total, ratio))
+    labelled = df.withColumn(split_col, F.when(t.predicate(key), F.lit("validation")).otherwise(F.lit("train")))
     return labelled, t.total, t.n
 
 
 def sample_exact_groups(df: DataFrame, n: int, seed: int, group_key: str) -> DataFrame:
     """Keep all rows of ``n`` seeded-randomly chosen groups (e.g. conversations stored one row per
     turn): the threshold is found over the distinct keys, then applied as a row filter."""
-    keys = df.select(group_key).distinct()
+    keys = materialize(df.select(group_key).distinct(), "group-keys")  # read once per level
     key = order_key(seed, F.col(group_key))
-    t = first_n_threshold(keys, key, F.col(group_key), n)
-    return df.where(t.predicate(key, F.col(group_key)))
+    return df.where(first_n_threshold(keys, key, n).predicate(key))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import posixpath
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ from chatsift.functions.messages import EXAMPLE, example_signature
 from chatsift.operators.context import array_examples, conversation_examples
 from chatsift.operators.dedup import ORDER, keep_first, ordered
 from chatsift.operators.sampling import exact_split, order_key, sample_exact, sample_exact_groups
-from chatsift.session import ensure_checkpoint_dir, materialize
+from chatsift.session import ensure_checkpoint_dir, materialize, release_scratch
 from chatsift.sinks.jsonl import write_jsonl
 from chatsift.sinks.report import counts_by_source, report_frame, write_report
 from chatsift.sources import files
-from chatsift.sources.custom import load_custom_dir, read_pair_csv
+from chatsift.sources.custom import REJECTS, load_custom_dir, malformed_pair_rows, read_pair_csv
 from chatsift.sources.tables import instruction_examples, pair_examples
 
 # fixed source tags of the built-in sources
@@ -69,6 +70,14 @@ class BuildResult:
     total: int
     validation_rows: int
     files_report: dict
+    rejects: DataFrame  # file_name, reason, record: lines, rows and files that gave nothing
+    reject_counts: DataFrame  # file_name, reason, n
+
+    def release(self) -> None:
+        """Delete the build's intermediate tables once its frames are no longer needed."""
+        release_scratch(self.examples.sparkSession, self.scratch)
+
+    scratch: list[str] = field(default_factory=list)
 
 
 def _capped(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame | None:
@@ -87,15 +96,20 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
     """All sources as one example frame with ``_order`` (before dedup)."""
     frames: list[DataFrame] = []
     ignored: set[str] = set()
+    rejects: list[DataFrame] = []
     seed = cfg.seed
 
     # main pairs: a local pair file wins when it exists and its cap is positive
     local = cfg.local_pair_file
     if local and cfg.cap_pairs > 0 and files.exists(spark, local):
         name = posixpath.basename(local)
-        raw = read_pair_csv(spark, local, on_malformed=cfg.json_mode).withColumn(
+        raw = read_pair_csv(spark, local, on_malformed=cfg.json_mode, multi_line=cfg.multi_line).withColumn(
             "_rk", F.format_string("%d:%d", "block", "pos"))
+        if cfg.cap_pairs < NO_CAP:
+            raw = materialize(raw, "local-pairs")  # the sample reads it once per level
         raw = _capped(raw, cfg.cap_pairs, seed, "_rk")
+        rejects.append(malformed_pair_rows(spark, local, cfg.multi_line).select(
+            "file_name", F.lit("field_count").alias("reason"), "record"))
         ex = pair_examples(raw, "input", "output", system_prompt=cfg.system_prompt, source=f"local:{name}",
                            keep=("block", "pos"))
         frames.append(ordered(ex, 0, F.lit(name), pos="pos", block="block"))
@@ -149,8 +163,10 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
     files_report: dict = {}
     if cfg.custom_dir:
         custom, files_report = load_custom_dir(spark, cfg.custom_dir, system_prompt=cfg.system_prompt,
-                                               k=cfg.max_context_messages, ignored=ignored, mode=cfg.json_mode)
+                                               k=cfg.max_context_messages, ignored=ignored, mode=cfg.json_mode,
+                                               multi_line=cfg.multi_line)
         frames.append(custom)
+        rejects.append(files_report["rejects"])
 
     if not frames:
         raise ValueError("no sources")
@@ -158,6 +174,7 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
     out = frames[0].select(*cols)
     for f in frames[1:]:
         out = out.unionByName(f.select(*cols))
+    files_report["rejects"] = reduce(DataFrame.unionByName, rejects, spark.createDataFrame([], REJECTS))
     return out, files_report
 
 
@@ -167,16 +184,20 @@ def build_dataset(spark: SparkSession, cfg: BuildConfig, src: Sources, *, write:
     # both the per-source counts and the dedup read the union: write it once
     union = materialize(union.withColumn("signature", example_signature()), "build-union")
     counts_before = counts_by_source(union)
-    deduped = materialize(keep_first(union, "signature"), "build-deduped")
+    deduped = materialize(keep_first(union, "signature", staged=True), "build-deduped")
     labelled, n, v = exact_split(deduped, cfg.seed, cfg.validation_ratio, "signature")
     counts_after = counts_by_source(deduped)
     train = labelled.where(F.col("split") == "train")
     validation = labelled.where(F.col("split") == "validation")
-    report = report_frame(counts_before, counts_after, n - v, v)
+    rejects = materialize(files_report["rejects"], "build-rejects")
+    reject_counts = rejects.groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n"))
+    report = report_frame(counts_before, counts_after, n - v, v, cfg.notes, reject_counts)
     if write and cfg.output_dir:
         okey = order_key(cfg.seed, F.col("signature"))
         base = cfg.output_dir.rstrip("/")
         write_jsonl(train, f"{base}/train.jsonl", order_key=okey, shuffle=cfg.shuffle_output)
         write_jsonl(validation, f"{base}/validation.jsonl", order_key=okey, shuffle=cfg.shuffle_output)
         write_report(report, f"{base}/metadata.json")
-    return BuildResult(labelled, train, validation, report, counts_before, counts_after, n, v, files_report)
+        reject_counts.write.mode("overwrite").json(f"{base}/rejects.json")
+    return BuildResult(labelled, train, validation, report, counts_before, counts_after, n, v, files_report,
+                       rejects, reject_counts, scratch=[p.rsplit("/", 1)[0] for f in (union, deduped, rejects) for p in f.inputFiles()[:1]])

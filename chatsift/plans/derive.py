@@ -70,6 +70,18 @@ def dirty_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.expr(ROLE_DIRT_SQL).alias("role"), F.expr(TEXT_DIRT_SQL).alias("text"))
 
 
+# fixed values: lines that hold no single JSON object, and one with a message that is no object
+BAD_LINES = (
+    '{"other": 1}',
+    '{"input": "hello there", "output": "general remark"} trailing',
+    '{"input": "hello there", "output": "general remark"} {"input": "a second", "output": "one here"}',
+    "{'input': 'hello there', 'output': 'general remark'}",
+)
+BAD_MESSAGE_LINE = (
+    '{"messages": [5, {"role": "user", "content": "hello there"}, {"role": "assistant", "content": "general remark"}]}'
+)
+
+
 def jsonl_lines(turns: DataFrame, system_prompt: str) -> DataFrame:
     """One JSON line per conversation turn, cycling through every record shape plus blank, other,
     non-object and broken lines: ``line_id, value``."""
@@ -92,12 +104,13 @@ def jsonl_lines(turns: DataFrame, system_prompt: str) -> DataFrame:
         .when(s == 4, F.to_json(F.struct(F.lit(None).cast("string").alias("input"),
                                          F.lit(None).cast("string").alias("output"), convo.alias("messages")),
                                 keep_nulls))
-        .when(s == 5, F.lit('{"other": 1}'))
+        .when(s == 5, F.element_at(F.array(*[F.lit(x) for x in BAD_LINES]), (F.col("turn") % 4 + 1).cast("int")))
+        .when((s == 6) & (F.col("conv_id") % 2 == 1), F.lit(BAD_MESSAGE_LINE))
         .when(s == 6, F.lit("   "))
         .when(F.col("turn") % 2 == 0, F.lit("[1, 2]"))
         .otherwise(F.concat(F.lit('{"input": '), t))
     )
-    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), value.alias("value"))
+    return turns.select(F.format_string("%d:%d", "conv_id", "turn").alias("line_id"), value.alias("value"))
 
 
 def jsonl_lines_sql(system_prompt: str) -> str:
@@ -112,14 +125,15 @@ def jsonl_lines_sql(system_prompt: str) -> str:
     prompt = f"json_array({m('system', lit(system_prompt))}, {m('user', 'text')})"
     completion = f"json_array({m('assistant', 'text')})"
     s = "((conv_id + turn) % 8)"
-    return f"""SELECT conv_id * 1000 + turn AS line_id, CAST(CASE
+    return f"""SELECT conv_id || ':' || turn AS line_id, CAST(CASE
       WHEN {s} = 0 AND conv_id % 2 = 0 THEN CAST(json_object('prompt', {prompt}, 'completion', {completion}, 'input', 'x', 'output', 'y') AS VARCHAR)
       WHEN {s} = 0 THEN CAST(json_object('prompt', {prompt}, 'completion', {completion}) AS VARCHAR)
       WHEN {s} = 1 THEN CAST(json_object('input', text, 'output', 're: ' || text) AS VARCHAR)
       WHEN {s} = 2 THEN CAST(json_object('user', text, 'assistant', 'ok ' || text) AS VARCHAR)
       WHEN {s} = 3 THEN CAST(json_object('messages', {convo}) AS VARCHAR)
       WHEN {s} = 4 THEN CAST(json_object('input', NULL, 'output', NULL, 'messages', {convo}) AS VARCHAR)
-      WHEN {s} = 5 THEN '{{"other": 1}}'
+      WHEN {s} = 5 THEN [{', '.join(lit(x) for x in BAD_LINES)}][turn % 4 + 1]
+      WHEN {s} = 6 AND conv_id % 2 = 1 THEN {lit(BAD_MESSAGE_LINE)}
       WHEN {s} = 6 THEN '   '
       WHEN turn % 2 = 0 THEN '[1, 2]'
       ELSE '{{"input": ' || text END AS VARCHAR) AS value
@@ -167,12 +181,11 @@ REPLY_SQL = (
     "CASE WHEN (conv_id + turn) % 11 = 0 THEN repeat(text || ' ', 25) "
     "ELSE '  ' || text || chr(13) || chr(10) END"
 )
-REQUEST_HISTORY_TURNS = 12
 
 
 def chat_requests(turns: DataFrame, events: DataFrame, *, skew=None) -> DataFrame:
-    """One request per user turn: ``request_id = conv_id*100 + turn``, the raw previous turns (up to
-    12) as history, parameters from the event with the same id (left join on a unique key)."""
+    """One request per user turn: ``request_id = 'conv_id:turn'``, all raw previous turns as history,
+    parameters from the event numbered ``conv_id * 100 + turn`` (left join; event ids are unique)."""
     from chatsift.config import SkewConfig
     from chatsift.functions.messages import message
     from chatsift.operators.context import trailing_context
@@ -181,28 +194,29 @@ def chat_requests(turns: DataFrame, events: DataFrame, *, skew=None) -> DataFram
     skew = skew or SkewConfig()
     hist = trailing_context(
         turns.select("conv_id", "turn", "role", "text", F.expr(HISTORY_ROLE_SQL).alias("_hrole")),
-        keys=["conv_id"], seq="turn", item=message(F.col("_hrole"), F.col("text")), k=REQUEST_HISTORY_TURNS,
-        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), span=skew.block_span, out="history",
+        keys=["conv_id"], seq="turn", item=message(F.col("_hrole"), F.col("text")), k=0,
+        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), block_rows=skew.block_rows, out="history",
     )
     users = hist.where(clean_role(F.col("role")) == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        F.format_string("%d:%d", "conv_id", "turn").alias("request_id"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("event_id"),
         F.expr(REQUEST_MESSAGE_SQL).alias("message"),
         "history",
         F.expr(SYSTEM_PROMPT_SQL).alias("system_prompt"),
     )
     params = events.select(
-        F.col("event_id").alias("request_id"),
+        "event_id",
         F.expr(MAX_NEW_TOKENS_SQL).alias("max_new_tokens"),
         F.expr(TEMPERATURE_SQL).cast("double").alias("temperature"),
         F.expr(TOP_P_SQL).cast("double").alias("top_p"),
     )
-    return users.join(params, on="request_id", how="left")
+    return users.join(params, on="event_id", how="left").drop("event_id")
 
 
 def chat_replies(turns: DataFrame) -> DataFrame:
     """The assistant turn after each user turn is the reply to that turn's request."""
     return turns.where(clean_role(F.col("role")) == "assistant").select(
-        (F.col("conv_id") * 100 + F.col("turn") - 1).alias("request_id"), F.expr(REPLY_SQL).alias("response")
+        F.format_string("%d:%d", "conv_id", F.col("turn") - 1).alias("request_id"), F.expr(REPLY_SQL).alias("response")
     )
 
 
@@ -218,12 +232,18 @@ def event_requests(events: DataFrame) -> DataFrame:
 
 
 # ---- chat events derived from the events table -----------------------------------------------
-def chat_events(events: DataFrame) -> DataFrame:
+SLOW_EVENTS = 300
+
+
+def chat_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``user_id`` is the chat, ``signup`` a reset; every other event is a user message
     (``event_type props``) whose call fails for ``error`` events and otherwise gets the reply
-    ``ack <event_id>``. Message seq = 2*event_id, its outcome 2*event_id+1."""
+    ``ack <event_id>``. An event's own seq is 4*event_id and its outcome's the next; every fifth reply
+    is slow and comes ``SLOW_EVENTS`` events later, often after the chat's next message or reset.
+    Every eleventh event is followed by a greeting (``start``)."""
     msg = F.concat(F.col("event_type"), F.lit(" "), F.col("props"))
-    seq = F.col("event_id") * 2
+    seq = F.col("event_id") * 4
+    slow = F.when(F.col("event_id") % 5 == 0, F.lit(4 * SLOW_EVENTS + 2)).otherwise(F.lit(1))
     ev = lambda s, kind, text, reply_to: F.struct(
         s.alias("seq"), F.lit(kind).alias("kind"), text.cast("string").alias("text"), reply_to.cast("long").alias("reply_to"))
     null = F.lit(None)
@@ -231,7 +251,8 @@ def chat_events(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "signup", F.array(ev(seq, "reset", null, null)))
         .when(F.col("event_type") == "error", F.array(ev(seq, "message", msg, null), ev(seq + 1, "error", null, seq)))
         .otherwise(F.array(ev(seq, "message", msg, null),
-                           ev(seq + 1, "reply", F.concat(F.lit("ack "), F.col("event_id").cast("string")), seq)))
+                           ev(seq + slow, "reply", F.concat(F.lit("ack "), F.col("event_id").cast("string")), seq)))
     )
-    return events.select(F.col("user_id").alias("chat_id"), F.explode(arr).alias("e")).select(
-        "e.seq", "chat_id", "e.kind", "e.text", "e.reply_to")
+    greeted = F.when(F.col("event_id") % 11 == 0, F.concat(arr, F.array(ev(seq + 3, "start", null, null)))).otherwise(arr)
+    return events.select(*keep, F.col("user_id").alias("chat_id"), F.explode(greeted).alias("e")).select(
+        "e.seq", "chat_id", "e.kind", "e.text", "e.reply_to", *keep)

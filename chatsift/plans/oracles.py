@@ -11,6 +11,7 @@ from chatsift.config import (
 )
 from chatsift.plans import sqltext as q
 from chatsift.plans.derive import (
+    BAD_MESSAGE_LINE,
     CSV_PAIRS_SQL,
     DOC_DIRT_SQL,
     FOLD_FROM,
@@ -18,9 +19,9 @@ from chatsift.plans.derive import (
     HISTORY_ROLE_SQL,
     MAX_NEW_TOKENS_SQL,
     REPLY_SQL,
-    REQUEST_HISTORY_TURNS,
     REQUEST_MESSAGE_SQL,
     ROLE_DIRT_SQL,
+    SLOW_EVENTS,
     SYSTEM_PROMPT_SQL,
     TEMPERATURE_SQL,
     TEXT_DIRT_SQL,
@@ -78,6 +79,7 @@ PAIR_SOURCE = "conversations:pairs"
 TRANSLATION_SOURCE = "documents:translation"
 PROMPT_ROLES = ("system", "user", "assistant")
 SAMPLE_N = 300
+CSV_FILES = 4
 
 
 def last_user(p: str) -> str:
@@ -301,10 +303,10 @@ def jsonl_examples_sql(lines_sql: str) -> str:
 
 
 ORACLES["jsonl_shape_dispatch"] = f"""
-SELECT CAST(line_id AS BIGINT) AS line_id, shape, CAST(-1 AS BIGINT) AS sub, CAST(NULL AS VARCHAR) AS prompt_text,
+SELECT line_id, shape, CAST(-1 AS BIGINT) AS sub, CAST(NULL AS VARCHAR) AS prompt_text,
        CAST(NULL AS VARCHAR) AS completion_text FROM ({jsonl_shape_sql()})
 UNION ALL
-SELECT CAST(line_id AS BIGINT), shape, CAST(sub AS BIGINT), {q.render('prompt')}, {q.render('completion')}
+SELECT line_id, shape, CAST(sub AS BIGINT), {q.render('prompt')}, {q.render('completion')}
 FROM ({jsonl_examples_sql(jsonl_shape_sql())})"""
 
 
@@ -335,6 +337,21 @@ SELECT {_example_select('', 'prompt', 'completion', 'source')} FROM csv
 UNION ALL
 SELECT {_example_select('', 'prompt', 'completion', q.lit('e_lines'))} FROM js"""
 
+_REJECTED = f"""
+SELECT line_id, CASE shape WHEN 'invalid' THEN 'invalid_json' WHEN 'other' THEN 'unknown_shape' ELSE 'bad_message' END AS reason,
+  {q.strip('value')} AS record
+FROM ({jsonl_shape_sql()}) WHERE shape IN ('invalid', 'other') OR value = {q.lit(BAD_MESSAGE_LINE)}"""
+ORACLES["rejected_rows"] = _REJECTED
+
+# four files per group; a row of three fields follows rows of every tenth sum
+ORACLES["custom_directory_rejects"] = f"""
+SELECT 'e_lines' AS files, reason, count(*) AS n FROM ({_REJECTED}) GROUP BY reason
+UNION ALL
+SELECT CASE conv_id % 2 WHEN 0 THEN 'a_pairs' ELSE 'c_variant' END, 'field_count', count(*)
+FROM ({_CSV_PAIRS}) WHERE (conv_id + turn) % 10 = 0 GROUP BY 1
+UNION ALL
+SELECT 'b_reordered', 'header', CAST({CSV_FILES} AS BIGINT)"""
+
 ORACLES["jsonl_round_trip"] = f"""
 SELECT {_example_select('split', 'prompt', 'completion', 'source')}
 FROM ({split_sql(deduped_sql(), 'sig')})"""
@@ -349,7 +366,76 @@ SELECT
   (SELECT count(*) FROM d) AS total_rows_after_dedup,
   (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM b) AS counts_before,
   (SELECT string_agg(source || '=' || n, ';' ORDER BY source) FROM a) AS counts_after,
-  CAST(3 AS BIGINT) AS n_notes"""
+  CAST(0 AS BIGINT) AS n_notes, CAST(0 AS BIGINT) AS rejected_rows"""
+
+
+ORACLES["split_summary"] = ORACLES["split_sizes"]
+
+TURN_SOURCE = "conversations:turn_pairs"
+_PAIR_KEY = "conv_id * 1000000000 + turn"
+
+
+def raw_pairs_sql() -> str:
+    return f"""SELECT u.conv_id, u.turn, u.conv_id * 1000000000 + u.turn AS pair_key, u.text AS input, a.text AS output
+        FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+        WHERE {q.clean_role('u.role')} = 'user' AND {q.clean_role('a.role')} = 'assistant'"""
+
+
+def pair_examples_sql(raw: str, source: str, keys: str, prompt: str = DEFAULT_SYSTEM_PROMPT) -> str:
+    raw_p = f"[{q.msg(q.lit('system'), q.lit(prompt))}, {q.msg(q.lit('user'), 'input')}]"
+    raw_c = f"[{q.msg(q.lit('assistant'), 'output')}]"
+    return f"SELECT * FROM ({cleaned_example_cte(raw_p, raw_c, keys, source, f'({raw})')}) WHERE {example_valid('prompt', 'completion')}"
+
+
+def turn_pairs_sql() -> str:
+    raw = f"SELECT pair_key, input, CASE WHEN turn % 4 = 0 THEN output ELSE 'well, ' || output END AS output FROM ({raw_pairs_sql()})"
+    return pair_examples_sql(raw, q.lit(TURN_SOURCE), "pair_key")
+
+
+ORACLES["examples_turn_pairs"] = f"""
+SELECT {_example_select('pair_key', 'prompt', 'completion', 'source')} FROM ({turn_pairs_sql()})"""
+
+
+def _first_n(frm: str, key: str, n: int) -> str:
+    return f"SELECT * FROM ({frm}) QUALIFY row_number() OVER (ORDER BY md5('42|' || CAST({key} AS VARCHAR))) <= {n}"
+
+
+_CAPPED_CONVS = _first_n("SELECT DISTINCT conv_id FROM conversations", "conv_id", 12)
+_TRANSLATION_RAW = f"""SELECT doc_id, {q.lit(TRANSLATION_INSTRUCTION)} || chr(10) || text AS input,
+  translate(text, {q.lit(FOLD_FROM)}, {q.lit(FOLD_TO)}) AS output FROM ({_first_n('SELECT * FROM documents', 'doc_id', 150)}) WHERE text IS NOT NULL"""
+ORACLES["capped_build"] = f"""
+SELECT {_example_select('', 'prompt', 'completion', 'source')} FROM (
+  SELECT prompt, completion, source FROM ({pair_examples_sql(_first_n(raw_pairs_sql(), 'pair_key', 60), q.lit(PAIR_SOURCE), 'pair_key')})
+  UNION ALL
+  SELECT prompt, completion, source FROM ({chat_sql(8)}) WHERE conv_id IN (SELECT conv_id FROM ({_CAPPED_CONVS}))
+  UNION ALL
+  SELECT prompt, completion, source FROM ({pair_examples_sql(_TRANSLATION_RAW, q.lit(TRANSLATION_SOURCE), 'doc_id', TRANSLATION_SYSTEM_PROMPT)}))"""
+
+
+def _six(local: bool) -> str:
+    """Signature, source and rank of every example of the priority union."""
+    csv = lambda where, group: csv_examples_sql(
+        f"SELECT *, {group} AS grp FROM ({_CSV_PAIRS}) WHERE {where}", "grp")
+    file = "(CASE conv_id % 2 WHEN 0 THEN 'a_pairs' ELSE 'c_variant' END)"
+    parts = [f"SELECT {signature()} AS sig, 'local:z_local' AS source, 0 AS r FROM ({csv('(conv_id + turn) % 4 = 0', repr('x'))})"
+             if local else f"SELECT {signature()} AS sig, source, 0 AS r FROM ({pairs_sql()})",
+             f"SELECT {signature()}, source, 1 FROM ({turn_pairs_sql()})",
+             f"SELECT {signature()}, source, 2 FROM ({chat_sql(8)})",
+             f"SELECT {signature()}, source, 3 FROM ({translation_sql()})"]
+    if local:
+        # the other z_local files are not hidden: only the local file's own name is
+        parts += [f"SELECT {signature()}, 'custom:' || source, CASE source WHEN 'a_pairs' THEN 4 WHEN 'c_variant' THEN 5 ELSE 6 END FROM ({csv('true', file)})",
+                  f"SELECT {signature()}, 'custom:' || source, 6 FROM ({csv('(conv_id + turn) % 4 <> 0', repr('z_local'))})",
+                  f"SELECT {signature()}, 'custom:e_lines', 7 FROM ({jsonl_examples_sql(jsonl_shape_sql())})"]
+    return " UNION ALL ".join(parts)
+
+
+def _six_counts(name: str, local: bool) -> str:
+    return f"""SELECT '{name}' AS variant, source, count(*) AS n_before, count(*) FILTER (rn = 1) AS n_after
+    FROM (SELECT *, row_number() OVER (PARTITION BY sig ORDER BY r) AS rn FROM ({_six(local)})) GROUP BY source"""
+
+
+ORACLES["six_source_counts"] = f"""{_six_counts('files', True)} UNION ALL {_six_counts('missing', False)}"""
 
 
 # ---- chat requests ----------------------------------------------------------------------------
@@ -360,18 +446,18 @@ _CHAT = ChatConfig()
 def requests_sql() -> str:
     return f"""
     SELECT r.*, p.max_new_tokens, p.temperature, p.top_p FROM (
-      SELECT conv_id * 100 + turn AS request_id, {REQUEST_MESSAGE_SQL} AS message, history,
+      SELECT conv_id || ':' || turn AS request_id, conv_id * 100 + turn AS event_id, {REQUEST_MESSAGE_SQL} AS message, history,
              {SYSTEM_PROMPT_SQL} AS system_prompt
       FROM (
         SELECT *, coalesce(list({q.msg('hrole', 'text')}) OVER (PARTITION BY conv_id ORDER BY turn
-               ROWS BETWEEN {REQUEST_HISTORY_TURNS} PRECEDING AND 1 PRECEDING), []) AS history
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS history
         FROM (SELECT *, {HISTORY_ROLE_SQL} AS hrole FROM conversations)
       ) WHERE {q.clean_role('role')} = 'user'
     ) r LEFT JOIN (
-      SELECT event_id AS request_id, {MAX_NEW_TOKENS_SQL} AS max_new_tokens,
+      SELECT event_id, {MAX_NEW_TOKENS_SQL} AS max_new_tokens,
              CAST({TEMPERATURE_SQL} AS DOUBLE) AS temperature, CAST({TOP_P_SQL} AS DOUBLE) AS top_p
       FROM events
-    ) p USING (request_id)"""
+    ) p USING (event_id)"""
 
 
 def violations_sql() -> str:
@@ -399,9 +485,9 @@ def defaults_cols() -> str:
       {q.lit(_CHAT.model_reference)} AS model"""
 
 
-def assembled_sql() -> str:
+def assembled_sql(turns: int = _CHAT.max_history_turns) -> str:
     return f"""
-    SELECT *, list_concat([{q.msg(q.lit('system'), 'system_prompt_eff')}], {clip_sql('history', _CHAT.max_history_turns)},
+    SELECT *, list_concat([{q.msg(q.lit('system'), 'system_prompt_eff')}], {clip_sql('history', turns)},
                           [{q.msg(q.lit('user'), q.normalize('message'))}]) AS messages
     FROM (SELECT *, {defaults_cols()} FROM ({requests_sql()}) WHERE {violations_sql()} = '')"""
 
@@ -423,6 +509,14 @@ ORACLES["request_assembly"] = f"""
 SELECT request_id, CAST(len(messages) AS BIGINT) AS n_messages, {q.render('messages')} AS messages_text
 FROM ({assembled_sql()})"""
 
+ORACLES["history_clip"] = f"""
+SELECT request_id, CAST(len(history) AS BIGINT) AS n_raw, CAST(len(messages) AS BIGINT) AS n_messages, {q.render('messages')} AS messages_text
+FROM ({assembled_sql(2)})"""
+
+ORACLES["model_choice"] = """
+SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN 'merged/' || event_type END,
+  CASE WHEN event_id % 4 = 0 THEN 'adapter/' || props END, 'base/' || event_type) AS model FROM events"""
+
 ORACLES["render_prompt"] = f"""
 SELECT request_id,
   array_to_string(list_transform(messages, lambda m: {q.lit(_CHAT.turn_prefix)} || m.role || {q.lit(_CHAT.role_suffix)}
@@ -431,7 +525,7 @@ FROM ({assembled_sql()})"""
 
 ORACLES["apply_replies"] = f"""
 WITH v AS (SELECT * FROM ({requests_sql()}) WHERE {violations_sql()} = ''),
-rp AS (SELECT conv_id * 100 + turn - 1 AS request_id, {REPLY_SQL} AS response FROM conversations
+rp AS (SELECT conv_id || ':' || (turn - 1) AS request_id, {REPLY_SQL} AS response FROM conversations
        WHERE {q.clean_role('role')} = 'assistant'),
 u AS (
   SELECT v.*, rp.response, {q.normalize('rp.response')} AS response_clean,
@@ -450,7 +544,7 @@ FROM s"""
 
 
 # ---- chat sessions ----------------------------------------------------------------------------
-def session_sql() -> str:
+def session_sql(events: str = "events") -> str:
     msg = q.normalize("event_type || ' ' || props")
     reply = q.normalize("'ack ' || CAST(event_id AS VARCHAR)")
     turns = 2 * _CHAT.max_history_turns
@@ -458,11 +552,14 @@ def session_sql() -> str:
     WITH e AS (
       SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END)
                   OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS epoch,
-             {msg} AS mtext, {reply} AS rtext
-      FROM events
+             {msg} AS mtext, {reply} AS rtext,
+             -- a slow reply is lost if the user's next message or reset comes first
+             event_type NOT IN ('signup', 'error') AND NOT (event_id % 5 = 0 AND coalesce(
+               lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) <= event_id + {SLOW_EVENTS}, false)) AS answered
+      FROM {events}
     ),
     c AS (
-      SELECT *, list_filter(coalesce(list(CASE WHEN event_type NOT IN ('signup', 'error')
+      SELECT *, list_filter(coalesce(list(CASE WHEN answered
                   THEN [{q.msg(q.lit('user'), 'mtext')}, {q.msg(q.lit('assistant'), 'rtext')}] END)
                OVER (PARTITION BY user_id, epoch ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []),
                lambda x: x IS NOT NULL) AS prior
@@ -476,3 +573,6 @@ def session_sql() -> str:
 
 ORACLES["session_context_batch"] = session_sql()
 ORACLES["session_context_stream"] = session_sql()
+
+SESSION_START = "2024-01-15 00:00:00"
+ORACLES["session_from_now"] = session_sql(f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{SESSION_START}')")

@@ -11,7 +11,7 @@ from chatsift.functions.messages import render_messages
 def example_view(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys + prompt_text, completion_text, n_prompt, n_completion, source."""
     return df.select(
-        *[F.col(k).cast("long").alias(k) if k in ("conv_id", "turn", "doc_id", "line_id", "reply_pos") else F.col(k)
+        *[F.col(k).cast("long").alias(k) if k in ("conv_id", "turn", "doc_id", "reply_pos") else F.col(k)
           for k in keys],
         render_messages("prompt").alias("prompt_text"),
         render_messages("completion").alias("completion_text"),

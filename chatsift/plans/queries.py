@@ -30,13 +30,13 @@ from chatsift.functions.messages import (
     render_messages,
     with_example,
 )
-from chatsift.functions.text import normalize_text
+from chatsift.functions.text import is_valid_text, normalize_text
 from chatsift.operators import requests as rq
 from chatsift.operators.context import conversation_examples, trailing_context
 from chatsift.operators.dedup import keep_first, ordered, priority_union
 from chatsift.operators.sampling import exact_split, sample_exact
 from chatsift.operators.skew import hot_keys
-from chatsift.plans.build import Sources, build_dataset
+from chatsift.plans.build import Sources, build_dataset, build_examples
 from chatsift.plans.derive import (
     adjacent_pairs,
     chat_events,
@@ -51,9 +51,9 @@ from chatsift.plans.derive import (
 )
 from chatsift.plans.present import example_view
 from chatsift.session import materialize, scratch_path
-from chatsift.sinks.jsonl import read_splits
+from chatsift.sinks.jsonl import read_splits, split_counts
 from chatsift.sources import files
-from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv
+from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv, rejected_lines
 from chatsift.sources.tables import instruction_examples, pair_examples, read_table
 from chatsift.streaming import sessions as ss
 
@@ -132,7 +132,8 @@ def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduped_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     union = union_sources(spark, sf_dir)
-    return keep_first(union.withColumn("signature", example_signature()), "signature")
+    cols = union.columns
+    return keep_first(union.withColumn("signature", example_signature()), "signature", payload=[*cols, "signature"])
 
 
 @register("examples_single_turn")
@@ -149,7 +150,7 @@ def role_and_message_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     skew = SkewConfig()
     with_ctx = trailing_context(
         dirty, keys=["conv_id"], seq="turn", item=message(F.col("role"), F.col("text")), k=3,
-        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), span=skew.block_span,
+        hot=hot_keys(turns.select("conv_id"), ["conv_id"], skew), block_rows=skew.block_rows,
     )
     prompt = F.concat(F.array(message(F.lit("system"), F.lit(DEFAULT_SYSTEM_PROMPT))), F.col("ctx"))
     completion = F.array(message(F.col("role"), F.col("text")))
@@ -180,19 +181,15 @@ def last_user_first_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def length_gate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     n = F.length(normalize_text(F.col("text")))
-    staged = docs.select("lang", n.alias("n"))
+    staged = docs.select("lang", n.alias("n"), is_valid_text("text").alias("valid"))
     return staged.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.count(F.when(is_valid_length_n("n"), 1)).alias("n_valid"),
+        F.count(F.when(F.col("valid"), 1)).alias("n_valid"),
         F.count(F.when(F.col("n") < 2, 1)).alias("n_short"),
         F.count(F.when(F.col("n") > 1200, 1)).alias("n_long"),
     )
 
 
-def is_valid_length_n(c: str):
-    return F.col(c).between(2, 1200)
-
-
 @register("instruction_template")
 def instruction_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_view(translation_source(spark, sf_dir), ("doc_id",))
@@ -201,9 +198,9 @@ def instruction_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dedup_keep_first_documents")
 def dedup_keep_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sig = F.lower(normalize_text(F.col("text")))
-    staged = docs.select("doc_id", "lang", "source", "n_chars", sig.alias("sig"))
-    return keep_first(staged, "sig", F.col("doc_id")).drop("sig")
+    # computed once into a column, hashed from there; the text itself is not written
+    sig = docs.select("doc_id", "lang", "source", "n_chars", F.lower(normalize_text(F.col("text"))).alias("sig"))
+    return keep_first(sig, "sig", F.col("doc_id"), payload=["doc_id", "lang", "source", "n_chars"])
 
 
 @register("dedup_across_sources")
@@ -212,11 +209,17 @@ def dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_view(kept, ("row_ref",))
 
 
+def _signed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union with its signatures, written once as in the build. (Computing a signature where its
+    texts are not kept trips Spark's code generator, which then runs the stage interpreted.)"""
+    return materialize(union_sources(spark, sf_dir).withColumn("signature", example_signature()), "source-union")
+
+
 @register("source_counts")
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    union = materialize(union_sources(spark, sf_dir), "source-union")
+    union = _signed_union(spark, sf_dir)
     before = union.groupBy("source").agg(F.count(F.lit(1)).alias("n_before"))
-    kept = keep_first(union.withColumn("signature", example_signature()), "signature")
+    kept = keep_first(union, "signature", staged=True, payload=["source"])
     after = kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_after"))
     return before.join(after, "source", "left").select(
         "source", "n_before", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
@@ -237,7 +240,8 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("split_sizes")
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = materialize(deduped_sources(spark, sf_dir).select("signature", "source"), "split-examples")
+    union = _signed_union(spark, sf_dir)
+    kept = materialize(keep_first(union, "signature", staged=True, payload=["signature", "source"]), "split-examples")
     labelled, _, _ = exact_split(kept, DEFAULT_SEED, DEFAULT_VALIDATION_RATIO, "signature")
     return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -259,7 +263,7 @@ def jsonl_shape_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     lines = _lines(spark, sf_dir)
     labels = lines.select(
-        F.col("line_id").cast("long").alias("line_id"), shape_label("value").alias("shape"),
+        "line_id", shape_label("value").alias("shape"),
         F.lit(-1).cast("long").alias("sub"), F.lit(None).cast("string").alias("prompt_text"),
         F.lit(None).cast("string").alias("completion_text"))
     ex = jsonl_examples(lines, system_prompt=DEFAULT_SYSTEM_PROMPT, k=8, source=JSONL_SOURCE)
@@ -267,10 +271,24 @@ def jsonl_shape_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.unionByName(view.select("line_id", "shape", "sub", "prompt_text", "completion_text"))
 
 
-def _write_pairs_csv(df: DataFrame, path: str, header=("input", "output")) -> None:
-    (df.select(F.col("input").alias(header[0]), F.col("output").alias(header[1]))
-     .write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("encoding", "UTF-8").csv(path))
+CSV_FILES = 4
+
+
+def _write_pairs_csv(df: DataFrame, path: str, header: str = "input,output") -> None:
+    """``CSV_FILES`` CSV files: a header line (every other one ending in CRLF), quoted fields, CRLF and
+    LF row ends mixed, and after every tenth row or so a row of three fields."""
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("input", "output")]
+    n = F.col("conv_id") + F.col("turn")
+    row = F.concat_ws(",", *quoted)
+    value = F.concat(
+        F.when(n % 10 == 0, F.concat(row, F.lit(",extra\n"))).otherwise(F.lit("")), row,
+        F.when(F.col("turn") % 3 == 0, F.lit("\r")).otherwise(F.lit("")))
+    rows = df.select(F.pmod(n, F.lit(CSV_FILES)).cast("int").alias("p"), F.lit(1).alias("o"), value.alias("value"))
+    heads = df.sparkSession.range(CSV_FILES).select(
+        F.col("id").cast("int").alias("p"), F.lit(0).alias("o"),
+        F.concat(F.lit(header), F.when(F.col("id") % 2 == 0, F.lit("\r")).otherwise(F.lit(""))).alias("value"))
+    (heads.unionByName(rows).repartitionById(CSV_FILES, F.col("p")).sortWithinPartitions("o").select("value")
+     .write.mode("overwrite").option("compression", "none").text(path))
 
 
 @register("csv_pairs_round_trip")
@@ -279,7 +297,7 @@ def csv_pairs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     -> examples."""
     path = scratch_path(spark, "csv-pairs")
     _write_pairs_csv(csv_pairs(read_table(spark, sf_dir, "conversations")), path)
-    parts = files.list_files(spark, path, "*.csv")
+    parts = files.list_files(spark, path, "part-*")
     raw = read_pair_csv(spark, parts)
     ex = pair_examples(raw, "input", "output", system_prompt=DEFAULT_SYSTEM_PROMPT, source=CSV_SOURCE)
     return example_view(ex)
@@ -296,10 +314,10 @@ def _write_custom_folder(spark: SparkSession, sf_dir: str) -> tuple[str, set[str
     # every pair lands in one of the two used files; the reordered-header file (skipped by the
     # header gate) and the ignored local file are extra full copies
     groups = {
-        "a_pairs": (pairs.where(F.col("conv_id") % 2 == 0), ("input", "output")),
-        "b_reordered": (pairs, ("output", "input")),
-        "c_variant": (pairs.where(F.col("conv_id") % 2 == 1), ("Input", "Output ")),
-        "z_local": (pairs, ("input", "output")),
+        "a_pairs": (pairs.where(F.col("conv_id") % 2 == 0), "input,output"),
+        "b_reordered": (pairs, "output,input"),
+        "c_variant": (pairs.where(F.col("conv_id") % 2 == 1), "Input,Output "),
+        "z_local": (pairs, "input,output"),
     }
     ignored = set()
     for name, (df, header) in groups.items():
@@ -311,7 +329,9 @@ def _write_custom_folder(spark: SparkSession, sf_dir: str) -> tuple[str, set[str
             if name == "z_local":
                 ignored.add(target)
     tmp = f"{folder}/_tmp_lines"
-    _lines(spark, sf_dir).select("value").write.mode("overwrite").option("compression", "none").text(tmp)
+    # the broken lines hold raw line ends: one line of the file each
+    one_line = F.translate("value", "\n\r", "  ").alias("value")
+    _lines(spark, sf_dir).select(one_line).write.mode("overwrite").option("compression", "none").text(tmp)
     for i, part in enumerate(files.list_files(spark, tmp, "part-*")):
         files.rename(spark, part, f"{folder}/e_lines-{i:05d}.jsonl")
     return folder, ignored
@@ -325,14 +345,41 @@ def custom_directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return example_view(ex.withColumn("source", group))
 
 
-def _build_sources(spark: SparkSession, sf_dir: str) -> Sources:
+@register("rejected_rows")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every JSON line that yields nothing or less than it holds, with the reason."""
+    return rejected_lines(_lines(spark, sf_dir), keep=("line_id",))
+
+
+@register("custom_directory_rejects")
+def custom_directory_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected lines, rows and files of the custom folder, counted by group of files and reason."""
+    folder, ignored = _write_custom_folder(spark, sf_dir)
+    _, report = load_custom_dir(spark, folder, system_prompt=DEFAULT_SYSTEM_PROMPT, k=8, ignored=ignored)
+    group = F.regexp_extract("file_name", r"^([a-z_]+)-", 1)
+    return report["rejects"].groupBy(group.alias("files"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+TURN_SOURCE = "conversations:turn_pairs"
+
+
+def _turn_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """Each user turn and the reply after it, the reply prefixed so that it is a pair of its own."""
+    pairs = adjacent_pairs(read_table(spark, sf_dir, "conversations"))
+    return pairs.select((F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("pair_key"), F.col("input").alias("user_message"),
+                        F.when(F.col("turn") % 4 == 0, F.col("output")).otherwise(F.concat(F.lit("well, "), F.col("output")))
+                        .alias("assistant_message")), "pair_key"
+
+
+def _build_sources(spark: SparkSession, sf_dir: str, turn_pairs: bool = False) -> Sources:
     turns = read_table(spark, sf_dir, "conversations")
-    pairs = adjacent_pairs(turns).withColumn("pair_key", F.col("conv_id") * 1_000_000 + F.col("turn"))
+    pairs = adjacent_pairs(turns).withColumn("pair_key", F.col("conv_id") * 1_000_000_000 + F.col("turn"))
     docs = read_table(spark, sf_dir, "documents")
     trans = translation_pairs(docs).select("doc_id", F.col("src_text").alias("hi"), F.col("target_text").alias("hi_rom"))
     return Sources(
         pairs=(pairs, "pair_key"), chat_turns=(turns, "conv_id"), translation=(trans, "doc_id"),
-        tags={"pairs": PAIR_SOURCE, "turn_pairs": "conversations:turn_pairs", "chat": CHAT_SOURCE,
+        turn_pairs=_turn_pairs(spark, sf_dir) if turn_pairs else None,
+        tags={"pairs": PAIR_SOURCE, "turn_pairs": TURN_SOURCE, "chat": CHAT_SOURCE,
               "translation": TRANSLATION_SOURCE},
     )
 
@@ -357,10 +404,61 @@ def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "train_rows", "validation_rows", "total_rows_after_dedup",
         flat("source_counts_before_dedup").alias("counts_before"),
         flat("source_counts_after_dedup").alias("counts_after"),
-        F.size("notes").cast("long").alias("n_notes"),
+        F.size("notes").cast("long").alias("n_notes"), "rejected_rows",
     )
 
 
+def _group_of(source):
+    return F.regexp_replace(source, r"-[0-9]+[.](csv|jsonl)$", "")
+
+
+@register("six_source_counts")
+def six_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole priority union, twice: with a local pair file (it replaces the pair table and is hidden
+    from the custom folder) and a custom folder of CSV and JSONL files; and with neither file there."""
+    folder, _ = _write_custom_folder(spark, sf_dir)
+    out = None
+    for name, cfg in {
+        "files": BuildConfig(custom_dir=folder, local_pair_file=f"{folder}/z_local-00000.csv"),
+        "missing": BuildConfig(custom_dir=f"{folder}/none", local_pair_file=f"{folder}/none.csv"),
+    }.items():
+        union, _ = build_examples(spark, cfg, _build_sources(spark, sf_dir, turn_pairs=True))
+        union = materialize(union.withColumn("signature", example_signature()), "six-sources")
+        before = union.groupBy(_group_of("source").alias("source")).agg(F.count(F.lit(1)).alias("n_before"))
+        after = keep_first(union, "signature", staged=True, payload=["source"]).groupBy(_group_of("source").alias("source")).agg(
+            F.count(F.lit(1)).alias("n_after"))
+        part = before.join(after, "source", "left").select(
+            F.lit(name).alias("variant"), "source", "n_before", F.coalesce("n_after", F.lit(0)).cast("long").alias("n_after"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("examples_turn_pairs")
+def examples_turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn-pair source (``user_message, assistant_message``) through the build's own union."""
+    src = Sources(turn_pairs=_turn_pairs(spark, sf_dir), tags={"turn_pairs": TURN_SOURCE})
+    union, _ = build_examples(spark, BuildConfig(), src)
+    return example_view(union.withColumn("pair_key", F.col("_order.row_pos")), ("pair_key",))
+
+
+CAPS = {"cap_pairs": 60, "cap_turn_pairs": 0, "cap_chat": 12, "cap_translation": 150}
+
+
+@register("capped_build")
+def capped_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit caps, as seeded exact samples: on raw rows, on conversations, and none of a source."""
+    union, _ = build_examples(spark, BuildConfig(**CAPS), _build_sources(spark, sf_dir, turn_pairs=True))
+    return example_view(union)
+
+
+@register("split_summary")
+def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per split, counted from the written JSONL splits."""
+    out = scratch_path(spark, "build")
+    build_dataset(spark, BuildConfig(output_dir=out), _build_sources(spark, sf_dir))
+    return split_counts(read_splits(spark, {"train": f"{out}/train.jsonl", "validation": f"{out}/validation.jsonl"}))
+
+
 # ---- chat requests ----------------------------------------------------------------------------
 
 
@@ -398,6 +496,23 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rq.render_prompts(_valid_assembled(spark, sf_dir)).select("request_id", "prompt")
 
 
+@register("history_clip")
+def history_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories longer than two turns are clipped; the requests were validated whole."""
+    a = _valid_assembled(spark, sf_dir, ChatConfig(max_history_turns=2))
+    return a.select("request_id", F.size("history").cast("long").alias("n_raw"),
+                    F.size("messages").cast("long").alias("n_messages"), render_messages("messages").alias("messages_text"))
+
+
+@register("model_choice")
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged model, else adapter, else base model, from columns that are null, empty or set."""
+    events = read_table(spark, sf_dir, "events")
+    merged = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("merged/"), F.col("event_type"))).when(F.col("event_id") % 3 == 1, F.lit(""))
+    adapter = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("adapter/"), F.col("props"))).when(F.col("event_id") % 4 == 1, F.lit(""))
+    return events.select("event_id", rq.model_reference(merged, adapter, F.concat(F.lit("base/"), F.col("event_type"))).alias("model"))
+
+
 @register("apply_replies")
 def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = rq.validate_requests(_requests(spark, sf_dir)).where("is_valid")
@@ -411,7 +526,7 @@ def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _session_view(df: DataFrame) -> DataFrame:
     return df.select(
-        (F.col("seq") / 2).cast("long").alias("event_id"), F.col("chat_id").alias("user_id"), "message",
+        (F.col("seq") / 4).cast("long").alias("event_id"), F.col("chat_id").alias("user_id"), "message",
         F.size("history").cast("long").alias("n_history"), render_messages("history").alias("history_text"))
 
 
@@ -420,6 +535,24 @@ def session_context_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_view(ss.session_requests_batch(chat_events(read_table(spark, sf_dir, "events"))))
 
 
+SESSION_START = "2024-01-15 00:00:00"
+
+
+@register("session_from_now")
+def session_from_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session stream that starts at a point in time: events before it are ignored, so histories
+    begin empty there."""
+    from datetime import datetime
+
+    src = scratch_path(spark, "chat-events")
+    chat_events(read_table(spark, sf_dir, "events"), keep=("ts",)).write.mode("overwrite").parquet(src)
+    out = scratch_path(spark, "session-out")
+    stream = ss.event_stream(spark, src, schema=f"{ss.EVENT_SCHEMA}, ts timestamp_ntz", ts_col="ts",
+                             start_ts=datetime.fromisoformat(SESSION_START))
+    ss.run_available(stream, out, scratch_path(spark, "session-ckpt"))
+    return _session_view(spark.read.parquet(out))
+
+
 @register("session_context_stream")
 def session_context_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests from the stateful stream: events are written as a file source, processed

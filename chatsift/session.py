@@ -45,8 +45,9 @@ def _default_driver_memory() -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared location). Only when it is unset, as
-    in local tests, a fresh temporary folder is chosen and set.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared location). When it is unset, a local
+    master gets a fresh temporary folder; any other master is an error, since executors do not
+    share a machine's temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,15 +55,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="chatsift-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/chatsift-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/chatsift-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables (default: all that this process made) once nothing reads them any
+    more; returns how many were deleted."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    for path in list(_SCRATCH if paths is None else paths):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        done += bool(p.getFileSystem(conf).delete(p, True))
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+    return done
 
 
 def materialize(df, name: str):

@@ -10,14 +10,14 @@ from chatsift.functions.messages import EXAMPLE
 
 def write_jsonl(df: DataFrame, path: str, *, order_key: Column | None = None, shuffle: bool = False) -> None:
     """Write ``prompt, completion, source`` as JSON lines (UTF-8, non-ASCII unescaped, key order
-    kept), overwriting ``path``. With ``order_key`` each part file is written in that (seeded
-    random) order; ``shuffle`` also hash-distributes rows over part files by that key, so every
-    file is a random slice of the split rather than a run of one source."""
+    kept), overwriting ``path``. With ``order_key`` each part file is written in that (seeded random)
+    order; ``shuffle`` also range-distributes rows over part files by that key, so the files in name
+    order hold one global order, which does not depend on how many files there are."""
     out = df.select("prompt", "completion", "source")
     if order_key is not None:
         out = df.select("prompt", "completion", "source", order_key.alias("_okey"))
         if shuffle:
-            out = out.repartition("_okey")
+            out = out.repartitionByRange("_okey")
         out = out.sortWithinPartitions("_okey").drop("_okey")
     out.write.mode("overwrite").option("compression", "none").json(path)
 

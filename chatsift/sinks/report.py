@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-NOTES = (
-    "Examples come from pair tables, multi-turn conversations, translation pairs and custom files.",
-    "A local pair file, when present and its cap is positive, replaces the main pair table.",
-    "Raise the per-source caps to use more of each source.",
-)
-
-
 def counts_by_source(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def report_frame(counts_before: DataFrame, counts_after: DataFrame, train_rows: int, validation_rows: int,
-                 notes: tuple[str, ...] = NOTES) -> DataFrame:
+                 notes: tuple[str, ...] = (), reject_counts: DataFrame | None = None) -> DataFrame:
     """One row: train_rows, validation_rows, total_rows_after_dedup, source_counts_before_dedup,
-    source_counts_after_dedup (maps), notes. Inputs are per-source aggregates (one row per source)."""
+    source_counts_after_dedup (maps), notes, rejected_rows (rejected lines, rows and files; by file and
+    reason they are a frame and a file of their own, as files may be many). Inputs are per-source aggregates (one row per source)."""
     both = counts_before.select("source", "n", F.lit(True).alias("_before")).unionByName(
         counts_after.select("source", "n", F.lit(False).alias("_before")))
 
@@ -31,13 +25,16 @@ def report_frame(counts_before: DataFrame, counts_after: DataFrame, train_rows:
         as_map(True).alias("source_counts_before_dedup"),
         as_map(False).alias("source_counts_after_dedup"),
     )
-    return maps.select(
+    rejected = (reject_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rejected_rows"))
+                if reject_counts is not None else maps.select(F.lit(0).cast("long").alias("rejected_rows")))
+    return maps.crossJoin(rejected).select(  # one row each
         F.lit(train_rows).cast("long").alias("train_rows"),
         F.lit(validation_rows).cast("long").alias("validation_rows"),
         F.lit(train_rows + validation_rows).cast("long").alias("total_rows_after_dedup"),
         "source_counts_before_dedup",
         "source_counts_after_dedup",
-        F.array(*[F.lit(n) for n in notes]).alias("notes"),
+        F.array(*[F.lit(n) for n in notes]).cast("array<string>").alias("notes"),
+        "rejected_rows",
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatsift.config import CSV_HEADER, NA_TOKENS
-from chatsift.functions.json_shapes import parse_shape, shape_label
+from chatsift.functions.json_shapes import parse_shape, reject_reason, shape_label
 from chatsift.functions.messages import (
     EXAMPLE,
     clean_messages,
@@ -47,8 +47,13 @@ def _positions(df: DataFrame) -> DataFrame:
 
 
 def _pair_csv_reader(spark: SparkSession, mode: str, multi_line: bool = True):
+    # rows end with LF; the CR of a CRLF file, or of some rows of a mixed one, is trimmed afterwards
     return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8", mode=mode,
-                              columnNameOfCorruptRecord="_corrupt")
+                              lineSep="\n", columnNameOfCorruptRecord="_corrupt")
+
+
+def _without_cr(c: str) -> Column:
+    return F.when(F.col(c).endswith("\r"), F.expr(f"substring({c}, 1, length({c}) - 1)")).otherwise(F.col(c))
 
 
 def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header: bool = True,
@@ -56,18 +61,20 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
     """Read RFC-4180 CSV files with header ``input,output`` (BOM, case and edge spaces tolerated).
 
     Returns ``input, output, file_name, block, pos``; pandas' missing-value tokens become null.
-    Raises ``SchemaError`` naming the file if a header does not match (a Git-LFS pointer, a
-    reordered header ...) instead of mapping columns by position silently. Rows with a wrong
-    number of fields get no texts (``quarantine``; listed by ``malformed_pair_rows``) or fail the
-    job (``failfast``); a short row would have lost its output and been dropped anyway.
+    LF and CRLF row ends may be mixed within a file; a file whose only line ends are CR has no
+    readable header. Raises ``SchemaError`` naming the file if a header does not match (a Git-LFS
+    pointer, a reordered header ...) instead of mapping columns by position silently. Rows with a
+    wrong number of fields get no texts (``quarantine``; listed by ``malformed_pair_rows``) or fail
+    the job (``failfast``); a short row would have lost its output and been dropped anyway.
 
     ``multi_line=True`` (exact for quoted newlines) reads each file in one task; a caller who knows
     no field contains a newline can pass ``False`` so large files split across tasks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if check_header:
+        found = files.first_lines(spark, paths)
         for p in paths:
-            line = files.first_line(spark, p)
+            line = found[posixpath.basename(p)]
             if not header_ok(line):
                 raise SchemaError(f"{p}: expected header 'input,output', found {line[:80]!r}")
     if on_malformed == "failfast":
@@ -79,7 +86,7 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
         ok = F.col("_corrupt").isNull()
     else:
         raise ValueError(f"unknown on_malformed {on_malformed!r}")
-    df = _positions(df)
+    df = _positions(df).withColumn("output", _without_cr("output"))
     na = list(NA_TOKENS)
     # a malformed row keeps its place (it is a raw row for seeded caps) but has no texts, so it
     # never becomes an example
@@ -90,16 +97,27 @@ def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header:
     )
 
 
-def malformed_pair_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+def malformed_pair_rows(spark: SparkSession, paths: list[str] | str, multi_line: bool = True) -> DataFrame:
     """The quarantined rows of pair CSV files (wrong number of fields):
-    ``file_name, pos, input, record`` (Spark refuses queries on the corrupt-record column alone,
-    so the parsed first field comes along)."""
+    ``file_name, pos, input, record``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _pair_csv_reader(spark, "PERMISSIVE").schema("input string, output string, _corrupt string").csv(paths)
-    return _positions(df).where(F.col("_corrupt").isNotNull()).select(
+    df = _pair_csv_reader(spark, "PERMISSIVE", multi_line).schema("input string, output string, _corrupt string").csv(paths)
+    # Spark refuses queries on the corrupt-record column alone, so the filter names a field as well
+    parsed = F.coalesce(F.length("input"), F.lit(0)) >= 0
+    return _positions(df).where(F.col("_corrupt").isNotNull() & parsed).select(
         "file_name", "pos", "input", F.col("_corrupt").alias("record"))
 
 
+REJECTS = "file_name string, reason string, record string"
+
+
+def rejected_lines(lines: DataFrame, keep: tuple[str, ...] = ("file_name",)) -> DataFrame:
+    """JSON lines that yield nothing, or less than they hold: ``keep..., reason, record``."""
+    shaped = lines.withColumn("value", py_strip(F.col("value"))).withColumn("_shape", shape_label("value"))
+    return shaped.withColumn("reason", reject_reason("value", F.col("_shape"))).where(F.col("reason").isNotNull()).select(
+        *keep, "reason", F.col("value").alias("record"))
+
+
 def read_jsonl(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """One row per line: ``value, file_name, block, pos``."""
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -121,7 +139,9 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
     lines = lines.withColumn("value", py_strip(F.col("value")))
     shape = shape_label("value")
     if mode == "failfast":
-        shape = F.when(shape == "invalid", F.raise_error(F.concat(F.lit("invalid JSON line in "), F.col("file_name")))).otherwise(shape)
+        why = reject_reason("value", shape)
+        shape = F.when(why.isin("invalid_json", "bad_message"), F.raise_error(
+            F.concat(why, F.lit(" in a JSON line of "), F.col("file_name")))).otherwise(shape)
     elif mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
     staged = lines.withColumn("shape", shape).withColumn("source", src)
@@ -190,35 +210,43 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
 def _empty_examples(spark: SparkSession) -> DataFrame:
     schema = T.StructType(list(EXAMPLE.fields) + [T.StructField(ORDER, T.StructType([
         T.StructField("source_rank", T.IntegerType()), T.StructField("file_name", T.StringType()),
-        T.StructField("block", T.LongType()), T.StructField("row_pos", T.LongType()),
+        T.StructField("block", T.LongType()), T.StructField("row_pos", T.LongType()), T.StructField("row_key", T.StringType()),
         T.StructField("sub_pos", T.LongType())]))])
     return spark.createDataFrame([], schema)
 
 
 def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k: int,
                     ignored: set[str] | frozenset = frozenset(), csv_rank: int = 4, jsonl_rank: int = 5,
-                    mode: str = "quarantine") -> tuple[DataFrame, dict]:
+                    mode: str = "quarantine", multi_line: bool = True) -> tuple[DataFrame, dict]:
     """All ``*.csv`` (header-gated) then all ``*.jsonl`` files directly in ``folder``, each sorted
     by name, files whose base name is in ``ignored`` left out. Source tag ``custom:<file name>``.
-    A missing folder gives no rows. Returns (examples with ``_order``, report of files)."""
+    A missing folder gives no rows. Returns (examples with ``_order``, report of files); the report's
+    ``rejects`` is a frame of the rejected lines, rows and files (``file_name, reason, record``)."""
     from chatsift.sources.tables import pair_examples
 
-    report = {"csv_used": [], "csv_skipped_header": [], "csv_ignored": [], "jsonl_used": []}
+    report = {"csv_used": [], "csv_skipped_header": [], "csv_ignored": [], "jsonl_used": [],
+              "rejects": spark.createDataFrame([], REJECTS)}
     if not files.exists(spark, folder):
         return _empty_examples(spark), report
     frames = []
-    csv_paths = []
-    for p in files.list_files(spark, folder, "*.csv"):
-        name = posixpath.basename(p)
-        if name in ignored:
-            report["csv_ignored"].append(name)
-        elif header_ok(files.first_line(spark, p)):
+    csv_paths, skipped = [], []
+    found = [(posixpath.basename(p), p) for p in files.list_files(spark, folder, "*.csv")]
+    report["csv_ignored"] = [name for name, _ in found if name in ignored]
+    found = [(name, p) for name, p in found if name not in ignored]
+    headers = files.first_lines(spark, [p for _, p in found])
+    for name, p in found:
+        if header_ok(headers[name]):
             csv_paths.append(p)
             report["csv_used"].append(name)
         else:
+            skipped.append((name, "header", headers[name]))
             report["csv_skipped_header"].append(name)
+    if skipped:
+        report["rejects"] = report["rejects"].unionByName(spark.createDataFrame(skipped, REJECTS))
     if csv_paths:
-        raw = read_pair_csv(spark, csv_paths, check_header=False, on_malformed=mode)
+        raw = read_pair_csv(spark, csv_paths, check_header=False, on_malformed=mode, multi_line=multi_line)
+        report["rejects"] = report["rejects"].unionByName(malformed_pair_rows(spark, csv_paths, multi_line).select(
+            "file_name", F.lit("field_count").alias("reason"), "record"))
         ex = pair_examples(raw, "input", "output", system_prompt=system_prompt,
                            source=F.concat(F.lit("custom:"), F.col("file_name")),
                            keep=("file_name", "block", "pos"))
@@ -227,6 +255,7 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
     report["jsonl_used"] = [posixpath.basename(p) for p in jsonl_paths]
     if jsonl_paths:
         lines = read_jsonl(spark, jsonl_paths)
+        report["rejects"] = report["rejects"].unionByName(rejected_lines(lines))
         ex = jsonl_examples(lines, system_prompt=system_prompt, k=k,
                             source=F.concat(F.lit("custom:"), F.col("file_name")), mode=mode)
         frames.append(ordered(ex, jsonl_rank, "file_name", pos="pos", sub="sub", block="block")
@@ -241,5 +270,5 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
 
 __all__ = [
     "SchemaError", "header_ok", "jsonl_examples", "load_custom_dir", "malformed_pair_rows", "read_jsonl",
-    "read_pair_csv",
+    "read_pair_csv", "rejected_lines",
 ]

@@ -1,13 +1,15 @@
 """File-system helpers on the cluster's Hadoop FileSystem (works for local, HDFS, object stores).
 
-Only file *names* and the first line of a file reach the driver; file contents are read by Spark.
+Only file *names* and the bounded first lines of files reach the driver; contents are read by Spark.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import posixpath
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,17 +38,21 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return [path for _, path in sorted(found)]
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """First line of a file decoded as UTF-8, with a leading byte-order mark removed."""
-    jvm = spark.sparkContext._jvm
-    fs, p = _fs(spark, path)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        line = reader.readLine()
-    finally:
-        reader.close()
-    line = line or ""
-    return line[1:] if line.startswith("\ufeff") else line
+HEADER_CHARS = 4096  # as much of a first line as reaches the driver
+
+
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line of each file by base name (empty for an empty file), UTF-8, without a leading
+    byte-order mark or closing CR, cut to ``HEADER_CHARS``. One Spark job for all files: in each
+    file's first split the line read first wins, by partial aggregation."""
+    if not paths:
+        return {}
+    lines = spark.read.option("encoding", "UTF-8").option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"),
+        F.substring("value", 1, HEADER_CHARS).alias("line"), F.monotonically_increasing_id().alias("pos")).where("block = 0")
+    found = dict(lines.groupBy("name").agg(F.min_by("line", "pos")).collect())
+    tidy = lambda x: x[1:] if x.startswith("\ufeff") else x
+    return {(n := posixpath.basename(p)): tidy(found.get(n) or "").rstrip("\r") for p in paths}
 
 
 def rename(spark: SparkSession, src: str, dst: str) -> None:

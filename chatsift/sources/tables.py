@@ -39,17 +39,18 @@ def pair_examples(df: DataFrame, user: Column | str, assistant: Column | str, *,
     Same result as cleaning the two arrays generically, computed directly: the roles are
     constants, so the user text is valid iff it normalises to 2..1200 characters (which also
     makes it non-empty and present), likewise the reply, and the constant system message is
-    normalised once per plan. The two texts are normalised once each, inside a one-element array
-    that is filtered and unpacked with ``inline`` (a ``where`` would be pushed below the projection
-    and normalise again).
+    normalised once per plan. Each text is normalised once, inside a one-element array that is
+    filtered and unpacked with ``inline`` (a ``where`` would be pushed below the projection and
+    normalise again), the reply only where the user text passed.
     """
     from chatsift.functions.messages import constant_system
     from chatsift.functions.text import is_valid_length, normalize_text
 
     src = F.lit(source) if isinstance(source, str) else source
-    texts = F.array(F.struct(normalize_text(_c(user)).alias("u"), normalize_text(_c(assistant)).alias("a")))
-    valid = F.filter(texts, lambda e: is_valid_length(e["u"]) & is_valid_length(e["a"]))
-    staged = df.select(*keep, F.inline(valid), src.alias("source"))
+    # the reply is normalised inside the lambda, so only for user texts that passed
+    asked = F.filter(F.array(normalize_text(_c(user))), lambda u: is_valid_length(u))
+    pairs = F.transform(asked, lambda u: F.struct(u.alias("u"), normalize_text(_c(assistant)).alias("a")))
+    staged = df.select(*keep, F.inline(F.filter(pairs, lambda e: is_valid_length(e["a"]))), src.alias("source"))
     return staged.select(
         *keep,
         F.concat(constant_system(df.sparkSession, system_prompt), F.array(message(F.lit("user"), F.col("u")))).alias("prompt"),

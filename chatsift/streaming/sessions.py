@@ -9,10 +9,12 @@ clip(history + [user, reply]); an error leaves it as it was.
 
 Texts are normalised by Spark column expressions before the stateful step, so the Python
 processor only appends and slices lists. State per chat is bounded (at most ``2 * max_turns``
-messages plus one pending message) and kept in the RocksDB state store under the query's
-checkpoint, so it survives restarts and lost executors. Rows of one chat inside a micro-batch are
-ordered by ``seq`` in the processor; the micro-batch size (``maxFilesPerTrigger`` /
-``maxOffsetsPerTrigger``) bounds that buffer.
+messages, one pending message and the last ``seq``) and kept in the RocksDB state store under the
+query's checkpoint, so it survives restarts and lost executors. Rows of one chat inside a micro-batch
+are ordered by ``seq`` in the processor; the micro-batch size (``maxFilesPerTrigger`` /
+``maxOffsetsPerTrigger``) bounds that buffer. Between micro-batches events of a chat arrive in ``seq``
+order, as a partitioned log delivers them; a row at or before the last ``seq`` applied for its chat
+is late and ignored, so it can neither see nor change a history that is not its own.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 EVENT_SCHEMA = "seq long, chat_id long, kind string, text string, reply_to long"
 STATE_SCHEMA = (
     "history array<struct<role: string, content: string>>, pending_seq long, "
-    "pending_text string, pending_history array<struct<role: string, content: string>>"
+    "pending_text string, pending_history array<struct<role: string, content: string>>, last_seq long"
 )
 OUTPUT_SCHEMA = "seq long, chat_id long, message string, history array<struct<role: string, content: string>>"
 
@@ -56,9 +58,13 @@ class SessionProcessor(StatefulProcessor):
             history = [(m[0], m[1]) for m in (st[0] or [])]
             pending_seq, pending_text = st[1], st[2]
             pending_history = [(m[0], m[1]) for m in (st[3] or [])]
+            last_seq = st[4]
         else:
-            history, pending_seq, pending_text, pending_history = [], None, None, []
+            history, pending_seq, pending_text, pending_history, last_seq = [], None, None, [], None
         for r in sorted(rows, key=lambda r: r.seq):
+            if last_seq is not None and r.seq <= last_seq:
+                continue  # late: its place in the session has passed
+            last_seq = r.seq
             if r.kind == "reset":
                 history, pending_seq, pending_text, pending_history = [], None, None, []
             elif r.kind == "message":
@@ -74,6 +80,7 @@ class SessionProcessor(StatefulProcessor):
             # "start" and replies without a pending message leave the state as it is
         self.state.update((
             [(a, b) for a, b in history], pending_seq, pending_text, [(a, b) for a, b in pending_history],
+            last_seq,
         ))
 
     def close(self) -> None:
@@ -113,15 +120,27 @@ def drop_backlog(events: DataFrame, ts_col: str, start_ts) -> DataFrame:
     return events.where(F.col(ts_col) >= F.lit(start_ts))
 
 
+def event_stream(spark, path: str, *, schema: str = EVENT_SCHEMA, ts_col: str | None = None, start_ts=None,
+                 max_files: int | None = None) -> DataFrame:
+    """Chat events of a growing folder of Parquet files as a stream. ``start_ts`` starts from now:
+    events before it are ignored. ``max_files`` bounds a micro-batch, oldest files first."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    events = reader.parquet(path)
+    return events if start_ts is None else drop_backlog(events, ts_col, start_ts)
+
+
 def run_available(events_stream: DataFrame, out_path: str, checkpoint: str,
-                  max_turns: int = CHAT_MAX_HISTORY_TURNS, timeout_s: int = 600) -> None:
-    """Process everything available now into a parquet sink, then stop."""
+                  max_turns: int = CHAT_MAX_HISTORY_TURNS, timeout_s: int | None = None) -> None:
+    """Process everything available now into a parquet sink, then stop. ``timeout_s`` makes a run that
+    takes longer an error; by default there is no limit."""
     q = (
         session_requests(events_stream, max_turns)
         .writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
-    q.awaitTermination(timeout_s)
+    q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("session stream did not finish")
@@ -130,10 +149,12 @@ def run_available(events_stream: DataFrame, out_path: str, checkpoint: str,
 
 
 def session_requests_batch(events: DataFrame, max_turns: int = CHAT_MAX_HISTORY_TURNS, skew=None) -> DataFrame:
-    """Batch twin of ``session_requests`` on a static event table, without Python: outcomes are
-    joined to their message on the unique ``(chat_id, seq)``, every successful exchange becomes two
-    history items, and the skew-safe trailing-context operator (cut at resets) yields the history
-    each message was sent with."""
+    """Batch twin of ``session_requests`` on a static event table, without Python.
+
+    A reply counts where it arrives: if the chat's last message before it, since the last reset, is
+    the one it answers and nothing answered that before. Such an exchange becomes two history items
+    at the reply's own place, and the skew-safe trailing-context operator (cut at resets) yields the
+    history each message was sent with."""
     from chatsift.config import SkewConfig
     from chatsift.functions.messages import message
     from chatsift.operators.context import trailing_context
@@ -141,27 +162,33 @@ def session_requests_batch(events: DataFrame, max_turns: int = CHAT_MAX_HISTORY_
 
     skew = skew or SkewConfig()
     prepared = prepare_events(events)
+    chat_hot = hot_keys(events.select("chat_id"), ["chat_id"], skew)
+    pending = trailing_context(
+        prepared.where(F.col("kind").isin("message", "reply", "error", "reset")), keys=["chat_id"], seq="seq",
+        item=F.col("seq"), k=1, is_item=F.col("kind") == "message", is_reset=F.col("kind") == "reset", hot=chat_hot,
+        block_rows=skew.block_rows, out="asked")
+    answers = pending.where(F.col("kind").isin("reply", "error") & (F.get("asked", F.lit(0)) == F.col("reply_to")))
+    first = answers.groupBy("chat_id", F.col("reply_to").alias("seq")).agg(
+        F.min_by(F.struct("kind", F.col("seq").alias("at"), F.col("text").alias("reply")), "seq").alias("o"))
+    done = first.where("o.kind = 'reply'").select("chat_id", "seq", "o.at", "o.reply")
     msgs = prepared.where(F.col("kind") == "message").select("seq", "chat_id", "text")
-    outcomes = prepared.where(F.col("kind").isin("reply", "error")).select(
-        "chat_id", F.col("reply_to").alias("seq"), F.col("kind").alias("outcome"), F.col("text").alias("reply"))
-    m = msgs.join(outcomes, on=["chat_id", "seq"], how="left")
-    ok = F.coalesce(F.col("outcome") == "reply", F.lit(False))
-    rows = m.select(
-        "chat_id", "seq", "text",
-        F.explode(F.array(
-            F.struct((F.col("seq") * 2).alias("pos"), (ok & (F.col("text") != "")).alias("is_item"),
-                     message(F.lit("user"), F.col("text")).alias("item"), F.lit(True).alias("query")),
-            F.struct((F.col("seq") * 2 + 1).alias("pos"), (ok & (F.coalesce(F.col("reply"), F.lit("")) != "")).alias("is_item"),
-                     message(F.lit("assistant"), F.col("reply")).alias("item"), F.lit(False).alias("query")),
-        )).alias("r"),
-    ).select("chat_id", "seq", "text", "r.*", F.lit(False).alias("is_reset"))
-    resets = prepared.where(F.col("kind") == "reset").select(
-        "chat_id", "seq", F.lit(None).cast("string").alias("text"), (F.col("seq") * 2).alias("pos"),
-        F.lit(False).alias("is_item"), message(F.lit("user"), F.lit("")).alias("item"), F.lit(False).alias("query"),
-        F.lit(True).alias("is_reset"))
-    both = rows.unionByName(resets)
-    hot = hot_keys(events.select("chat_id"), ["chat_id"], skew)
+    blank = message(F.lit("user"), F.lit(""))
+
+    def rows(df: DataFrame, pos, is_item, item, query: bool, is_reset: bool) -> DataFrame:
+        return df.select("chat_id", "seq", "text", pos.alias("pos"), is_item.alias("is_item"), item.alias("item"),
+                         F.lit(query).alias("query"), F.lit(is_reset).alias("is_reset"))
+
+    no = F.lit(False)
+    asked = rows(msgs, F.col("seq") * 2, no, blank, True, False)
+    exchanged = msgs.join(done, on=["chat_id", "seq"]).select("chat_id", "seq", "text", F.explode(F.array(
+        F.struct((F.col("at") * 2).alias("pos"), (F.col("text") != "").alias("is_item"),
+                 message(F.lit("user"), F.col("text")).alias("item")),
+        F.struct((F.col("at") * 2 + 1).alias("pos"), (F.coalesce(F.col("reply"), F.lit("")) != "").alias("is_item"),
+                 message(F.lit("assistant"), F.col("reply")).alias("item")),
+    )).alias("r")).select("chat_id", "seq", "text", "r.*", F.lit(False).alias("query"), F.lit(False).alias("is_reset"))
+    resets = rows(prepared.where(F.col("kind") == "reset"), F.col("seq") * 2, no, blank, False, True)
+    both = asked.unionByName(exchanged).unionByName(resets)
     ctx = trailing_context(both, keys=["chat_id"], seq="pos", item=F.col("item"), k=2 * max_turns,
-                           is_item=F.col("is_item"), is_reset=F.col("is_reset"), hot=hot, span=skew.block_span,
+                           is_item=F.col("is_item"), is_reset=F.col("is_reset"), hot=chat_hot, block_rows=skew.block_rows,
                            out="history")
     return ctx.where("query").select("seq", "chat_id", F.col("text").alias("message"), "history")

@@ -32,7 +32,7 @@ def _pos(m, roles, texts):
     return texts.index(m.content)
 
 
-@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(hot_key_rows=1, block_span=2)])
+@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(hot_key_rows=1, block_rows=2)])
 def test_fixture_cases(spark, skew):
     assert run(spark, "UAUA", skew=skew) == [(["U0"], 1), (["U0", "A1", "U2"], 3)]
     assert run(spark, "UAA", skew=skew) == [(["U0"], 1)]
@@ -89,7 +89,7 @@ def test_trailing_context_blocked_matches_brute_force(spark, k, span, hot):
     df = spark.createDataFrame(rows, "key long, seq long, is_item boolean, is_reset boolean, val string")
     hk = {"all": HotKeys(all_keys=True), "some": HotKeys(rows=((0,), (2,))), "none": HotKeys()}[hot]
     out = trailing_context(df, keys=["key"], seq="seq", item=F.col("val"), k=k, is_item=F.col("is_item"),
-                           is_reset=F.col("is_reset"), hot=hk, span=span)
+                           is_reset=F.col("is_reset"), hot=hk, block_rows=span)
     got = {(r.key, r.seq): list(r.ctx) for r in out.collect()}
     want = brute(rows, k)
     assert got == want
@@ -101,7 +101,7 @@ def test_blocked_equals_plain_on_driver_data(spark):
     turns = spark.read.parquet(f"{SF01}/conversations.parquet")
     plain = conversation_examples(turns, system_prompt=SP, source="t", k=3)
     blocked = conversation_examples(turns, system_prompt=SP, source="t", k=3,
-                                    skew=SkewConfig(hot_key_rows=2, block_span=2))
+                                    skew=SkewConfig(hot_key_rows=2, block_rows=2))
     a = sorted(map(tuple, plain.select("conv_id", "turn", F.to_json("prompt")).collect()))
     b = sorted(map(tuple, blocked.select("conv_id", "turn", F.to_json("prompt")).collect()))
     assert a == b and len(a) > 100
@@ -113,7 +113,7 @@ def test_hot_conversation_found_by_sampled_probe_and_blocked(spark):
     rows = [(0, t, "user" if t % 2 == 0 else "assistant", f"hot message {t}") for t in range(3000)]
     rows += [(c, t, "user" if t % 2 == 0 else "assistant", f"c{c} t{t}") for c in range(1, 40) for t in range(6)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    skew = SkewConfig(hot_key_rows=1000, block_span=256, probe_fraction=0.5)
+    skew = SkewConfig(hot_key_rows=1000, block_rows=256, probe_fraction=0.5)
     assert hot_keys(turns.select("conv_id"), ["conv_id"], skew).rows == ((0,),)
     plain = conversation_examples(turns, system_prompt=SP, source="t", k=8)
     blocked = conversation_examples(turns, system_prompt=SP, source="t", k=8, skew=skew)

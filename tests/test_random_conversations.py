@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatsift.config import SkewConfig
 from chatsift.operators.context import conversation_examples
-from test_text import py_normalize
+from test_text import normalized
 
 SP = "the system prompt"
 ROLES = ["user", "assistant", "user", "assistant", "system", "tool", " User ", "ASSISTANT\t", "", None]
@@ -33,8 +33,8 @@ def _duck_with(name, pdf):
     return con
 
 
-@pytest.mark.parametrize("k,skew", [(3, SkewConfig()), (0, SkewConfig()), (3, SkewConfig(hot_key_rows=5, block_span=4)),
-                                    (8, SkewConfig(hot_key_rows=5, block_span=3))])
+@pytest.mark.parametrize("k,skew", [(3, SkewConfig()), (0, SkewConfig()), (3, SkewConfig(hot_key_rows=5, block_rows=4)),
+                                    (8, SkewConfig(hot_key_rows=5, block_rows=3))])
 def test_random_conversations_match_sql_oracle(spark, k, skew):
     """Random conversations: the Spark generator against the DuckDB oracle SQL on the same rows."""
     import pandas as pd
@@ -57,6 +57,7 @@ def test_random_conversations_match_sql_oracle(spark, k, skew):
 
 def expected_sessions(events, max_turns=6):
     """Per chat: history sent with each message; replies/errors answer the pending message."""
+    clean = dict(zip([e[3] for e in events], normalized([e[3] for e in events])))
     state, pending, out = {}, {}, {}
     for seq, chat, kind, text, reply_to in sorted(events, key=lambda e: (e[1], e[0])):
         hist = state.setdefault(chat, [])
@@ -65,13 +66,13 @@ def expected_sessions(events, max_turns=6):
         elif kind == "message":
             if text is None or text == "" or text.startswith("/"):
                 continue
-            msg = py_normalize(text)
+            msg = clean[text]
             sent = [m for m in hist if m[1]][-2 * max_turns:]
             out[(chat, seq)] = sent
             pending[chat] = (seq, msg, sent)
         elif kind == "reply" and pending.get(chat) and pending[chat][0] == reply_to:
             _, msg, sent = pending[chat]
-            state[chat] = [m for m in sent + [("user", msg), ("assistant", py_normalize(text))] if m[1]][-2 * max_turns:]
+            state[chat] = [m for m in sent + [("user", msg), ("assistant", clean[text])] if m[1]][-2 * max_turns:]
             pending[chat] = None
         elif kind == "error" and pending.get(chat) and pending[chat][0] == reply_to:
             pending[chat] = None
@@ -92,12 +93,22 @@ def random_events(rng, chats=6, n=400):
         msg_seq = seq
         seq += 1
         outcome = rng.choices(["reply", "error"], [0.8, 0.2])[0]
-        events.append((seq, chat, outcome, rng.choice(["sure", " ok ", "fine\tthanks"]) if outcome == "reply" else None,
+        at = seq if rng.random() < 0.6 else seq + rng.choice([6, 10, 25]) + 0.5  # slow answers cross later events
+        events.append((at, chat, outcome, rng.choice(["sure", " ok ", "fine\tthanks"]) if outcome == "reply" else None,
                        msg_seq))
-    return events
-
-
-@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(hot_key_rows=10, block_span=16)])
+        if rng.random() < 0.1:  # answered twice
+            events.append((at + 0.25, chat, "reply", "again", msg_seq))
+    # whole, distinct sequence numbers in the same order
+    order = {x: i for i, x in enumerate(sorted({e[0] for e in events}))}
+    distinct = [(order[e[0]] * 400 + i, *e[1:4], e[4]) for i, e in enumerate(sorted(events, key=lambda e: e[0]))]
+    renamed = {}
+    for old, new in zip(sorted(events, key=lambda e: e[0]), distinct):
+        if old[2] == "message":
+            renamed[old[0]] = new[0]
+    return [(*e[:4], None if e[4] is None else renamed[e[4]]) for e in distinct]
+
+
+@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(hot_key_rows=10, block_rows=16)])
 def test_random_sessions_batch_twin_matches_python(spark, skew):
     from chatsift.streaming import sessions as ss
 
@@ -121,6 +132,27 @@ def test_random_sessions_stream_matches_python(spark, tmp_path):
     assert got == expected_sessions(events)
 
 
+def test_random_sessions_stream_in_many_files(spark, tmp_path):
+    """One file per micro-batch, in order of seq: the same requests as the batch twin; late rows are
+    ignored."""
+    from chatsift.streaming import sessions as ss
+
+    events = sorted(random_events(random.Random(9), n=60), key=lambda e: e[0])
+    src, out, ck = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck")
+    for i in range(0, len(events), 40):
+        spark.createDataFrame(events[i : i + 40], ss.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    ss.run_available(ss.event_stream(spark, src, max_files=1), out, ck)
+    got = {(r.chat_id, r.seq): [(h.role, h.content) for h in r.history] for r in spark.read.parquet(out).collect()}
+    df = spark.createDataFrame(events, ss.EVENT_SCHEMA)
+    twin = {(r.chat_id, r.seq): [(h.role, h.content) for h in r.history] for r in ss.session_requests_batch(df).collect()}
+    assert got == twin == expected_sessions(events)
+    chat = events[0][1]
+    spark.createDataFrame([(0, chat, "message", "too late", None), (1, chat, "reset", None, None)],
+                          ss.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    ss.run_available(ss.event_stream(spark, src, max_files=1), out, ck)
+    assert spark.read.parquet(out).where("message = 'too late'").count() == 0
+
+
 def random_item(rng):
     def msgs():
         return [{"role": rng.choice(ROLES), "content": random_text(rng)} for _ in range(rng.randint(0, 7))]
@@ -189,6 +221,10 @@ def test_random_requests_match_python(spark):
     got = {r.request_id: (r.is_valid, [(m.role, m.content) for m in r.messages] if r.is_valid else None,
                           r.max_new_tokens_eff, r.temperature_eff, r.top_p_eff) for r in out.collect()}
 
+    given = [msg for _, msg, *_ in rows] + [sp or cfg.system_prompt for _, _, _, sp, *_ in rows]
+    given += [h["content"] for _, _, hist, *_ in rows for h in hist or []]
+    norm = dict(zip(given, normalized(given)))
+
     def in_range(v, lo, hi):
         return v is None or lo <= v <= hi
 
@@ -199,9 +235,9 @@ def test_random_requests_match_python(spark):
               and in_range(mnt, 32, 512) and in_range(temp, 0.0, 1.5) and in_range(top, 0.1, 1.0))
         msgs = None
         if ok:
-            cleaned = [(h["role"].strip().lower(), py_normalize(h["content"])) for h in hist or []]
+            cleaned = [(h["role"].strip().lower(), norm[h["content"]]) for h in hist or []]
             cleaned = [m for m in cleaned if m[0] in ("user", "assistant") and m[1]][-2 * cfg.max_history_turns:]
-            msgs = [("system", py_normalize(sp or cfg.system_prompt))] + cleaned + [("user", py_normalize(msg))]
+            msgs = [("system", norm[sp or cfg.system_prompt])] + cleaned + [("user", norm[msg])]
         want = (ok, msgs, mnt or cfg.max_new_tokens, temp if temp is not None else cfg.temperature,
                 top if top is not None else cfg.top_p)
         assert got[rid] == want, (rid, got[rid], want)

@@ -1,5 +1,4 @@
-"""Normalisation and strip goldens (FIXTURES 2.1) and a randomised check against a plain-Python
-restatement of the rules."""
+"""Normalisation and strip goldens (FIXTURES 2.1), hand-written, and randomised checks against the rules in DuckDB SQL."""
 
 import random
 
@@ -19,27 +18,16 @@ GOLDEN = [
 ]
 
 
-def py_normalize(text):
-    if text is None:
-        return ""
-    s = str(text).replace("\r\n", "\n").replace("\r", "\n").replace("​", " ")
-    s = s.replace("‘", "'").replace("’", "'").replace("“", '"').replace("”", '"')
-    out = []
-    for line in s.split("\n"):
-        collapsed = []
-        prev_space = False
-        for ch in line:
-            if ch in " \t":
-                if not prev_space:
-                    collapsed.append(" ")
-                prev_space = True
-            else:
-                collapsed.append(ch)
-                prev_space = False
-        line = "".join(collapsed).strip()
-        if line:
-            out.append(line)
-    return "\n".join(out).strip()
+def normalized(texts):
+    """Normalised form of each text by the DuckDB statement of the rules (not the Spark expression)."""
+    import duckdb
+    import pandas as pd
+
+    from chatsift.plans import sqltext as q
+
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"i": range(len(texts)), "t": pd.Series(texts, dtype=object)}))
+    return [r[0] for r in con.execute(f"SELECT {q.normalize('t')} FROM given ORDER BY i").fetchall()]
 
 
 def test_golden(spark):
@@ -47,6 +35,7 @@ def test_golden(spark):
     got = {r.i: r.n for r in df.select("i", normalize_text("t").alias("n")).collect()}
     for i, (_, want) in enumerate(GOLDEN):
         assert got[i] == want, (GOLDEN[i], got[i])
+    assert normalized([t for t, _ in GOLDEN]) == [w for _, w in GOLDEN]
 
 
 def test_strip_matches_python_on_all_whitespace(spark):
@@ -63,8 +52,8 @@ def test_random_strings_match_reference_rules(spark):
     rows = [(i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25)))) for i in range(3000)]
     df = spark.createDataFrame(rows, "i int, t string")
     got = dict(df.select("i", normalize_text("t").alias("n")).collect())
-    for i, t in rows:
-        assert got[i] == py_normalize(t), repr(t)
+    for (i, t), want in zip(rows, normalized([t for _, t in rows])):
+        assert got[i] == want, repr(t)
 
 
 def test_normalize_is_idempotent(spark):
