@@ -59,8 +59,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language_id.page_languages(table(spark, sf_dir, "pages"))
-    return found.withColumn("rejected", language_id.rejected())
+    """All documents (declared language, source as host) and all pages (markup, address, host)."""
+    docs = language_id.document_languages(table(spark, sf_dir, "documents"))
+    pages = language_id.page_languages(table(spark, sf_dir, "pages"))
+    found = docs.unionByName(pages, allowMissingColumns=True)
+    return found.select("doc_id", "lang", "probability", "text_lang", "declared", "n_bytes",
+                        language_id.rejected().alias("rejected"), "page_id", "url")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
