@@ -36,8 +36,8 @@ CLASSES = 1 << 14
 STATES = 8
 STEPS = 5
 FREQUENT = 500_000
-BATCH_TOKENS = 600_000
-PART_TOKENS = 2_000_000
+BATCH_TOKENS = 1_500_000
+PART_TOKENS = 3_000_000
 MAX_PARTS = 20_000
 LONG = 2_048
 SPREAD = 50.0  # weight, in tokens, of the corpus's class shares in each state's emissions
@@ -95,11 +95,11 @@ def _frequent(counts: DataFrame, limit: int) -> tuple[dict[bytes, int], np.ndarr
         if held > limit:
             break
         low = s
-    rows = counts.where(step >= low).collect() if low is not None else []
-    words = [bytes(r[0]) for r in rows]
+    rows = counts.where(step >= low if low is not None else F.lit(False)).toArrow()  # at most ``limit`` rows
+    words = rows.column("word").to_pylist()
     return ({w: i for i, w in enumerate(words)},
             np.array([word_class(w) for w in words] + [0], dtype=np.uint16),
-            np.log10(np.array([r[1] for r in rows] + [0], dtype=np.float64) + 1))
+            np.log10(np.append(rows.column("n").to_numpy(), 0) + 1.0))
 
 
 def _encode(shared):
@@ -154,11 +154,10 @@ class _Batch:
         emit = m.emit[self.x]
         scale = np.empty(len(self.x))
         alpha = np.empty_like(emit) if keep else None
-        a = None
-        for t, n in enumerate(self.active):
-            lo = self.at[t]
+        ones, a = np.ones(len(m.first)), None
+        for n, lo in zip(self.active.tolist(), self.at.tolist()):
             a = (m.first if a is None else a[:n] @ m.move) * emit[lo : lo + n]
-            c = a.sum(axis=1)
+            c = a @ ones
             a /= c[:, None]
             scale[lo : lo + n] = c
             if keep:
