@@ -212,7 +212,7 @@ def _batches(batches):
 
 def _expect(shared):
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         total = None
         for _, b in _batches(batches):
             got = b.expected_counts(m)
@@ -249,7 +249,7 @@ def train(seqs: DataFrame, share: np.ndarray, states: int = STATES, steps: int =
     m = Model(np.full(states, 1 / states), 0.1 / states + 0.9 * np.eye(states), emit / emit.sum(axis=0))
     m.move /= m.move.sum(axis=1, keepdims=True)
     for _ in range(steps):
-        shared = spark.sparkContext.broadcast(m)
+        shared = spark.sparkContext.broadcast((m.first, m.move, m.emit))
         # at most 16 sums of fixed size reach the driver
         parts = seqs.select("seq").mapInArrow(_expect(shared), "sums binary").repartition(16).mapInArrow(
             _add, "sums binary").collect()
@@ -264,7 +264,8 @@ def train(seqs: DataFrame, share: np.ndarray, states: int = STATES, steps: int =
 
 def _score(shared):
     def run(batches):
-        m, log_size = shared.value
+        *parts, log_size = shared.value
+        m = Model(*parts)
         keep = ["row", "id", "held_out", "n_tokens", "log_sum", "known"]
         for rows, b in _batches(batches):
             ll = b.log10_likelihoods(m)
@@ -308,7 +309,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked = table.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.m").join(counts, "word")
     rare = looked.groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("rare_sum"), F.sum("m").alias("rare_known"))
-    shared = spark.sparkContext.broadcast((m, np.log10(size)))
+    shared = spark.sparkContext.broadcast((m.first, m.move, m.emit, np.log10(size)))
     scored = seqs.mapInArrow(_score(shared), f"row long, id {kind}, held_out boolean, n_tokens long, log_sum double, "
                              "known long, part double").join(rare, "row", "left")
     log_sum = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0))

@@ -163,6 +163,10 @@ class Field:
     move: np.ndarray  # label x label
     first: np.ndarray
 
+    def parts(self):
+        """As plain values: a broadcast is unpickled by workers that need no copy of this package."""
+        return self.index, self.emit, self.move, self.first
+
     def scores(self, runs: list[list[list[str]]], length: int) -> np.ndarray:
         """Emission scores (runs x length x labels) of runs of one length."""
         none, flat, ends = len(self.index), [], []
@@ -331,8 +335,8 @@ def _labelled_runs(batches):
                     labels.append(2 * own[0][2] + (1 if own[0][0] >= begin else 2) if own else 0)
                 words = [text[b:e] for b, e in run]
                 digits = sum(c.isdigit() for w in words for c in w)
-                if 0 in labels and (any(labels) or digits >= 9):
-                    continue  # explained in part, or too many digits to be told: no evidence
+                if 0 in labels and (any(labels) or (len(run) > 1 and digits >= 9)):
+                    continue  # explained in part, or digits over several words that may hide a match: no evidence
                 feats = run_features(words, after, shapes)
                 rows["\x1e".join("\x1f".join(f) for f in feats), ",".join(map(str, labels))] += 1
         yield pa.RecordBatch.from_arrays(
@@ -364,14 +368,15 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 def find_spans(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) per input row: all spans by start, then kind, marked where they are base spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded by the training table
+    shared = docs.sparkSession.sparkContext.broadcast(field and field.parts())  # bounded by the training table
 
     def run(batches):
+        field = shared.value and Field(*shared.value)
         for batch in arrow_slices(batches, "text", 8_000_000):
             texts = _strings(batch, "text")
             base = [base_spans(t) for t in texts]
             rows = []
-            for own, more in zip(base, added_spans(texts, base, shared.value)):
+            for own, more in zip(base, added_spans(texts, base, field)):
                 spans = sorted([(*s, True) for s in own] + [(*s, False) for s in more], key=lambda s: (s[0], s[2]))
                 rows.append([{"kind": KINDS[k], "start": b, "end": e, "base": own} for b, e, k, own in spans])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
@@ -395,16 +400,17 @@ def mask_spans(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def redact(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` masked; null stays null, other columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = docs.sparkSession.sparkContext.broadcast(field and field.parts())
 
     def run(batches):
+        field = shared.value and Field(*shared.value)
         for batch in arrow_slices(batches, text_col, 8_000_000):
             at = batch.schema.get_field_index(text_col)
             raw = batch.column(at).to_pylist()
             texts = [x or "" for x in raw]
             base = [base_spans(t) for t in texts]
             done = []
-            for x, t, own, more in zip(raw, texts, base, added_spans(texts, base, shared.value)):
+            for x, t, own, more in zip(raw, texts, base, added_spans(texts, base, field)):
                 spans = sorted(own + more, key=lambda s: (s[0], s[2]))
                 done.append(mask_spans(t, spans) if spans else x)
             cols = list(batch.columns)
