@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from chatsift.session import scratch_path
 
 
+BATCH_ROWS = "2000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts make heavy rows: ask for smaller Arrow batches, unless the session sets a size."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +32,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor re-reads the table instead of recomputing what led to it."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

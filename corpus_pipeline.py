@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatsift.llm import decontamination, language_id, mixing, pii_crf, simhash
-from chatsift.llm.common import stage, table
+from chatsift.llm.common import bounded_batches, stage, table
 
 BROADCAST_IDS = 1_000_000  # a set of ids is broadcast up to this size, joined by a shuffle beyond
 
@@ -27,6 +27,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest go."""
+    bounded_batches(spark)
     marked = docs.withColumn("text_digest", F.xxhash64("text"))
     found = language_id.identify(marked, ["doc_id", "text_digest"], "text", F.col("lang"), F.lit(None), F.col("source"))
     gone = found.where(language_id.rejected()).select("doc_id", "text_digest")
