@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from chatsift.session import scratch_path
 
 
-BATCH_ROWS = "2000"
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts make heavy rows: ask for smaller Arrow batches, unless the session sets a size."""
+    """Whole texts make heavy rows: bound the bytes of an Arrow batch, unless the session sets a bound."""
     if spark.conf.get(_BATCH_SETTING, None) is None:
-        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
