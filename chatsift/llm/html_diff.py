@@ -52,6 +52,9 @@ _OUTSIDE_WORDS = frozenset(
     "consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget".split())
+_ARTICLE_WORDS = frozenset("ad ads advert comment comments promo related replies reply sponsored teaser".split())
+_PAGE_WORDS = _OUTSIDE_WORDS | {"header", "topbar"}  # an article's own header holds its title
+_MODIFIERS = frozenset("has is no with without".split())  # has-sidebar says something about the neighbours
 _OUTSIDE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
@@ -74,9 +77,12 @@ def _is_outside(name: str, attrs: str, in_article: bool) -> bool:
             return True
         if key == "role" and not _OUTSIDE_ROLES.isdisjoint(value.split()):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not (
-                _OUTSIDE_WORDS.isdisjoint(_NAMES.findall(value))):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "main"):
+            words = _ARTICLE_WORDS if name == "article" else _OUTSIDE_WORDS if in_article else _PAGE_WORDS
+            for one in value.split():
+                parts = _NAMES.findall(one)
+                if parts and parts[0] not in _MODIFIERS and not words.isdisjoint(parts):
+                    return True
     return False
 
 

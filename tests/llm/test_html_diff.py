@@ -42,6 +42,13 @@ def test_markup_roles_and_references(spark):
     assert got[1] == "Head & tail\nOne two.\nCafé <3!\na bc\nx y\n2 < 3"
 
 
+def test_class_names(spark):
+    body = ("<div class='site-header'>Site</div><div class='content has-sidebar'><article class='post'><div class='article-header'>"
+            "<h1>Title</h1></div><p>Words.</p><div class='share-box'>Share</div></article><article class='comment'>Nice</article>"
+            "</div><div id='left-sidebar'>Side</div>")
+    assert run(spark, [(1, "http://h/a", page(body), "x", 1)])[1] == "Title\nWords."
+
+
 def test_unmarked_template_lines_are_deleted_by_differencing(spark):
     rng = random.Random(8)
     rows = []
