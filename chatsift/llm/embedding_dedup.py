@@ -1,18 +1,18 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by buckets of random signs.
 
-In each pass every vector gets ``BITS`` random hyperplane signs, the concatenated signs order the
-vectors lexicographically, and each vector is compared with those in its own stretch of ``STRETCH``
-ranks and the next stretch. Verified pairs (cosine at least the threshold, in double precision) of
-all passes are united. The number of passes follows from the number of vectors: two vectors at the
-threshold angle agree in a sign with probability ``1 - angle / pi`` and meet if they agree in the
-signs that tell stretches apart, so ``passes_for`` asks for as many passes as find such a pair with
-probability ``RECALL``.
+In each pass every vector gets ``bits`` random hyperplane signs, and all vectors of equal signs are
+compared with each other, whatever their number. Verified pairs (cosine at least the threshold, in
+double precision) of all passes are united. Two vectors at the threshold angle agree in a sign with
+probability ``1 - angle / pi``, whatever the other vectors are, so ``passes_at`` gives the passes that
+bring such a pair together with probability ``RECALL`` also inside tight groups. ``plan`` weighs
+fewer signs (larger buckets) against fewer passes by the bucket sizes of hashed vectors.
 
 Equal vectors are one representative with a multiplicity, so any number of copies costs one row.
-Each representative carries its stretch in every pass: a pair is counted in the first pass that sees
-it, which needs no table of pairs. A task compares ``GROUP`` stretches and the one after them; links
-between representatives leave it as one star per group of linked vectors, and connected components
-are computed from those.
+Each representative carries its signs in every pass: a pair is counted in the first pass that sees
+it, which needs no table of pairs. A bucket of more than ``GROUP * STRETCH`` vectors is dealt into
+parts, and each two parts are a task's tile of their own, so no task grows with a bucket; the work
+grows with the square of a tight group, as its pairs do. Links between representatives leave a task
+as stars of linked vectors, and connected components are computed from those.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing and are kept; vectors of different lengths never link; repeated ids are vectors of their own
@@ -34,42 +34,65 @@ from chatsift.llm.components import components
 
 THRESHOLD = 0.95
 RECALL = 0.99
-BITS = 48
+BITS = 30
 STRETCH = 512
-GROUP = 16
+GROUP = 8
 SEED = 42
+PLAN_ROWS = 1 << 16  # vectors that the choice of bits looks at; results do not depend on them
+PASS_PAIRS = 1000  # comparisons that cost as much as taking one vector through a pass
+BROADCAST_BUCKETS = 1_000_000
+
+
+def passes_at(bits: float, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Passes in which a pair at the threshold agrees in all of ``bits`` signs at least once with
+    probability ``recall``."""
+    meet = min(0.999, (1 - math.acos(threshold) / math.pi) ** bits)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
 def passes_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL, stretch: int = STRETCH) -> int:
-    """Passes that find a pair at the threshold with probability ``recall`` among ``n`` vectors."""
-    told_apart = max(0.0, math.log2(max(1, n) / (2 * stretch)))
-    meet = min(0.999, (1 - math.acos(threshold) / math.pi) ** told_apart)
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    """Passes for ``n`` vectors that the signs spread evenly over buckets of two stretches."""
+    return max(2, passes_at(max(0.0, math.log2(max(1, n) / (2 * stretch))), threshold, recall))
+
+
+def plan(n: int, codes: np.ndarray, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(bits, passes) of least work for ``n`` vectors, from the ``BITS`` signs of some of them."""
+    def work(bits: int) -> float:
+        sizes = np.unique(codes >> (BITS - bits), return_counts=True)[1].astype(np.float64)
+        pairs = (sizes * (sizes - 1)).sum() / 2 * (n / max(1, len(codes))) ** 2
+        return passes_at(bits, threshold) * (pairs + PASS_PAIRS * n)
+
+    bits = min(range(BITS + 1), key=work)
+    return bits, passes_at(bits, threshold)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
     """Rows of equally long lists as a float64 matrix."""
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1)
+    return _matrix_of(col).astype(np.float64)
+
 
+def _matrix_of(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _codes(n_passes: int, bits: int):
+    """Adds ``codes``: the signs of each pass as one number."""
 
-def _codes(n_passes: int):
     def run(batches):
         planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                part = batch.take(pa.array(at))
+                part = batch.take(pa.array(np.flatnonzero(dims == d)))
                 if d not in planes:
-                    planes[d] = np.random.default_rng([SEED, int(d)]).normal(size=(d, n_passes * BITS))
-                signs = (_matrix(part.column("vec")) @ planes[d] >= 0).reshape(len(at), n_passes, BITS)
-                code = (signs * weights).sum(axis=2)
+                    planes[d] = np.random.default_rng([SEED, int(d)]).normal(size=(d, n_passes * bits))
+                signs = (_matrix(part.column("vec")) @ planes[d] >= 0).reshape(part.num_rows, n_passes, bits)
+                code = (signs * weights).sum(axis=2, dtype=np.int64)
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n_passes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part.column("rep").to_numpy(), n_passes)), pa.array(np.repeat(d, code.size)),
-                     pa.array(np.tile(np.arange(n_passes, dtype=np.int32), len(at))), pa.array(code.ravel())],
-                    schema=pa.schema([("rep", pa.int64()), ("dim", pa.int32()), ("pass", pa.int32()), ("code", pa.int64())]))
+                    [*part.columns, pa.ListArray.from_arrays(offsets, pa.array(code.ravel()))],
+                    names=[*part.schema.names, "codes"])
 
     return run
 
@@ -90,53 +113,59 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         "rank", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("p", "start", "at")
 
 
+TILE = ["dim", "pass", "code", "i", "j"]
+
+
 def _compare(threshold: float):
-    """Per group of stretches: (rep, links, root): newly found links counted with multiplicities, and
+    """Per tile of a bucket: (rep, links, root): newly found links counted with multiplicities, and
     the star of each group of linked representatives."""
 
     def run(batches):
-        for t in key_runs(batches, ["block"], 1):
-            block, sub, number = (t.column(c).to_numpy() for c in ("block", "sub", "pass"))
-            rep, mult, dim = (t.column(c).to_numpy() for c in ("rep", "mult", "dim"))
-            vecs = t.column("vec").combine_chunks()
-            seen = _matrix(t.column("subs").combine_chunks()).astype(np.int64)
+        for t in key_runs(batches, TILE, 1):
+            keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in (*TILE, "part")])
+            rep, mult = t.column("rep").to_numpy(), t.column("mult").to_numpy()
+            vecs, codes = t.column("vec").combine_chunks(), t.column("codes").combine_chunks()
             links, first, second = np.zeros(len(rep), dtype=np.int64), [], []
-            # rows come sorted by block, stretch and pass: runs of one (block, stretch, pass, length)
-            change = np.flatnonzero(np.any(np.diff(np.stack([block, sub, number, dim])) != 0, axis=0)) + 1
-            cuts = np.concatenate(([0], change, [len(rep)]))
-            runs = [(lo, hi) for lo, hi in zip(cuts, cuts[1:])]
-            unit = {}
-            for lo, hi in runs:
-                m = _matrix(vecs.slice(lo, hi - lo))
-                unit[lo] = m / np.sqrt((m * m).sum(axis=1))[:, None]
-            where = {(block[lo], sub[lo], number[lo], dim[lo]): (lo, hi) for lo, hi in runs}
-            for (b, s, p, d), (lo, hi) in where.items():
-                for other in ((lo, hi), where.get((b, s + 1, p, d))):
-                    if other is None or (s // GROUP != b):  # the stretch after a group is compared from its own
-                        continue
-                    cos = unit[lo] @ unit[other[0]].T
+            # rows come sorted by tile and part: a tile is one part with itself, or two parts
+            cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(keys[:-1]) != 0, axis=0)) + 1, [len(rep)]))
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo < 2:
+                    continue
+                m, seen = _matrix(vecs.slice(lo, hi - lo)), _matrix_of(codes.slice(lo, hi - lo))
+                unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+                _, number, _, one, other = keys[:-1, lo]
+                own = hi - lo if one == other else int(np.searchsorted(keys[-1, lo:hi], other))
+                start = 0 if one == other else own
+                step = max(1, (1 << 20) // max(1, hi - lo - start))
+                for at in range(0, own, step):
+                    cos = unit[at : min(own, at + step)] @ unit[start:].T
                     i, j = np.nonzero(cos >= threshold - 1e-9)
                     near = cos[i, j]
-                    if other[0] == lo:
+                    i, j = i + at, j + start
+                    if one == other:
                         i, j, near = i[i < j], j[i < j], near[i < j]
-                    i, j = i + lo, j + other[0]
                     for k in np.flatnonzero(np.abs(near - threshold) <= 1e-9):  # at the threshold: without normalising first
-                        a, c = (np.asarray(vecs[int(x)].as_py(), dtype=np.float64) for x in (i[k], j[k]))
+                        a, c = m[i[k]], m[j[k]]
                         near[k] = (a @ c) / math.sqrt((a @ a) * (c @ c))
                     i, j = i[near >= threshold], j[near >= threshold]
                     if not len(i):
                         continue
-                    first.append(i)
-                    second.append(j)
-                    met = np.abs(seen[i, :p] - seen[j, :p]) <= 1
-                    new = ~met.any(axis=1)
-                    np.add.at(links, i[new], mult[j[new]])
-                    np.add.at(links, j[new], mult[i[new]])
+                    new = np.ones(len(i), dtype=bool)
+                    for p in range(number):
+                        new &= seen[i, p] != seen[j, p]
+                    size = hi - lo
+                    links[lo:hi] += (np.bincount(i[new], mult[lo + j[new]], size)
+                                     + np.bincount(j[new], mult[lo + i[new]], size)).astype(np.int64)
+                    root = local_roots(size, i, j)
+                    hung = np.flatnonzero(root != np.arange(size))
+                    first.append(lo + hung)
+                    second.append(lo + root[hung])
             if not first:
                 continue
             names, at = np.unique(rep, return_inverse=True)
             root = local_roots(len(names), at[np.concatenate(first)], at[np.concatenate(second)])
-            total = np.bincount(at, links, len(names)).astype(np.int64)
+            total = np.zeros(len(names), dtype=np.int64)
+            np.add.at(total, at, links)
             out = np.flatnonzero((root != np.arange(len(names))) | (total > 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names[out]), pa.array(total[out]), pa.array(names[root[out]])], names=["rep", "links", "root"])
@@ -155,18 +184,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     reps = stage(rows.where("vec is not null").groupBy("vec").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")).where("rep is not null")
         .withColumn("dim", F.size("vec")), "representatives")
-    n_passes = n_passes or passes_for(reps.count(), threshold)
-    order = ranked(reps.select("rep", "vec", "dim").mapInArrow(
-        _codes(n_passes), "rep long, dim int, pass int, code long"), ["dim", "pass", "code", "rep"], "projections")
-    stretches = order.groupBy("rep", "dim").agg(F.sort_array(F.collect_list(F.struct(
-        "pass", F.floor(F.col("rank") / STRETCH).cast("long").alias("sub")))).alias("s"))
-    placed = reps.join(stretches, ["rep", "dim"]).select("rep", "mult", "dim", "vec", F.col("s.sub").alias("subs"))
-    spread = placed.select("*", F.posexplode("subs").alias("pass", "sub"))
-    own = F.floor(F.col("sub") / GROUP).cast("long")
-    blocks = F.when((F.col("sub") % GROUP == 0) & (F.col("sub") > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    n, tile, kind = reps.count(), GROUP * STRETCH, reps.schema["vec"].dataType.simpleString()
+    coded = lambda df, k, bits: df.select("rep", "mult", "dim", "vec").mapInArrow(
+        _codes(k, bits), f"rep long, mult long, dim int, vec {kind}, codes array<long>")
+    if n_passes:
+        bits = max(b for b in range(BITS + 1) if b == 0 or passes_at(b, threshold) <= n_passes)
+    else:
+        drawn = reps.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // PLAN_ROWS))) == 0)
+        bits, n_passes = plan(n, np.array([r[0] for r in coded(drawn, 1, BITS).select(
+            F.col("codes")[0]).collect()], dtype=np.int64), threshold)
+    placed = stage(coded(reps, n_passes, bits), "signs")
+    bucket = ["dim", "pass", "code"]
+    spread = placed.select("*", F.posexplode("codes").alias("pass", "code"))
+    large = stage(spread.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "large-buckets")
+    small = large.count() <= BROADCAST_BUCKETS
+    parts = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
+    dealt = spread.join(F.broadcast(large) if small else large, bucket, "left").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
+    tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
+        F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))
     found = stage(
-        spread.select("*", F.explode(blocks).alias("block")).repartition("block").sortWithinPartitions(
-            "block", "sub", "pass", "dim", "rep").mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
+        dealt.withColumn("t", F.explode(tiles)).select(
+            *bucket, "t.i", "t.j", "part", "rep", "mult", "vec", "codes").repartition(*TILE).sortWithinPartitions(
+            *TILE, "part", "rep").mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found, "rep", "root").withColumnRenamed("node", "rep")
     named = reps.select("vec", "rep", "mult").join(sums, "rep", "left").join(groups, "rep", "left").select(

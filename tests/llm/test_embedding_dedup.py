@@ -70,3 +70,22 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in got) == [
         ("7", 2, "7"), ("7", 2, "7"), ("9", 0, "9"), ("None", 2, "None")]
     assert run(spark, []) == []
+
+
+def test_tight_group_larger_than_the_window(spark, monkeypatch):
+    """A third of the rows lie around one centre and agree in most signs; only some of them link."""
+    monkeypatch.setattr(embedding_dedup, "STRETCH", 16)
+    rng = np.random.default_rng(5)
+    far, centre = rng.normal(size=(2000, 64)), rng.normal(size=64)
+    tight = centre + rng.normal(size=(1000, 64)) * 0.24
+    rows = [(i, v.astype(np.float32).tolist(), 0, "x") for i, v in enumerate(np.concatenate([far, tight]))]
+    m = np.array([r[1] for r in rows])
+    m /= np.sqrt((m * m).sum(axis=1))[:, None]
+    near = m @ m.T >= 0.95
+    np.fill_diagonal(near, False)
+    expected = near.sum(axis=1)
+    assert 0 < expected.sum() < 1000 * 999  # neither none nor all pairs of the group
+    for n_passes in (None, embedding_dedup.passes_for(3000, stretch=16)):
+        got = {r.vec_id: r.n_links for r in run(spark, rows, n_passes=n_passes)}
+        assert all(got[i] <= expected[i] for i in got)
+        assert sum(got.values()) >= 0.97 * expected.sum()
