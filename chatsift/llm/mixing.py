@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of ``block_rows`` rows in a seeded order. With target weights in
-shares ``a / period`` the i-th block of a source (from 0) has release time ``floor(i * period / a)``
-and deadline ``ceil((i + 1) * period / a)``, in slots of one block. Earliest deadline first over the
-released blocks meets every deadline (unit jobs, integer windows, total weight one), so after any
-number of slots each source's blocks deviate from its target by less than one block, up to the first
-slot at which a source has run out. All lags are zero after ``period`` slots, so the schedule
-repeats: it is computed once for one period, a table of ``period`` rows whatever the data size, and
-each block finds its slot by arithmetic. A source that has run out leaves its slots empty: the rest
-keep their proportions to each other, and no row is dropped or repeated. Read in the order
-``mix_slot, mix_rank``.
+Each source is cut into blocks of ``block_rows`` rows in a seeded order. With target weight ``w`` of
+``total`` (reduced by their common divisor) the i-th block of a source (from 0) has release time
+``floor(i * total / w)`` and deadline ``ceil((i + 1) * total / w)``, in slots of one block. Earliest
+deadline first over the released blocks meets every deadline (unit jobs, integer windows, total weight
+one), so after any number of slots each source's blocks deviate from its target by less than one
+block, up to the first slot at which a source has run out. All lags are zero after ``total`` slots, so
+the schedule repeats: the driver goes once through that period or, if the data ends before, up to the
+last block's slot, and hands the slots over in pieces of ``PIECE`` blocks. A source that has run out
+leaves its slots empty: the rest keep their proportions to each other, and no row is dropped or
+repeated. Read in the order ``mix_slot, mix_rank``.
 
 Rows are numbered per source without one task per source: hash buckets are counted, their offsets
 summed, and rows ranked inside (source, bucket), so a source with a third of all rows is spread over
@@ -23,19 +23,24 @@ clash with the ``mix_`` columns are replaced.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatsift.llm.common import stage
+
 BLOCK_ROWS = 64
-PERIOD = 1000
+PIECE = 1_000_000  # also the largest schedule that is broadcast
 BUCKET_DIGITS = 3  # hex digits of the order key: 4096 buckets per source
 MAX_SOURCES = 100_000
 SEED = 42
 
 
 def shares(weights: dict[str, int], period: int) -> dict[str, int]:
-    """Integer shares summing to ``period``, at least one each, by largest remainder."""
+    """Weights rounded to integer shares summing to ``period``, at least one each, by largest remainder."""
     total, spare = sum(weights.values()), period - len(weights)
     out = {s: 1 + w * spare // total for s, w in weights.items()}
     by_rest = sorted(weights, key=lambda s: (-(weights[s] * spare % total), s))
@@ -44,39 +49,56 @@ def shares(weights: dict[str, int], period: int) -> dict[str, int]:
     return out
 
 
-def period_schedule(share: dict[str, int], period: int) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of one period: in each slot the released block of earliest deadline,
-    ties by source name."""
+def period_schedule(share: dict[str, int], period: int, slots: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of one period, or of its first ``slots``: in each slot the released block
+    of earliest deadline, ties by source name."""
     waiting = [(0, s, 0) for s in sorted(share)]  # by release
     ready: list[tuple[int, str, int]] = []  # by deadline
-    out = []
-    for slot in range(period):
+    for slot in range(period if slots is None else min(slots, period)):
         while waiting and waiting[0][0] <= slot:
             _, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * period // share[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        out.append((s, i, slot))
+        yield s, i, slot
         if i + 1 < share[s]:
             heapq.heappush(waiting, ((i + 1) * period // share[s], s, i + 1))
-    return out
 
 
-def source_weights(rows: DataFrame) -> dict[str, int]:
-    """Default targets: the square root of each source's rows, in thousandths (temperature two, which
-    raises small sources against large ones)."""
-    found = rows.groupBy("mix_source").agg(F.floor(F.sqrt(F.count(F.lit(1))) * 1000).cast("long").alias("w"))
-    got = found.limit(MAX_SOURCES + 1).collect()
+def source_sizes(rows: DataFrame) -> dict[str, int]:
+    got = rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     return {r[0]: r[1] for r in got}
 
 
+def default_weights(sizes: dict[str, int]) -> dict[str, int]:
+    """The square root of each source's rows, in thousandths (temperature two, which raises small
+    sources against large ones)."""
+    return {s: int(math.sqrt(n) * 1000) for s, n in sizes.items()}
+
+
+def _schedule(spark: SparkSession, share: dict[str, int], period: int, blocks: dict[str, int]) -> DataFrame:
+    """(mix_source, mix_turn, mix_at): the slot of each block of the first period that the data has."""
+    last = max((-(-n * period // share[s]) for s, n in blocks.items()), default=0)
+    schema = pa.schema([("mix_source", pa.string()), ("mix_turn", pa.int64()), ("mix_at", pa.int64())])
+    frame = lambda held: spark.createDataFrame(
+        pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held) if held else ([],) * 3, schema)], schema=schema))
+    held, done = [], None
+    for s, i, slot in period_schedule(share, period, last):
+        if i < blocks.get(s, 0):
+            held.append((s, i, slot))
+        if len(held) == PIECE:
+            part, held = stage(frame(held), "mix-schedule"), []
+            done = part if done is None else done.unionByName(part)
+    return F.broadcast(frame(held)) if done is None else done.unionByName(frame(held))
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, source_col: str = "source", id_col: str = "doc_id",
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, period: int | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` plus mix_block, mix_rank (in its block), mix_slot, mix_release, mix_deadline.
 
     ``weights`` gives positive integer target weights by source name; sources it does not name are
-    an error. The period grows to 10 slots per source if there are that many sources."""
+    an error. A ``period`` rounds the weights to shares of so many slots, at least 10 per source."""
     spark = docs.sparkSession
     names = ["mix_block", "mix_rank", "mix_slot", "mix_release", "mix_deadline"]
     docs = docs.drop(*names, "mix_source", "mix_key", "mix_bucket")
@@ -85,21 +107,24 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source_col: str
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.withColumns({"mix_source": label, "mix_key": key}).withColumn(
         "mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
+    found = source_sizes(rows)
     if weights is None:
-        given = source_weights(rows)
+        given = default_weights(found)
     else:
         given = {"" if s is None else f"={s}": int(w) for s, w in weights.items()}
         if any(w <= 0 for w in given.values()):
             raise ValueError("weights are positive integers")
-        unnamed = [r[0] for r in rows.select("mix_source").distinct().where(
-            ~F.col("mix_source").isin(list(given))).limit(5).collect()]
+        unnamed = sorted(s for s in found if s not in given)[:5]
         if unnamed:
             raise ValueError(f"no weight for sources {unnamed}")
-    period = max(period, 10 * len(given))
-    share = shares(given, period) if given else {}
-    plan = spark.createDataFrame(
-        [(s, share[s], i, slot) for s, i, slot in period_schedule(share, period)] if share else [],
-        "mix_source string, mix_share long, mix_turn long, mix_at long")
+    if period is None:
+        common = math.gcd(*given.values())
+        share = {s: w // common for s, w in given.items()}
+        period = sum(share.values())
+    else:
+        period = max(period, 10 * len(given))
+        share = shares(given, period) if given else {}
+    plan = _schedule(spark, share, period, {s: -(-n // block_rows) for s, n in found.items()})
     sizes = rows.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("mix_source", "mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
@@ -108,9 +133,9 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source_col: str
     numbered = rows.withColumn("mix_nth", F.row_number().over(inside)).join(
         starts, ["mix_source", "mix_bucket"]).withColumns({
             "mix_block": F.floor(at / block_rows).cast("long"), "mix_rank": (at % block_rows).cast("long")})
-    given_shares = F.broadcast(plan.select("mix_source", "mix_share").distinct())  # a row per source, at most period
+    given_shares = F.broadcast(spark.createDataFrame(list(share.items()), "mix_source string, mix_share long"))
     turned = numbered.join(given_shares, "mix_source").withColumn("mix_turn", F.col("mix_block") % F.col("mix_share"))
-    placed = turned.join(F.broadcast(plan.drop("mix_share")), ["mix_source", "mix_turn"])
+    placed = turned.join(plan, ["mix_source", "mix_turn"])
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_rank",
         (F.expr("mix_block div mix_share") * period + F.col("mix_at")).cast("long").alias("mix_slot"),

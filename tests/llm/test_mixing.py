@@ -48,3 +48,22 @@ def test_given_weights_and_errors(spark):
     with pytest.raises(ValueError):
         mixing.mix(df, {"a": 1, "b": 0})
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_unequal_weights_deviate_by_less_than_one_block(spark, monkeypatch):
+    """100 sources, one with half of the weight and one with a 2,000th: against the weights themselves."""
+    monkeypatch.setattr(mixing, "PIECE", 1500)  # the schedule comes in several pieces
+    weights = {f"s{k:02d}": 100 + k for k in range(98)} | {"half": 0, "rare": 0}
+    rest = sum(weights.values())
+    weights["half"], weights["rare"] = rest, max(1, rest // 1000)
+    total, slots = sum(weights.values()), 4000
+    rows = [(i, "t", s, 0) for s, w in weights.items() for i in range(slots * w // total + 2)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights, block_rows=1).collect()
+    assert len(got) == len(rows) and len({r.mix_slot for r in got}) == len(got)
+    at, done = {r.mix_slot: r.source for r in got}, Counter()
+    for t in range(slots):
+        done[at[t]] += 1
+        assert all(abs(done[s] * total - w * (t + 1)) < total for s, w in weights.items())
+    for r in got:
+        w = weights[r.source]
+        assert r.mix_release == r.mix_block * total // w and r.mix_deadline == -(-(r.mix_block + 1) * total // w)
