@@ -10,7 +10,8 @@ classed as adverts, and so on) is deleted from the markup alone.
 
 Only line hashes travel for pairing, in blocks of ``BLOCK`` consecutive pages plus one page on either
 side, so a host with a third of all pages is cut into many tasks; the lines to delete then meet the
-pages again by a join. Equal pages are one page for pairing. Alignment keeps one bit vector per line,
+pages again by a join. Pages of a host with equal lines are one page for pairing, at the first of their
+paths, and each of them loses the lines that it shares. Alignment keeps one bit vector per line,
 so pages of thousands of lines are aligned whole.
 
 Nulls and edges: null and empty html have no text; pages without a readable address pair within the
@@ -33,6 +34,7 @@ from chatsift.llm.embedding_dedup import ranked
 from chatsift.llm.language_id import url_host
 
 BLOCK = 256
+COPIES = 256  # pages of equal lines that one task gives their deletions
 SHARED_PLACE = 0.5  # share of a place's lines that must be shared for it to be a template's place
 
 # fixed values: elements of the markup language by their role
@@ -239,10 +241,10 @@ def _shared(batches):
             paired.append(best is not None)
             shared.append(common_lines(lines[i], lines[best]) if best is not None else [])
         part = t.take(pa.array(rows, pa.int64())).combine_chunks()
-        cols = [part.column(c).combine_chunks() for c in ("k1", "k2", "host", "lines", "places", "roles")]
+        cols = [part.column(c).combine_chunks() for c in ("host", "d1", "d2", "mixed", "lines", "places", "roles")]
         yield pa.RecordBatch.from_arrays(
             [*cols, pa.array(shared, pa.list_(pa.int32())), pa.array(paired)],
-            names=["k1", "k2", "host", "lines", "places", "roles", "shared", "paired"])
+            names=["host", "d1", "d2", "mixed", "lines", "places", "roles", "shared", "paired"])
 
 
 def _texts(batches):
@@ -253,7 +255,7 @@ def _texts(batches):
         for html, drop in zip(pages, gone):
             drop = frozenset(drop or ())
             texts.append("\n".join(x[0] for i, x in enumerate(page_lines(html or ""))
-                                   if x[2] >= 0 and i not in drop))
+                                   if x[2] > 0 or (x[2] == 0 and i not in drop)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
              pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -268,25 +270,39 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     hashed = keyed.select("k1", "k2", url_host(F.col("url")).alias("host"), path.alias("path"), "html").mapInArrow(
         _hashes, "k1 long, k2 int, host string, path string, lines array<long>, places array<long>, roles array<tinyint>")
-    once = hashed.dropDuplicates(["k1", "k2"])
-    order = ranked(once, ["host", "path", "k1", "k2"], "page-lines")
+    hashed = hashed.withColumns({"d1": F.xxhash64("lines"), "d2": F.hash("lines")})
+    same = ["host", "d1", "d2"]
+    marks = F.xxhash64("roles")
+    once = hashed.groupBy(same).agg(
+        F.min(F.struct("path", "k1", "k2", "lines", "places", "roles")).alias("m"),
+        (F.min(marks) != F.max(marks)).alias("mixed"), F.count(F.lit(1)).alias("n"))
+    order = ranked(once.select(*same, "mixed", "n", "m.path", "m.lines", "m.places", "m.roles"),
+                   ["host", "path", "d1", "d2"], "page-lines")
     own = F.floor(F.col("rank") / BLOCK).cast("long")
     inside = F.col("rank") % BLOCK
     blocks = F.when((inside == 0) & (own > 0), F.array(own - 1, own)).when(
         inside == BLOCK - 1, F.array(own, own + 1)).otherwise(F.array(own))
     diffs = stage(
         order.select("*", F.explode(blocks).alias("block")).repartition("block").sortWithinPartitions(
-            "block", "rank").select("block", "rank", "k1", "k2", "host", "path", "lines", "places", "roles").mapInArrow(
-            _shared, "k1 long, k2 int, host string, lines array<long>, places array<long>, roles array<tinyint>, "
+            "block", "rank").select("block", "rank", *same, "mixed", "path", "lines", "places", "roles").mapInArrow(
+            _shared, "host string, d1 long, d2 int, mixed boolean, lines array<long>, places array<long>, roles array<tinyint>, "
             "shared array<int>, paired boolean"), "page-differences")
     # places of a host whose lines are mostly shared between paired pages
     at = diffs.where("paired").select("host", "shared", F.posexplode("places").alias("i", "place"))
     held = at.groupBy("host", "place").agg(
         F.avg(F.array_contains("shared", F.col("i")).cast("double")).alias("part")).where(
         F.col("part") >= SHARED_PLACE).select("host", "place")
-    lines = diffs.select("k1", "k2", "host", "places", "roles", F.explode("shared").alias("i")).select(
-        "k1", "k2", "host", "i", F.get("places", F.col("i")).alias("place"), F.get("roles", F.col("i")).alias("role"))
-    gone = lines.where("role = 0").join(held, ["host", "place"], "left_semi").groupBy("k1", "k2").agg(
+    lines = diffs.select(*same, "mixed", "places", "roles", F.explode("shared").alias("i")).select(
+        *same, "mixed", "i", F.get("places", F.col("i")).alias("place"), F.get("roles", F.col("i")).alias("role"))
+    # copies may be marked otherwise than the page that stands for them: each applies its own marks
+    found = lines.where("role = 0 or mixed").join(held, ["host", "place"], "left_semi").groupBy(same).agg(
         F.collect_list("i").alias("gone"))
+    # back to every copy; large groups of copies are dealt over several tasks
+    many = F.broadcast(order.where(F.col("n") > COPIES).select(*same, F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    copies = hashed.select("k1", "k2", *same).distinct().join(many, same, "left").withColumn(
+        "salt", F.pmod("k1", parts).cast("int"))
+    found = found.join(many, same, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    gone = copies.join(found, [*same, "salt"]).select("k1", "k2", "gone")
     return keyed.join(gone, ["k1", "k2"], "left").select("page_id", "url", "html", "gone").mapInArrow(
         _texts, f"page_id {kind}, url string, text string, n_chars long")

@@ -94,3 +94,17 @@ def test_given_pages_keep_exactly_their_articles(spark):
         body = re.search("<article>(.*)</article>", r.html, re.S)[1]
         lines = [" ".join(html.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", body)]
         assert got[r.page_id] == "\n".join(x for x in lines if x)
+
+
+def test_runs_of_equal_pages_lose_their_template_lines(spark, monkeypatch):
+    """Copies under other ids and addresses, more than a neighbour on either side reaches."""
+    monkeypatch.setattr(html_diff, "COPIES", 4)
+    body = lambda i: f"<div>Home</div><div>About us</div><section><p>words {i}</p><p>more {i}</p><p>last {i}</p></section><div>Terms</div>"
+    rows = [(i, f"http://h/a/{i}", page(body(i)), "x", 1) for i in range(6)]
+    rows += [(100 + k, f"http://h/a/3?utm={k}", page(body(3)), "x", 1) for k in range(20)]
+    marked = body(3).replace("<div>Home</div>", "<nav>Home</nav>").replace("<section>", "<article>").replace("</section>", "</article>")
+    rows += [(200, "http://h/a/3?print", page(marked), "x", 1)]
+    got = run(spark, rows)
+    for i, text in got.items():
+        own = 3 if i >= 100 else i
+        assert text == f"words {own}\nmore {own}\nlast {own}", i
