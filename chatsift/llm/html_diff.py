@@ -3,8 +3,8 @@
 Pages of a host are sorted by URL path; each is paired with the neighbour whose path shares the
 longer prefix, and the text lines of both are aligned by longest common subsequence. Lines that two
 different pages share are template lines: menus, notices, footers. A shared line is deleted unless
-the page says that it is article text, or its place in the markup holds different lines on most pages
-of the host (so that copies of an article do not delete it). What pages never share word for word but
+the page says that it is article text, or it is on no more than the two pages and its place in the
+markup holds different lines on most pages of the host (so that a copy of an article does not delete it). What pages never share word for word but
 mark up as something else than article text (``nav``, ``footer``, ``form``, ``script``, elements
 classed as adverts, and so on) is deleted from the markup alone.
 
@@ -35,6 +35,7 @@ from chatsift.llm.language_id import url_host
 
 BLOCK = 256
 COPIES = 256  # pages of equal lines that one task gives their deletions
+MANY_PAGES = 3  # different pages of a host: a shared line on so many is a template line at any place
 SHARED_PLACE = 0.5  # share of a place's lines that must be shared for it to be a template's place
 
 # fixed values: elements of the markup language by their role
@@ -292,10 +293,15 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     held = at.groupBy("host", "place").agg(
         F.avg(F.array_contains("shared", F.col("i")).cast("double")).alias("part")).where(
         F.col("part") >= SHARED_PLACE).select("host", "place")
-    lines = diffs.select(*same, "mixed", "places", "roles", F.explode("shared").alias("i")).select(
-        *same, "mixed", "i", F.get("places", F.col("i")).alias("place"), F.get("roles", F.col("i")).alias("role"))
+    unmarked = F.filter(F.arrays_zip("lines", "roles"), lambda x: (x["roles"] == 0) | F.col("mixed"))
+    often = diffs.select("host", F.explode(F.array_distinct(F.transform(unmarked, lambda x: x["lines"]))).alias("line")).groupBy(
+        "host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY_PAGES).select("host", "line")
     # copies may be marked otherwise than the page that stands for them: each applies its own marks
-    found = lines.where("role = 0 or mixed").join(held, ["host", "place"], "left_semi").groupBy(same).agg(
+    lines = diffs.select(*same, "mixed", "lines", "places", "roles", F.explode("shared").alias("i")).select(
+        *same, "mixed", "i", F.get("lines", F.col("i")).alias("line"), F.get("places", F.col("i")).alias("place"),
+        F.get("roles", F.col("i")).alias("role")).where("role = 0 or mixed")
+    found = lines.join(held.withColumn("held", F.lit(True)), ["host", "place"], "left").join(
+        often.withColumn("often", F.lit(True)), ["host", "line"], "left").where("held or often").groupBy(same).agg(
         F.collect_list("i").alias("gone"))
     # back to every copy; large groups of copies are dealt over several tasks
     many = F.broadcast(order.where(F.col("n") > COPIES).select(*same, F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))

@@ -108,3 +108,13 @@ def test_runs_of_equal_pages_lose_their_template_lines(spark, monkeypatch):
     for i, text in got.items():
         own = 3 if i >= 100 else i
         assert text == f"words {own}\nmore {own}\nlast {own}", i
+
+
+def test_flat_markup_loses_its_template_lines(spark):
+    """Menu, notice and footer at the same place as more own paragraphs; a pair's own line stays."""
+    own = lambda i: "".join(f"<p>text {i} {k}</p>" for k in range(12))
+    pair = lambda i: "<p>quoted by two</p>" if i in (4, 5) else ""
+    rows = [(i, f"http://h/a/{i}", page(f"<p>Home</p><p>Notice</p>{own(i)}{pair(i)}<p>Terms</p>"), "x", 1) for i in range(10)]
+    got = run(spark, rows)
+    for i, text in got.items():
+        assert text.split("\n") == [f"text {i} {k}" for k in range(12)] + ["quoted by two"] * (i in (4, 5))
