@@ -5,8 +5,9 @@ the WARC 1.1 format: ``metadata`` (application/warc-fields: source headers, lang
 and digests of the payload) and ``conversion`` (text/plain: the payload's text). Both name the
 response in WARC-Refers-To with its target URI and date, have their own WARC-Record-ID, derived from
 the response's so that a rebuild gives the same records, and carry the digests of their blocks; the
-conversion also names the metadata record's source digest. Everything is a column expression over one
-row: no shuffle, no state, any number of rows.
+conversion also names the metadata record's source digest. Everything works on one row: no shuffle, no
+state, any number of rows. All numeric and named character references are decoded; texts with others than
+the common ones take a step in Python.
 
 Nulls and edges: a null payload is an empty one; a missing target URI or date is left out of the
 headers; a null record id is derived from the other columns; repeated rows give equal records; very
@@ -15,16 +16,23 @@ long payloads are converted whole; an empty table gives an empty result. Extra c
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BLOCKS = ("address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
           "head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul")
-# fixed values: the character references that plain text needs most
+# fixed values: the character references that column expressions decode
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+# what html.unescape may take for a reference, but for those above
+_OTHER = rf"&(?!(?:{'|'.join(ref[1:] for ref, _ in ENTITIES)}))(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z])"
 
 
 def record_id(*parts):
@@ -38,15 +46,28 @@ def digest(text):
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-def plain_text(html):
-    """Text of a page: scripts, styles and comments gone, block elements as line ends, references decoded
-    once, white space folded, empty lines dropped."""
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    one = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")
+    space = re.compile("[\xa0\t\n\r\f]")  # as &nbsp; above; references to white space are folded too
+    text = lambda m: space.sub(" ", entities.unescape(m[0]))
+    return pa.array([None if t is None else one.sub(text, t) for t in texts.to_pylist()], pa.string())
+
+
+def tagless(html):
+    """A page with scripts, styles, comments and tags gone and block elements as line ends."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
     t = F.regexp_replace(t, r"[ \t\r\n\f]+", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
+    return F.regexp_replace(t, r"<[^>]*>", "")
+
+
+def decoded_text(t):
+    """Text of a tagless page: references decoded once, white space folded, empty lines dropped."""
+    known = t
     for ref, char in ENTITIES:
-        t = F.replace(t, F.lit(ref), F.lit(char))
+        known = F.replace(known, F.lit(ref), F.lit(char))
+    t = F.coalesce(_decoded(F.when(t.rlike(_OTHER), t)), known)
     t = F.regexp_replace(t, r" *\n[ \n]*", "\n")
     return F.regexp_replace(F.regexp_replace(t, r" +", " "), r"^[ \n]+|[ \n]+$", "")
 
@@ -71,7 +92,7 @@ def derivatives(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         *keep, F.coalesce("record_id", record_id(
             F.lit("response"), F.coalesce("target_uri", F.lit("")), F.coalesce("payload", F.lit("")))).alias("refers_to"),
         "target_uri", "date", "content_type", F.coalesce("payload", F.lit("")).alias("payload"))
-    src = src.withColumns({"text": plain_text(F.col("payload")), "payload_digest": digest(F.col("payload")),
+    src = src.withColumn("bare", tagless(F.col("payload"))).withColumns({"text": decoded_text(F.col("bare")), "payload_digest": digest(F.col("payload")),
                            "links": F.regexp_count("payload", F.lit(r"(?i)<a\b[^>]*\bhref"))})
     fields = F.concat_ws(
         CRLF, F.concat(F.lit("sourcePayloadDigest: "), F.col("payload_digest")),

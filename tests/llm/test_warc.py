@@ -44,3 +44,14 @@ def test_written_files_read_back(spark, tmp_path):
         assert rest[n : n + 4] == b"\r\n\r\n"
         raw = rest[n + 4 :]
     assert sorted(found) == sorted(r.record for r in df.collect())
+
+
+def test_all_character_references_are_decoded_once(spark):
+    html = ("<p>It&#8217;s &#x2014; caf&eacute;&hellip; &mdash; &#39;x&#39; &amp;eacute; &amp;#233; &amp;lt; a&nbsp;b&#160;&#xA0;c "
+            "&notareference; AT&T R&D &copy; &#x1F600; &lt;p&gt; &CounterClockwiseContourIntegral; &#0; x&#9;y&#13;&#10;z</p>")
+    expected = ("It’s — café… — 'x' &eacute; &#233; &lt; a b c ¬areference; AT&T R&D © 😀 <p> ∳ � x y z")
+    got = {r.warc_type: r for r in rows(spark, [(1, "http://h/a", html, "x", 1)])}
+    conv = got["conversion"]
+    assert conv.block == expected and conv.content_length == len(expected.encode())
+    assert conv.block_digest == "sha256:" + hashlib.sha256(expected.encode()).hexdigest()
+    assert f"textLength: {len(expected.encode())}\r\n" in got["metadata"].block
