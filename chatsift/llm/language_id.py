@@ -2,8 +2,8 @@
 
 The posterior of a language adds four log terms:
 
-- text: byte-trigram likelihood of the whole text, from a multinomial model fitted on a bounded
-  sample of at most about ``SAMPLE_ROWS`` rows that declare a language. Trigrams are not independent,
+- text: byte-trigram likelihood of the whole text, from a multinomial model of every declared
+  language, fitted on a bounded sample of at most about ``SAMPLE_ROWS`` rows that declare it. Trigrams are not independent,
   so the log-likelihood ratio counts as if it came from at most ``EVIDENCE`` trigrams;
 - declared markup language: P(declared | language);
 - address suffix: P(last label of the host and leading language-like path segment | language);
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from chatsift.llm.common import arrow_slices, stage, texts_of
 
 SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
 EVIDENCE = 200
 PRIOR_WEIGHT = 10.0
@@ -52,15 +51,20 @@ def _counter(langs: list[str]):
     at = {name: i for i, name in enumerate(langs)}
 
     def run(batches):
-        total = np.zeros((len(langs), BUCKETS), dtype=np.int64)
+        total: dict[str, np.ndarray] = {}
         for batch in arrow_slices(batches, "text", 4_000_000):
             texts, names = texts_of(batch, "text"), batch.column("declared").to_pylist()
-            for name in set(names):
-                own = [t for t, d in zip(texts, names) if d == name]
-                total[at[name]] += np.bincount(_codes(own)[0], minlength=BUCKETS)
-        lang, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang), pa.array(bucket), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
+            own: dict[str, list[bytes]] = {}
+            for t, name in zip(texts, names):
+                own.setdefault(name, []).append(t)
+            for name, held in own.items():
+                n = np.bincount(_codes(held)[0], minlength=BUCKETS)
+                total[name] = total[name] + n if name in total else n
+        for name, n in total.items():
+            bucket = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(bucket), at[name])), pa.array(bucket), pa.array(n[bucket])],
+                names=["lang", "bucket", "n"])
 
     return run
 
@@ -68,22 +72,21 @@ def _counter(langs: list[str]):
 def fit_text_model(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (language x bucket) from rows (text, declared, key).
 
-    Languages are the declared values, at most ``MAX_LANGUAGES`` by count; the fit reads about
-    ``sample_rows`` rows drawn by hash of the key."""
+    Languages are all declared values; the fit reads about ``sample_rows`` rows of each, drawn by hash
+    of the key."""
     known = rows.where("declared is not null")
-    counts = known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(
-        F.desc("n"), "declared").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r[0] for r in counts)
+    counts = {r[0]: r[1] for r in known.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, BUCKETS))
-    part = min(1.0, sample_rows / sum(r[1] for r in counts))
-    sample = known.where(F.col("declared").isin(langs)).where(
-        F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # the largest hash that is drawn, of all 2**64
+    bounds = rows.sparkSession.createDataFrame(
+        [(x, min((1 << 63) - 1, (sample_rows << 64) // n - (1 << 63))) for x, n in counts.items()], "declared string, top long")
+    sample = known.join(F.broadcast(bounds), "declared").where(F.xxhash64("key") <= F.col("top"))
     grams = sample.select("text", "declared").mapInArrow(_counter(langs), "lang long, bucket long, n long").groupBy(
-        "lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most MAX_LANGUAGES * BUCKETS sums
+        "lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most BUCKETS sums a language
     total = np.full((len(langs), BUCKETS), 0.5)
-    for lang, bucket, n in grams:
-        total[lang, bucket] += n
+    total[grams.column("lang").to_numpy(), grams.column("bucket").to_numpy()] += grams.column("n").to_numpy()
     return langs, np.log(total / total.sum(axis=1, keepdims=True))
 
 
@@ -109,6 +112,33 @@ def _text_scores(model: np.ndarray, evidence: int):
     return run
 
 
+def _posterior(langs: list[str], base: np.ndarray, n_values: dict[str, int], prior_weight: float):
+    """Best language and its probability from the text's scores and the counted votes."""
+    k, overall, names = len(langs), (base + 1) / (base.sum() + len(langs)), pa.array(langs)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            matrix = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, k)
+            voted = batch.column("vote").is_valid().to_numpy(zero_copy_only=False)
+            vote = batch.column("vote").fill_null(0).to_numpy(zero_copy_only=False)
+            own = np.zeros((n, k))
+            own[np.arange(n), vote] = voted  # a row's own vote is taken out
+            lp = matrix("ll") + sum(np.log((matrix(f"{c}_n") - own + 1) / (base + n_values[c])) for c in ("declared", "suffix"))
+            domain, host = matrix("domain_n"), matrix("host_n")
+            domain_total, host_total = (x.sum(axis=1, keepdims=True) - voted[:, None] + prior_weight for x in (domain, host))
+            domain = (domain - own + prior_weight * overall) / domain_total
+            lp += np.log((host - own + prior_weight * domain) / host_total)
+            top = lp.argmax(axis=1)
+            likely = 1 / np.exp(lp - lp[np.arange(n), top][:, None]).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kept"), names.take(pa.array(top)), pa.array(likely), names.take(batch.column("vote")),
+                 batch.column("declared"), batch.column("n_bytes")],
+                names=["kept", "lang", "probability", "text_lang", "declared", "n_bytes"])
+
+    return run
+
+
 def url_host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1))
 
@@ -147,7 +177,6 @@ def identify(rows: DataFrame, keep: list[str], text: str, declared, suffix, host
                             F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"),
                             "declared", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     k = len(langs)
-    names = F.array(*[F.lit(x) for x in langs])
     kind = table.schema["kept"].dataType.simpleString()
     scored = stage(
         table.mapInArrow(_text_scores(model, evidence),
@@ -155,35 +184,25 @@ def identify(rows: DataFrame, keep: list[str], text: str, declared, suffix, host
         .withColumn("vote", F.when(F.col("n_bytes") > 0, F.array_position("ll", 0.0) - 1).cast("int"))
         .withColumn("domain", _domain(F.col("host"))), "language-evidence")
     # grouped counts of the votes, as one array of k sums per value
-    votes = [F.count(F.when(F.col("vote") == i, 1)).cast("double") for i in range(k)]
-    sums = lambda key: scored.groupBy(key).agg(F.array(*votes).alias(f"{key}_n"))
-    base = scored.agg(F.array(*votes)).first()[0]
-    every = [(x + 1) / (sum(base) + k) for x in base]
-    overall = F.array(*[F.lit(x) for x in every])
-    given = {c: scored.groupBy(c).agg(F.array(*votes).alias(f"{c}_n")) for c in ("declared", "suffix")}
+    def sums(key: str) -> DataFrame:
+        pairs = scored.groupBy(key, "vote").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy(key).agg(
+            F.map_from_entries(F.filter(F.collect_list(F.struct("vote", "n")), lambda x: x["vote"].isNotNull())).alias("votes"))
+        return pairs.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(
+            F.element_at("votes", i), F.lit(0.0))).alias(f"{key}_n"))
+
+    base = np.zeros(k)
+    for vote, n in scored.where("vote is not null").groupBy("vote").agg(F.count(F.lit(1))).collect():
+        base[vote] = n
+    given = {c: sums(c) for c in ("declared", "suffix")}
     n_values = {c: given[c].count() for c in given}
     out = scored
     for c in ("declared", "suffix"):
         out = out.join(given[c].withColumnRenamed(c, "value"), F.col(c).eqNullSafe(F.col("value")), "left").drop("value")
     out = out.join(sums("host"), "host", "left").join(sums("domain"), "domain", "left")
-    own = lambda i: F.when(F.col("vote") == i, 1.0).otherwise(0.0)
-    parts = []
-    for i in range(k):
-        likely = sum(F.log((F.col(f"{c}_n")[i] - own(i) + 1.0) / F.lit(base[i] + n_values[c]))
-                     for c in ("declared", "suffix"))
-        domain_total = F.aggregate("domain_n", F.lit(0.0), lambda a, x: a + x)
-        host_total = F.aggregate("host_n", F.lit(0.0), lambda a, x: a + x)
-        mine = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
-        domain = (F.col("domain_n")[i] - own(i) + prior_weight * overall[i]) / (domain_total - mine + prior_weight)
-        prior = (F.col("host_n")[i] - own(i) + prior_weight * domain) / (host_total - mine + prior_weight)
-        parts.append(F.col("ll")[i] + likely + F.log(prior))
-    # the best term and its language are found together: terms computed twice may differ in the last bit
-    scored_langs = F.array(*[F.struct(x.alias("lp"), F.lit(-i).alias("at")) for i, x in enumerate(parts)])
-    post = out.withColumn("lps", scored_langs).withColumn("top", F.array_max("lps"))
-    return post.select(
-        "kept.*", F.get(names, -F.col("top.at")).alias("lang"),
-        (1.0 / F.aggregate("lps", F.lit(0.0), lambda a, x: a + F.exp(x["lp"] - F.col("top.lp")))).alias("probability"),
-        F.get(names, F.col("vote")).alias("text_lang"), "declared", "n_bytes")
+    return out.select("kept", "declared", "n_bytes", "vote", "ll", "declared_n", "suffix_n", "host_n", "domain_n").mapInArrow(
+        _posterior(langs, base, n_values, prior_weight),
+        f"kept {kind}, lang string, probability double, text_lang string, declared string, n_bytes long").select(
+        "kept.*", "lang", "probability", "text_lang", "declared", "n_bytes")
 
 
 def page_languages(pages: DataFrame) -> DataFrame:

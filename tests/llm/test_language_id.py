@@ -45,3 +45,14 @@ def test_nulls_empty_long_and_repeated_rows(spark):
     assert lid.document_languages(spark.createDataFrame([], schema)).collect() == []
     none = spark.createDataFrame([(1, "some text", None, "s", 1, "x", 1)], schema)
     assert lid.document_languages(none).first().lang is None
+
+
+def test_more_than_64_languages_and_a_rare_one(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(100 * k + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("qa", "ro", "mi", "tes")) * 5, f"l{k:02d}", "s")
+            for k in range(80) for i in range(4)]
+    got = lid.document_languages(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(rows) and all(r.lang == r.text_lang == f"l{r.doc_id // 100:02d}" and r.probability > 0.5 for r in got)
+    table = [(f"the house {i}", "en", str(i)) for i in range(3000)] + [(f"das haus {i}", "de", f"d{i}") for i in range(3)]
+    langs, model = lid.fit_text_model(spark.createDataFrame(table, "text string, declared string, key string"), 30)
+    assert langs == ["de", "en"] and all(row.max() - row.min() > 1 for row in model)  # neither is flat
