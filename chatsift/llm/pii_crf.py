@@ -19,6 +19,7 @@ are added; an empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from dataclasses import dataclass
@@ -107,6 +108,11 @@ def marked_runs(text: str):
         yield run, bool(text[run[-1][1]:].strip(_SPACE))
 
 
+def _short(shape: str) -> str:
+    """Long shapes by their hash."""
+    return shape if len(shape) <= 40 else hashlib.md5(shape.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def word_features(word: str) -> tuple[str, ...]:
     """Shape marks of one word."""
     shape, sized, i = [], [], 0
@@ -131,16 +137,18 @@ def word_features(word: str) -> tuple[str, ...]:
         marks.append("ip" if _in_range(parts) else "no-ip")
     if word.startswith("+"):
         marks.append("plus")
-    return (f"s={''.join(shape)[:40]}", f"z={''.join(sized)[:40]}", *marks)
+    return (f"s={_short(''.join(shape))}", f"z={_short(''.join(sized))}", *marks)
 
 
 class _Shapes(dict):
     """Features by word; emptied when it has grown large."""
 
     def __missing__(self, word):
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = found = word_features(word[:200])
+        found = word_features(word)
+        if len(word) <= 200:  # longer ones are not kept
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -344,6 +352,11 @@ def _labelled_runs(batches):
              pa.array(list(rows.values()), pa.int64())], names=["feats", "labels", "n"])
 
 
+def last_drawn(n: int, sample_rows: int) -> int:
+    """The largest 64-bit hash that draws about ``sample_rows`` of ``n`` rows."""
+    return min((1 << 63) - 1, (sample_rows << 64) // n - (1 << 63))
+
+
 def labelled_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The small labelled table (feats, labels, n): distinct labelled runs of about ``sample_rows``
@@ -351,8 +364,7 @@ def labelled_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text")).where(
         F.col("text").rlike("[0-9@]"))
     n = max(1, rows.count())
-    drawn = rows.where(F.pmod(F.xxhash64(F.coalesce("key", F.lit(""))), F.lit(1_000_000))
-                       < min(1_000_000, 1_000_000 * sample_rows // n))
+    drawn = rows.where(F.xxhash64(F.coalesce("key", F.lit(""))) <= last_drawn(n, sample_rows))
     return drawn.select("text").mapInArrow(_labelled_runs, "feats string, labels string, n long").groupBy(
         "feats", "labels").agg(F.sum("n").alias("n"))
 

@@ -88,3 +88,12 @@ def test_viterbi_equals_all_paths():
         best = max(itertools.product(range(3), repeat=4), key=lambda p: first[p[0]] + sum(e[t, p[t]] for t in range(4)) + sum(
             move[p[t - 1], p[t]] for t in range(1, 4)))
         assert tuple(got) == best
+
+
+def test_marks_behind_long_stretches_and_draws_of_any_size():
+    shapes = pii_crf._Shapes()
+    assert {"luhn", "n=16"} <= set(shapes["x" * 300 + "4111111111111111"]) and "at-dot" in shapes["x-" * 150 + "a@b.org"]
+    assert shapes["a-" * 40 + "1"][0] != shapes["a-" * 40 + "@"][0]
+    for n in (4_000, 10_000, 4_000_000_001, 10**13):  # some hashes are drawn, in proportion
+        part = (pii_crf.last_drawn(n, 4_000) + (1 << 63)) / 2**64
+        assert abs(part - 4_000 / n) <= 1e-6 * 4_000 / n
