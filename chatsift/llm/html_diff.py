@@ -241,10 +241,12 @@ def _shared(batches):
             rows.append(i)
             paired.append(best is not None)
             shared.append(common_lines(lines[i], lines[best]) if best is not None else [])
+        if not rows:
+            continue  # only the copy of a neighbour's last page
         part = t.take(pa.array(rows, pa.int64())).combine_chunks()
         cols = [part.column(c).combine_chunks() for c in ("host", "d1", "d2", "mixed", "lines", "places", "roles")]
         yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(shared, pa.list_(pa.int32())), pa.array(paired)],
+            [*cols, pa.array(shared, pa.list_(pa.int32())), pa.array(paired, pa.bool_())],
             names=["host", "d1", "d2", "mixed", "lines", "places", "roles", "shared", "paired"])
 
 

@@ -118,3 +118,11 @@ def test_flat_markup_loses_its_template_lines(spark):
     got = run(spark, rows)
     for i, text in got.items():
         assert text.split("\n") == [f"text {i} {k}" for k in range(12)] + ["quoted by two"] * (i in (4, 5))
+
+
+def test_numbers_of_pages_that_fill_blocks_exactly(spark, monkeypatch):
+    monkeypatch.setattr(html_diff, "BLOCK", 8)
+    for n in (8, 16, 17):
+        rows = [(i, f"http://h.example/p/{i:03d}", f"<div>menu</div><div>own line {i}</div>") for i in range(n)]
+        got = html_diff.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert sorted((r.page_id, r.text) for r in got) == [(i, f"own line {i}") for i in range(n)]
