@@ -42,7 +42,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    # bytes are cut, so a character may lose a part: its rest reads as the replacement character
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
