@@ -12,9 +12,8 @@ block being one scan; postings, phrases and matches are joined by shuffles on th
 a large test set nor a hot term has to fit in one task. A third of all documents sharing a passage
 costs matches in proportion to its occurrences.
 
-Nulls and edges: null or empty text has no words; a null id keeps its row (counts of words only, it
-cannot be matched); repeated document rows are each reported, with the matches of their shared id;
-test items without words match nothing; items with equal windows are all reported; an empty table
+Nulls and edges: null or empty text has no words; rows are told apart by id and text together, so null
+and repeated ids are matched like any other, each row by its own text; test items without words match nothing; items with equal windows are all reported; an empty table
 gives an empty result. Extra columns are ignored.
 """
 
@@ -154,18 +153,25 @@ def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, id_col: st
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
-                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items array of strings): per document row its words, the words inside
-    any occurrence of an item window, and the items with occurring windows."""
-    found = stage(phrase_matches(docs, phrase_windows(items, item_col, item_text_col, window), id_col, text_col),
+                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, items array of strings, ``keep`` columns): per document row its words, the
+    words inside any occurrence of an item window, and the items with occurring windows."""
+    text, kept = F.col(text_col).cast("string"), [f"kept{i}" for i in range(len(keep))]
+    # a row is known by its id and text: rows equal in both have equal results
+    row = F.struct(F.xxhash64(id_col, text).alias("a"), F.hash(text, F.col(id_col)).alias("b"))
+    docs = docs.select(row.alias("row"), F.col(id_col).alias("name"), text.alias("text"),
+                       *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    found = stage(phrase_matches(docs, phrase_windows(items, item_col, item_text_col, window), "row", "text"),
                   "matches")
     hits = found.select("doc_id", "start", "n_words").distinct().select(
         "doc_id", F.explode(F.sequence("start", F.col("start") + F.col("n_words") - 1)).alias("at")).distinct(
     ).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.select("doc_id", F.explode("items").alias("item")).where("item is not null").distinct().groupBy(
         "doc_id").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    counts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(
-        F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    counts = docs.select(F.col("row").alias("doc_id"), "name", *kept, F.coalesce(
+        F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     return counts.join(hits.join(named, "doc_id", "left"), "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        F.col("name").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        *[F.col(k).alias(c) for c, k in zip(keep, kept)])

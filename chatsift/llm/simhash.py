@@ -55,18 +55,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per input row, ``fp`` the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, ``keep`` columns): one row per input row, ``fp`` the fingerprint as a signed long."""
 
     def run(batches):
         for batch in arrow_slices(batches, "text", 16_000_000):
             fps = np.fromiter((fingerprint(t, shingle) for t in texts_of(batch, "text")), dtype=np.uint64,
                               count=batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *keep])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, fp long")
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return cols.mapInArrow(run, ", ".join(["doc_id long, fp long", *(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[2:])]))
 
 
 def _signed(x: int) -> int:
@@ -150,16 +152,16 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) per input row: ``component_id`` is the smallest id reachable over
-    links of at most ``max_distance`` bits, the row's own included."""
-    fps = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+                    max_distance: int = MAX_DISTANCE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, ``keep`` columns) per input row: ``component_id`` is the smallest id
+    reachable over links of at most ``max_distance`` bits, the row's own included."""
+    fps = stage(fingerprints(docs, id_col, text_col, shingle, keep), "fingerprints")
     distinct = stage(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fps")
     nodes = components(fingerprint_links(distinct, max_distance))
     named = distinct.join(nodes, distinct.rep == nodes.node, "left").select(
         "fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *keep)
 
 
 def fingerprint_hex(fp):

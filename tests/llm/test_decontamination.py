@@ -49,7 +49,7 @@ def test_random_texts_equal_brute_force(spark):
 def test_empty_tables_and_null_ids(spark):
     assert run(spark, [], [(1, "a b")], 10) == []
     assert run(spark, [(1, "a b", "x", 1)], [], 10) == [(1, 2, 0, [])]
-    assert run(spark, [(None, "a b", "x", 1)], [(1, "a b")], 10) == [(None, 2, 0, [])]
+    assert run(spark, [(None, "a b", "x", 1)], [(1, "a b")], 10) == [(None, 2, 2, ["1"])]
 
 
 def test_many_blocks_give_the_same(spark, monkeypatch):
@@ -67,3 +67,12 @@ def test_proximity(spark):
     asked = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["x", "y"]), (9, ["nowhere"])], "query_id long, terms array<string>")
     got = sorted((r.doc_id, r.query_id, r.start) for r in proximity_matches(docs, asked, 5).collect())
     assert got == [(1, 7, 0), (1, 8, 1), (3, 7, 0)]
+
+
+def test_rows_are_matched_by_their_own_text_whatever_their_id(spark):
+    phrase = "a b c d e f g h i j"
+    docs = [(None, f"x {phrase} y", "i", 1), (None, "clean words", "i", 1), (5, "three clean words", "i", 1),
+            (5, f"{phrase} z", "i", 1), (5, f"{phrase} z", "i", 1)]
+    got = run(spark, docs, [(1, phrase)], 10)
+    assert got == sorted([(None, 12, 10, ["1"]), (None, 2, 0, []), (5, 3, 0, []), (5, 11, 10, ["1"]), (5, 11, 10, ["1"])],
+                         key=str)
