@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chatsift.config import NO_CAP, BuildConfig
 from chatsift.functions.messages import EXAMPLE, example_signature
 from chatsift.operators.context import array_examples, conversation_examples
-from chatsift.operators.dedup import ORDER, keep_first, ordered
+from chatsift.operators.dedup import ORDER, keep_first, numbered, ordered
 from chatsift.operators.sampling import exact_split, order_key, sample_exact, sample_exact_groups
 from chatsift.session import ensure_checkpoint_dir, materialize, release_scratch
 from chatsift.sinks.jsonl import write_jsonl
@@ -182,7 +182,7 @@ def build_dataset(spark: SparkSession, cfg: BuildConfig, src: Sources, *, write:
     ensure_checkpoint_dir(spark)
     union, files_report = build_examples(spark, cfg, src)
     # both the per-source counts and the dedup read the union: write it once
-    union = materialize(union.withColumn("signature", example_signature()), "build-union")
+    union = materialize(numbered(union.withColumn("signature", example_signature())), "build-union")
     counts_before = counts_by_source(union)
     deduped = materialize(keep_first(union, "signature", staged=True), "build-deduped")
     labelled, n, v = exact_split(deduped, cfg.seed, cfg.validation_ratio, "signature")

@@ -217,6 +217,10 @@ SELECT doc_id, lang, source, n_chars FROM (
   FROM (SELECT doc_id, lang, source, n_chars, lower({q.normalize('text')}) AS sig FROM documents)
 ) WHERE rn = 1"""
 
+ORACLES["dedup_null_and_repeated_ids"] = f"""
+SELECT min(CASE WHEN doc_id % 5 <> 0 THEN CAST(floor(doc_id / 2) AS BIGINT) END) AS id, md5(sig) AS signature
+FROM (SELECT doc_id, coalesce(lower({q.normalize('text')}), '') AS sig FROM documents) GROUP BY sig"""
+
 ORACLES["dedup_across_sources"] = f"""
 SELECT {_example_select('row_ref', 'prompt', 'completion', 'source')}
 FROM ({deduped_sql()})"""

@@ -33,7 +33,7 @@ from chatsift.functions.messages import (
 from chatsift.functions.text import is_valid_text, normalize_text
 from chatsift.operators import requests as rq
 from chatsift.operators.context import conversation_examples, trailing_context
-from chatsift.operators.dedup import keep_first, ordered, priority_union
+from chatsift.operators.dedup import keep_first, numbered, ordered, priority_union
 from chatsift.operators.sampling import exact_split, sample_exact
 from chatsift.operators.skew import hot_keys
 from chatsift.plans.build import Sources, build_dataset, build_examples
@@ -203,6 +203,16 @@ def dedup_keep_first_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep_first(sig, "sig", F.col("doc_id"), payload=["doc_id", "lang", "source", "n_chars"])
 
 
+@register("dedup_null_and_repeated_ids")
+def dedup_null_and_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep-first where a fifth of the rows have no order key and the others share theirs in pairs: one
+    row of each signature stays, with the smallest key there is."""
+    docs = read_table(spark, sf_dir, "documents")
+    key = F.when(F.col("doc_id") % 5 != 0, F.floor(F.col("doc_id") / 2))
+    sig = docs.select(key.cast("long").alias("id"), F.lower(normalize_text(F.col("text"))).alias("sig"))
+    return keep_first(sig, "sig", F.col("id"), payload=["id", "sig"]).select("id", F.md5("sig").alias("signature"))
+
+
 @register("dedup_across_sources")
 def dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = deduped_sources(spark, sf_dir)
@@ -212,7 +222,7 @@ def dedup_across_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _signed_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union with its signatures, written once as in the build. (Computing a signature where its
     texts are not kept trips Spark's code generator, which then runs the stage interpreted.)"""
-    return materialize(union_sources(spark, sf_dir).withColumn("signature", example_signature()), "source-union")
+    return materialize(numbered(union_sources(spark, sf_dir).withColumn("signature", example_signature())), "source-union")
 
 
 @register("source_counts")
@@ -423,7 +433,7 @@ def six_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "missing": BuildConfig(custom_dir=f"{folder}/none", local_pair_file=f"{folder}/none.csv"),
     }.items():
         union, _ = build_examples(spark, cfg, _build_sources(spark, sf_dir, turn_pairs=True))
-        union = materialize(union.withColumn("signature", example_signature()), "six-sources")
+        union = materialize(numbered(union.withColumn("signature", example_signature())), "six-sources")
         before = union.groupBy(_group_of("source").alias("source")).agg(F.count(F.lit(1)).alias("n_before"))
         after = keep_first(union, "signature", staged=True, payload=["source"]).groupBy(_group_of("source").alias("source")).agg(
             F.count(F.lit(1)).alias("n_after"))

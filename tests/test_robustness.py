@@ -151,6 +151,16 @@ def test_keep_first_equals_a_plain_window(spark):
     assert "SortAggregate" not in plan
 
 
+def test_keep_first_takes_one_row_of_each_signature_whatever_its_order_key(spark):
+    rows = [(None, "a"), (1, "b"), (2, "b"), (None, "b"), (None, "c"), (None, "c"), (4, "d"), (4, "d"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "id long, sig string")
+    got = sorted((r.sig or "", r.id) for r in keep_first(df, "sig", F.col("id")).collect())
+    assert got == [("", 3), ("a", None), ("b", 1), ("c", None), ("d", 4)]
+    order = F.struct(F.col("id"))
+    got = sorted((r.sig or "", r.id or 0) for r in keep_first(df, "sig", order).collect())
+    assert [s for s, _ in got] == ["", "a", "b", "c", "d"]  # a struct is never null: a null field comes first
+
+
 def test_request_ids_of_long_conversations_are_distinct(spark):
     from chatsift.plans.derive import chat_replies, chat_requests
 
