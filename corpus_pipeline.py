@@ -3,8 +3,8 @@
 Each stage takes the documents its predecessor kept and returns the documents it keeps, with the same
 columns; the last adds the place of each document in the mixture (``mix_`` columns).
 
-Rows without an id cannot be told apart by id: they are never dropped as duplicates or as
-contaminated. Of rows that repeat an id, the duplicate stage keeps the one with the smallest text.
+Rows are told apart by a digest of all their columns, so null and repeated ids are checked like any
+other: each row by its own values. Of rows equal in every column the duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -15,42 +15,56 @@ from pyspark.sql import functions as F
 from chatsift.llm import decontamination, language_id, mixing, pii_crf, simhash
 from chatsift.llm.common import bounded_batches, stage, table
 
-BROADCAST_IDS = 1_000_000  # a set of ids is broadcast up to this size, joined by a shuffle beyond
+BROADCAST_ROWS = 1_000_000  # a set of row keys is broadcast up to this size, joined by a shuffle beyond
+KEYS = ("pipeline_row1", "pipeline_row2")
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose key columns are not in ``gone`` (null keys stay)."""
-    gone = stage(gone.distinct(), "gone")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, gone.columns, "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row keys: 96 bits of digest over all columns."""
+    cols = [F.col(f"`{c}`") for c in docs.columns if c not in KEYS]
+    return docs.withColumns({KEYS[0]: F.xxhash64(*cols), KEYS[1]: F.hash(*cols[::-1])})
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` whose keys are not in ``gone``, without the keys."""
+    gone = stage(gone.select(*KEYS).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return keyed.join(F.broadcast(gone) if small else gone, [*KEYS], "left_anti").drop(*KEYS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the rest go."""
     bounded_batches(spark)
-    marked = docs.withColumn("text_digest", F.xxhash64("text"))
-    found = language_id.identify(marked, ["doc_id", "text_digest"], "text", F.col("lang"), F.lit(None), F.col("source"))
-    gone = found.where(language_id.rejected()).select("doc_id", "text_digest")
-    return _without(marked, gone).select(docs.columns)
+    keyed = _keyed(docs)
+    found = language_id.identify(keyed, [*KEYS], "text", F.col("lang"), F.lit(None), F.col("source"))
+    return _without(keyed, found.where(language_id.rejected()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest id."""
-    found = stage(simhash.near_duplicates(docs), "near-duplicates")
-    kept = _without(docs, found.where("doc_id != component_id").select("doc_id"))
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(
-        "n > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min_by(F.struct(*kept.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    return kept.join(twice, "doc_id", "left_anti").select(kept.columns).unionByName(once)
+    """One document of each SimHash group: the one with the smallest id (no id comes last)."""
+    keyed = _keyed(docs)
+    marked = keyed.select(F.col(KEYS[0]).alias("row"), "text", F.col("doc_id").alias("name"), *KEYS)
+    found = stage(simhash.near_duplicates(marked, id_col="row", keep=("name", *KEYS)), "near-duplicates")
+    first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", *KEYS)).alias("first")
+    groups = found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    other = F.lit(False)
+    for k in KEYS:
+        other = other | (F.col(k) != F.col(f"first.{k}"))
+    kept = keyed.join(found.join(groups, "component_id").where(other).select(*KEYS).distinct(), [*KEYS], "left_anti")
+    # rows equal in all columns have one key: one of them stays
+    equal = stage(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS), "equal-rows")
+    if equal.isEmpty():
+        return kept.drop(*KEYS)
+    once = kept.join(equal, [*KEYS], "left_semi").groupBy(*KEYS).agg(
+        F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    return kept.join(equal, [*KEYS], "left_anti").drop(*KEYS).unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("n_hit > 0").select("doc_id"))
+    keyed = _keyed(docs)
+    found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), keep=KEYS)
+    return _without(keyed, found.where("n_hit > 0"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
