@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm import decontamination, embedding_dedup, hmm_lm, html_diff, language_id, mixing, pii_crf, simhash, suffix_dedup, warc
+from chatsift.llm import decontamination, embedding_dedup, fim, hmm_lm, html_diff, language_id, mixing, pii_crf, simhash, suffix_dedup, warc
 from chatsift.llm.common import table
 
 
@@ -73,6 +73,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -84,4 +90,5 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }

@@ -21,7 +21,7 @@ def test_query_matches_its_sql(spark, name, sf):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark):
