@@ -46,6 +46,10 @@ SELECT page_id, warc_type, record_id, refers_to, url AS target_uri, date, conten
 FROM i"""
 
 
+_QUANTISED = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
+_FINITE = ("vec_id IS NOT NULL AND embedding IS NOT NULL "
+           "AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)")
+
 ORACLES = {
     "op1_decontamination": f"""
 WITH iw AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark),
@@ -92,6 +96,26 @@ SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(rank AS BIGINT) AS r
   CAST(((block + 1) * p + a - 1) // a AS BIGINT) AS deadline
 FROM bl JOIN slots ON bl.s = slots.s AND bl.block % bl.a = slots.turn""",
     "op6_warc": _warc(),
+    "op11_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_QUANTISED} AS e
+  FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+p AS (SELECT * FROM (
+  SELECT a.vec_id AS anchor_id, a.label, a.e, b.vec_id AS positive_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS ps,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS r
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE r <= 5),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS negative_id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS ns
+  FROM v a JOIN v b ON a.label <> b.label WHERE a.vec_id % 100 = 0),
+n AS (SELECT anchor_id, positive_id, negative_id, ps, ns,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY ns DESC, negative_id) AS r
+  FROM p JOIN s USING (anchor_id) WHERE 80 * ps <= 100 * ns AND 100 * ns <= 100 * ps)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE r <= 5""",
+    "op13_exact_top_k": f"""
+WITH v AS (SELECT vec_id, {_QUANTISED} AS e FROM embeddings WHERE {_FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM r WHERE r <= 5""",
     "op12_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS k,

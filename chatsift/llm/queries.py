@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatsift.llm import decontamination, embedding_dedup, fim, hmm_lm, html_diff, language_id, mixing, pii_crf, simhash, suffix_dedup, warc
+from chatsift.llm import (
+    decontamination, embedding_dedup, exact_topk, fim, hard_negatives, hmm_lm, html_diff, language_id, mixing, pii_crf,
+    simhash, suffix_dedup, warc)
 from chatsift.llm.common import table
 
 
@@ -73,6 +75,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_diff.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seventh vector carries the next label, so that some vectors lie among those of another."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.transform(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -90,5 +102,7 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_language_id": op9_language_id,
     "op10_html_text": op10_html_text,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_top_k": op13_exact_top_k,
 }
