@@ -580,3 +580,22 @@ ORACLES["session_context_stream"] = session_sql()
 
 SESSION_START = "2024-01-15 00:00:00"
 ORACLES["session_from_now"] = session_sql(f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{SESSION_START}')")
+
+ORACLES["session_starts_at_end"] = ORACLES["session_from_now"]
+
+_LATE = ("(event_id % 37 = 0 AND event_id % 5 <> 0 AND 8 * event_id < "
+         "(SELECT 4 * max(event_id) // 4 + 1 FROM events))")
+ORACLES["session_out_of_order"] = f"""
+SELECT *, false AS late FROM ({session_sql(f"(SELECT * FROM events WHERE NOT {_LATE})")})
+UNION ALL
+SELECT seq, CAST(user_id AS BIGINT), coalesce(text, ''), NULL, NULL, true FROM (
+  SELECT user_id, 4 * event_id AS seq,
+    CASE WHEN event_type <> 'signup' THEN {q.normalize("event_type || ' ' || props")} END AS text FROM events WHERE {_LATE}
+  UNION ALL
+  SELECT user_id, 4 * event_id + 1, CASE WHEN event_type <> 'error' THEN 'ack ' || CAST(event_id AS VARCHAR) END
+  FROM events WHERE {_LATE} AND event_type <> 'signup'
+  UNION ALL
+  SELECT user_id, 4 * event_id + 3, NULL FROM events WHERE {_LATE} AND event_id % 11 = 0)"""
+
+ORACLES["session_micro_batches"] = session_sql(
+    "(SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)")

@@ -39,6 +39,7 @@ from chatsift.operators.skew import hot_keys
 from chatsift.plans.build import Sources, build_dataset, build_examples
 from chatsift.plans.derive import (
     adjacent_pairs,
+    SLOW_EVENTS,
     chat_events,
     chat_replies,
     chat_requests,
@@ -56,6 +57,9 @@ from chatsift.sources import files
 from chatsift.sources.custom import jsonl_examples, load_custom_dir, read_pair_csv, rejected_lines
 from chatsift.sources.tables import instruction_examples, pair_examples, read_table
 from chatsift.streaming import sessions as ss
+from chatsift.streaming.event_time import TIMED_SCHEMA, session_requests_by_event_time
+from chatsift.streaming.folder import from_now
+from chatsift.streaming.incremental import SessionStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -535,6 +539,8 @@ def apply_replies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _session_view(df: DataFrame) -> DataFrame:
+    if "late" in df.columns:
+        df = df.where("not late")
     return df.select(
         (F.col("seq") / 4).cast("long").alias("event_id"), F.col("chat_id").alias("user_id"), "message",
         F.size("history").cast("long").alias("n_history"), render_messages("history").alias("history_text"))
@@ -563,6 +569,103 @@ def session_from_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_view(spark.read.parquet(out))
 
 
+EPOCH = 1_700_000_000
+
+
+def _event_waves(spark: SparkSession, sf_dir: str, folder: str, where: str, names: list[str], wave) -> None:
+    """Chat events with a time of their own (``ts``: their seq in seconds), written as finished sub-folders."""
+    events = chat_events(read_table(spark, sf_dir, "events").where(where)).withColumn("ts", F.timestamp_seconds(F.col("seq") + EPOCH))
+    events = materialize(events.withColumn("wave", wave(events)), "event-waves")
+    for i, name in enumerate(names):
+        events.where(F.col("wave") == i).drop("wave").write.parquet(f"{folder}/{name}")
+
+
+@register("session_starts_at_end")
+def session_starts_at_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session stream over a growing folder that holds a backlog when the stream starts: the backlog is not
+    read, whatever its times, and what is written later is, in two waves."""
+    folder, out, log = (scratch_path(spark, n) for n in ("chat-folder", "session-out", "folder-log"))
+    _event_waves(spark, sf_dir, folder, f"ts < TIMESTAMP_NTZ '{SESSION_START}'", ["a-backlog"], lambda e: F.lit(0))
+    q = ss.session_requests(from_now(spark, folder, ss.EVENT_SCHEMA, log)).writeStream.format("parquet").option(
+        "path", out).option("checkpointLocation", scratch_path(spark, "session-ckpt")).start()
+    try:
+        q.processAllAvailable()
+        _event_waves(spark, sf_dir, folder, f"ts >= TIMESTAMP_NTZ '{SESSION_START}'", ["b-first", "c-second"],
+                     lambda e: F.when(F.col("seq") <= e.agg(F.avg("seq")).first()[0], 0).otherwise(1))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return _session_view(spark.read.parquet(out))
+
+
+WAVES, LATE_WAVES, WAVE_DELAY = 4, 3, 2  # the watermark stays two waves' time behind
+
+
+def _wave_span(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Event numbers of a wave, and how many waves they fill with the last slow replies and their delay."""
+    last = 4 * (read_table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0)
+    span = last // WAVES + 1
+    return span, (last + 4 * SLOW_EVENTS + 4) // span + 2
+
+
+def _caught_up(writer, spark: SparkSession | None = None) -> None:
+    """Run a stream until it has processed all that is there; with ``spark``, without batches in between
+    that only move the watermark."""
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting) if spark else None
+    if spark:
+        spark.conf.set(setting, "false")
+    q = writer.start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+        if spark:
+            spark.conf.set(setting, before)
+
+
+@register("session_out_of_order")
+def session_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-time sessions from waves that hold each other's events, one wave a micro-batch: a third of the events
+    comes a wave late, within the delay, and some of the first wave come so late that the watermark has
+    passed them; those are late rows."""
+    folder, out, log = (scratch_path(spark, n) for n in ("chat-folder", "session-out", "folder-log"))
+    span, waves = _wave_span(spark, sf_dir)
+    event, own = F.floor(F.col("seq") / 4), F.floor(F.col("seq") / span)
+    behind = (F.when((event % 37 == 0) & (event % 5 != 0) & (8 * event < span), LATE_WAVES)
+              .when(F.col("seq") % 3 == 0, 1).otherwise(0))
+    _event_waves(spark, sf_dir, folder, "true", [f"w{i:02d}" for i in range(waves)], lambda e: (own + behind).cast("int"))
+    end = spark.range(1).select(F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("chat_id"), F.lit("start").alias("kind"),
+                                F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("reply_to"),
+                                F.timestamp_seconds(F.lit(EPOCH + 100 * WAVES * span)).alias("ts"))
+    for name in ("x-end", "y-end"):  # a time past all others, and a batch that sees it: every event becomes due
+        end.write.parquet(f"{folder}/{name}")
+    stream = from_now(spark, folder, TIMED_SCHEMA, log, starting="earliest", max_entries=1)
+    _caught_up(session_requests_by_event_time(stream, f"{WAVE_DELAY * span} seconds").writeStream.format("parquet").option(
+        "path", out).option("checkpointLocation", scratch_path(spark, "session-ckpt")), spark)
+    rows = spark.read.parquet(out)
+    late = rows.where("late").select(
+        F.col("seq").alias("event_id"), F.col("chat_id").alias("user_id"), "message", F.lit(None).cast("long").alias("n_history"),
+        F.lit(None).cast("string").alias("history_text"), "late")
+    return _session_view(rows).withColumn("late", F.lit(False)).unionByName(late)
+
+
+@register("session_micro_batches")
+def session_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Micro-batches through the batch operators, with a third of all users in one chat."""
+    folder, log = scratch_path(spark, "chat-folder"), scratch_path(spark, "folder-log")
+    events = read_table(spark, sf_dir, "events").withColumn(
+        "user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    events = materialize(chat_events(events), "chat-events")
+    half = events.agg(F.avg("seq")).first()[0] or 0
+    events.where(F.col("seq") <= half).write.parquet(f"{folder}/a")
+    events.where(F.col("seq") > half).write.parquet(f"{folder}/b")
+    store = SessionStore(spark, scratch_path(spark, "session-store"))
+    stream = from_now(spark, folder, ss.EVENT_SCHEMA, log, starting="earliest", max_entries=1)
+    _caught_up(stream.writeStream.foreachBatch(store.apply).option("checkpointLocation", scratch_path(spark, "session-ckpt")))
+    return _session_view(store.requests())
+
+
 @register("session_context_stream")
 def session_context_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests from the stateful stream: events are written as a file source, processed

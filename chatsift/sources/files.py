@@ -38,6 +38,20 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return [path for _, path in sorted(found)]
 
 
+def list_folders(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Full paths of the folders directly in ``folder`` whose base name matches ``pattern``, sorted."""
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    return sorted(st.getPath().toString() for st in fs.listStatus(p)
+                  if st.isDirectory() and fnmatch.fnmatchcase(st.getPath().getName(), pattern))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.delete(p, True))
+
+
 HEADER_CHARS = 4096  # as much of a first line as reaches the driver
 
 

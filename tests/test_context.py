@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatsift.config import SkewConfig
 from chatsift.operators.context import array_examples, conversation_examples, trailing_context
-from chatsift.operators.skew import HotKeys
+from chatsift.operators.skew import HotKeys, with_blocks
 
 SP = "sys prompt"
 
@@ -120,3 +120,30 @@ def test_hot_conversation_found_by_sampled_probe_and_blocked(spark):
     a = sorted(map(tuple, plain.select("conv_id", "turn", F.to_json("prompt")).collect()))
     b = sorted(map(tuple, blocked.select("conv_id", "turn", F.to_json("prompt")).collect()))
     assert a == b and len(a) == 1500 + 39 * 3
+
+
+@pytest.mark.parametrize("name,seqs", [
+    ("outlier", [0, *range(1_700_000_000_000, 1_700_000_010_000)]),
+    ("clusters", [c * 10**15 + i for c in range(5) for i in range(1500)] + [-(10**17)]),
+    ("even", list(range(0, 70_000, 7))),
+    ("powers", [2**i for i in range(62)] + list(range(10**6, 10**6 + 5000))),
+])
+def test_blocks_of_a_hot_key_are_near_equal_however_its_sequence_lies(spark, name, seqs):
+    df = spark.createDataFrame([(1, s) for s in seqs] + [(None, s) for s in seqs[::2]] + [(2, 5)], "k long, seq long")
+    got = with_blocks(df, ["k"], "seq", HotKeys(rows=((1,), (None,))), 100).collect()
+    assert len(got) == len(seqs) + len(seqs[::2]) + 1
+    for key, own in ((1, seqs), (None, seqs[::2])):
+        blocks = {}
+        for r in got:
+            if r.k == key:
+                blocks.setdefault(r._blk, []).append(r.seq)
+        assert max(map(len, blocks.values())) < 200 and len(blocks) <= len(own) / 100 + 1
+        spans = sorted((b, min(x), max(x)) for b, x in blocks.items())
+        assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))  # blocks follow the sequence
+    assert [r._blk for r in got if r.k == 2] == [0]
+
+
+def test_tied_sequences_stay_together(spark):
+    df = spark.createDataFrame([(1, 7)] * 500 + [(1, i) for i in range(100, 400)], "k long, seq long")
+    got = with_blocks(df, ["k"], "seq", HotKeys(all_keys=True), 50).groupBy("_blk").count().collect()
+    assert sorted(r["count"] for r in got)[-1] == 500 and sorted(r["count"] for r in got)[-2] < 100
