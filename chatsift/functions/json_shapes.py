@@ -7,10 +7,9 @@ Blank lines are ``blank``; unparsable text and JSON values that are not objects
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatsift.functions.messages import MESSAGES
 from chatsift.functions.text import py_strip
 
 # ---- fixed values: shapes in match order ------------------------------------------------------
@@ -22,37 +21,31 @@ SHAPE_KEYS = (
 )
 # -----------------------------------------------------------------------------------------------
 
-SCHEMAS = {
-    "prompt_completion": "struct<prompt: array<string>, completion: array<string>>",
-    "input_output": "struct<input: string, output: string>",
-    "user_assistant": "struct<user: string, assistant: string>",
-    "messages": "struct<messages: array<string>>",
-}
 _STRICT = {"allowSingleQuotes": "false"}
+FIELDS = ("struct<prompt: array<string>, completion: array<string>, messages: array<string>, input: string, output: string, "
+          "user: string, assistant: string>")
 
 
 def _col_or_name(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strict_object(value: Column | str) -> Column:
-    """Top-level fields of a line that holds exactly one JSON object, else null.
+def line_object(value: Column | str) -> Column:
+    """``keys`` (null unless the line holds exactly one JSON object) and ``fields`` of a stripped line.
 
-    The parser stops after the first value, so the line is parsed twice, as the only element of an
-    array and as the only field of an object: text that ends the one early leaves the other open.
-    Accepts what Python's ``json`` accepts (NaN and infinities included), and neither trailing text,
-    a second value, nor single quotes."""
-    v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
+    The parser stops after the first value, so the line is read twice, as the only element of an array and
+    as the only field of an object: text that ends the one early leaves the other open. The one
+    reading gives the keys, the other the fields that the shapes need (missing or of another type: null;
+    scalars read as strings keep their JSON spelling). Accepts what Python's ``json`` accepts (NaN and
+    infinities included), and neither trailing text, a second value, nor single quotes."""
+    v = _col_or_name(value)
     element = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<map<string,string>>", _STRICT)
-    field = F.from_json(F.concat(F.lit('{"x":'), v, F.lit("}")), "struct<x: map<string,string>>", _STRICT)
-    return F.when((F.size(element) == 1) & field["x"].isNotNull(), F.get(element, F.lit(0)))
+    field = F.from_json(F.concat(F.lit('{"x":'), v, F.lit("}")), f"struct<x: {FIELDS}>", _STRICT)
+    return F.struct(F.when(F.size(element) == 1, F.map_keys(F.get(element, F.lit(0)))).alias("keys"), field["x"].alias("fields"))
 
 
-def shape_label(value: Column | str) -> Column:
-    """Shape of a line after stripping Python whitespace (as the original strips each line)."""
-    v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
-    keys = F.map_keys(strict_object(value))  # null for bad JSON and for non-object values
-    expr = F.when(v == F.lit(""), F.lit("blank")).when(keys.isNull(), F.lit("invalid"))
+def _shape(value: Column, keys: Column, fields: Column) -> Column:
+    expr = F.when(value == F.lit(""), F.lit("blank")).when(keys.isNull() | fields.isNull(), F.lit("invalid"))
     for label, names in SHAPE_KEYS:
         cond = F.lit(True)
         for n in names:
@@ -61,38 +54,43 @@ def shape_label(value: Column | str) -> Column:
     return expr.otherwise(F.lit("other"))
 
 
-def _fields(value: Column | str, shape: str) -> Column:
-    return F.from_json(py_strip(_col_or_name(value)), SCHEMAS[shape], _STRICT)
-
-
-def _messages(elements: Column) -> Column:
-    """Each element of a message array on its own, so one bad element does not lose the others."""
-    kind = MESSAGES.elementType.simpleString()
-    return F.transform(elements, lambda e: F.from_json(e, kind, _STRICT))
-
-
-def parse_shape(value: Column | str, shape: str) -> Column:
-    """Parse a line of a known shape into its struct (fields missing or of another type become
-    null; scalar JSON values read as strings keep their JSON spelling)."""
-    fields = _fields(value, shape)
-    if shape == "prompt_completion":
-        return F.struct(_messages(fields["prompt"]).alias("prompt"), _messages(fields["completion"]).alias("completion"))
-    if shape == "messages":
-        return F.struct(_messages(fields["messages"]).alias("messages"))
-    return fields
-
-
-def reject_reason(value: Column | str, shape: Column) -> Column:
-    """Why a line, or part of it, yields nothing: ``invalid_json`` (no single JSON object),
-    ``unknown_shape``, ``bad_message`` (an element of its message arrays is not an object); else null."""
-
-    def bad(elements: Column) -> Column:
-        return F.exists(elements, lambda e: F.from_json(e, "map<string,string>", _STRICT).isNull())
-
-    pc = _fields(value, "prompt_completion")
-    broken = (
-        F.when(shape == "messages", bad(_fields(value, "messages")["messages"]))
-        .when(shape == "prompt_completion",
-              F.coalesce(bad(pc["prompt"]), F.lit(False)) | F.coalesce(bad(pc["completion"]), F.lit(False))))
-    return (F.when(shape == "invalid", F.lit("invalid_json")).when(shape == "other", F.lit("unknown_shape"))
-            .when(broken, F.lit("bad_message")))
+def shape_label(value: Column | str) -> Column:
+    """Shape of a line after stripping Python whitespace (as the original strips each line)."""
+    v = py_strip(F.coalesce(_col_or_name(value), F.lit("")))
+    read = line_object(v)
+    return _shape(v, read["keys"], read["fields"])
+
+
+def _last(entries: Column, key: str) -> Column:
+    """The value of a key, of the last one where it is repeated."""
+    own = F.filter(F.map_entries(entries), lambda e: e["key"] == F.lit(key))
+    return F.try_element_at(own, F.lit(-1))["value"]
+
+
+def parsed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The other columns of ``lines`` plus ``value`` (stripped as Python does), ``shape``, ``input, output, user, assistant``, the
+    message arrays ``first`` (messages or prompt) and ``second`` (completion), and ``reason``: why the line, or part of
+    it, yields nothing (``invalid_json``: no single JSON object; ``unknown_shape``; ``bad_message``: an element
+    of its message arrays is not an object).
+
+    A line is read twice and each element of its message arrays once, on its own, so one bad element
+    does not lose the others. Each step ends in a generator, below which the optimiser moves nothing, so
+    whatever follows reads the columns and parses nothing again."""
+    keep = [F.col(f"`{c}`") for c in lines.columns if c != value]
+    text = py_strip(F.coalesce(F.col(value), F.lit("")))
+    read = lines.select(*keep, F.inline(F.array(F.struct(text.alias("value"))))).select(
+        *keep, "value", F.inline(F.array(line_object("value"))))
+    shape = _shape(F.col("value"), F.col("keys"), F.col("fields"))
+    shaped = read.withColumn("shape", shape)
+    is_chat, is_pair = F.col("shape") == "messages", F.col("shape") == "prompt_completion"
+    arrays = F.array(F.when(is_chat, F.col("fields.messages")).when(is_pair, F.col("fields.prompt")),
+                     F.when(is_pair, F.col("fields.completion")))
+    elements = F.transform(arrays, lambda a: F.transform(a, lambda e: F.from_json(e, "map<string,string>", _STRICT)))
+    opened = shaped.select(*keep, "value", "shape", "fields", F.inline(F.array(F.struct(elements.alias("elements")))))
+    bad = F.exists("elements", lambda a: F.coalesce(F.exists(a, lambda e: e.isNull()), F.lit(False)))
+    reason = (F.when(F.col("shape") == "invalid", F.lit("invalid_json")).when(F.col("shape") == "other", F.lit("unknown_shape"))
+              .when(bad, F.lit("bad_message")))
+    both = lambda i: F.transform(F.get("elements", F.lit(i)), lambda e: F.struct(
+        _last(e, "role").alias("role"), _last(e, "content").alias("content")))
+    return opened.select(*keep, "value", "shape", *[F.col(f"fields.{c}").alias(c) for c in ("input", "output", "user", "assistant")],
+                         both(0).alias("first"), both(1).alias("second"), reason.alias("reason"))

@@ -29,7 +29,7 @@ from chatsift.session import ensure_checkpoint_dir, materialize, release_scratch
 from chatsift.sinks.jsonl import write_jsonl
 from chatsift.sinks.report import counts_by_source, report_frame, write_report
 from chatsift.sources import files
-from chatsift.sources.custom import REJECTS, load_custom_dir, malformed_pair_rows, read_pair_csv
+from chatsift.sources.custom import REJECTS, load_custom_dir, malformed_rows, read_pair_csv
 from chatsift.sources.tables import instruction_examples, pair_examples
 
 # fixed source tags of the built-in sources
@@ -105,11 +105,8 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
         name = posixpath.basename(local)
         raw = read_pair_csv(spark, local, on_malformed=cfg.json_mode, multi_line=cfg.multi_line).withColumn(
             "_rk", F.format_string("%d:%d", "block", "pos"))
-        if cfg.cap_pairs < NO_CAP:
-            raw = materialize(raw, "local-pairs")  # the sample reads it once per level
+        rejects.append(malformed_rows(raw))
         raw = _capped(raw, cfg.cap_pairs, seed, "_rk")
-        rejects.append(malformed_pair_rows(spark, local, cfg.multi_line).select(
-            "file_name", F.lit("field_count").alias("reason"), "record"))
         ex = pair_examples(raw, "input", "output", system_prompt=cfg.system_prompt, source=f"local:{name}",
                            keep=("block", "pos"))
         frames.append(ordered(ex, 0, F.lit(name), pos="pos", block="block"))

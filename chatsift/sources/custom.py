@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatsift.config import CSV_HEADER, NA_TOKENS
-from chatsift.functions.json_shapes import parse_shape, reject_reason, shape_label
+from chatsift.functions.json_shapes import parsed_lines
 from chatsift.functions.messages import (
     EXAMPLE,
     clean_messages,
@@ -25,7 +25,9 @@ from chatsift.functions.messages import (
 from chatsift.functions.text import clean_role, normalize_text, py_strip
 from chatsift.operators.context import system_messages
 from chatsift.operators.dedup import ORDER, ordered
+from chatsift.session import materialize
 from chatsift.sources import files
+from chatsift.sources.csv_records import csv_records
 
 
 class SchemaError(ValueError):
@@ -46,66 +48,74 @@ def _positions(df: DataFrame) -> DataFrame:
     )
 
 
-def _pair_csv_reader(spark: SparkSession, mode: str, multi_line: bool = True):
-    # rows end with LF; the CR of a CRLF file, or of some rows of a mixed one, is trimmed afterwards
-    return spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8", mode=mode,
-                              lineSep="\n", columnNameOfCorruptRecord="_corrupt")
+def _whole_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV rows of files whose fields hold no line ends, by the plain reader (rows end with LF; the CR of a
+    CRLF file, or of some rows of a mixed one, is trimmed afterwards)."""
+    rows = _positions(spark.read.options(
+        header=True, quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", lineSep="\n", columnNameOfCorruptRecord="_corrupt",
+    ).schema("input string, output string, _corrupt string").csv(paths))
+    output = F.when(F.col("output").endswith("\r"), F.expr("substring(output, 1, length(output) - 1)")).otherwise(F.col("output"))
+    return rows.withColumn("output", output).withColumnRenamed("_corrupt", "record")
 
 
-def _without_cr(c: str) -> Column:
-    return F.when(F.col(c).endswith("\r"), F.expr(f"substring({c}, 1, length({c}) - 1)")).otherwise(F.col(c))
+def pair_csv_rows(spark: SparkSession, paths: list[str] | str, *, multi_line: bool = True) -> DataFrame:
+    """All rows of RFC-4180 pair CSV files, written once to a table: ``input, output, file_name, block, pos,
+    record``. ``record`` is the row's text where it has a wrong number of fields (a row without texts), else
+    null; pandas' missing-value tokens become null.
+
+    Files are split over tasks and quoted fields may hold line ends (``csv_records``); a caller who knows
+    that no field holds one can pass ``multi_line=False``, which saves a look at the quotes."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if multi_line:
+        options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true", "columnNameOfCorruptRecord": "_corrupt"}
+        fields = F.from_csv("record", "input string, output string, _corrupt string", options)
+        rows = csv_records(spark, paths).select("file_name", "block", "pos", F.inline(F.array(fields)))
+        rows = rows.withColumnRenamed("_corrupt", "record")
+    else:
+        rows = _whole_lines(spark, paths)
+    ok, na = F.col("record").isNull(), list(NA_TOKENS)
+    # a malformed row keeps its place (it is a raw row for seeded caps) but has no texts, so it
+    # never becomes an example
+    return materialize(rows.select(
+        F.when(ok & ~F.col("input").isin(*na), F.col("input")).alias("input"),
+        F.when(ok & ~F.col("output").isin(*na), F.col("output")).alias("output"), "file_name", "block", "pos", "record",
+    ), "pair-rows")
 
 
 def read_pair_csv(spark: SparkSession, paths: list[str] | str, *, check_header: bool = True,
                   on_malformed: str = "quarantine", multi_line: bool = True) -> DataFrame:
-    """Read RFC-4180 CSV files with header ``input,output`` (BOM, case and edge spaces tolerated).
+    """Pair CSV files with header ``input,output`` (BOM, case and edge spaces tolerated), as ``pair_csv_rows``.
 
-    Returns ``input, output, file_name, block, pos``; pandas' missing-value tokens become null.
     LF and CRLF row ends may be mixed within a file; a file whose only line ends are CR has no
     readable header. Raises ``SchemaError`` naming the file if a header does not match (a Git-LFS
     pointer, a reordered header ...) instead of mapping columns by position silently. Rows with a
-    wrong number of fields get no texts (``quarantine``; listed by ``malformed_pair_rows``) or fail
-    the job (``failfast``); a short row would have lost its output and been dropped anyway.
-
-    ``multi_line=True`` (exact for quoted newlines) reads each file in one task; a caller who knows
-    no field contains a newline can pass ``False`` so large files split across tasks.
-    """
+    wrong number of fields get no texts (``quarantine``; their ``record`` says what they hold) or fail
+    the job (``failfast``); a short row would have lost its output and been dropped anyway."""
     paths = [paths] if isinstance(paths, str) else list(paths)
+    if on_malformed not in ("failfast", "quarantine"):
+        raise ValueError(f"unknown on_malformed {on_malformed!r}")
     if check_header:
         found = files.first_lines(spark, paths)
         for p in paths:
             line = found[posixpath.basename(p)]
             if not header_ok(line):
                 raise SchemaError(f"{p}: expected header 'input,output', found {line[:80]!r}")
+    rows = pair_csv_rows(spark, paths, multi_line=multi_line)
     if on_malformed == "failfast":
-        df = _pair_csv_reader(spark, "FAILFAST", multi_line).schema("input string, output string").csv(paths)
-        ok = F.lit(True)
-    elif on_malformed == "quarantine":
-        df = (_pair_csv_reader(spark, "PERMISSIVE", multi_line)
-              .schema("input string, output string, _corrupt string").csv(paths))
-        ok = F.col("_corrupt").isNull()
-    else:
-        raise ValueError(f"unknown on_malformed {on_malformed!r}")
-    df = _positions(df).withColumn("output", _without_cr("output"))
-    na = list(NA_TOKENS)
-    # a malformed row keeps its place (it is a raw row for seeded caps) but has no texts, so it
-    # never becomes an example
-    return df.select(
-        F.when(ok & ~F.col("input").isin(*na), F.col("input")).alias("input"),
-        F.when(ok & ~F.col("output").isin(*na), F.col("output")).alias("output"),
-        "file_name", "block", "pos",
-    )
+        bad = rows.where("record is not null").select("file_name", "record").first()
+        if bad is not None:
+            raise ValueError(f"{bad.file_name}: wrong number of fields in {bad.record[:80]!r}")
+    return rows
+
+
+def malformed_rows(rows: DataFrame) -> DataFrame:
+    """The rejects among rows of ``read_pair_csv``: ``file_name, reason, record``."""
+    return rows.where("record is not null").select("file_name", F.lit("field_count").alias("reason"), "record")
 
 
 def malformed_pair_rows(spark: SparkSession, paths: list[str] | str, multi_line: bool = True) -> DataFrame:
-    """The quarantined rows of pair CSV files (wrong number of fields):
-    ``file_name, pos, input, record``."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = _pair_csv_reader(spark, "PERMISSIVE", multi_line).schema("input string, output string, _corrupt string").csv(paths)
-    # Spark refuses queries on the corrupt-record column alone, so the filter names a field as well
-    parsed = F.coalesce(F.length("input"), F.lit(0)) >= 0
-    return _positions(df).where(F.col("_corrupt").isNotNull() & parsed).select(
-        "file_name", "pos", "input", F.col("_corrupt").alias("record"))
+    """The quarantined rows of pair CSV files (wrong number of fields): ``file_name, pos, record``."""
+    return pair_csv_rows(spark, paths, multi_line=multi_line).where("record is not null").select("file_name", "pos", "record")
 
 
 REJECTS = "file_name string, reason string, record string"
@@ -113,9 +123,7 @@ REJECTS = "file_name string, reason string, record string"
 
 def rejected_lines(lines: DataFrame, keep: tuple[str, ...] = ("file_name",)) -> DataFrame:
     """JSON lines that yield nothing, or less than they hold: ``keep..., reason, record``."""
-    shaped = lines.withColumn("value", py_strip(F.col("value"))).withColumn("_shape", shape_label("value"))
-    return shaped.withColumn("reason", reject_reason("value", F.col("_shape"))).where(F.col("reason").isNotNull()).select(
-        *keep, "reason", F.col("value").alias("record"))
+    return parsed_lines(lines).where(F.col("reason").isNotNull()).select(*keep, "reason", F.col("value").alias("record"))
 
 
 def read_jsonl(spark: SparkSession, paths: list[str] | str) -> DataFrame:
@@ -125,30 +133,24 @@ def read_jsonl(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Column | str,
-                   mode: str = "quarantine") -> DataFrame:
+                   mode: str = "quarantine", parsed: DataFrame | None = None) -> DataFrame:
     """Mixed JSON lines -> examples in one pass (one scan, no union, no shuffle).
 
     Adds ``shape`` and ``sub`` (example index within the line). Pair-like shapes yield one
     candidate, ``messages`` yields one per reply that follows a user message (context of the last
     ``k`` cleaned messages, 0 = all). Blank, other and invalid lines yield none; with
-    ``mode='failfast'`` an invalid line fails the job like the original tool.
+    ``mode='failfast'`` an invalid line fails the job like the original tool. ``parsed`` gives the
+    ``parsed_lines`` of ``lines`` where they are there already.
     """
+    if mode not in ("quarantine", "failfast"):
+        raise ValueError(f"unknown mode {mode!r}")
     src = F.lit(source) if isinstance(source, str) else source
-    # strip once here; the shape functions strip too (a no-op on stripped text), so a line wrapped
-    # in, e.g., U+3000 parses as it does after Python's strip()
-    lines = lines.withColumn("value", py_strip(F.col("value")))
-    shape = shape_label("value")
+    keep = [c for c in lines.columns if c != "value"]
+    staged = (parsed_lines(lines) if parsed is None else parsed).withColumn("source", src)
     if mode == "failfast":
-        why = reject_reason("value", shape)
-        shape = F.when(why.isin("invalid_json", "bad_message"), F.raise_error(
-            F.concat(why, F.lit(" in a JSON line of "), F.col("file_name")))).otherwise(shape)
-    elif mode != "quarantine":
-        raise ValueError(f"unknown mode {mode!r}")
-    staged = lines.withColumn("shape", shape).withColumn("source", src)
-    pc = parse_shape("value", "prompt_completion")
-    io = parse_shape("value", "input_output")
-    ua = parse_shape("value", "user_assistant")
-    ms = parse_shape("value", "messages")
+        where = F.concat(F.lit(" in a JSON line of "), F.col("file_name") if "file_name" in keep else F.lit("the input"))
+        staged = staged.withColumn("shape", F.when(F.col("reason").isin("invalid_json", "bad_message"), F.raise_error(
+            F.concat("reason", where))).otherwise(F.col("shape")))
     sys_msgs = system_messages(system_prompt, lines.sparkSession)
 
     def pair(user: Column, assistant: Column) -> Column:
@@ -165,7 +167,7 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
         F.when(
             F.col("shape") == "messages",
             F.filter(
-                F.transform(F.coalesce(ms["messages"], empty_messages()),
+                F.transform(F.coalesce("first", empty_messages()),
                             lambda m: message(clean_role(m["role"]), normalize_text(m["content"]))),
                 lambda m: m["role"].isin("user", "assistant") & (m["content"] != F.lit("")),
             ),
@@ -186,23 +188,25 @@ def jsonl_examples(lines: DataFrame, *, system_prompt: str, k: int, source: Colu
             F.array(F.element_at(r, i)).alias("completion"),
         )
 
+    # two texts of a pair, whichever names they have: one expression normalises them
+    user = F.when(F.col("shape") == "input_output", F.col("input")).otherwise(F.col("user"))
+    assistant = F.when(F.col("shape") == "input_output", F.col("output")).otherwise(F.col("assistant"))
     candidates = (
         F.when(F.col("shape") == "prompt_completion", F.array(F.struct(
-            clean_messages(pc["prompt"]).alias("prompt"),
-            clean_messages(pc["completion"], ("assistant",)).alias("completion"))))
-        .when(F.col("shape") == "input_output", F.array(pair(io["input"], io["output"])))
-        .when(F.col("shape") == "user_assistant", F.array(pair(ua["user"], ua["assistant"])))
+            clean_messages(F.col("first")).alias("prompt"),
+            clean_messages(F.col("second"), ("assistant",)).alias("completion"))))
+        .when(F.col("shape").isin("input_output", "user_assistant"), F.array(pair(user, assistant)))
         .when(F.col("shape") == "messages", F.transform(replies, conv_candidate))
     )
     exploded = staged.select(
-        *[c for c in lines.columns if c != "value"], "shape", "source",
+        *keep, "shape", "source",
         F.posexplode(F.coalesce(candidates, F.array().cast(
             T.ArrayType(T.StructType([T.StructField("prompt", EXAMPLE["prompt"].dataType),
                                       T.StructField("completion", EXAMPLE["completion"].dataType)]))))
         ).alias("sub", "c"),
     )
     return exploded.select(
-        *[c for c in lines.columns if c != "value"], "shape", "sub",
+        *keep, "shape", "sub",
         F.col("c.prompt").alias("prompt"), F.col("c.completion").alias("completion"), "source",
     ).where(example_is_valid("prompt", "completion"))
 
@@ -245,8 +249,7 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
         report["rejects"] = report["rejects"].unionByName(spark.createDataFrame(skipped, REJECTS))
     if csv_paths:
         raw = read_pair_csv(spark, csv_paths, check_header=False, on_malformed=mode, multi_line=multi_line)
-        report["rejects"] = report["rejects"].unionByName(malformed_pair_rows(spark, csv_paths, multi_line).select(
-            "file_name", F.lit("field_count").alias("reason"), "record"))
+        report["rejects"] = report["rejects"].unionByName(malformed_rows(raw))
         ex = pair_examples(raw, "input", "output", system_prompt=system_prompt,
                            source=F.concat(F.lit("custom:"), F.col("file_name")),
                            keep=("file_name", "block", "pos"))
@@ -254,10 +257,12 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
     jsonl_paths = files.list_files(spark, folder, "*.jsonl")
     report["jsonl_used"] = [posixpath.basename(p) for p in jsonl_paths]
     if jsonl_paths:
-        lines = read_jsonl(spark, jsonl_paths)
-        report["rejects"] = report["rejects"].unionByName(rejected_lines(lines))
-        ex = jsonl_examples(lines, system_prompt=system_prompt, k=k,
-                            source=F.concat(F.lit("custom:"), F.col("file_name")), mode=mode)
+        # parsed once: the examples and the rejects both read the table
+        lines = materialize(parsed_lines(read_jsonl(spark, jsonl_paths)), "parsed-lines")
+        report["rejects"] = report["rejects"].unionByName(lines.where("reason is not null").select(
+            "file_name", "reason", F.col("value").alias("record")))
+        ex = jsonl_examples(lines.select("value", "file_name", "block", "pos"), system_prompt=system_prompt, k=k,
+                            source=F.concat(F.lit("custom:"), F.col("file_name")), mode=mode, parsed=lines)
         frames.append(ordered(ex, jsonl_rank, "file_name", pos="pos", sub="sub", block="block")
                       .select(*EXAMPLE.names, ORDER))
     if not frames:
@@ -269,6 +274,6 @@ def load_custom_dir(spark: SparkSession, folder: str, *, system_prompt: str, k:
 
 
 __all__ = [
-    "SchemaError", "header_ok", "jsonl_examples", "load_custom_dir", "malformed_pair_rows", "read_jsonl",
-    "read_pair_csv", "rejected_lines",
+    "SchemaError", "header_ok", "jsonl_examples", "load_custom_dir", "malformed_pair_rows", "malformed_rows", "pair_csv_rows",
+    "read_jsonl", "read_pair_csv", "rejected_lines",
 ]

@@ -1,15 +1,15 @@
 """File-system helpers on the cluster's Hadoop FileSystem (works for local, HDFS, object stores).
 
-Only file *names* and the bounded first lines of files reach the driver; contents are read by Spark.
+Only file *names* and the first few KB of files reach the driver; contents are read by Spark.
 """
 
 from __future__ import annotations
 
 import fnmatch
 import posixpath
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -52,21 +52,38 @@ def delete(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
-HEADER_CHARS = 4096  # as much of a first line as reaches the driver
+HEADER_BYTES = 4096  # as much of a file as is read for its header
+OPEN_FILES = 32
+
+
+def sizes(spark: SparkSession, paths: list[str]) -> list[int]:
+    """Bytes of each file."""
+    found = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        found.append(int(fs.getFileStatus(p).getLen()))
+    return found
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(HEADER_BYTES))
+    finally:
+        stream.close()
 
 
 def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """First line of each file by base name (empty for an empty file), UTF-8, without a leading
-    byte-order mark or closing CR, cut to ``HEADER_CHARS``. One Spark job for all files: in each
-    file's first split the line read first wins, by partial aggregation."""
+    byte-order mark or closing CR, cut to ``HEADER_BYTES``. Only so many bytes of each file are read, ``OPEN_FILES`` files
+    at a time, whatever the files' sizes."""
     if not paths:
         return {}
-    lines = spark.read.option("encoding", "UTF-8").option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"),
-        F.substring("value", 1, HEADER_CHARS).alias("line"), F.monotonically_increasing_id().alias("pos")).where("block = 0")
-    found = dict(lines.groupBy("name").agg(F.min_by("line", "pos")).collect())
-    tidy = lambda x: x[1:] if x.startswith("\ufeff") else x
-    return {(n := posixpath.basename(p)): tidy(found.get(n) or "").rstrip("\r") for p in paths}
+    with ThreadPoolExecutor(min(OPEN_FILES, len(paths))) as pool:
+        heads = list(pool.map(lambda p: _head(spark, p), paths))
+    line = lambda head: head.split(b"\n", 1)[0].decode("utf-8", "replace").removeprefix("\ufeff").rstrip("\r")
+    return {posixpath.basename(p): line(head) for p, head in zip(paths, heads)}
 
 
 def rename(spark: SparkSession, src: str, dst: str) -> None:
