@@ -113,13 +113,26 @@ def render_prompts(df: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
     )
 
 
-def apply_replies(requests: DataFrame, replies: DataFrame, cfg: ChatConfig = ChatConfig()) -> DataFrame:
+def one_reply(replies: DataFrame, order: Column | str | None = None) -> DataFrame:
+    """(request_id, response): one reply per request. With ``order`` the first in that order counts; without,
+    a request with several replies fails the job, as which of them counts would be chance."""
+    answered = replies.where(F.col("request_id").isNotNull()).groupBy("request_id")
+    if order is not None:
+        return answered.agg(F.min_by("response", _c(order)).alias("response"))
+    several = F.raise_error(F.concat(F.lit("several replies to request "), F.col("request_id").cast("string")))
+    counted = answered.agg(F.count(F.lit(1)).alias("_n"), F.first("response").alias("_reply"))
+    return counted.select("request_id", F.when(F.col("_n") > 1, several.cast("string")).otherwise(F.col("_reply")).alias("response"))
+
+
+def apply_replies(requests: DataFrame, replies: DataFrame, cfg: ChatConfig = ChatConfig(),
+                  order: Column | str | None = None) -> DataFrame:
     """Join replies to requests and compute the history the client keeps next.
 
     ``ok``: history = clip(history + [user, reply], turns) with the reply normalised;
     ``failed`` (no reply) and ``rejected`` (an updated message longer than 4000 characters, which
-    the response model refuses) keep the old history unchanged."""
-    joined = requests.join(replies.select("request_id", "response"), on="request_id", how="left")
+    the response model refuses) keep the old history unchanged. A request has one reply (``one_reply``); its
+    grouping has the join's partitioning, so it costs no shuffle of its own."""
+    joined = requests.join(one_reply(replies, order), on="request_id", how="left")
     staged = joined.withColumn("response_clean", normalize_text(F.col("response"))).withColumn(
         "_updated",
         clip_history(

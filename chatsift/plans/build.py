@@ -17,7 +17,7 @@ import posixpath
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chatsift.config import NO_CAP, BuildConfig
@@ -26,8 +26,8 @@ from chatsift.operators.context import array_examples, conversation_examples
 from chatsift.operators.dedup import ORDER, keep_first, numbered, ordered
 from chatsift.operators.sampling import exact_split, order_key, sample_exact, sample_exact_groups
 from chatsift.session import ensure_checkpoint_dir, materialize, release_scratch
-from chatsift.sinks.jsonl import write_jsonl
-from chatsift.sinks.report import counts_by_source, report_frame, write_report
+from chatsift.sinks.jsonl import write_splits
+from chatsift.sinks.report import counts_by_source, report_frame, source_table, write_report
 from chatsift.sources import files
 from chatsift.sources.custom import REJECTS, load_custom_dir, malformed_rows, read_pair_csv
 from chatsift.sources.tables import instruction_examples, pair_examples
@@ -72,6 +72,7 @@ class BuildResult:
     files_report: dict
     rejects: DataFrame  # file_name, reason, record: lines, rows and files that gave nothing
     reject_counts: DataFrame  # file_name, reason, n
+    sources: DataFrame  # source, n_before, n_after
 
     def release(self) -> None:
         """Delete the build's intermediate tables once its frames are no longer needed."""
@@ -178,23 +179,23 @@ def build_examples(spark: SparkSession, cfg: BuildConfig, src: Sources) -> tuple
 def build_dataset(spark: SparkSession, cfg: BuildConfig, src: Sources, *, write: bool = True) -> BuildResult:
     ensure_checkpoint_dir(spark)
     union, files_report = build_examples(spark, cfg, src)
-    # both the per-source counts and the dedup read the union: write it once
+    # both the per-source counts and the dedup read the union: write it once; rows are counted as they are written
     union = materialize(numbered(union.withColumn("signature", example_signature())), "build-union")
-    counts_before = counts_by_source(union)
     deduped = materialize(keep_first(union, "signature", staged=True), "build-deduped")
     labelled, n, v = exact_split(deduped, cfg.seed, cfg.validation_ratio, "signature")
-    counts_after = counts_by_source(deduped)
+    counts_before, counts_after = counts_by_source(union), counts_by_source(deduped)
     train = labelled.where(F.col("split") == "train")
     validation = labelled.where(F.col("split") == "validation")
-    rejects = materialize(files_report["rejects"], "build-rejects")
+    seen = Observation("rejects")
+    rejects = materialize(files_report["rejects"].observe(seen, F.count(F.lit(1)).alias("n")), "build-rejects")
     reject_counts = rejects.groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n"))
-    report = report_frame(counts_before, counts_after, n - v, v, cfg.notes, reject_counts)
+    sources = materialize(source_table(counts_before, counts_after), "build-sources")
+    report = report_frame(sources, n - v, v, cfg.notes, seen.get["n"])
     if write and cfg.output_dir:
-        okey = order_key(cfg.seed, F.col("signature"))
         base = cfg.output_dir.rstrip("/")
-        write_jsonl(train, f"{base}/train.jsonl", order_key=okey, shuffle=cfg.shuffle_output)
-        write_jsonl(validation, f"{base}/validation.jsonl", order_key=okey, shuffle=cfg.shuffle_output)
+        write_splits(labelled, base, order_key(cfg.seed, F.col("signature")), n, shuffle=cfg.shuffle_output)
         write_report(report, f"{base}/metadata.json")
+        sources.write.mode("overwrite").json(f"{base}/sources.json")
         reject_counts.write.mode("overwrite").json(f"{base}/rejects.json")
     return BuildResult(labelled, train, validation, report, counts_before, counts_after, n, v, files_report,
-                       rejects, reject_counts, scratch=[p.rsplit("/", 1)[0] for f in (union, deduped, rejects) for p in f.inputFiles()[:1]])
+                       rejects, reject_counts, sources, scratch=[p.rsplit("/", 1)[0] for f in (union, deduped, rejects, sources) for p in f.inputFiles()[:1]])

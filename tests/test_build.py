@@ -118,3 +118,50 @@ def test_jsonl_line_format(spark, tmp_path):
     line = [ln for f in glob.glob(str(tmp_path / "out" / "part-*")) for ln in open(f, encoding="utf-8")][0].strip()
     assert line == ('{"prompt":[{"role":"system","content":"sys"},{"role":"user","content":"héllo there"}],'
                     '"completion":[{"role":"assistant","content":"ça va bien"}],"source":"s"}')
+
+
+def test_both_splits_are_written_at_once_in_one_global_order(spark, tmp_path, monkeypatch):
+    from chatsift.operators.sampling import order_key
+    from chatsift.sinks import jsonl
+
+    monkeypatch.setattr(jsonl, "ROWS_PER_FILE", 100)
+    rows = [([("system", "s"), ("user", f"question {i}")], [("assistant", f"é answer {i}")], "src", f"k{i}",
+             "validation" if i % 9 == 0 else "train") for i in range(1000)]
+    df = spark.createDataFrame(rows, "prompt array<struct<role:string,content:string>>, completion array<struct<role:string,content:string>>, "
+                                     "source string, key string, split string")
+    key = order_key(42, F.col("key"))
+    jsonl.write_splits(df, str(tmp_path), key, 1000, shuffle=True)
+    order = {r.c: r.k for r in df.select(F.col("completion")[0]["content"].alias("c"), key.alias("k")).collect()}
+    for name, n in (("train", 888), ("validation", 112)):
+        found = sorted(p for p in (tmp_path / f"{name}.jsonl").iterdir() if p.name.startswith("part-"))
+        assert len(found) == 10
+        lines = [json.loads(x) for p in found for x in p.read_text().splitlines()]
+        keys = [order[x["completion"][0]["content"]] for x in lines]
+        assert len(keys) == n and keys == sorted(keys) and list(lines[0]) == ["prompt", "completion", "source"]
+    assert not (tmp_path / "_splits").exists()
+    jsonl.write_splits(df.where("split = 'train'"), str(tmp_path), key, 888)  # over what is there, one split empty
+    assert not [p for p in (tmp_path / "validation.jsonl").iterdir() if p.name.startswith("part-")]
+
+
+def test_a_report_over_many_files_holds_no_array_of_them(spark):
+    from chatsift.sinks.report import report_frame, source_table
+
+    names = spark.range(100_000).select(F.format_string("custom:f%06d.jsonl", "id").alias("source"), F.lit(2).cast("long").alias("n"))
+    before = names.unionByName(spark.createDataFrame([("pairs", 5)], "source string, n long"))
+    sources = source_table(before, names.where("source < 'custom:f050000.jsonl'").withColumn("n", F.lit(1).cast("long")))
+    row = report_frame(sources, 10, 1, (), 3).first()
+    assert row.source_counts_before_dedup == {"custom:*": 200_000, "pairs": 5} and row.source_counts_after_dedup == {"custom:*": 50_000}
+    assert sources.count() == 100_001 and row.rejected_rows == 3
+
+
+def test_several_replies_to_a_request(spark):
+    from chatsift.operators.requests import apply_replies
+
+    requests = spark.createDataFrame([(1, "hello", None), (2, "there", None)],
+                                     "request_id long, message string, history array<struct<role:string,content:string>>")
+    replies = spark.createDataFrame([(1, "second", 2), (1, "first", 1), (None, "lost", 1), (2, "only", 9)],
+                                    "request_id long, response string, at int")
+    got = apply_replies(requests, replies, order="at").collect()
+    assert sorted((r.request_id, r.response, r.status) for r in got) == [(1, "first", "ok"), (2, "only", "ok")]
+    with pytest.raises(Exception, match="several replies to request 1"):
+        apply_replies(requests, replies).collect()
