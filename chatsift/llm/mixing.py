@@ -16,8 +16,8 @@ summed, and rows ranked inside (source, bucket), so a source with a third of all
 all buckets.
 
 Nulls and edges: a null source is a source of its own; rows with equal ids are ranked next to each
-other; null text is carried along; an empty table gives an empty result. Columns of the input that
-clash with the ``mix_`` columns are replaced.
+other; null text is carried along; an empty table gives an empty result. Input columns of the five output names are replaced, all
+others kept.
 """
 
 from __future__ import annotations
@@ -64,8 +64,16 @@ def period_schedule(share: dict[str, int], period: int, slots: int | None = None
             heapq.heappush(waiting, ((i + 1) * period // share[s], s, i + 1))
 
 
-def source_sizes(rows: DataFrame) -> dict[str, int]:
-    got = rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+def _unused(columns: list[str]) -> str:
+    """A prefix that no column has, for the columns that the work needs in between."""
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def source_sizes(rows: DataFrame, source_col: str) -> dict[str, int]:
+    got = rows.groupBy(source_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(got) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     return {r[0]: r[1] for r in got}
@@ -77,10 +85,10 @@ def default_weights(sizes: dict[str, int]) -> dict[str, int]:
     return {s: int(math.sqrt(n) * 1000) for s, n in sizes.items()}
 
 
-def _schedule(spark: SparkSession, share: dict[str, int], period: int, blocks: dict[str, int]) -> DataFrame:
-    """(mix_source, mix_turn, mix_at): the slot of each block of the first period that the data has."""
+def _schedule(spark: SparkSession, share: dict[str, int], period: int, blocks: dict[str, int], own: str) -> DataFrame:
+    """(source, turn, at): the slot of each block of the first period that the data has."""
     last = max((-(-n * period // share[s]) for s, n in blocks.items()), default=0)
-    schema = pa.schema([("mix_source", pa.string()), ("mix_turn", pa.int64()), ("mix_at", pa.int64())])
+    schema = pa.schema([(own + "source", pa.string()), (own + "turn", pa.int64()), (own + "at", pa.int64())])
     frame = lambda held: spark.createDataFrame(
         pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held) if held else ([],) * 3, schema)], schema=schema))
     held, done = [], None
@@ -101,13 +109,14 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source_col: str
     an error. A ``period`` rounds the weights to shares of so many slots, at least 10 per source."""
     spark = docs.sparkSession
     names = ["mix_block", "mix_rank", "mix_slot", "mix_release", "mix_deadline"]
-    docs = docs.drop(*names, "mix_source", "mix_key", "mix_bucket")
+    docs = docs.drop(*names)
+    own = _unused(docs.columns)
     label = F.when(F.col(source_col).isNull(), F.lit("")).otherwise(
         F.concat(F.lit("="), F.col(source_col).cast("string")))  # null apart from the empty name
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumns({"mix_source": label, "mix_key": key}).withColumn(
-        "mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
-    found = source_sizes(rows)
+    rows = docs.withColumns({own + "source": label, own + "key": key}).withColumn(
+        own + "bucket", F.substring(own + "key", 1, BUCKET_DIGITS))
+    found = source_sizes(rows, own + "source")
     if weights is None:
         given = default_weights(found)
     else:
@@ -124,20 +133,20 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, source_col: str
     else:
         period = max(period, 10 * len(given))
         share = shares(given, period) if given else {}
-    plan = _schedule(spark, share, period, {s: -(-n // block_rows) for s, n in found.items()})
-    sizes = rows.groupBy("mix_source", "mix_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("mix_source", "mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
-    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key")
-    at = F.col("mix_start") + F.col("mix_nth") - 1
-    numbered = rows.withColumn("mix_nth", F.row_number().over(inside)).join(
-        starts, ["mix_source", "mix_bucket"]).withColumns({
+    plan = _schedule(spark, share, period, {s: -(-n // block_rows) for s, n in found.items()}, own)
+    sizes = rows.groupBy(own + "source", own + "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(own + "source").orderBy(own + "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(own + "source", own + "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(own + "start"))
+    inside = Window.partitionBy(own + "source", own + "bucket").orderBy(own + "key")
+    at = F.col(own + "start") + F.col(own + "nth") - 1
+    numbered = rows.withColumn(own + "nth", F.row_number().over(inside)).join(
+        starts, [own + "source", own + "bucket"]).withColumns({
             "mix_block": F.floor(at / block_rows).cast("long"), "mix_rank": (at % block_rows).cast("long")})
-    given_shares = F.broadcast(spark.createDataFrame(list(share.items()), "mix_source string, mix_share long"))
-    turned = numbered.join(given_shares, "mix_source").withColumn("mix_turn", F.col("mix_block") % F.col("mix_share"))
-    placed = turned.join(plan, ["mix_source", "mix_turn"])
+    given_shares = F.broadcast(spark.createDataFrame(list(share.items()), f"{own}source string, {own}share long"))
+    turned = numbered.join(given_shares, own + "source").withColumn(own + "turn", F.col("mix_block") % F.col(own + "share"))
+    placed = turned.join(plan, [own + "source", own + "turn"])
     return placed.select(
         *[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_rank",
-        (F.expr("mix_block div mix_share") * period + F.col("mix_at")).cast("long").alias("mix_slot"),
-        F.expr(f"(mix_block * {period}) div mix_share").cast("long").alias("mix_release"),
-        F.expr(f"((mix_block + 1) * {period} + mix_share - 1) div mix_share").cast("long").alias("mix_deadline"))
+        (F.expr(f"mix_block div {own}share") * period + F.col(own + "at")).cast("long").alias("mix_slot"),
+        F.expr(f"(mix_block * {period}) div {own}share").cast("long").alias("mix_release"),
+        F.expr(f"((mix_block + 1) * {period} + {own}share - 1) div {own}share").cast("long").alias("mix_deadline"))

@@ -74,27 +74,25 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
 WITH RECURSIVE k AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS s,
     md5('42|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
-w AS (SELECT s, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS w FROM k GROUP BY s),
-t AS (SELECT s, w, sum(w) OVER () AS total, count(*) OVER () AS n, greatest(1000, 10 * count(*) OVER ()) AS p FROM w),
-b AS (SELECT *, 1 + w * (p - n) // total AS low, (w * (p - n)) % total AS rest FROM t),
-sh AS (SELECT s, CAST(p AS BIGINT) AS p, CAST(low + CASE WHEN row_number() OVER (ORDER BY rest DESC, s)
-  <= p - sum(low) OVER () THEN 1 ELSE 0 END AS BIGINT) AS a FROM b),
-al AS (SELECT list(a ORDER BY s) AS a, list(s ORDER BY s) AS names, max(p) AS p FROM sh),
+r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY key) - 1 AS nth FROM k),
+g AS (SELECT s, count(*) AS n, CAST(floor(sqrt(count(*)) * 1000) AS BIGINT) AS raw FROM k GROUP BY s),
+d AS (SELECT list_reduce(list(raw), lambda x, y: gcd(x, y)) AS common FROM g),
+w AS (SELECT s, n, raw // common AS a, sum(raw // common) OVER () AS total FROM g, d),
+al AS (SELECT list(a ORDER BY s) AS a, list(s ORDER BY s) AS names, CAST(max(total) AS BIGINT) AS p,
+  max(CAST(((n + 63) // 64 * total + a - 1) // a AS BIGINT)) AS slots FROM w),
 edf(t, c, pick) AS (
   SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT) FOR x IN a], CAST(NULL AS BIGINT) FROM al
   UNION ALL
   SELECT t + 1, [CASE WHEN i = best THEN c[i] + 1 ELSE c[i] END FOR i IN generate_series(1, len(c))], best FROM (
     SELECT t, c, list_min([CASE WHEN (c[i] * p) // a[i] <= t THEN ((c[i] + 1) * p + a[i] - 1) // a[i] * 1000000 + i
       ELSE 9000000000000000000 END FOR i IN generate_series(1, len(c))]) % 1000000 AS best
-    FROM edf, al WHERE t < p)),
-slots AS (SELECT names[pick] AS s, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+    FROM edf, al WHERE t < slots)),
+placed AS (SELECT names[pick] AS s, t - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block
   FROM edf, al WHERE pick IS NOT NULL),
-r AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY key) - 1 AS nth FROM k),
-bl AS (SELECT doc_id, source, r.s, nth // 64 AS block, nth % 64 AS rank, a, p FROM r JOIN sh ON r.s = sh.s)
-SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(rank AS BIGINT) AS rank,
-  CAST((block // a) * p + place AS BIGINT) AS slot, CAST((block * p) // a AS BIGINT) AS release,
-  CAST(((block + 1) * p + a - 1) // a AS BIGINT) AS deadline
-FROM bl JOIN slots ON bl.s = slots.s AND bl.block % bl.a = slots.turn""",
+bl AS (SELECT doc_id, source, r.s, nth // 64 AS block, nth % 64 AS rank, a, total FROM r JOIN w ON r.s = w.s)
+SELECT doc_id, source, CAST(bl.block AS BIGINT) AS block, CAST(rank AS BIGINT) AS rank, CAST(slot AS BIGINT) AS slot,
+  CAST((bl.block * total) // a AS BIGINT) AS release, CAST(((bl.block + 1) * total + a - 1) // a AS BIGINT) AS deadline
+FROM bl JOIN placed ON bl.s = placed.s AND bl.block = placed.block""",
     "op6_warc": _warc(),
     "op11_hard_negatives": f"""
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_QUANTISED} AS e

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from chatsift.llm import mixing
 
@@ -67,3 +68,29 @@ def test_unequal_weights_deviate_by_less_than_one_block(spark, monkeypatch):
     for r in got:
         w = weights[r.source]
         assert r.mix_release == r.mix_block * total // w and r.mix_deadline == -(-(r.mix_block + 1) * total // w)
+
+
+def test_unequal_sources_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+    from oracle_harness import compare
+
+    from chatsift.llm.oracles import ORACLES
+
+    rows = [(i, s, "x") for s, (n, base) in {"a": (3000, 0), "b": (300, 10_000), "c": (40, 20_000), None: (5, 30_000)}.items()
+            for i in range(base, base + n)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "source", "text"]))
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).select(
+        "doc_id", "source", *[F.col(f"mix_{c}").alias(c) for c in ("block", "rank", "slot", "release", "deadline")])
+    res = compare(mixed, con, ORACLES["op2_mixing"])
+    assert res["rows"] == (3345, 3345) and res["hash_match"], res["first_diff"]
+
+
+def test_input_columns_of_any_name_are_kept(spark):
+    cols = ["mix_at", "mix_share", "mix_nth", "mix_bucket", "mix_source", "mix_key", "mix_turn", "mix_start", "_mix_at", "mix_block"]
+    rows = [(i, "s", *[f"{c}{i}" for c in cols]) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"{c} string" for c in cols))
+    got = mixing.mix(df).collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in cols[:-1])
+    assert {r.mix_block for r in got} == {0} and sorted(r.mix_rank for r in got) == list(range(9))
