@@ -1,16 +1,24 @@
-"""Embedding near-duplicates by buckets of random signs.
-
-In each pass every vector gets ``bits`` random hyperplane signs, and all vectors of equal signs are
-compared with each other, whatever their number. Verified pairs (cosine at least the threshold, in
-double precision) of all passes are united. Two vectors at the threshold angle agree in a sign with
-probability ``1 - angle / pi``, whatever the other vectors are, so ``passes_at`` gives the passes that
-bring such a pair together with probability ``RECALL`` also inside tight groups. ``plan`` weighs
-fewer signs (larger buckets) against fewer passes by the bucket sizes of hashed vectors.
+"""Embedding near-duplicates by sorted projection passes.
+
+In each pass every vector gets a code, the signs of ``BITS`` random projections concatenated, and the vectors are
+ordered lexicographically by their codes (ties by a hash of the pass). A vector is compared with its
+neighbours in that order: the order is cut into stretches of ``STRETCH`` vectors, and each stretch is compared with itself
+and the next, so every vector meets at least its ``STRETCH`` neighbours on either side. Verified pairs (cosine at
+least the threshold, in double precision) of all passes are united.
+
+A bounded window alone would lose pairs wherever more vectors lie close together than it holds. So
+each pass also finds the runs of the order whose codes agree in their first ``bits`` signs and that are longer than a
+stretch, the dense runs that saturate the windows, and compares those whole. Any two vectors that agree in
+``bits`` signs of a pass are thus compared. Two vectors at the threshold angle agree in a sign with
+probability ``1 - angle / pi``, whatever the other vectors are, so ``passes_at`` gives the passes that bring such a
+pair together with probability ``RECALL`` also inside tight groups; the windows add to that. ``plan`` weighs
+fewer signs (longer runs) against fewer passes by the runs of hashed vectors. Bits and passes decide which
+pairs are met, and with it the recall, never whether a pair that was met is linked.
 
 Equal vectors are one representative with a multiplicity, so any number of copies costs one row.
-Each representative carries its signs in every pass: a pair is counted in the first pass that sees
-it, which needs no table of pairs. A bucket of more than ``GROUP * STRETCH`` vectors is dealt into
-parts, and each two parts are a task's tile of their own, so no task grows with a bucket; the work
+Each representative carries its code and its stretch in every pass: a pair is counted where it is met
+first, which needs no table of pairs. A run of more than ``GROUP * STRETCH`` vectors is dealt into
+parts, and each two parts are a task's tile of their own, so no task grows with a run; the work
 grows with the square of a tight group, as its pairs do. Links between representatives leave a task
 as stars of linked vectors, and connected components are computed from those.
 
@@ -38,7 +46,7 @@ BITS = 30
 STRETCH = 512
 GROUP = 8
 SEED = 42
-PLAN_ROWS = 1 << 16  # vectors that the choice of bits looks at; results do not depend on them
+PLAN_ROWS = 1 << 16  # vectors that the choice of bits looks at
 PASS_PAIRS = 1000  # comparisons that cost as much as taking one vector through a pass
 BROADCAST_BUCKETS = 1_000_000
 
@@ -116,59 +124,100 @@ def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 TILE = ["dim", "pass", "code", "i", "j"]
 
 
-def _compare(threshold: float):
-    """Per tile of a bucket: (rep, links, root): newly found links counted with multiplicities, and
-    the star of each group of linked representatives."""
+class _Links:
+    """Links found in a task's table: counts with multiplicities, and a star per group of linked vectors."""
+
+    def __init__(self, t: pa.Table, bits: int, threshold: float):
+        self.rep, self.mult = t.column("rep").to_numpy(), t.column("mult").to_numpy()
+        self.vecs, self.codes, self.blocks = (t.column(c).combine_chunks() for c in ("vec", "codes", "blocks"))
+        self.shift, self.threshold = BITS - bits, threshold
+        self.count = np.zeros(len(self.rep), dtype=np.int64)
+        self.first, self.second = [], []
+
+    def compare(self, rows: np.ndarray, own: int, start: int, number: int, windows: bool) -> None:
+        """Compare ``rows[:own]`` with ``rows[start:]`` (with those behind them where ``start`` is 0), met in pass ``number``
+        by its windows or by a run."""
+        m = _matrix(self.vecs.take(pa.array(rows)))
+        runs = _matrix_of(self.codes.take(pa.array(rows))) >> self.shift
+        blocks = _matrix_of(self.blocks.take(pa.array(rows)))
+        unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+        step = max(1, (1 << 20) // max(1, len(rows) - start))
+        for at in range(0, own, step):
+            cos = unit[at : min(own, at + step)] @ unit[start:].T
+            i, j = np.nonzero(cos >= self.threshold - 1e-9)
+            near = cos[i, j]
+            i, j = i + at, j + start
+            if not start:
+                i, j, near = i[i < j], j[i < j], near[i < j]
+            for k in np.flatnonzero(np.abs(near - self.threshold) <= 1e-9):  # at the threshold: without normalising first
+                a, c = m[i[k]], m[j[k]]
+                near[k] = (a @ c) / math.sqrt((a @ a) * (c @ c))
+            i, j = i[near >= self.threshold], j[near >= self.threshold]
+            if not len(i):
+                continue
+            new = np.ones(len(i), dtype=bool)
+            for p in range(number + (not windows)):
+                new &= np.abs(blocks[i, p] - blocks[j, p]) > 1
+                if p < number:
+                    new &= runs[i, p] != runs[j, p]
+            np.add.at(self.count, rows[i[new]], self.mult[rows[j[new]]])
+            np.add.at(self.count, rows[j[new]], self.mult[rows[i[new]]])
+            root = local_roots(len(rows), i, j)
+            hung = np.flatnonzero(root != np.arange(len(rows)))
+            self.first.append(rows[hung])
+            self.second.append(rows[root[hung]])
+
+    def batch(self) -> pa.RecordBatch | None:
+        """(rep, links, root): newly counted links, and the star of each group."""
+        if not self.first:
+            return None
+        names, at = np.unique(self.rep, return_inverse=True)
+        root = local_roots(len(names), at[np.concatenate(self.first)], at[np.concatenate(self.second)])
+        total = np.zeros(len(names), dtype=np.int64)
+        np.add.at(total, at, self.count)
+        out = np.flatnonzero((root != np.arange(len(names))) | (total > 0))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[out]), pa.array(total[out]), pa.array(names[root[out]])], names=["rep", "links", "root"])
+
+
+def _compare_windows(bits: int, threshold: float):
+    """Per stretch: its vectors with each other and with the next stretch of the same pass."""
+
+    def run(batches):
+        for t in key_runs(batches, ["stretch"], 1):
+            stretch, block, number, dim = (t.column(c).to_numpy().astype(np.int64) for c in ("stretch", "block", "pass", "dim"))
+            links = _Links(t, bits, threshold)
+            for s in np.unique(stretch):
+                for p, d in {(int(p), int(d)) for p, d in zip(number[stretch == s], dim[stretch == s])}:
+                    rows = np.flatnonzero((stretch == s) & (number == p) & (dim == d))
+                    own, after = rows[block[rows] == s], rows[block[rows] != s]
+                    if len(own) > 1:
+                        links.compare(own, len(own), 0, p, True)
+                    if len(own) and len(after):
+                        links.compare(np.concatenate([own, after]), len(own), len(own), p, True)
+            out = links.batch()
+            if out is not None:
+                yield out
+
+    return run
+
+
+def _compare_runs(bits: int, threshold: float):
+    """Per tile of a run: one part with itself, or two parts."""
 
     def run(batches):
         for t in key_runs(batches, TILE, 1):
             keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in (*TILE, "part")])
-            rep, mult = t.column("rep").to_numpy(), t.column("mult").to_numpy()
-            vecs, codes = t.column("vec").combine_chunks(), t.column("codes").combine_chunks()
-            links, first, second = np.zeros(len(rep), dtype=np.int64), [], []
-            # rows come sorted by tile and part: a tile is one part with itself, or two parts
-            cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(keys[:-1]) != 0, axis=0)) + 1, [len(rep)]))
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo < 2:
-                    continue
-                m, seen = _matrix(vecs.slice(lo, hi - lo)), _matrix_of(codes.slice(lo, hi - lo))
-                unit = m / np.sqrt((m * m).sum(axis=1))[:, None]
+            links = _Links(t, bits, threshold)
+            cuts = np.concatenate(([0], np.flatnonzero(np.any(np.diff(keys[:-1]) != 0, axis=0)) + 1, [keys.shape[1]]))
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
                 _, number, _, one, other = keys[:-1, lo]
                 own = hi - lo if one == other else int(np.searchsorted(keys[-1, lo:hi], other))
-                start = 0 if one == other else own
-                step = max(1, (1 << 20) // max(1, hi - lo - start))
-                for at in range(0, own, step):
-                    cos = unit[at : min(own, at + step)] @ unit[start:].T
-                    i, j = np.nonzero(cos >= threshold - 1e-9)
-                    near = cos[i, j]
-                    i, j = i + at, j + start
-                    if one == other:
-                        i, j, near = i[i < j], j[i < j], near[i < j]
-                    for k in np.flatnonzero(np.abs(near - threshold) <= 1e-9):  # at the threshold: without normalising first
-                        a, c = m[i[k]], m[j[k]]
-                        near[k] = (a @ c) / math.sqrt((a @ a) * (c @ c))
-                    i, j = i[near >= threshold], j[near >= threshold]
-                    if not len(i):
-                        continue
-                    new = np.ones(len(i), dtype=bool)
-                    for p in range(number):
-                        new &= seen[i, p] != seen[j, p]
-                    size = hi - lo
-                    links[lo:hi] += (np.bincount(i[new], mult[lo + j[new]], size)
-                                     + np.bincount(j[new], mult[lo + i[new]], size)).astype(np.int64)
-                    root = local_roots(size, i, j)
-                    hung = np.flatnonzero(root != np.arange(size))
-                    first.append(lo + hung)
-                    second.append(lo + root[hung])
-            if not first:
-                continue
-            names, at = np.unique(rep, return_inverse=True)
-            root = local_roots(len(names), at[np.concatenate(first)], at[np.concatenate(second)])
-            total = np.zeros(len(names), dtype=np.int64)
-            np.add.at(total, at, links)
-            out = np.flatnonzero((root != np.arange(len(names))) | (total > 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[out]), pa.array(total[out]), pa.array(names[root[out]])], names=["rep", "links", "root"])
+                if hi - lo > 1 and own:
+                    links.compare(np.arange(lo, hi), own, 0 if one == other else own, int(number), False)
+            out = links.batch()
+            if out is not None:
+                yield out
 
     return run
 
@@ -193,20 +242,33 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         drawn = reps.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // PLAN_ROWS))) == 0)
         bits, n_passes = plan(n, np.array([r[0] for r in coded(drawn, 1, BITS).select(
             F.col("codes")[0]).collect()], dtype=np.int64), threshold)
-    placed = stage(coded(reps, n_passes, bits), "signs")
+    signs = stage(coded(reps, n_passes, BITS), "signs")
+    # the order of each pass; only codes are sorted
+    codes = signs.select("rep", "dim", F.posexplode("codes").alias("pass", "code"))
+    order = ranked(codes.withColumn("tie", F.xxhash64("pass", "rep")), ["dim", "pass", "code", "tie"], "pass-order")
+    blocks = order.select("rep", "pass", F.floor(F.col("rank") / STRETCH).cast("long").alias("block")).groupBy("rep").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda x: x["block"]).alias("blocks"))
+    placed = stage(signs.join(blocks, "rep"), "stretches")
+    carried = ["rep", "mult", "vec", "codes", "blocks"]
+    near = placed.select("*", F.posexplode("blocks").alias("pass", "block")).withColumn(
+        "stretch", F.explode(F.array(F.col("block"), F.col("block") - 1)))
+    met = near.select("stretch", "block", "pass", "dim", *carried).repartition("stretch").sortWithinPartitions(
+        "stretch").mapInArrow(_compare_windows(bits, threshold), "rep long, links long, root long")
+    # the runs that are longer than a stretch
     bucket = ["dim", "pass", "code"]
-    spread = placed.select("*", F.posexplode("codes").alias("pass", "code"))
-    large = stage(spread.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile), "large-buckets")
+    spread = placed.select("*", F.posexplode("codes").alias("pass", "whole")).withColumn(
+        "code", F.shiftright("whole", BITS - bits)).drop("whole")
+    large = stage(spread.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > STRETCH), "dense-runs")
     small = large.count() <= BROADCAST_BUCKETS
-    parts = F.coalesce(F.ceil(F.col("n") / tile), F.lit(1)).cast("int")
-    dealt = spread.join(F.broadcast(large) if small else large, bucket, "left").withColumn("parts", parts).withColumn(
+    dealt = spread.join(F.broadcast(large) if small else large, bucket).withColumn(
+        "parts", F.ceil(F.col("n") / tile).cast("int")).withColumn(
         "part", F.pmod(F.xxhash64("vec"), F.col("parts")).cast("int"))
     tiles = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
         F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))
-    found = stage(
-        dealt.withColumn("t", F.explode(tiles)).select(
-            *bucket, "t.i", "t.j", "part", "rep", "mult", "vec", "codes").repartition(*TILE).sortWithinPartitions(
-            *TILE, "part", "rep").mapInArrow(_compare(threshold), "rep long, links long, root long"), "links")
+    dense = dealt.withColumn("t", F.explode(tiles)).select(
+        *bucket, "t.i", "t.j", "part", *carried).repartition(*TILE).sortWithinPartitions(
+        *TILE, "part", "rep").mapInArrow(_compare_runs(bits, threshold), "rep long, links long, root long")
+    found = stage(met.unionByName(dense), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found, "rep", "root").withColumnRenamed("node", "rep")
     named = reps.select("vec", "rep", "mult").join(sums, "rep", "left").join(groups, "rep", "left").select(

@@ -48,22 +48,37 @@ def test_links_equal_brute_force_where_the_window_holds_all(spark):
 
 def test_narrow_windows_reach_the_recall(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "STRETCH", 16)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 2)
     rows = vectors()
     pairs = brute(rows)
     got = run(spark, rows, n_passes=embedding_dedup.passes_for(460, stretch=16))
     assert 0.9 * 2 * len(pairs) <= sum(r.n_links for r in got) <= 2 * len(pairs)
 
 
-def test_recall_on_the_given_table(spark):
+def test_recall_on_the_given_vectors_and_noisy_copies_of_them(spark):
     from conftest import SF01
 
     df = spark.read.parquet(f"{SF01}/embeddings.parquet")
-    rows = [tuple(r) for r in df.collect()]
+    rng = np.random.default_rng(12)
+    rows = [(r.vec_id, list(r.embedding), r.label, "x") for r in df.collect()]
+    for k in range(300):  # a third of them copies of one vector
+        v = np.array(rows[0 if k % 3 == 0 else k][1])
+        rows.append((10_000 + k, (v + rng.normal(size=64) * np.sqrt((v @ v) / 64) * rng.choice([0.15, 0.22])).astype(np.float32).tolist(), 0, "x"))
     pairs = brute(rows)
-    got = embedding_dedup.near_duplicates(df).collect()
+    assert len(pairs) > 1000
+    got = run(spark, rows)
     assert 0.9 * 2 * len(pairs) <= sum(r.n_links for r in got) <= 2 * len(pairs)
 
 
+def test_windows_alone_find_pairs_whose_codes_differ(spark, monkeypatch):
+    """Neighbours in the order need not agree in the signs of a run."""
+    monkeypatch.setattr(embedding_dedup, "plan", lambda n, codes, threshold: (embedding_dedup.BITS, 3))
+    rows = vectors()
+    pairs = brute(rows)
+    got = run(spark, rows)  # all vectors fit into one window
+    assert sum(r.n_links for r in got) == 2 * len(pairs)
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     v = [1.0, 0.5]
     got = run(spark, [(7, v, 1, "x"), (7, v, 1, "x"), (None, v, 1, "x"), (9, [0.0, 1.0], 1, "x")])
