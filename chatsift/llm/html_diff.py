@@ -12,7 +12,7 @@ Only line hashes travel for pairing, in blocks of ``BLOCK`` consecutive pages pl
 side, so a host with a third of all pages is cut into many tasks; the lines to delete then meet the
 pages again by a join. Pages of a host with equal lines are one page for pairing, at the first of their
 paths, and each of them loses the lines that it shares. Alignment keeps one bit vector per line,
-so pages of thousands of lines are aligned whole.
+so pages of thousands of lines are aligned whole, and longer ones by halves in bounded memory.
 
 Nulls and edges: null and empty html have no text; pages without a readable address pair within the
 empty host; repeated rows each get their own result; unclosed and stray tags are tolerated; an empty
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ from chatsift.llm.embedding_dedup import ranked
 from chatsift.llm.language_id import url_host
 
 BLOCK = 256
+MAX_BITS = 1 << 30  # of the vectors kept to align two pages
 COPIES = 256  # pages of equal lines that one task gives their deletions
 MANY_PAGES = 3  # different pages of a host: a shared line on so many is a template line at any place
 SHARED_PLACE = 0.5  # share of a place's lines that must be shared for it to be a template's place
@@ -160,9 +162,24 @@ def page_lines(html: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def _growth(a: list[int], b: list[int]) -> np.ndarray:
+    """Longest common subsequence with ``b`` of each prefix of ``a``, the empty one first."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | (1 << i)
+    full = (1 << len(a)) - 1
+    v = full
+    for y in b:
+        hit = v & where.get(y, 0)
+        v = ((v + hit) | (v - hit)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
     """Indices of ``a`` on a longest common subsequence with ``b``. Bit vectors over ``a``: one step
-    and one kept vector per line of ``b`` between the common head and tail."""
+    and one kept vector per line of ``b`` between the common head and tail; where those would take more
+    than ``MAX_BITS``, the lines are aligned by halves, which takes twice the steps."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -171,7 +188,12 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
         tail += 1
     mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
     shared = list(range(head))
-    if mid_a and mid_b:
+    if len(mid_a) * len(mid_b) > MAX_BITS and len(mid_b) > 1:  # by halves of b, each with the part of a that it fits best
+        half = len(mid_b) // 2
+        cut = int(np.argmax(_growth(mid_a, mid_b[:half]) + _growth(mid_a[::-1], mid_b[half:][::-1])[::-1]))
+        shared += [head + i for i in common_lines(mid_a[:cut], mid_b[:half])]
+        shared += [head + cut + i for i in common_lines(mid_a[cut:], mid_b[half:])]
+    elif mid_a and mid_b:
         where: dict[int, int] = {}
         for i, x in enumerate(mid_a):
             where[x] = where.get(x, 0) | (1 << i)
@@ -229,7 +251,7 @@ def _shared(batches):
     for t in key_runs(batches, ["block"], 1):
         block, rank = t.column("block").to_numpy(), t.column("rank").to_numpy()
         host, path, lines = (t.column(c).to_pylist() for c in ("host", "path", "lines"))
-        rows, shared, paired = [], [], []
+        rows, shared, hits, paired = [], [], [], []
         for i in range(len(rank)):
             if rank[i] // BLOCK != block[i]:
                 continue  # a neighbour of the block's first or last page
@@ -241,13 +263,16 @@ def _shared(batches):
             rows.append(i)
             paired.append(best is not None)
             shared.append(common_lines(lines[i], lines[best]) if best is not None else [])
+            hit = np.zeros(len(lines[i]), dtype=bool)
+            hit[shared[-1]] = True
+            hits.append(hit.tolist())
         if not rows:
             continue  # only the copy of a neighbour's last page
         part = t.take(pa.array(rows, pa.int64())).combine_chunks()
         cols = [part.column(c).combine_chunks() for c in ("host", "d1", "d2", "mixed", "lines", "places", "roles")]
         yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(shared, pa.list_(pa.int32())), pa.array(paired, pa.bool_())],
-            names=["host", "d1", "d2", "mixed", "lines", "places", "roles", "shared", "paired"])
+            [*cols, pa.array(shared, pa.list_(pa.int32())), pa.array(hits, pa.list_(pa.bool_())), pa.array(paired, pa.bool_())],
+            names=["host", "d1", "d2", "mixed", "lines", "places", "roles", "shared", "hits", "paired"])
 
 
 def _texts(batches):
@@ -289,11 +314,10 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         order.select("*", F.explode(blocks).alias("block")).repartition("block").sortWithinPartitions(
             "block", "rank").select("block", "rank", *same, "mixed", "path", "lines", "places", "roles").mapInArrow(
             _shared, "host string, d1 long, d2 int, mixed boolean, lines array<long>, places array<long>, roles array<tinyint>, "
-            "shared array<int>, paired boolean"), "page-differences")
+            "shared array<int>, hits array<boolean>, paired boolean"), "page-differences")
     # places of a host whose lines are mostly shared between paired pages
-    at = diffs.where("paired").select("host", "shared", F.posexplode("places").alias("i", "place"))
-    held = at.groupBy("host", "place").agg(
-        F.avg(F.array_contains("shared", F.col("i")).cast("double")).alias("part")).where(
+    at = diffs.where("paired").select("host", F.inline(F.arrays_zip("places", "hits")))
+    held = at.groupBy("host", F.col("places").alias("place")).agg(F.avg(F.col("hits").cast("double")).alias("part")).where(
         F.col("part") >= SHARED_PLACE).select("host", "place")
     unmarked = F.filter(F.arrays_zip("lines", "roles"), lambda x: (x["roles"] == 0) | F.col("mixed"))
     often = diffs.select("host", F.explode(F.array_distinct(F.transform(unmarked, lambda x: x["lines"]))).alias("line")).groupBy(

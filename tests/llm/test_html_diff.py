@@ -25,6 +25,30 @@ def test_common_lines_equal_the_textbook_length():
         assert all(any(x == y for y in left) for x in (a[i] for i in at))  # a subsequence of b
 
 
+def test_long_pages_are_aligned_by_halves_as_well(monkeypatch):
+    rng = random.Random(16)
+    for limit in (1, 20, 200):
+        monkeypatch.setattr(html_diff, "MAX_BITS", limit)
+        for _ in range(150):
+            a, b = ([rng.randrange(rng.choice([2, 6, 40])) for _ in range(rng.randrange(40))] for _ in range(2))
+            at = html_diff.common_lines(a, b)
+            assert at == sorted(set(at)) and len(at) == lcs_size(a, b)
+            left = iter(b)
+            assert all(any(x == y for y in left) for x in (a[i] for i in at))
+
+
+def test_pages_without_any_telling_markup(spark):
+    """No article element, class or role: what the pages of a host share goes, what is their own stays."""
+    rows, own = [], {}
+    for i in range(30):
+        host = i % 3
+        own[i] = [f"headline {i}", *(f"paragraph {i} {k} of its own" for k in range(4))]
+        frame = [f"menu of host {host}", "home", "about us", *own[i], f"all rights reserved {host}"]
+        rows.append((i, f"http://h{host}.example/a/{i:02d}", "".join(f"<div>{x}</div>" for x in frame), "x", 1))
+    got = run(spark, rows)
+    assert {i: t.split("\n") for i, t in got.items()} == own
+
+
 def run(spark, rows):
     return {r.page_id: r.text for r in html_diff.main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
 
