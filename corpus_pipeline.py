@@ -25,11 +25,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({KEYS[0]: F.xxhash64(*cols), KEYS[1]: F.hash(*cols[::-1])})
 
 
+def _small(table: DataFrame, name: str) -> DataFrame:
+    """``table`` written once, and broadcast where it is small."""
+    table = stage(table, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` whose keys are not in ``gone``, without the keys."""
-    gone = stage(gone.select(*KEYS).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
-    return keyed.join(F.broadcast(gone) if small else gone, [*KEYS], "left_anti").drop(*KEYS)
+    """The rows of ``keyed`` whose keys are not in ``gone``."""
+    return keyed.join(_small(gone.select(*KEYS).distinct(), "gone"), [*KEYS], "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     bounded_batches(spark)
     keyed = _keyed(docs)
     found = language_id.identify(keyed, [*KEYS], "text", F.col("lang"), F.lit(None), F.col("source"))
-    return _without(keyed, found.where(language_id.rejected()))
+    return _without(keyed, found.where(language_id.rejected())).drop(*KEYS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +50,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marked = keyed.select(F.col(KEYS[0]).alias("row"), "text", F.col("doc_id").alias("name"), *KEYS)
     found = stage(simhash.near_duplicates(marked, id_col="row", keep=("name", *KEYS)), "near-duplicates")
     first = F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", *KEYS)).alias("first")
-    groups = found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = _small(found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     other = F.lit(False)
     for k in KEYS:
         other = other | (F.col(k) != F.col(f"first.{k}"))
-    kept = keyed.join(found.join(groups, "component_id").where(other).select(*KEYS).distinct(), [*KEYS], "left_anti")
+    kept = _without(keyed, found.join(groups, "component_id").where(other))
     # rows equal in all columns have one key: one of them stays
-    equal = stage(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS), "equal-rows")
+    equal = _small(found.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS), "equal-rows")
     if equal.isEmpty():
         return kept.drop(*KEYS)
     once = kept.join(equal, [*KEYS], "left_semi").groupBy(*KEYS).agg(
@@ -64,7 +68,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without any benchmark passage."""
     keyed = _keyed(docs)
     found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), keep=KEYS)
-    return _without(keyed, found.where("n_hit > 0"))
+    return _without(keyed, found.where("n_hit > 0")).drop(*KEYS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
