@@ -6,6 +6,8 @@ two patterns. First the functions of the lines of each split are composed, in fi
 after each other: that gives the state at the start of every split, one small row each. Then each split
 forms its records from that state; a record that runs across splits leaves its pieces, which are joined
 afterwards by the split that it began in. Single-line records, nearly all, pass as whole Arrow columns.
+A file's header, the first record of its first split, is marked there: no look back at the records.
+Files too small to be split need neither the states nor a table of pieces.
 
 A quote opens a field only at the field's start; doubled quotes inside a field are quotes. Splits keep
 their line order in a task, so there is no shuffle of the lines.
@@ -28,7 +30,8 @@ STAYS = f'^(?:[^"]++|"")*+(?:",{_FIELDS}{_OPEN})?$'  # a line that begins inside
 BROADCAST_SPLITS = 1_000_000
 SPLITS = "file_name string, block long, from_out boolean, from_in boolean"
 PIECES = "file_name string, block long, pos long, kind int, value string"
-WHOLE, BEGIN, REST = 0, 1, 2  # a record, the first piece of one, a further piece
+# a record, the first piece of one, a further piece; a header, the first piece of one
+WHOLE, BEGIN, REST, HEADER, HEADER_BEGIN = range(5)
 
 
 def _runs(file_name: pa.Array, block: np.ndarray) -> list[tuple[int, int]]:
@@ -70,7 +73,7 @@ def _split_functions(batches):
 
 def _records(batches):
     """Records and pieces of records of each split, in order."""
-    key, state, held, held_pos, begun = None, 0, [], 0, False
+    key, state, held, held_pos, kinds = None, 0, [], 0, None
 
     def rows(items):
         cols = list(zip(*items))
@@ -84,33 +87,38 @@ def _records(batches):
             continue
         block, pos = batch.column("block").to_numpy(), batch.column("pos").to_numpy()
         opens, stays = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("opens", "stays"))
-        whole = np.zeros(batch.num_rows, dtype=bool)
+        whole, kind = np.zeros(batch.num_rows, dtype=bool), np.full(batch.num_rows, WHOLE, dtype=np.int32)
         out = []
         for lo, hi in _runs(batch.column("file_name"), block):
             here = (batch.column("file_name")[lo].as_py(), int(block[lo]))
             if here != key:
                 if held:
-                    out.append((*key, held_pos, BEGIN if begun else REST, "\n".join(held)))
-                key, held = here, []
+                    out.append((*key, held_pos, kinds[1], "\n".join(held)))
+                key, held, top = here, [], here[1] == 0
                 state = int(bool(batch.column("inside")[lo].as_py()))
+            else:
+                top = False
             states = _states(state, opens[lo:hi], stays[lo:hi])
             state = int(states[-1])
             whole[lo:hi] = (states[:-1] == 0) & (states[1:] == 0)
+            if top and whole[lo]:
+                kind[lo] = HEADER
             for i in np.flatnonzero(~whole[lo:hi]).tolist():
                 if not held:
-                    held_pos, begun = int(pos[lo + i]), states[i] == 0
+                    held_pos = int(pos[lo + i])  # then the kinds if the record ends here, and if it does not
+                    kinds = (REST, REST) if states[i] else (HEADER, HEADER_BEGIN) if top and i == 0 else (WHOLE, BEGIN)
                 held.append(batch.column("value")[lo + i].as_py())
                 if states[i + 1] == 0:
-                    out.append((*key, held_pos, WHOLE if begun else REST, "\n".join(held)))
+                    out.append((*key, held_pos, kinds[0], "\n".join(held)))
                     held = []
         plain = batch.select(["file_name", "block", "pos", "value"]).filter(pa.array(whole))
         yield pa.RecordBatch.from_arrays(
-            [*plain.columns[:3], pa.array(np.full(plain.num_rows, WHOLE), pa.int32()), plain.column(3)],
+            [*plain.columns[:3], pa.array(kind[whole]), plain.column(3)],
             names=["file_name", "block", "pos", "kind", "value"])
         if out:
             yield rows(out)
     if held:
-        yield rows([(*key, held_pos, BEGIN if begun else REST, "\n".join(held))])
+        yield rows([(*key, held_pos, kinds[1], "\n".join(held))])
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -152,19 +160,17 @@ def csv_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     else:
         lines = lines.join(inside.withColumn("inside", F.lit(True)), ["file_name", "block"], "left")
     pieces = lines.select("file_name", "block", "pos", "value", "opens", "stays", "inside").mapInArrow(_records, PIECES)
-    pieces = materialize(pieces, "csv-records")
-    whole = pieces.where(F.col("kind") == WHOLE).select("file_name", "block", "pos", "value")
-    if inside is not None:
+    if inside is None:  # a first piece has no second: a quote that is never closed
+        rows = pieces.where(F.col("kind").isin(WHOLE, BEGIN)).select("file_name", "block", "pos", "value")
+    else:
+        pieces = materialize(pieces, "csv-records")
+        whole = pieces.where(F.col("kind") == WHOLE).select("file_name", "block", "pos", "value")
         order = Window.partitionBy("file_name").orderBy("block", "pos")
-        begun = F.sum((F.col("kind") == BEGIN).cast("int")).over(order)
-        split = pieces.where(F.col("kind") != WHOLE).withColumn("record", begun).groupBy("file_name", "record").agg(
-            F.array_sort(F.collect_list(F.struct("block", "pos", "value"))).alias("p"))
-        whole = whole.unionByName(split.select(
+        begun = F.sum(F.col("kind").isin(BEGIN, HEADER_BEGIN).cast("int")).over(order)
+        split = pieces.where(F.col("kind").isin(BEGIN, REST, HEADER_BEGIN)).withColumn("record", begun).groupBy(
+            "file_name", "record").agg(F.array_sort(F.collect_list(F.struct("block", "pos", "value", "kind"))).alias("p"))
+        rows = whole.unionByName(split.where(F.col("p")[0]["kind"] != HEADER_BEGIN).select(
             "file_name", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["pos"].alias("pos"),
             F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value")))
-    else:  # a quote that is never closed
-        whole = whole.unionByName(pieces.where(F.col("kind") != WHOLE).select("file_name", "block", "pos", "value"))
-    first = whole.where("block = 0").groupBy("file_name").agg(F.min("pos").alias("pos"), F.lit(0).cast("long").alias("block"))
-    rows = whole.join(first, ["file_name", "block", "pos"], "left_anti")
     record = F.when(F.col("value").endswith("\r"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
     return rows.select("file_name", "block", "pos", record.alias("record")).where("record != ''")
