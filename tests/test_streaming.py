@@ -152,3 +152,62 @@ def test_micro_batches_carry_texts_that_only_look_like_commands(spark, tmp_path)
         store.apply(spark.createDataFrame(part, ss.EVENT_SCHEMA), i)
     want = expected_sessions([e for p in parts for e in p])
     assert histories(store.requests().collect()) == want and len(want[(1, 8)]) == 3
+
+
+class FakeHandle:
+    """Keyed state of one chat in dicts, counting the calls that go to the state store."""
+
+    def __init__(self):
+        self.calls, self.timers, self.maps, self.values = 0, set(), {}, {}
+
+    def getValueState(self, name, schema):
+        return FakeState(self, self.values.setdefault(name, {}))
+
+    def getMapState(self, name, key_schema, value_schema):
+        return FakeState(self, self.maps.setdefault(name, {}))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class FakeState:
+    def __init__(self, handle, rows):
+        self.handle, self.rows = handle, rows
+
+    def __getattr__(self, name):
+        rows = self.__dict__["rows"]
+        self.__dict__["handle"].calls += 1
+        return {"exists": lambda: bool(rows), "get": lambda: rows.get(()), "update": lambda v: rows.update({(): v}),
+                "clear": rows.clear, "keys": lambda: iter(list(rows)), "iterator": lambda: iter(list(rows.items())),
+                "getValue": rows.get, "updateValue": lambda k, v: rows.update({k: v}), "removeKey": rows.pop}[name]
+
+
+class Passed:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_state_calls_follow_the_chats_of_a_batch_and_not_its_events():
+    from pyspark.sql import Row
+
+    from chatsift.streaming.event_time import EventTimeSessionProcessor
+
+    processor, handle = EventTimeSessionProcessor(), FakeHandle()
+    processor.init(handle)
+    row = lambda seq, text: Row(seq=seq, chat_id=7, kind="message", text=text, reply_to=None, at=1000 * seq)
+    n, out = 3000, []
+    order = random.Random(8).sample(range(1, n + 1), n)
+    batches = [[row(i, f"m{i}") for i in order[:2500]], [row(i, f"m{i}") for i in order[2500:]] + [row(n, "again"), row(5, "anew")], []]
+    for batch, passed in zip(batches, (0, 0, 1000 * n // 2)):
+        out += list(processor.handleInputRows((7,), iter(batch), Passed(passed))) if batch else []
+    for passed in (1000 * n // 2, 1000 * n + 1):
+        for at in sorted(t for t in handle.timers if t <= passed):
+            out += list(processor.handleExpiredTimer((7,), Passed(passed), None))
+            handle.timers.discard(at)
+    assert [(r.seq, r.message) for r in out] == [(i, {5: "anew", n: "again"}.get(i, f"m{i}")) for i in range(1, n + 1)]
+    assert not handle.timers and not any(handle.maps.values())
+    assert handle.calls < 60
