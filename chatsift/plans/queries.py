@@ -574,7 +574,8 @@ EPOCH = 1_700_000_000
 
 def _event_waves(spark: SparkSession, sf_dir: str, folder: str, where: str, names: list[str], wave) -> None:
     """Chat events with a time of their own (``ts``: their seq in seconds), written as finished sub-folders."""
-    events = chat_events(read_table(spark, sf_dir, "events").where(where)).withColumn("ts", F.timestamp_seconds(F.col("seq") + EPOCH))
+    events = read_table(spark, sf_dir, "events").where(where).repartition("event_id")  # the table may be one file
+    events = chat_events(events).withColumn("ts", F.timestamp_seconds(F.col("seq") + EPOCH))
     events = materialize(events.withColumn("wave", wave(events)), "event-waves")
     for i, name in enumerate(names):
         events.where(F.col("wave") == i).drop("wave").write.parquet(f"{folder}/{name}")
@@ -656,7 +657,7 @@ def session_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, log = scratch_path(spark, "chat-folder"), scratch_path(spark, "folder-log")
     events = read_table(spark, sf_dir, "events").withColumn(
         "user_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
-    events = materialize(chat_events(events), "chat-events")
+    events = materialize(chat_events(events.repartition("event_id")), "chat-events")  # the table may be one file
     half = events.agg(F.avg("seq")).first()[0] or 0
     events.where(F.col("seq") <= half).write.parquet(f"{folder}/a")
     events.where(F.col("seq") > half).write.parquet(f"{folder}/b")

@@ -30,21 +30,21 @@ CARRY_SCHEMA = ("chat_id long, last_seq long, events array<struct<seq: long, kin
                 "batch long")
 
 
-def carry_over(prepared: DataFrame, max_turns: int, skew: SkewConfig) -> DataFrame:
-    """(chat_id, last_seq, events): what the next batch needs to know of each chat."""
-    hot = hot_keys(prepared.select("chat_id"), ["chat_id"], skew)
-    found = answers(prepared, hot, skew)
+def carry_over(prepared: DataFrame, found: DataFrame, max_turns: int) -> DataFrame:
+    """(chat_id, last_seq, events): what the next batch needs to know of each chat. ``found``: the ``answers``."""
     ends = prepared.groupBy("chat_id").agg(
         F.max("seq").alias("last_seq"), F.max(F.when(F.col("kind") == "message", F.col("seq"))).alias("asked"),
         F.coalesce(F.max(F.when(F.col("kind") == "reset", F.col("seq"))), F.lit(-(1 << 62))).alias("cleared"))
     messages = prepared.where("kind = 'message'").select("chat_id", "seq", "text")
-    exchanges = found.where("o.kind = 'reply'").join(messages, ["chat_id", "seq"]).join(ends, "chat_id").where(
-        "o.at > cleared and (text != '' or coalesce(o.reply, '') != '')")
+    exchanges = found.where("o.kind = 'reply'").join(messages, ["chat_id", "seq"]).where(
+        "text != '' or coalesce(o.reply, '') != ''")
     newest = Window.partitionBy("chat_id").orderBy(F.desc("o.at"))
     event = lambda seq, kind, text, reply_to: F.struct(
         seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"), reply_to.cast("long").alias("reply_to"))
     null = F.lit(None)
-    kept = exchanges.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * max(max_turns, 0)).select(
+    # those after the last reset are the newest: few rows of a chat are left when its end is joined
+    kept = exchanges.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * max(max_turns, 0)).join(
+        ends, "chat_id").where("o.at > cleared").select(
         "chat_id", F.explode(F.array(event(F.col("seq"), "message", F.col("text"), null),
                                      event(F.col("o.at"), "reply", F.col("o.reply"), F.col("seq")))).alias("e"))
     open_ = ends.where("asked > cleared").select("chat_id", F.col("asked").alias("seq")).join(
@@ -87,7 +87,8 @@ class SessionStore:
         """One micro-batch of events."""
         scratch = list(session._SCRATCH)
         new = self._path("input", number)
-        batch.select("seq", "chat_id", "kind", "text", "reply_to").write.mode("overwrite").parquet(new)
+        # dealt anew: the files of a batch may be few, and a chat may hold any share of the rows
+        batch.select("seq", "chat_id", "kind", "text", "reply_to").repartition("chat_id", "seq").write.mode("overwrite").parquet(new)
         events = self.spark.read.schema(EVENT_SCHEMA).parquet(new)
         chats = events.select("chat_id").distinct()
         carried = self._path("met", number)
@@ -97,16 +98,18 @@ class SessionStore:
         late = F.coalesce(F.col("seq") <= F.col("last_seq"), F.lit(False))
         placed.where(late).select("seq", "chat_id", "kind", "text", "reply_to").write.mode("overwrite").parquet(
             self._path("late", number))
-        # carried texts are clean already and were forwarded once
-        fresh = prepare_events(placed.where(~late))
-        old = carried.select("chat_id", F.explode("events").alias("e")).select("e.seq", "chat_id", "e.kind", "e.text", "e.reply_to")
-        both = old.unionByName(fresh.select("seq", "chat_id", "kind", "text", "reply_to"))
-        requests = session_requests_batch(both, self.max_turns, self.skew, prepared=True)
-        # what an earlier batch asked already is not asked again
-        asked = requests.join(carried.select("chat_id", "last_seq"), "chat_id", "left").where(
-            "last_seq is null or seq > last_seq").select("seq", "chat_id", "message", "history")
+        # carried texts are clean already and were forwarded once; what an earlier batch asked is not asked again
+        ask = F.coalesce(F.col("last_seq").isNull() | (F.col("seq") > F.col("last_seq")), F.lit(False))
+        fresh = prepare_events(placed.where(~late).withColumn("ask", ask), keep=("ask",))
+        old = carried.select("chat_id", F.explode("events").alias("e")).select(
+            "e.seq", "chat_id", "e.kind", "e.text", "e.reply_to", F.lit(False).alias("ask"))
+        # cleaned texts and answers are written once: the requests and the carried rows both read them
+        both = session.materialize(old.unionByName(fresh), "batch-events")
+        hot = hot_keys(both.select("chat_id"), ["chat_id"], self.skew)
+        found = session.materialize(answers(both, hot, self.skew), "batch-answers")
+        asked = session_requests_batch(both, self.max_turns, self.skew, prepared=True, hot=hot, found=found, ask=F.col("ask"))
         asked.write.mode("overwrite").parquet(self._path("requests", number))
-        carry_over(both, self.max_turns, self.skew).join(
+        carry_over(both, found, self.max_turns).join(
             carried.select("chat_id", F.col("last_seq").alias("before")), "chat_id", "full").select(
             "chat_id", F.greatest("last_seq", "before").alias("last_seq"),
             F.coalesce("events", F.array().cast(carried.schema["events"].dataType)).alias("events"),

@@ -209,9 +209,10 @@ def expired_sessions(events: DataFrame, ttl_ms: int, time_col: str = "ts", skew=
 
 
 def session_requests_batch(events: DataFrame, max_turns: int = CHAT_MAX_HISTORY_TURNS, skew=None,
-                           prepared: bool = False) -> DataFrame:
+                           prepared: bool = False, hot=None, found: DataFrame | None = None, ask=None) -> DataFrame:
     """Batch twin of ``session_requests`` on a static event table, without Python (``prepared`` says that
-    ``prepare_events`` was applied).
+    ``prepare_events`` was applied; ``hot`` and ``found`` are the chats' hot keys and ``answers`` where the caller has
+    them; ``ask`` limits the messages that get a request, not what their histories hold).
 
     A reply counts where it arrives: if the chat's last message before it, since the last reset, is
     the one it answers and nothing answered that before. Such an exchange becomes two history items
@@ -224,24 +225,25 @@ def session_requests_batch(events: DataFrame, max_turns: int = CHAT_MAX_HISTORY_
 
     skew = skew or SkewConfig()
     prepared = events if prepared else prepare_events(events)
-    chat_hot = hot_keys(events.select("chat_id"), ["chat_id"], skew)
-    done = answers(prepared, chat_hot, skew).where("o.kind = 'reply'").select("chat_id", "seq", "o.at", "o.reply")
-    msgs = prepared.where(F.col("kind") == "message").select("seq", "chat_id", "text")
+    chat_hot = hot_keys(events.select("chat_id"), ["chat_id"], skew) if hot is None else hot
+    done = (answers(prepared, chat_hot, skew) if found is None else found).where("o.kind = 'reply'").select("chat_id", "seq", "o.at", "o.reply")
+    msgs = prepared.where(F.col("kind") == "message").select(
+        "seq", "chat_id", "text", (F.lit(True) if ask is None else ask).alias("ask"))
     blank = message(F.lit("user"), F.lit(""))
 
-    def rows(df: DataFrame, pos, is_item, item, query: bool, is_reset: bool) -> DataFrame:
+    def rows(df: DataFrame, pos, is_item, item, query, is_reset: bool) -> DataFrame:
         return df.select("chat_id", "seq", "text", pos.alias("pos"), is_item.alias("is_item"), item.alias("item"),
-                         F.lit(query).alias("query"), F.lit(is_reset).alias("is_reset"))
+                         query.alias("query"), F.lit(is_reset).alias("is_reset"))
 
     no = F.lit(False)
-    asked = rows(msgs, F.col("seq") * 2, no, blank, True, False)
+    asked = rows(msgs.where("ask"), F.col("seq") * 2, no, blank, F.lit(True), False)
     exchanged = msgs.join(done, on=["chat_id", "seq"]).select("chat_id", "seq", "text", F.explode(F.array(
         F.struct((F.col("at") * 2).alias("pos"), (F.col("text") != "").alias("is_item"),
                  message(F.lit("user"), F.col("text")).alias("item")),
         F.struct((F.col("at") * 2 + 1).alias("pos"), (F.coalesce(F.col("reply"), F.lit("")) != "").alias("is_item"),
                  message(F.lit("assistant"), F.col("reply")).alias("item")),
     )).alias("r")).select("chat_id", "seq", "text", "r.*", F.lit(False).alias("query"), F.lit(False).alias("is_reset"))
-    resets = rows(prepared.where(F.col("kind") == "reset"), F.col("seq") * 2, no, blank, False, True)
+    resets = rows(prepared.where(F.col("kind") == "reset"), F.col("seq") * 2, no, blank, no, True)
     both = asked.unionByName(exchanged).unionByName(resets)
     ctx = trailing_context(both, keys=["chat_id"], seq="pos", item=F.col("item"), k=2 * max_turns,
                            is_item=F.col("is_item"), is_reset=F.col("is_reset"), hot=chat_hot, block_rows=skew.block_rows,

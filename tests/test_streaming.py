@@ -211,3 +211,17 @@ def test_state_calls_follow_the_chats_of_a_batch_and_not_its_events():
     assert [(r.seq, r.message) for r in out] == [(i, {5: "anew", n: "again"}.get(i, f"m{i}")) for i in range(1, n + 1)]
     assert not handle.timers and not any(handle.maps.values())
     assert handle.calls < 60
+
+
+def test_a_micro_batch_finds_answers_once_and_is_dealt_anew(spark, tmp_path, monkeypatch):
+    from chatsift.operators import context
+
+    passes, plain = [], context.trailing_context
+    monkeypatch.setattr(context, "trailing_context", lambda df, **kw: passes.append(df) or plain(df, **kw))
+    events = sorted(random_events(random.Random(12), chats=3, n=60))
+    store = SessionStore(spark, f"{tmp_path}/store")
+    for i, part in enumerate((events[:30], events[30:])):
+        store.apply(spark.createDataFrame(part, ss.EVENT_SCHEMA).coalesce(1), i)
+        assert len(passes) == 2 * (i + 1)  # answers, histories
+        assert all(len(df.inputFiles()) > 1 for df in passes[2 * i : 2 * i + 1])  # from files of several tasks
+    assert histories(store.requests().collect()) == expected_sessions(events)
