@@ -182,7 +182,8 @@ class Field:
             for feats in run:
                 flat.extend(self.index.get(f, none) for f in feats)
                 ends.append(len(flat))
-        cum = np.add.reduceat(self.emit[flat], np.concatenate(([0], ends[:-1])), axis=0)
+        # whole numbers also for a single word, which has no end before it
+        cum = np.add.reduceat(self.emit[flat], np.array([0, *ends[:-1]]), axis=0)
         return cum.reshape(len(runs), length, -1)
 
 

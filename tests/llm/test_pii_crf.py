@@ -97,3 +97,16 @@ def test_marks_behind_long_stretches_and_draws_of_any_size():
     for n in (4_000, 10_000, 4_000_000_001, 10**13):  # some hashes are drawn, in proportion
         part = (pii_crf.last_drawn(n, 4_000) + (1 << 63)) / 2**64
         assert abs(part - 4_000 / n) <= 1e-6 * 4_000 / n
+
+
+def test_one_single_word_to_label_in_a_batch(spark):
+    docs, phone, card = documents()
+    field = pii_crf.fit(pii_crf.labelled_runs(spark.createDataFrame(docs, SCHEMA)))
+    assert pii_crf.added_spans(["only 7 here", "plain"], [[], []], field) == [[], []]
+    alone = [[(900, "mail a@b.co now", "x", 1)], [(901, "room 12", "x", 1), (902, f"{phone} {card}", "x", 1), (903, None, "x", 1)]]
+    for rows, masked in zip(alone, ({900: "mail [EMAIL] now"}, {901: "room 12", 902: "[PHONE] [CARD]", 903: None})):
+        df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+        assert {r.doc_id: r.text for r in pii_crf.redact(df, field).collect()} == masked
+        for r in pii_crf.find_spans(df, field).collect():
+            base = [(b, e, pii_crf.KINDS[k]) for b, e, k in brute(dict((x[0], x[1]) for x in rows)[r.doc_id] or "")]
+            assert [(s.start, s.end, s.kind) for s in r.spans if s.base] == base
