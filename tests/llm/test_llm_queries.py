@@ -77,3 +77,16 @@ def test_rows_of_null_and_repeated_ids_are_judged_by_their_own_text(spark):
     rows = [(None, f"before {item} after", "en", "s", 1), (None, text["A"], "en", "s", 1), (3, item, "en", "s", 1), (3, "three clean words", "en", "s", 1)]
     got = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, schema), SF001).collect()
     assert sorted(r.text for r in got) == sorted([text["A"], "three clean words"])
+
+
+def test_personal_data_stage_takes_a_batch_with_one_single_word_to_label(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [f"so {x} and on" for i in range(60) for x in (f"a{i}@mail.example.com", f"10.0.{i}.1", f"room {i}")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    alone = [(900, "mail a@b.co now", "en", "s", 15), (901, "plain words", None, None, None), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema).unionByName(spark.createDataFrame(alone, schema).repartition(1))
+    assert docs.rdd.getNumPartitions() > 1
+    got = {r.doc_id: r for r in corpus_pipeline.mask_personal_data(spark, docs, SF001).collect()}
+    assert len(got) == len(rows) + len(alone)
+    assert (got[900].text, got[900].n_chars, got[901].text, got[None].text) == ("mail [EMAIL] now", 16, "plain words", None)
+    assert [got[i].text for i in range(3)] == ["so [EMAIL] and on", "so [IP] and on", "so room 0 and on"]
